@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackframe.llm import bm25_decontaminate, line_quality, secret_index, simhash_planes, substring_dedup, token_planes
+from trackframe.llm import arc_to_warc, bm25_decontaminate, chat_snapshots, line_quality, mixing, secret_index, simhash_planes, substring_dedup, token_planes, url_templates
 from trackframe.llm.storage import new_path
 
 
@@ -22,10 +22,28 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc_to_warc.through_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.figures(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return url_templates.judge(pages, url_templates.document_labels(pages, labels))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_snapshots.render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.order(mixing.blocks(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_index.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s.kind.isin(*secret_index.BASE))
@@ -54,5 +72,5 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_substring_dedup, op3_quality_rules, op7_secret_scan, op8_decontaminate, op9_simhash, op10_token_ids]
+    own = [op1_substring_dedup, op2_warc, op3_quality_rules, op4_url_filter, op5_chat, op6_mixing, op7_secret_scan, op8_decontaminate, op9_simhash, op10_token_ids]
     return {f.__name__: f for f in own}
