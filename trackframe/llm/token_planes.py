@@ -24,6 +24,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -192,6 +193,12 @@ class WordEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, whose words the next tasks find known."""
+    return WordEncoder(path)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, file_ids: int = 4 << 20, block: int = 1 << 16, kind: str = "byte", level: int = 3) -> None:
     """Encodes the texts of ``docs`` and writes the files of ids in ascending doc_id order under ``path``.
 
@@ -204,7 +211,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, file_ids:
     end = np.array([end_id], "<u4")
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, seq = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         names: list[tuple[int | None, int]] = []
         kept: list[np.ndarray] = []
         total = 0
