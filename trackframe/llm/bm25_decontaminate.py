@@ -1,7 +1,8 @@
 """Benchmark decontamination: training passages are queries against a BM25 inverted index of test items.
 
 Items are cut into pieces of bounded length, which are the documents of the
-index.  Postings hold impacts divided by the piece's score against itself, so
+index; its terms are pairs of adjacent words, as single words of a language are
+shared by all its texts and would keep no passage out.  Postings hold impacts divided by the piece's score against itself, so
 that one threshold fits all pieces, and are cut into blocks that know their
 largest impact.  Every passage of every training document is a query; a
 document-at-a-time WAND with block maxima returns all pieces above the
@@ -17,6 +18,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -61,6 +63,11 @@ def split_item(text: str | None) -> tuple[list[str], list[str]]:
     return words_of(text[: at + 1]), words_of(text[at + 1 :])
 
 
+def pairs_of(words: list[str]) -> list[str]:
+    """The terms of a piece."""
+    return [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
 def pieces_of(words: list[str], most: int) -> list[list[str]]:
     """The words in even pieces of at most ``most``."""
     count = max(1, math.ceil(len(words) / most))
@@ -77,13 +84,21 @@ class Index:
         found: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for at, (_, question, answer) in enumerate(self.items):
             for piece in pieces_of(question + answer, settings.piece):
-                norm = settings.k1 * (1 - settings.b + settings.b * len(piece) / mean)
-                impact = {t: self._idf(frequency.get(t, 1), n_pieces) * n * (settings.k1 + 1) / (n + norm) for t, n in Counter(piece).items()}
+                terms = pairs_of(piece)
+                if not terms:
+                    continue
+                norm = settings.k1 * (1 - settings.b + settings.b * len(terms) / mean)
+                impact = {t: self._idf(frequency.get(t, 1), n_pieces) * n * (settings.k1 + 1) / (n + norm) for t, n in Counter(terms).items()}
                 whole = sum(impact.values())
                 for t, x in impact.items():
                     found[t].append((len(self.owner), x / whole))
                 self.owner.append(at)
-        self.terms = {t: k for k, t in enumerate(found)}
+        # A pair's key is made of the numbers of its words; keys lie in order, with the numbers of their terms.
+        pairs = [t.split(" ") for t in found]
+        self.words = {w: k for k, w in enumerate(sorted({w for p in pairs for w in p}))}
+        keys = np.array([self.words[a] * len(self.words) + self.words[b] for a, b in pairs], np.int64)
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
         self.rows = [np.array([r for r, _ in p], np.int64) for p in found.values()]
         self.impacts = [np.array([x for _, x in p]) for p in found.values()]
         self.block_ends = [r[settings.block - 1 :: settings.block].tolist() + r[-1:].tolist() for r in self.rows]
@@ -135,10 +150,20 @@ class Index:
                     at[t] = int(np.searchsorted(self.rows[t], row))
                     head[t] = int(self.rows[t][at[t]]) if at[t] < len(self.rows[t]) else _END
 
+    def _terms(self, words: list[str]) -> np.ndarray:
+        """The terms that start at each word of a document; the number of terms where that is none of the index."""
+        unknown = -len(self.words) * len(self.words) - 1  # no sum with it is a key
+        at = np.fromiter(map(self.words.get, words, repeat(unknown)), np.int64, len(words))
+        if len(at) < 2 or not len(self.keys):
+            return np.empty(0, np.int64)
+        keys = at[:-1] * len(self.words) + at[1:]
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[place] == keys, self.order[place], len(self.rows))
+
     def candidates(self, words: list[str]) -> dict[int, float]:
         """Items (by place) of which some passage finds a piece, with the best score."""
-        none = len(self.terms)
-        ids = np.fromiter(map(self.terms.get, words, [none] * len(words)), np.int64, len(words)) if words else np.empty(0, np.int64)
+        ids = self._terms(words)
+        none = len(self.rows)
         size, step = self.settings.passage, max(1, self.settings.passage // 2)
         total = np.r_[0.0, np.cumsum(self.most[ids])]
         starts = np.arange(0, max(1, len(ids) - size + step), step)
@@ -183,7 +208,7 @@ def indexes(items: DataFrame, settings: Settings) -> Iterator[Index]:
         def count(text: str):
             question, answer = split_item(text)
             cut = pieces_of(question + answer, piece)
-            return [{"term": t, "n": n} for t, n in Counter(t for p in cut for t in set(p)).items()] + [{"term": None, "n": len(p)} for p in cut]
+            return [{"term": t, "n": n} for t, n in Counter(t for p in cut for t in set(pairs_of(p))).items()] + [{"term": None, "n": len(p) - 1} for p in cut if len(p) > 1]
 
         return texts.map(count)
 
@@ -213,7 +238,7 @@ def leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) ->
     ``row`` is a hash of the document's id and text.  Items are indexed in
     shards of at most ``shard_bytes`` of text (a sum that Spark computes
     first); each shard's index is broadcast and all documents pass by it once,
-    without a shuffle.  Items that are null or have no word are in no index;
+    without a shuffle.  Items that are null or have fewer than two words are in no index;
     items of the same id and text count once.  Null and empty texts have no
     leak, documents of any length are searched whole, repeated rows are each
     reported.  No item gives an empty table.
