@@ -12,7 +12,7 @@ from trackframe.sources.io import as_nodes
 
 SLOPE = "round(CASE WHEN dx = 0 AND dy = 0 THEN 1.0::DOUBLE WHEN atan2(dy, dx) > 0 THEN tan(pi() / 60) WHEN atan2(dy, dx) < 0 THEN -tan(pi() / 60) ELSE 1.0::DOUBLE END, 8)"
 SYM = "SELECT src, dst FROM f_edges UNION SELECT dst, src FROM f_edges"
-ACTIVE = "SELECT DISTINCT event_id, det_id FROM f_hits WHERE event_id < 100"
+ACTIVE = "SELECT DISTINCT event_id, det_id FROM f_hits"
 PAIRS = f"""SELECT DISTINCT least(a.det_id, b.det_id) AS a, greatest(a.det_id, b.det_id) AS b FROM f_edges e JOIN (SELECT *, {SLOPE} AS slope FROM f_nodes) a ON e.src = a.det_id
   JOIN (SELECT *, {SLOPE} AS slope FROM f_nodes) b ON e.dst = b.det_id WHERE abs(a.layer - b.layer) = 1 AND a.slope <> b.slope"""
 
@@ -37,8 +37,8 @@ def _nodes(v):
     return as_nodes(v("f_nodes")).withColumn("slope", F.round("slope", 8))
 
 
-def _active(v, most=100):
-    return hits.active_nodes(v("f_hits").filter(F.col("event_id") < most))
+def _active(v):
+    return hits.active_nodes(v("f_hits"))
 
 
 def _rounded(df, names, digits=5):

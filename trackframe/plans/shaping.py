@@ -99,9 +99,9 @@ def grid_dump(v):
     return io.grid_dump(v("f_nodes"), v("f_edges")).withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
 
 
-@query("SELECT det_id, round(x, 6) AS x, round(y, 6) AS y, z, round(x, 6) AS x_det, round(y, 6) AS y_det, CASE WHEN node_type = 1 THEN 0.0::DOUBLE ELSE z END AS z_det FROM f_nodes WHERE det_id IN (SELECT det_id FROM f_hits WHERE event_id < 50)", "f_nodes f_hits")
+@query("SELECT det_id, round(x, 6) AS x, round(y, 6) AS y, z, round(x, 6) AS x_det, round(y, 6) AS y_det, CASE WHEN node_type = 1 THEN 0.0::DOUBLE ELSE z END AS z_det FROM f_nodes WHERE det_id IN (SELECT det_id FROM f_hits)", "f_nodes f_hits")
 def fired_nodes(v):
-    found = io.fired_nodes(H.active_nodes(v("f_hits").filter("event_id < 50")), v("f_nodes"))
+    found = io.fired_nodes(H.active_nodes(v("f_hits")), v("f_nodes"))
     return found.withColumns({c: F.round(c, 6) for c in ("x", "y", "x_det", "y_det")})
 
 
