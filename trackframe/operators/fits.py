@@ -204,9 +204,30 @@ def displaced(points: DataFrame, draws: int, seed: int = 1) -> DataFrame:
     return drawn.withColumn("turn", turn).withColumns({"x": C("x") + C("isochrone") * F.cos("turn"), "y": C("y") + C("isochrone") * F.sin("turn")}).drop("turn")
 
 
+def moments_about(points: DataFrame, by: list[str], cx: str, cy: str) -> DataFrame:
+    """The moments of centred points in one grouping: sums about a given point of the group, then moved to the mean."""
+    own = points.withColumns({"u": C("x") - C(cx), "v": C("y") - C(cy)}).withColumn("z", C("u") * C("u") + C("v") * C("v"))
+    names = {"eu": "u", "ev": "v", "ez": "z", "euu": "u * u", "evv": "v * v", "euv": "u * v", "euz": "u * z", "evz": "v * z", "ezz": "z * z"}
+    sums = own.groupBy(*by).agg(F.count("*").alias("n"), F.first(cx).alias("cx"), F.first(cy).alias("cy"), *(F.expr(f"avg({e})").alias(k) for k, e in names.items()))
+    sums = sums.withColumns({"a": 2 * C("eu"), "b": 2 * C("ev"), "c": C("eu") * C("eu") + C("ev") * C("ev")})
+    sums = sums.withColumn("mz", C("ez") - C("a") * C("eu") - C("b") * C("ev") + C("c"))
+    return sums.select(
+        *by, "n", (C("cx") + C("eu")).alias("mean_x"), (C("cy") + C("ev")).alias("mean_y"),
+        F.expr("euu - eu * eu").alias("mxx"), F.expr("evv - ev * ev").alias("myy"), F.expr("euv - eu * ev").alias("mxy"),
+        F.expr("euz - a * euu - b * euv + c * eu - eu * mz").alias("mxz"), F.expr("evz - a * euv - b * evv + c * ev - ev * mz").alias("myz"),
+        F.expr("ezz + a * a * euu + b * b * evv + c * c - 2 * a * euz - 2 * b * evz + 2 * c * ez + 2 * a * b * euv - 2 * a * c * eu - 2 * b * c * ev").alias("mzz"),
+    )
+
+
 def isochrone_refit(points: DataFrame, by: list[str], draws: int = 100) -> DataFrame:
-    """(by, n, r16, r50, r84): sorted elements of the radii of Hyper fits to displaced points."""
-    fits = circle(displaced(points, draws), [*by, "draw"], "hyper")
+    """(by, n, r16, r50, r84): sorted elements of the radii of Hyper fits to displaced points.
+
+    The points are dealt by group before they are multiplied, so the draws of
+    a group meet without another shuffle.
+    """
+    w = Window.partitionBy(*by)
+    own = points.repartition(*by).withColumns({"cx": F.avg("x").over(w), "cy": F.avg("y").over(w)})
+    fits = newton_circle(moments_about(displaced(own, draws), [*by, "draw"], "cx", "cy"), [*by, "draw"], "hyper")
     radii = fits.filter("r IS NOT NULL").groupBy(*by).agg(F.max("n").alias("n"), F.sort_array(F.collect_list("r")).alias("rs"))
     at = lambda share: F.get("rs", F.least(F.size("rs") - 1, F.floor(F.size("rs") * share).cast("int")))
     return radii.select(*by, "n", at(0.16).alias("r16"), at(0.5).alias("r50"), at(0.84).alias("r84"))
