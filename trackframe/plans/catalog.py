@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackframe.plans import fitting, graphs, scoring, shaping, statistics  # noqa: F401
+from trackframe.plans import finding, fitting, graphs, scoring, shaping, statistics  # noqa: F401
 from trackframe.plans.registry import ORACLES, QUERIES
 
 
