@@ -7,24 +7,29 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from trackframe.llm.storage import fresh
+from trackframe.llm.storage import slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
-_SYMBOL = re.compile(r"[#*$%&|<>]")
-_BLANK = re.compile(r"[\x20\x09-\x0D]")
 _MARKS = re.compile(r"[!?]{2,}|\.{4,}|…{2,}")
 _CODE = re.compile(r"[{}]|</?\w+[^<>]*>|\bfunction\s*\(|\bvar\s+\w+\s*=")
 _MENU = re.compile(r"(?:^|\s)(?:\||›|»|·|/|>)(?=\s|$)")
 _BOILERPLATE = re.compile(
     r"all rights reserved|copyright (?:\(c\)|©|\d{4})|©\s*\d{4}|terms of (?:use|service)|privacy policy|cookie policy|(?:uses?|accept) cookies"
-    r"|licensed under|released under the .{1,40} licen[cs]e|subscribe to our|sign up for our|click here|enable javascript|lorem ipsum|powered by \w+",
-    re.IGNORECASE,
+    r"|licensed under|released under the .{1,40} licen[cs]e|subscribe to our|sign up for our|click here|enable javascript|lorem ipsum|powered by \w+"
 )
+#: What a lower-cased text holds if a rule's pattern can match in it; texts without any of it are not searched.
+_HINTS = {
+    "marks": ("!!", "??", "!?", "?!", "....", "……"),
+    "code": ("{", "}", "<", "function", "var "),
+    "menu": ("|", "›", "»", "·", "/", ">"),
+    "boilerplate": ("rights reserved", "copyright", "©", "terms of", "policy", "cookies", "licensed under", "released under", "subscribe to", "sign up", "click here", "javascript", "lorem", "powered by"),
+}
 
 
 @dataclass(frozen=True)
@@ -33,7 +38,7 @@ class Rules:
 
     max_symbols: float = 0.05  # of a line's characters
     max_marks: float = 0.2  # runs of exclamation and question marks a word
-    max_capitals: float = 0.7  # of the letters of a line of five words or more
+    max_capitals: float = 0.7  # of the words of a line of five words or more
     max_stutter: float = 0.5  # words of a line of five words or more that repeat the word before
     max_separators: int = 2  # menu separators that stand alone
     boilerplate_words: int = 40  # longer lines are prose that happens to hold such a phrase
@@ -43,35 +48,54 @@ class Rules:
     window: int = 8
 
 
-def line_fault(line: str, rules: Rules) -> str | None:
+def hints(text: str) -> frozenset[str]:
+    """The rules whose patterns may match somewhere in a text."""
+    low = text.lower()
+    found = {rule for rule, some in _HINTS.items() if any(x in low for x in some)}
+    return frozenset(found | {"symbols"} if any(x in text for x in SYMBOLS) else found)
+
+
+def line_fault(line: str, words: list[bytes], rules: Rules, may: frozenset[str]) -> str | None:
     """The first rule that a line with a word fails: punctuation, repeated, navigation, boilerplate or None."""
-    words = WORD.findall(line)
     n = len(words)
-    size = sum(map(len, words))
-    if len(_SYMBOL.findall(line)) > rules.max_symbols * size:
-        return "navigation" if len(_MENU.findall(line)) > rules.max_separators else "punctuation"
-    if n >= 3 and len(_MARKS.findall(line)) > rules.max_marks * n:
+    menu = len(_MENU.findall(line)) > rules.max_separators if "menu" in may else False
+    if "symbols" in may and sum(map(line.count, SYMBOLS)) > rules.max_symbols * word_chars(line):
+        return "navigation" if menu else "punctuation"
+    if n >= 3 and "marks" in may and len(_MARKS.findall(line)) > rules.max_marks * n:
         return "punctuation"
     if n >= 5:
-        letters = sum(map(str.isalpha, line))
-        if letters and sum(map(str.isupper, line)) > rules.max_capitals * letters:
+        if sum(map(str.isupper, line.split())) > rules.max_capitals * n:
             return "punctuation"
-        if sum(map(str.__eq__, words, words[1:])) > rules.max_stutter * n:
+        if sum(map(bytes.__eq__, words, words[1:])) > rules.max_stutter * n:
             return "repeated"
-    if len(_MENU.findall(line)) > rules.max_separators or _CODE.search(line):
+    if menu or ("code" in may and _CODE.search(line)):
         return "navigation"
-    if n <= rules.boilerplate_words and _BOILERPLATE.search(line):
+    if n <= rules.boilerplate_words and "boilerplate" in may and _BOILERPLATE.search(line.lower()):
         return "boilerplate"
     return None
 
 
-def repeated_words(words: list[str], width: int) -> int:
-    """Words within windows of ``width`` words that occur twice or more, the first ones included."""
+def word_chars(text: str) -> int:
+    """Code points that are not blanks."""
+    return len(text) - sum(map(text.count, BLANKS))
+
+
+def repeated_words(words: list[bytes], width: int) -> int:
+    """Words within windows of ``width`` words that occur twice or more, the first ones included.
+
+    Windows whose rolled hashes all differ all differ; only else they are
+    compared themselves.
+    """
     if len(words) <= width:
         return 0
-    windows = list(zip(*(words[k:] for k in range(width))))
-    if len(set(windows)) == len(windows):
+    hashes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    count = len(words) - width + 1
+    rolled = np.zeros(count, np.uint64)
+    for k in range(width):
+        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + count]
+    if len(np.unique(rolled)) == count:
         return 0
+    windows = list(zip(*(words[k:] for k in range(width))))
     times = Counter(windows)
     total, covered = 0, 0
     for at, window in enumerate(windows):
@@ -84,31 +108,32 @@ def repeated_words(words: list[str], width: int) -> int:
 def judge(text: str | None, rules: Rules) -> dict:
     """All figures of one text, its verdict and what is left of it."""
     text = text or ""
-    words = WORD.findall(text)
-    lines = text.split("\n")
+    words = text.encode("utf-8", "surrogatepass").split()  # bytes are split at the six ASCII blanks alone
+    may = hints(text)
     seen: set[str] = set()
     duplicates = lost = 0
     left, why = [], []
-    for line in lines:
-        if not WORD.search(line):
+    for line in text.split("\n"):
+        own = line.encode("utf-8", "surrogatepass").split()
+        if not own:
             left.append(line)
             continue
         again = line in seen
         duplicates += again
         seen.add(line)
-        fault = "repeated" if again else line_fault(line, rules)
+        fault = "repeated" if again else line_fault(line, own, rules, may)
         if fault is None:
             left.append(line)
         else:
             why.append(fault)
-            lost += len(_BLANK.sub("", line))
-    size = sum(map(len, words))
+            lost += word_chars(line)
+    size = word_chars(text)
     repeats = repeated_words(words, rules.window)
     base = len(words) < rules.min_words or 100 * repeats > rules.max_repeated_percent * len(words)
     return {
         "n_words": len(words),
         "word_chars": size,
-        "n_symbols": len(_SYMBOL.findall(text)),
+        "n_symbols": sum(map(text.count, SYMBOLS)),
         "n_dup_lines": duplicates,
         "n_repeat_words": repeats,
         "base_failed": base,
@@ -141,12 +166,9 @@ def figures(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                rows = [judge(t, rules) for t in some.column(1).to_pylist()]
-                own = pa.RecordBatch.from_pylist(rows, schema=FIGURES)
-                yield pa.RecordBatch.from_arrays([some.column(0), *own.columns], names=["doc_id", *FIGURES.names])
+        for some in slices(batches):
+            own = pa.RecordBatch.from_pylist([judge(t, rules) for t in some.column(1).to_pylist()], schema=FIGURES)
+            yield pa.RecordBatch.from_arrays([some.column(0), *own.columns], names=["doc_id", *FIGURES.names])
 
     return docs.select("doc_id", "text").mapInArrow(judged, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FIGURES_DDL}")
 
@@ -157,15 +179,16 @@ def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     ``n_chars``, where there is such a column, is counted anew.  Columns of
     any other name, ``cleaned`` or ``kept`` among them, pass through.
     """
-    (verdict,) = fresh(docs, "_verdict")
-
-    @F.pandas_udf("struct<kept: boolean, cleaned: string>")
-    def verdicts(texts):
-        import pandas as pd
-
-        found = [judge(t, rules) for t in texts]
-        return pd.DataFrame({"kept": [f["kept"] for f in found], "cleaned": [f["cleaned"] for f in found]})
-
-    judged = docs.withColumn(verdict, verdicts("text")).filter(F.col(f"{verdict}.kept"))
-    out = {"text": F.col(f"{verdict}.cleaned").alias("text"), "n_chars": F.length(f"{verdict}.cleaned").cast("long").alias("n_chars")}
-    return judged.select(*(out.get(c, F.col(f"`{c}`")) for c in docs.columns))
+    at = docs.columns.index("text")
+
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in slices(batches):
+            found = [judge(t, rules) for t in some.column(at).to_pylist()]
+            columns = list(some.columns)
+            columns[at] = pa.array([f["cleaned"] for f in found], columns[at].type)
+            if "n_chars" in some.schema.names:
+                k = some.schema.names.index("n_chars")
+                columns[k] = pa.array([len(f["cleaned"]) for f in found], pa.int64()).cast(columns[k].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=some.schema).filter(pa.array([f["kept"] for f in found], pa.bool_()))
+
+    return docs.mapInArrow(cleaned, docs.schema)
