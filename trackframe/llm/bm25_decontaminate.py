@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.storage import row_hash
+from trackframe.llm.storage import row_hash, slices
 
 _WORD = re.compile(r"\w+")
 _END = 1 << 60
@@ -253,14 +253,13 @@ def leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) ->
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 at, found = [], []
-                for start in range(0, batch.num_rows, 512):
-                    for k, text in enumerate(batch.column(2).slice(start, 512).to_pylist(), start):
-                        for hit in index.verified(words_of(text)):
-                            if min(hit[2:]) >= settings.overlap:
-                                at.append(k)
-                                found.append(hit)
+                for k, text in enumerate(batch.column(2).to_pylist()):
+                    for hit in index.verified(words_of(text)):
+                        if min(hit[2:]) >= settings.overlap:
+                            at.append(k)
+                            found.append(hit)
                 if at:
                     kept = batch.select(["doc_id", "row"]).take(pa.array(at))
                     ids, scores, questions, answers = zip(*found)
@@ -272,21 +271,21 @@ def leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) ->
     return spark.createDataFrame([], ddl) if out is None else out
 
 
-def _free_of(shared, overlap: float):
-    @F.pandas_udf("boolean")
-    def free(texts: pd.Series) -> pd.Series:
-        index = shared.value
-        return pd.Series([not any(min(hit[2:]) >= overlap for hit in index.verified(words_of(t))) for t in texts], dtype=bool)
-
-    return free
-
-
 def without_leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` without a verified test item; all columns stay.
 
     Each shard's index filters the rows where they lie, so nothing is
     shuffled.  Null, empty and repeated rows are treated as by ``leaks``.
     """
+    at = docs.columns.index("text")
     for index in indexes(items, settings):
-        docs = docs.filter(_free_of(docs.sparkSession.sparkContext.broadcast(index), settings.overlap)("text"))
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def free(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for some in slices(batches):
+                kept = [not any(min(hit[2:]) >= settings.overlap for hit in index.verified(words_of(t))) for t in some.column(at).to_pylist()]
+                yield some.filter(pa.array(kept, pa.bool_()))
+
+        docs = docs.mapInArrow(free, docs.schema)
     return docs

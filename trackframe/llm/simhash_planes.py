@@ -15,15 +15,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from trackframe.llm.components import components
-from trackframe.llm.storage import partitions_for, row_hash, stored
+from trackframe.llm.storage import partitions_for, row_hash, slices, stored
 
 BITS = 64
 
@@ -51,11 +49,13 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     """documents -> (doc_id, row, fingerprint): row is a hash of the id and text, fingerprint a signed long."""
 
-    @F.pandas_udf(LongType())
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, width, seed) for t in texts], np.uint64).view(np.int64))
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in slices(batches, 1024):
+            found = np.array([fingerprint(t, width, seed) for t in some.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*some.columns[:2], pa.array(found)], names=["doc_id", "row", "fingerprint"])
 
-    return docs.select("doc_id", row_hash(docs, ["doc_id", "text"]).alias("row"), of("text").alias("fingerprint"))
+    name = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", row_hash(docs, ["doc_id", "text"]).alias("row"), "text").mapInArrow(of, f"doc_id {name}, row long, fingerprint long")
 
 
 def block_masks(radius: int, blocks: int) -> list[int]:

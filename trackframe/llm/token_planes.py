@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackframe.llm.storage import partitions_for
+from trackframe.llm.storage import partitions_for, slices
 
 HEAD, TAIL = b"TKPL", b"TKPLEND\n"
 _FOOT = struct.Struct("<QQQQ8s")
@@ -126,7 +126,7 @@ class WordEncoder:
     ODD = r"[^\x00-\x{ff}]|<\|"
     END = r"([\pL\pN])([.,!?;:]+)([ \n\t\r]|$)"
 
-    def __init__(self, path: str, most: int = 800_000, longest: int = 40):
+    def __init__(self, path: str, most: int = 400_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -220,16 +220,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, file_ids:
             ids = np.concatenate(kept)
             return pa.RecordBatch.from_arrays([pa.array([pack(part, seq, names, ids, block, kind, level)[:-1]], pa.binary())], names=["file"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                some = batch.slice(at, 2048)
-                for doc, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1))):
-                    kept += (ids, end)
-                    names.append((doc, len(ids) + 1))
-                    total += len(ids) + 1
-                    if total >= file_ids:
-                        yield closed()
-                        names, kept, total, seq = [], [], 0, seq + 1
+        for some in slices(batches, 2048):
+            for doc, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1))):
+                kept += (ids, end)
+                names.append((doc, len(ids) + 1))
+                total += len(ids) + 1
+                if total >= file_ids:
+                    yield closed()
+                    names, kept, total, seq = [], [], 0, seq + 1
         if names:
             yield closed()
 
