@@ -75,6 +75,8 @@ def exponent_for(totals: DataFrame, mix: Mix) -> float:
     not even they keep, give 1.  Each step is a sum over one row a source.
     """
     sources = totals.count()
+    if not sources:
+        return 1.0
 
     def bisect(holds) -> float:
         """The largest exponent that holds, if smaller ones do."""
