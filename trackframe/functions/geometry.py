@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackframe.functions.shared import stored
+
 #: Half a right angle of half a turn, as the turning angle is told in: degrees with 3.14 for pi (a fixed value).
 ROUGH_PI = 3.14
 TINY = 2.220446049250313e-16
@@ -108,14 +110,18 @@ def on_tube(x: Column, y: Column, p: str) -> Column:
     return ways <= F.hypot(far[0] - near[0], far[1] - near[1]) + 1
 
 
-def clamped_to_tube(x1: Column, y1: Column, x2: Column, y2: Column, p: str) -> tuple[Column, Column, Column]:
-    """As line_meets_tube; the nearer end of the tube where the point is off it, its centre at height 0 where they are parallel."""
+def with_clamped(rows: DataFrame, x1: Column, y1: Column, x2: Column, y2: Column, p: str) -> DataFrame:
+    """Rows with cx, cy and cz: as line_meets_tube; the nearer end of the tube where the point is off it, its centre at height 0 where they are parallel."""
+    kept = rows.columns
     x, y, _ = line_meets_tube(x1, y1, x2, y2, p)
     near, far = tube_ends(p)
-    first = F.hypot(x - near[0], y - near[1]) < F.hypot(x - far[0], y - far[1])
-    cx = F.when(x.isNull(), F.col(f"{p}x")).when(on_tube(x, y, p), x).when(first, near[0]).otherwise(far[0])
-    cy = F.when(x.isNull(), F.col(f"{p}y")).when(on_tube(x, y, p), y).when(first, near[1]).otherwise(far[1])
-    return cx, cy, F.when(x.isNull(), 0.0).otherwise(height_on_tube(cy, p))
+    # Stored, as the planner would else write these expressions out wherever they are used.
+    step = stored(rows.withColumns({"_x": x, "_y": y}), "met")
+    x, y = F.col("_x"), F.col("_y")
+    step = step.withColumns({"_on": on_tube(x, y, p), "_first": F.hypot(x - near[0], y - near[1]) < F.hypot(x - far[0], y - far[1])})
+    at = lambda own, n, f, centre: F.when(x.isNull(), centre).when(F.col("_on"), own).when(F.col("_first"), n).otherwise(f)
+    step = step.withColumns({"cx": at(x, near[0], far[0], F.col(f"{p}x")), "cy": at(y, near[1], far[1], F.col(f"{p}y"))})
+    return step.select(*kept, "cx", "cy", F.when(x.isNull(), 0.0).otherwise(height_on_tube(F.col("cy"), p)).alias("cz"))
 
 
 def step_direction(now: Column, before: Column, dead: float = 1.0) -> Column:

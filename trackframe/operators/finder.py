@@ -120,10 +120,10 @@ def correct_skew(members: DataFrame, nodes: DataFrame) -> DataFrame:
     both = own.join(marks, [*TRACK, "pos"], "left").withColumns({
         "before": F.last("level", True).over(along.rowsBetween(Window.unboundedPreceding, -1)), "after": F.first("level", True).over(along.rowsBetween(1, Window.unboundedFollowing)),
     })
-    x, y, z = G.clamped_to_tube(C("before.lx"), C("before.ly"), C("after.lx"), C("after.ly"), "")
+    both = G.with_clamped(both, C("before.lx"), C("before.ly"), C("after.lx"), C("after.ly"), "")
     usable = (C("node_type") == 2) & C("before").isNotNull() & C("after").isNotNull() & (F.abs(C("before.layer") - C("after.layer")) >= 2)
     return both.select(
-        *TRACK, "pos", "det_id", F.when(usable, x).otherwise(C("x")).alias("cx"), F.when(usable, y).otherwise(C("y")).alias("cy"), F.when(usable, z).otherwise(0.0).alias("cz")
+        *TRACK, "pos", "det_id", F.when(usable, C("cx")).otherwise(C("x")).alias("cx"), F.when(usable, C("cy")).otherwise(C("y")).alias("cy"), F.when(usable, C("cz")).otherwise(0.0).alias("cz")
     )
 
 

@@ -248,8 +248,8 @@ def line_tube_strict(v):
 
 @query(f"SELECT event_id, reco_id, pos, round(CASE WHEN NOT ({OFF}) THEN ix WHEN sqrt((ix - x3) ** 2 + (iy - y3) ** 2) < sqrt((ix - x4) ** 2 + (iy - y4) ** 2) THEN x3 ELSE x4 END, 3) AS cx, round(CASE WHEN NOT ({OFF}) THEN iy WHEN sqrt((ix - x3) ** 2 + (iy - y3) ** 2) < sqrt((ix - x4) ** 2 + (iy - y4) ** 2) THEN y3 ELSE y4 END, 3) AS cy FROM lines WHERE {MEET}", "f_reco f_nodes", {"pts": POINTS, "lines": LINES})
 def line_tube_clamp(v):
-    x, y, _ = G.clamped_to_tube(C("ax"), C("ay"), C("cx"), C("cy"), "")
-    return _lines(v).select("event_id", "reco_id", "pos", F.round(x, 3).alias("cx"), F.round(y, 3).alias("cy"))
+    rows = _lines(v).withColumnsRenamed({"cx": "bx", "cy": "by"})
+    return G.with_clamped(rows, C("ax"), C("ay"), C("bx"), C("by"), "").select("event_id", "reco_id", "pos", F.round("cx", 3).alias("cx"), F.round("cy", 3).alias("cy"))
 
 
 @query("SELECT event_id, reco_id, pos, CASE WHEN x - ax > 1 THEN 1 WHEN x - ax < -1 THEN -1 ELSE 0 END AS dir_x, CASE WHEN y - ay > 1 THEN 1 WHEN y - ay < -1 THEN -1 ELSE 0 END AS dir_y FROM (SELECT event_id, reco_id, pos, round(x, 6) AS x, round(y, 6) AS y, round(ax, 6) AS ax, round(ay, 6) AS ay FROM pts) WHERE ax IS NOT NULL", "f_reco f_nodes", {"pts": POINTS})
