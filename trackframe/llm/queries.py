@@ -23,7 +23,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return arc_to_warc.through_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    found = arc_to_warc.through_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

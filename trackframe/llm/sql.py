@@ -1,7 +1,30 @@
-"""SQL for the queries of this folder that SQL can express on whole tables."""
+"""SQL for the queries of this folder that SQL can express on whole tables.
+
+Fingerprints, tokenizers, BM25, run hashes and regular expressions with
+spans have no counterpart there; tests hold those queries against brute force.
+"""
 
 from __future__ import annotations
 
+OP2_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id < page_id THEN first_id END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+"""
+
+OP5_CHAT = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(sha256(coalesce(role, chr(1)) || chr(2) || coalesce(text, chr(1))), '' ORDER BY turn, role, text) AS prints,
+  string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
+  FROM t GROUP BY conv_id),
+k AS (SELECT DISTINCT substr(prints, 1, 64 * g.k::BIGINT) AS prefix FROM c, range(1, 401) g(k) WHERE g.k < n_turns)
+SELECT conv_id, n_turns, rendered FROM (SELECT *, row_number() OVER (PARTITION BY prints ORDER BY conv_id) AS copy FROM c)
+WHERE copy = 1 AND prints NOT IN (SELECT prefix FROM k)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": OP2_WARC, "op5_chat": OP5_CHAT}
