@@ -335,29 +335,52 @@ def reconstruct_z(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.select(*TRACK, "det_id", F.coalesce(F.when(C("total") > 0, z), C("z")).alias("z"), "scatter")
 
 
-def connect(found: DataFrame, seeds: DataFrame, nodes: DataFrame, most_neighbours: int = 5, least: int = 2, steps: int = 200) -> DataFrame:
+def connect(found: DataFrame, seeds: DataFrame, nodes: DataFrame, most_neighbours: int = 5, least: int = 2, steps: int = 200, sequential: bool = False) -> DataFrame:
     """Grows tracklets from seeds along unambiguous neighbours: members (event_id, track_id, pos, det_id).
 
     Seeds are nodes with one neighbour or at a layer limit, in seed order; a
     seed with more than ``most_neighbours`` neighbours ends the seeds of its
-    event.  All tracklets advance together: the nodes last taken look at their
-    free neighbours in the tracklet's direction (up where there are any, else
-    down, else in the same layer); one is taken, up to four are if they hang
-    together, else the tracklet stops.  A node that two want goes to the
-    earlier seed, and the other one stops.  The track is named by its seed.
+    event.  The nodes last taken look at their free neighbours in the
+    tracklet's direction (up where there are any, else down, else in the same
+    layer); one is taken, up to four are if they hang together, else the
+    tracklet stops.  The track is named by its seed.
+
+    All tracklets advance together; a node that two want goes to the earlier
+    seed, and the other one stops.  ``sequential`` instead grows one seed of
+    each event to its end before the next one starts (all events at a time):
+    more rounds, but a tracklet never meets another that is still growing.
     """
-    real = found.filter(C("dst_type") != VIRTUAL)
     layer = nodes.select("det_id", "layer", "layer_limit")
     order = seeds.join(layer.select("det_id", "layer_limit"), "det_id")
     stop = F.min(F.when(C("degree") > most_neighbours, C("place"))).over(Window.partitionBy("event_id"))
     start = order.withColumn("stop", stop).filter("(stop IS NULL OR place < stop) AND (degree = 1 OR layer_limit)")
     start = stored(start.select("event_id", C("det_id").alias("track_id"), "place", "det_id", F.lit(0).alias("step"), F.lit(0).alias("way")), "seeds")
-    edges = stored(real.join(layer.select(C("det_id").alias("src"), C("layer").alias("src_layer")), "src").select("event_id", "src", "dst", F.when(C("dst_layer") > C("src_layer"), UP).when(C("dst_layer") < C("src_layer"), DOWN).otherwise(SAME).alias("kind")), "edges")
-    taken, front = start, start
+    real = found.filter(C("dst_type") != VIRTUAL).join(layer.select(C("det_id").alias("src"), C("layer").alias("src_layer")), "src")
+    edges = stored(real.select("event_id", "src", "dst", F.when(C("dst_layer") > C("src_layer"), UP).when(C("dst_layer") < C("src_layer"), DOWN).otherwise(SAME).alias("kind")), "edges")
+    if not sequential:
+        taken = _grow(start, start, edges, most_neighbours, steps)
+    else:
+        taken = start.limit(0)
+        while True:
+            left = start.join(taken.select("event_id", "det_id"), ["event_id", "det_id"], "left_anti")
+            tried = left.join(taken.select(*TRACK).distinct(), TRACK, "left_anti")
+            now = stored(tried.withColumn("first", F.min("place").over(Window.partitionBy("event_id"))).filter("place = first").select(start.columns), "seed")
+            if now.isEmpty():
+                break
+            taken = _grow(now, stored(taken.unionByName(now), "taken"), edges, most_neighbours, steps)
+    # A seed that another tracklet took over before it grew is that one's node.
+    once = Window.partitionBy("event_id", "det_id").orderBy("step", "place")
+    own = taken.withColumn("copy", F.row_number().over(once)).filter("copy = 1")
+    pos = F.row_number().over(Window.partitionBy(*TRACK).orderBy("step", "det_id")).cast("long")
+    return drop_short(own.select(*TRACK, pos.alias("pos"), "det_id"), nodes, least)
+
+
+def _grow(front: DataFrame, taken: DataFrame, edges: DataFrame, most_neighbours: int, steps: int) -> DataFrame:
+    """All taken nodes after the tracklets of ``front`` have grown as far as they can."""
+    per = Window.partitionBy(*TRACK)
     for step in range(1, steps + 1):
         near = front.select("event_id", "track_id", "place", "way", C("det_id").alias("src")).join(edges, ["event_id", "src"])
         near = near.join(taken.select("event_id", C("det_id").alias("dst")), ["event_id", "dst"], "left_anti").select("event_id", "track_id", "place", "way", "dst", "kind").distinct()
-        per = Window.partitionBy(*TRACK)
         kinds = near.withColumns({"ups": F.count(F.when(C("kind") == UP, 1)).over(per), "downs": F.count(F.when(C("kind") == DOWN, 1)).over(per)})
         onward = F.when((C("way") != DOWN) & (C("ups") > 0), UP).when((C("way") != UP) & (C("downs") > 0), DOWN).otherwise(SAME)
         want = kinds.withColumn("onward", onward).filter("kind = onward")
@@ -366,16 +389,12 @@ def connect(found: DataFrame, seeds: DataFrame, nodes: DataFrame, most_neighbour
         if want.isEmpty():
             break
         several = want.filter("n > 1").select("event_id", "track_id", "det_id")
-        loose = all_adjacent(several, found.select("src", "dst").distinct(), TRACK).filter("NOT adjacent").select(*TRACK)
+        loose = all_adjacent(several, edges.select("src", "dst").distinct(), TRACK).filter("NOT adjacent").select(*TRACK)
         claim = want.join(loose, TRACK, "left_anti").withColumn("first", F.min("place").over(Window.partitionBy("event_id", "det_id")))
         lost = claim.filter("place > first").select(*TRACK).distinct()
         front = stored(claim.join(lost, TRACK, "left_anti").select("event_id", "track_id", "place", "det_id", F.lit(step).alias("step"), "way"), "front")
         taken = stored(taken.unionByName(front), "taken")
-    # A seed that another tracklet took over before it grew is that one's node.
-    once = Window.partitionBy("event_id", "det_id").orderBy("step", "place")
-    own = taken.withColumn("copy", F.row_number().over(once)).filter("copy = 1")
-    pos = F.row_number().over(Window.partitionBy(*TRACK).orderBy("step", "det_id")).cast("long")
-    return drop_short(own.select(*TRACK, pos.alias("pos"), "det_id"), nodes, least)
+    return taken
 
 
 def fit_phase(members: DataFrame, found: DataFrame, nodes: DataFrame, steps: int = 50) -> DataFrame:
