@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def stored(df: DataFrame, name: str = "") -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, which cuts its lineage.
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` computed once, written to the shared checkpoint folder and read again, which cuts its lineage.
 
-    The folder is that of ``spark.checkpoint.dir``; where none is set (a local
-    session), a temporary one is.
+    The folder is that of ``spark.checkpoint.dir``; where neither it nor a
+    checkpoint directory is set (a local session), a temporary one is set.  A
+    written table is computed once, where ``checkpoint()`` would compute it
+    twice, and its files survive lost executors.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="trackframe-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trackframe-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/trackframe/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -393,7 +393,7 @@ def _grow(front: DataFrame, taken: DataFrame, edges: DataFrame, most_neighbours:
         claim = want.join(loose, TRACK, "left_anti").withColumn("first", F.min("place").over(Window.partitionBy("event_id", "det_id")))
         lost = claim.filter("place > first").select(*TRACK).distinct()
         front = stored(claim.join(lost, TRACK, "left_anti").select("event_id", "track_id", "place", "det_id", F.lit(step).alias("step"), "way"), "front")
-        taken = stored(taken.unionByName(front), "taken")
+        taken = taken.unionByName(front)  # tables as stored; none is written again
     return taken
 
 
@@ -415,6 +415,6 @@ def fit_phase(members: DataFrame, found: DataFrame, nodes: DataFrame, steps: int
         new = stored(best.join(last, TRACK).select(*TRACK, (C("last") + 1).alias("pos"), "det_id"), "extended")
         if new.isEmpty():
             break
-        members = stored(members.unionByName(new), "members")
+        members = members.unionByName(new)
         open_ = new.select(*TRACK)
     return members
