@@ -256,7 +256,7 @@ def merge_tracks(members: DataFrame, links: DataFrame) -> DataFrame:
     track that is entered by its head is reversed.  A node counts once, where
     it comes first.
     """
-    tracks = stored(members.select(*TRACK).distinct(), "tracks")
+    tracks, links = stored(members.select(*TRACK).distinct(), "tracks"), stored(links, "links")
     ids = stored(merged_ids(tracks, links), "merged")
     ends = tracks.withColumn("end", F.explode(F.array(F.lit("head"), F.lit("tail"))))
     free = ends.join(links.select("event_id", C("track_a").alias("track_id"), C("end_a").alias("end")), [*TRACK, "end"], "left_anti")
