@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackframe.functions.shared import stored
+
 C = F.col
 
 
@@ -78,6 +80,8 @@ def newton_circle(m: DataFrame, by: list[str], kind: str = "hyper") -> DataFrame
         "p0": F.expr("mxz * (mxz * myy - myz * mxy) + myz * (myz * mxx - mxz * mxy) - var * cov"),
         "p1": F.expr("var * mz + 4 * cov * mz - mxz * mxz - myz * myz"), "p2": F.expr(second), "p3": F.expr(third), "p4": F.expr(fourth),
     })
+    # Stored, as the planner would else write the coefficients out within every step of the fold.
+    m = stored(m, "moments")
     value = "p0 + {0} * (p1 + {0} * (p2 + {0} * (p3 + {0} * p4)))"
     slope = "(p1 + s.x * (2 * p2 + s.x * (3 * p3 + s.x * 4 * p4)))"
     # A step is taken if the polynomial is nearer to zero there; else the fold is done.
