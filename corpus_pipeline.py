@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackframe.llm import bm25_decontaminate, line_quality, mixing, simhash_planes, token_planes
+from trackframe.llm import bm25_decontaminate, line_quality, mixing, similar_shingles, token_planes
 from trackframe.llm.queries import tokenizer_path
 from trackframe.llm.storage import new_path, stored
 
@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
-    return simhash_planes.keep_one(docs)
+    """One document of each component of texts with similar 5-word shingles."""
+    return similar_shingles.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ STAGES = [
     ("token_ids", token_ids),
 ]
 
-#: Fingerprints, BM25 and a tokenizer are beyond SQL; tests hold the stages against brute force.
+#: Min-hashes, BM25 and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

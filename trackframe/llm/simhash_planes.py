@@ -11,7 +11,7 @@ rows all exceed the radius are given up early.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,11 +26,11 @@ from trackframe.llm.storage import partitions_for, row_hash, slices, stored
 BITS = 64
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """The fingerprint of one text, as an unsigned number; zero without a word."""
+def hashes(text: str | None, width: int = 4, seed: int = 42) -> Iterator[np.ndarray]:
+    """The XXH64 hashes of a text's word shingles, in parts of bounded length; none without a word."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
@@ -38,14 +38,25 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     count = max(1, len(words) - width + 1)
     ends = ends[width - 1 :] if len(words) >= width else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(BITS, np.int64)
     starts, ends = starts[:count].tolist(), ends.tolist()
     for at in range(0, count, 1 << 16):
-        part = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)])], np.uint64)
+        yield np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)])], np.uint64)
+
+
+def folded(parts: Iterator[np.ndarray]) -> int:
+    """The fingerprint of hashes, as an unsigned number; zero without any."""
+    ones, count = np.zeros(BITS, np.int64), 0
+    for part in parts:
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        count += len(part)
     return int(np.packbits(2 * ones > count, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """The fingerprint of one text, as an unsigned number; zero without a word."""
+    return folded(hashes(text, width, seed))
+
+
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     """documents -> (doc_id, row, fingerprint): row is a hash of the id and text, fingerprint a signed long."""
 
@@ -123,8 +134,11 @@ class Planes:
         return more
 
 
-def links_in_runs(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between rows with equal, adjacent keys, as two arrays of rows."""
+def links_in_runs(keys: np.ndarray, prints: np.ndarray, radius: int, same: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between rows with equal, adjacent keys, as two arrays of rows.
+
+    ``same`` has the last word on two rows within the radius, if given.
+    """
     n = len(prints)
     begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     lengths = np.diff(np.r_[begins, n])
@@ -146,7 +160,7 @@ def links_in_runs(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np
         new = root[a] != root[a + d]
         for i in a[new].tolist():
             p, q = top(i), top(i + d)
-            if p != q:
+            if p != q and (same is None or same(i, i + d)):
                 root[max(p, q)] = min(p, q)
                 found_a.append(i)
                 found_b.append(i + d)
@@ -241,7 +255,11 @@ def keep_one(docs: DataFrame, width: int = 4, radius: int = 4, blocks: int = 6,
     a null doc_id stays only where a component has no other.
     """
     marked = _marked(docs, width, radius, blocks, most)
-    chosen = marked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m"))
+    return chosen_rows(docs, marked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m")))
+
+
+def chosen_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and row hash are in column m, a struct, of ``chosen``; of repeated rows one."""
     chosen = chosen.select(F.col("m.doc_id").alias("_id"), F.col("m.row").alias("_row"))
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.col("doc_id").alias("id"), row_hash(docs, ["doc_id", "text"]).alias("row"))
     kept = own.join(chosen, (own.row == chosen._row) & own.id.eqNullSafe(chosen._id), "left_semi")
