@@ -54,7 +54,7 @@ def runs(text: str, least: int, words: int) -> list[tuple[int, int, bytes]]:
     return [(a, b, xxhash.xxh3_128_digest(b"".join(hashes[a:b]))) for a, b in spans]
 
 
-def repeated_runs(docs: DataFrame, least: int = 2, words: int = 24) -> DataFrame:
+def repeated_runs(docs: DataFrame, least: int = 2, words: int = 4) -> DataFrame:
     """documents -> (doc_id, row, first, after): the runs of sentences that occur at an earlier place too.
 
     ``row`` is a hash of id and text; repeated rows are one document.  Places
@@ -104,7 +104,7 @@ def repeated_runs(docs: DataFrame, least: int = 2, words: int = 24) -> DataFrame
     return marked.select("doc_id", "row", "first", "after")
 
 
-def removals(docs: DataFrame, least: int = 2, words: int = 24) -> DataFrame:
+def removals(docs: DataFrame, least: int = 2, words: int = 4) -> DataFrame:
     """documents -> (doc_id, row, runs): for each document with repeated runs, an array of (first, after)."""
     found = repeated_runs(docs, least, words)
     return found.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("first", "after"))).alias("runs"))
@@ -137,7 +137,7 @@ def cut(text: str | None, found: list[tuple[int, int]]) -> tuple[str | None, int
     return "".join(out), len(places), int(gone.sum()), removed
 
 
-def deduplicate(docs: DataFrame, least: int = 2, words: int = 24) -> DataFrame:
+def deduplicate(docs: DataFrame, least: int = 2, words: int = 4) -> DataFrame:
     """documents -> (doc_id, n_sentences, n_removed, removed, text), a row for each row of ``docs``.
 
     A sentence is removed if a run that covers it, of at least ``least``
