@@ -8,7 +8,8 @@ largest impact.  Every passage of every training document is a query; a
 document-at-a-time WAND with block maxima returns all pieces above the
 threshold.  The items so found are verified on the whole document: enough of
 the words of both question and answer must lie in word shingles that the
-document holds.
+document holds.  A short answer counts near the question; an item without a
+question mark is judged as a whole.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ class Settings:
     piece: int = 32  # longest piece of an item
     passage: int = 64  # a passage; the next one starts half as many words on
     shingle: int = 5
-    overlap: float = 0.8  # of the words of the question, and of the answer
+    overlap: float = 0.8  # of the words of the question, and of the answer; of the whole item without a question mark
     block: int = 64  # postings a block
     shard_bytes: int = 8 << 20  # item text that one broadcast index may hold
 
@@ -52,15 +53,34 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def question_end(text: str) -> int:
+    """The place after the last question mark that words follow; -1 without one."""
+    at = text.rfind("?")
+    return at + 1 if at >= 0 and words_of(text[at:]) else -1
+
+
 def split_item(text: str | None) -> tuple[list[str], list[str]]:
     """Question and answer of an item: up to its last question mark and what follows, or all sentences and the last."""
     text = (text or "").strip()
-    at = text.rfind("?")
-    if at < 0 or not words_of(text[at:]):
+    at = question_end(text)
+    if at < 0:
         ends = [m.end() for m in re.finditer(r"[.!?]+\s", text)]
         at = ends[-1] if ends else len(text)
-        return words_of(text[:at]), words_of(text[at:])
-    return words_of(text[: at + 1]), words_of(text[at + 1 :])
+    return words_of(text[:at]), words_of(text[at:])
+
+
+def shingles_of(words: list[str], m: int) -> Iterator[tuple[str, ...]]:
+    """Every run of m words, in order."""
+    return zip(*(words[k:] for k in range(m)))
+
+
+def covered(own: list[str], held: set[tuple[str, ...]], m: int) -> np.ndarray:
+    """The words of ``own`` that lie in shingles of m words that are held."""
+    out = np.zeros(len(own), bool)
+    for k, shingle in enumerate(shingles_of(own, m)):
+        if shingle in held:
+            out[k : k + m] = True
+    return out
 
 
 def pairs_of(words: list[str]) -> list[str]:
@@ -80,6 +100,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], frequency: dict[str, int], n_pieces: int, mean: float, settings: Settings):
         self.settings, self.items = settings, [(i, *split_item(t)) for i, t in items]
+        self.asked = [question_end((t or "").strip()) >= 0 for _, t in items]
         self.owner: list[int] = []
         found: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for at, (_, question, answer) in enumerate(self.items):
@@ -177,24 +198,50 @@ class Index:
                     found[item] = max(found.get(item, 0.0), score)
         return found
 
+    def _answered(self, words: list[str], question: list[str], answer: list[str]) -> float:
+        """1 if the document holds the short answer at most a passage away from a shingle of the question, else 0."""
+        m, n = min(self.settings.shingle, len(question)), len(answer)
+        own = set(shingles_of(question, m))
+        at = np.array([k for k, s in enumerate(shingles_of(words, m)) if s in own], np.int64)
+        said = np.array([k for k, s in enumerate(shingles_of(words, n)) if s == tuple(answer)], np.int64)
+        # Of the shingles, only the next on each side of an answer can be near enough; an answer within one is part of the question.
+        right = np.searchsorted(at, said + n)
+        left = np.searchsorted(at, said - m, "right") - 1
+        near = (right < len(at)) & (at[np.minimum(right, len(at) - 1)] - said - n <= self.settings.passage)
+        near |= (left >= 0) & (said - at[np.maximum(left, 0)] - m <= self.settings.passage)
+        inside = np.searchsorted(at, said, "right") - np.searchsorted(at, said + n - m, "left") > 0
+        return float((near & ~inside).any())
+
     def verified(self, words: list[str]) -> list[tuple[int, float, float, float]]:
-        """(item_id, score, question overlap, answer overlap) of the candidates of a document."""
+        """(item_id, score, question overlap, answer overlap) of the candidates that a document holds."""
         found = self.candidates(words)
-        if not found:
-            return []
-        n = self.settings.shingle
-        held = {m: set(zip(*(words[k:] for k in range(m)))) for m in {min(n, len(q) + len(a)) for _, q, a in map(self.items.__getitem__, found)}}
+        least = self.settings.overlap
+        held: dict[int, set[tuple[str, ...]]] = {}
+
+        def share(own: list[str], m: int) -> np.ndarray:
+            if m not in held:
+                held[m] = set(shingles_of(words, m))
+            return covered(own, held[m], m)
+
         out = []
         for at, score in found.items():
             name, question, answer = self.items[at]
-            own = question + answer
-            m = min(n, len(own))
-            covered = np.zeros(len(own), bool)
-            for k in range(len(own) - m + 1):
-                if tuple(own[k : k + m]) in held[m]:
-                    covered[k : k + m] = True
-            q, a = covered[: len(question)], covered[len(question) :]
-            out.append((name, score, float(q.mean()) if len(q) else 1.0, float(a.mean()) if len(a) else 1.0))
+            n = self.settings.shingle
+            whole = share(question + answer, min(n, len(question) + len(answer)))
+            parts = whole[: len(question)], whole[len(question) :]
+            q, a = (float(x.mean()) if len(x) else 1.0 for x in parts)
+            leak = min(q, a) >= least
+            if not leak and not self.asked[at]:
+                leak = float(whole.mean()) >= least
+            elif not leak and question and answer:
+                # Each by itself as well, as other words may lie between.
+                if len(question) < n:
+                    q = max(q, float(share(question, len(question)).mean()))
+                if len(answer) < n and q >= least:
+                    a = max(a, self._answered(words, question, answer))
+                leak = min(q, a) >= least
+            if leak:
+                out.append((name, score, q, a))
         return out
 
 
@@ -257,9 +304,8 @@ def leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) ->
                 at, found = [], []
                 for k, text in enumerate(batch.column(2).to_pylist()):
                     for hit in index.verified(words_of(text)):
-                        if min(hit[2:]) >= settings.overlap:
-                            at.append(k)
-                            found.append(hit)
+                        at.append(k)
+                        found.append(hit)
                 if at:
                     kept = batch.select(["doc_id", "row"]).take(pa.array(at))
                     ids, scores, questions, answers = zip(*found)
@@ -284,7 +330,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settin
         def free(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for some in slices(batches):
-                kept = [not any(min(hit[2:]) >= settings.overlap for hit in index.verified(words_of(t))) for t in some.column(at).to_pylist()]
+                kept = [not index.verified(words_of(t)) for t in some.column(at).to_pylist()]
                 yield some.filter(pa.array(kept, pa.bool_()))
 
         docs = docs.mapInArrow(free, docs.schema)
