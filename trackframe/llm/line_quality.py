@@ -26,7 +26,7 @@ _BOILERPLATE = re.compile(
 #: What a lower-cased text holds if a rule's pattern can match in it; texts without any of it are not searched.
 _HINTS = {
     "marks": ("!!", "??", "!?", "?!", "....", "……"),
-    "code": ("{", "}", "<", "function", "var "),
+    "code": ("{", "}", "<", "function", "var"),
     "menu": ("|", "›", "»", "·", "/", ">"),
     "boilerplate": ("rights reserved", "copyright", "©", "terms of", "policy", "cookies", "licensed under", "released under", "subscribe to", "sign up", "click here", "javascript", "lorem", "powered by"),
 }
