@@ -140,7 +140,10 @@ def test_token_planes_round_trip(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    rows = sorted(corpus(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    rows = sorted(corpus(), key=lambda r: (r[0] is not None, r[0] or 0))  # those with equal ids have texts of equal ids here or are settled below
+    nulls = [r for r in rows if r[0] is None]
+    tie = {r.text: r.t for r in docs.filter("doc_id IS NULL").selectExpr("text", "xxhash64(doc_id, text) AS t").collect()}
+    rows = sorted(nulls, key=lambda r: tie[r[1]]) + rows[len(nulls) :]
     start, want, whole = 0, [], []
     for r in rows:
         ids = t.encode(r[1] or "", add_special_tokens=False).ids + [2]
@@ -156,6 +159,23 @@ def test_token_planes_round_trip(spark, docs, tmp_path):
         assert sorted((tuple(r) for r in token_planes.read_ids(spark, path).collect()), key=lambda r: (key(r[:1]), r[1])) == sorted(whole, key=lambda r: (key(r[:1]), r[1]))
 
 
+def test_token_encoder_of_other_vocabularies(tmp_path):
+    """Tokenizers that cut texts otherwise get them whole."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    cased = Tokenizer(models.WordLevel({"[UNK]": 0, "Paris": 5, "is": 6, "is.": 7, "paris": 8, ".": 9}, unk_token="[UNK]"))
+    cased.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    cased.save(str(tmp_path / "cased.json"))
+    import public_tokenizers
+
+    texts = ["Paris is.", "Paris is. Paris", "", " it's 12.5 A", "İ <|endoftext|>"]
+    for path in (str(tmp_path / "cased.json"), public_tokenizers.path("byte_bpe_50k.json")):
+        t, e = Tokenizer.from_file(path), token_planes.WordEncoder(path)
+        assert not e.fast and [g.tolist() for g in e.encode(pa.array(texts))] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert token_planes.WordEncoder(queries.tokenizer_path()).fast
+
+
 def test_token_encoder_is_the_tokenizer():
     import pyarrow as pa
     from tokenizers import Tokenizer
@@ -345,63 +365,84 @@ def test_wand_finds_what_full_scores_find():
         assert {r: round(x, 9) for r, x in index.search(terms)} == want
 
 
-def slow_mix(rows, mix):
-    """The mixture's uses by plain loops: (doc_id, epoch, block)."""
+def size_of(text):
+    return max(1, -(-len((text or "").encode()) // 4))
+
+
+def slow_mix(rows, mix, shares, tie):
+    """The uses of a mixture by plain loops over the input: (doc_id, source, epoch, block) with their number.
+
+    The quotas are given, and the row hashes by (id, text, source) that settle the order of equal ids.
+    """
     once = list(dict.fromkeys((r[0], r[1], r[3]) for r in rows))
-    size = lambda t: max(1, -(-len((t or "").encode()) // 4))
-    total = Counter()
-    for d, t, s in once:
-        total[s] += size(t)
-    return once, size, total
+    uses = Counter()
+    for source in {s for _, _, s in once}:
+        own = [(d, t) for d, t, s in once if s == source]
+        r = shares["none" if source is None else f"s:{source}"]
+        at, epoch = 0, 0
+        while at < r.quota:
+            hashed = [(hashlib.md5(f"{mix.seed}|{epoch}|{'null' if d is None else d}".encode()).hexdigest(), tie[d, t, source], size_of(t), d) for d, t in own]
+            for _, _, n, d in sorted(hashed, key=lambda x: x[:2]):
+                if at < r.quota:
+                    uses[d, source, epoch, min(int(at / r.quota * r.n_blocks), r.n_blocks - 1)] += 1
+                at += n
+            epoch += 1
+    return uses
 
 
 def test_mixing(spark, docs):
-    from pyspark.sql import functions as F
-
     mix = mixing.Mix(block_tokens=500, digits=1)
-    once, size, _ = slow_mix(corpus(), mix)
-    all_total = Counter()
-    for r in corpus():
-        all_total["none" if r[3] is None else f"s:{r[3]}"] += size(r[1])
-    shares = {s: n / sum(all_total.values()) for s, n in all_total.items()}
+    once = list(dict.fromkeys((r[0], r[1], r[3]) for r in corpus()))
+    total = Counter()
+    for _, t, s in once:
+        total["none" if s is None else f"s:{s}"] += size_of(t)
+    shares = {s: n / sum(total.values()) for s, n in total.items()}
     rows = {r.mixed_source: r for r in mixing.quotas(docs, mix).collect()}
+    assert {s: r.tokens for s, r in rows.items()} == total
     a = next(iter(rows.values())).exponent
     z = sum(p**a for p in shares.values())
     entropy = -sum(p**a / z * np.log(p**a / z) for p in shares.values())
-    repeats = [rows[s].quota / all_total[s] for s in rows]
+    repeats = [rows[s].quota / total[s] for s in rows]
     assert all(abs(rows[s].weight - shares[s] ** a / z) < 1e-8 for s in rows) and min(repeats) >= 1
     assert entropy >= 0.97 * np.log(len(shares)) - 1e-6 or abs(max(repeats) - mix.repetitions) < 0.05
-    used = mixing.blocks(docs, mix).withColumn("mixed_source", F.coalesce(F.concat(F.lit("s:"), "source"), F.lit("none"))).collect()
-    by = {}
-    for u in used:
-        by.setdefault(u.mixed_source, []).append(u)
-    for s, own in by.items():
-        total = {(u.doc_id, u.row): u.tokens for u in own}
-        n = sum(total.values())
-        epochs = Counter(u.epoch for u in own)
-        last = max(epochs)
-        assert all(epochs[e] == len(total) for e in range(last))
-        key = lambda u: (hashlib.md5(f"{mix.seed}|{u.epoch}|{'null' if u.doc_id is None else u.doc_id}".encode()).hexdigest(), u.doc_id is not None, u.doc_id or 0, u.row)
-        before, whole = 0, rows[s].tokens
-        for u in sorted(own, key=lambda u: (u.epoch, key(u))):
-            at = u.epoch * whole + before
-            assert at < rows[s].quota
-            assert u.block == min(int(at / rows[s].quota * rows[s].n_blocks), rows[s].n_blocks - 1)
-            before = 0 if (before + u.tokens) >= n and u.epoch < last else before + u.tokens
+    tie = {(r.doc_id, r.text, r.source): r.t for r in docs.selectExpr("doc_id", "text", "source", "xxhash64(doc_id, text, source) AS t").collect()}
+    want = slow_mix(corpus(), mix, rows, tie)
+    for most_sent in (mixing.MOST_SENT, 0):  # 0: joined by shuffles, with hot sources salted
+        used = mixing.blocks(clashing(docs, "key", "row", "tokens", "epoch", "_hot", "_salt"), mix, most_sent).collect()
+        assert Counter((u.doc_id, u.source, u.epoch, u.block) for u in used) == want
     order = mixing.order(mixing.blocks(docs, mix)).collect()
     for block in {u.block for u in order}:
         assert sorted(u.slot for u in order if u.block == block) == list(range(sum(u.block == block for u in order)))
-    copies = mixing.mixed(clashing(docs, "_uses", "_row", "_whole"), mix)
+    copies = mixing.mixed(clashing(docs, "_uses", "_row", "_whole", "_name"), mix)
     assert Counter(r.doc_id for r in copies.collect()) == Counter(u.doc_id for u in used)
     assert copies.columns[: len(docs.columns)] == docs.columns
 
 
+def test_blocks_hold_the_weights_of_repeated_rows(spark):
+    """Rows that the input repeats count once everywhere, so every block holds both sources alike."""
+    rows = [(k, f"{k:04d}" * 100, "a") for k in range(100)] * 3 + [(1000 + k, f"{k:04d}" * 100, "b") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    mix = mixing.Mix(entropy=1.0, repetitions=None, block_tokens=6000)
+    used = mixing.blocks(docs, mix).collect()
+    per = Counter((u.block, u.source) for u in used)
+    blocks = {u.block for u in used}
+    assert len(blocks) == 10 and all(abs(per[b, "a"] - 30) <= 1 and abs(per[b, "b"] - 30) <= 1 for b in blocks)
+    # A mixed table, laid out anew, has the same blocks.
+    copies = mixing.mixed(docs, mix)
+    again = mixing.arranged(clashing(copies, "key", "bucket", "quota"), mix).collect()
+    assert Counter((u.doc_id, u.epoch, u.block) for u in again) == Counter((u.doc_id, u.epoch, u.block) for u in used)
+    placed = mixing.texts_in_order(copies, mix).collect()
+    assert Counter((r.doc_id, r.block, r.slot) for r in placed) == Counter((u.doc_id, u.block, u.slot) for u in again)
+    assert all(r.text == rows[r.doc_id][1] if r.doc_id < 1000 else f"{r.doc_id - 1000:04d}" * 100 for r in placed)
+
+
 def test_mixing_limits(spark):
     docs = spark.createDataFrame([(k, "x" * 400, "big" if k < 90 else f"s{k}") for k in range(100)], "doc_id long, text string, source string")
     totals = mixing.source_totals(docs)
     loose = mixing.exponent_for(totals, mixing.Mix(entropy=0.9, repetitions=None))
     tight = mixing.exponent_for(totals, mixing.Mix(entropy=0.9, repetitions=2.0))
-    assert 0 < loose < tight < 1 and abs(mixing._state(totals, tight)[1] - 2.0) < 1e-4
+    assert 0 < loose < tight < 1 and abs(mixing.states(totals, [tight])[tight][1] - 2.0) < 1e-4
+    assert abs(mixing.states(totals, [loose])[loose][0] / np.log(11) - 0.9) < 1e-5
     assert mixing.exponent_for(totals, mixing.Mix(entropy=0.1, repetitions=None)) == 1.0
     budget = mixing.Mix(entropy=1.0, repetitions=None, budget=1100)
     used = mixing.blocks(docs, budget)
@@ -417,7 +458,7 @@ def test_empty_tables(spark):
     assert secret_index.scan(docs).count() == substring_dedup.deduplicate(docs).count() == 0
     assert bm25_decontaminate.leaks(docs, items).count() == bm25_decontaminate.leaks(docs, full).count() == 0
     assert bm25_decontaminate.without_leaks(docs, full).count() == 0
-    assert mixing.order(mixing.blocks(docs)).count() == mixing.mixed(docs).count() == 0
+    assert mixing.order(mixing.blocks(docs)).count() == mixing.mixed(docs).count() == mixing.texts_in_order(docs).count() == 0
 
 
 def test_empty_files(spark, tmp_path):

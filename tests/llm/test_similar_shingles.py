@@ -28,28 +28,34 @@ def near_copies():
     return [(k, t) for k, t in enumerate(texts)] + [(8, texts[8]), (None, texts[9])]
 
 
-@pytest.mark.parametrize("most", [3, 2048])
-def test_similar_texts_against_brute_force(spark, most):
-    rows = near_copies()
-    sets = [slow_set(t) for _, t in rows]
-    root = list(range(len(rows)))
+def slow_tops(texts):
+    """A number for each text that names its component of links at similarity 0.8."""
+    sets = [slow_set(t) for t in texts]
+    root = list(range(len(sets)))
 
     def top(k):
         while root[k] != k:
             k = root[k]
         return k
 
-    close = 0
-    for i in range(len(rows)):
+    for i in range(len(sets)):
         for j in range(i):
-            s = len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) if sets[i] or sets[j] else 1
-            close += 0.8 <= s < 0.9
-            if s >= 0.8:
+            x, y = sorted((len(sets[i]), len(sets[j])))
+            if x >= 0.8 * y and (not y or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
                 root[top(i)] = top(j)
-    assert close > 15
+    return [top(k) for k in range(len(sets))]
+
+
+@pytest.mark.parametrize("most", [3, 2048])
+def test_similar_texts_against_brute_force(spark, most):
+    rows = near_copies()
+    sets = [slow_set(t) for _, t in rows]
+    near = [len(a & b) / max(1, len(a | b)) for k, a in enumerate(sets) for b in sets[:k]]
+    assert sum(0.8 <= x < 0.9 for x in near) > 15
+    tops = slow_tops([t for _, t in rows])
     least = {}
     for k, (i, _) in enumerate(rows):
-        least[top(k)] = min((i is None, i or 0), least.get(top(k), (True, 0)))
+        least[tops[k]] = min((i is None, i or 0), least.get(tops[k], (True, 0)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((r.doc_id is None, r.doc_id or 0) for r in similar_shingles.keep_one(docs, most).collect())
     assert got == sorted(least.values())

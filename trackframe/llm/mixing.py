@@ -1,7 +1,7 @@
 """Temperature mixing of sources to target weights, in DataFrame operations alone.
 
 Every source's share of tokens is raised to an exponent and normalised.  The
-exponent is found by bisection: the entropy of the weights must meet a target,
+exponent is found by bisection into many sections at a time: the entropy of the weights must meet a target,
 and no source may be repeated more often than a limit.  The weights are
 realised on documents: each source is a sequence of permutations of its
 documents (one an epoch), cut where its quota of tokens is reached and laid
@@ -16,10 +16,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackframe.llm.storage import fresh, row_hash, stored
+from trackframe.llm.storage import fresh, row_hash, salted_join, stored
 
-
-#: Rows of the table of sources and epochs that may be broadcast.
+#: Rows of a table of sources that may be broadcast.
 MOST_SENT = 100_000
 
 
@@ -31,7 +30,8 @@ class Mix:
     repetitions: float | None = 4.0
     budget: int | None = None
     block_tokens: int = 1 << 18
-    steps: int = 24
+    rounds: int = 5  # of the search for the exponent,
+    sections: int = 32  # each of so many sections
     seed: int = 42
     digits: int = 3  # of the permutation's hash that name a bucket of prefix sums
 
@@ -45,71 +45,68 @@ def _source(column: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("s:"), F.col(column).cast("string")), F.lit("none"))
 
 
-def source_totals(docs: DataFrame) -> DataFrame:
-    """documents -> (mixed_source, tokens, share), a row for each source; null is a source of its own."""
-    own = docs.select(_source().alias("mixed_source"), token_estimate(F.col("text")).alias("tokens"))
-    totals = stored(own.groupBy("mixed_source").agg(F.sum("tokens").alias("tokens")), "totals")
+def distinct_rows(docs: DataFrame) -> DataFrame:
+    """documents -> (doc_id, source, row, mixed_source, tokens): equal rows (doc_id, text and source) are one document."""
+    own = docs.select("doc_id", "source", row_hash(docs, ["doc_id", "text", "source"]).alias("row"), _source().alias("mixed_source"), token_estimate(F.col("text")).alias("tokens"))
+    return own.dropDuplicates(["doc_id", "row"])
+
+
+def _totals(rows: DataFrame) -> DataFrame:
+    totals = stored(rows.groupBy("mixed_source").agg(F.sum("tokens").alias("tokens")), "totals")
     whole = totals.agg(F.sum("tokens")).first()[0] or 1
     return totals.select("mixed_source", "tokens", (F.col("tokens").cast("double") / F.lit(whole)).alias("share"))
 
 
-def _state(totals: DataFrame, exponent: float) -> tuple[float, float]:
-    """Entropy of the weights at an exponent, and the most repetitions at the least budget that uses all documents."""
-    power = F.pow("share", F.lit(exponent))
-    z, plog, least, most = totals.agg(
-        F.sum(power), F.sum(power * F.log(power)), F.min(power / F.col("tokens")), F.max(power / F.col("tokens"))
-    ).first()
-    return math.log(z) - plog / z, most / least
+def source_totals(docs: DataFrame) -> DataFrame:
+    """documents -> (mixed_source, tokens, share), a row for each source; null is a source of its own, equal rows count once."""
+    return _totals(distinct_rows(docs))
 
 
-def _repetitions(totals: DataFrame, exponent: float, budget: int) -> float:
-    power = F.pow("share", F.lit(exponent))
-    z, most = totals.agg(F.sum(power), F.max(power / F.col("tokens"))).first()
-    return most / z * budget
+def states(totals: DataFrame, exponents: list[float], budget: int | None = None) -> dict[float, tuple[float, float]]:
+    """For each exponent the entropy of the weights, and the most repetitions at the budget (None: the least that uses all documents).
+
+    All exponents are summed up in one job; the sums are a row an exponent.
+    """
+    power = F.pow("share", F.col("a"))
+    every = totals.select("share", "tokens", F.explode(F.array(*map(F.lit, exponents))).alias("a"))
+    sums = every.groupBy("a").agg(F.sum(power).alias("z"), F.sum(power * F.log(power)).alias("plog"), F.min(power / F.col("tokens")).alias("least"), F.max(power / F.col("tokens")).alias("most"))
+    return {r.a: (math.log(r.z) - r.plog / r.z, r.most / r.least if budget is None else r.most / r.z * budget) for r in sums.collect()}
 
 
 def exponent_for(totals: DataFrame, mix: Mix) -> float:
     """The exponent between 0 and 1 that meets the entropy target, or a larger one that keeps the repetition limit.
 
     Shares as they are (exponent 1) already spread enough, or repetitions that
-    not even they keep, give 1.  Each step is a sum over one row a source.
+    not even they keep, give 1.  Entropy and repetitions fall as the exponent
+    grows, so a section search, of ``sections`` exponents a job, finds where
+    either crosses its limit.
     """
     sources = totals.count()
     if not sources:
         return 1.0
 
-    def bisect(holds) -> float:
-        """The largest exponent that holds, if smaller ones do."""
-        low, high = 0.0, 1.0
-        if holds(high):
-            return high
-        for _ in range(mix.steps):
-            middle = (low + high) / 2
-            low, high = (middle, high) if holds(middle) else (low, middle)
-        return low
-
-    flat = bisect(lambda a: _state(totals, a)[0] >= mix.entropy * math.log(sources)) if mix.entropy is not None and sources > 1 else 1.0
-    if mix.repetitions is None:
-        return flat
-
-    def repeated(a: float) -> float:
-        return _state(totals, a)[1] if mix.budget is None else _repetitions(totals, a, mix.budget)
-
-    if repeated(flat) <= mix.repetitions or flat >= 1.0:
+    def crossing(low: float, high: float, before) -> tuple[float, float]:
+        """The ends of the last section, where ``before`` holds at the lower and not at the higher one."""
+        for _ in range(mix.rounds):
+            points = [low + (high - low) * k / mix.sections for k in range(mix.sections + 1)]
+            found = states(totals, points[1:-1], mix.budget)
+            k = sum(before(found[p]) for p in points[1:-1])
+            low, high = points[k], points[k + 1]
+        return low, high
+
+    ends = states(totals, [0.0, 1.0], mix.budget)
+    flat = 1.0
+    if mix.entropy is not None and sources > 1:
+        target = mix.entropy * math.log(sources)
+        if ends[1.0][0] < target:
+            flat = crossing(0.0, 1.0, lambda s: s[0] >= target)[0]
+    if mix.repetitions is None or flat >= 1.0 or states(totals, [flat], mix.budget)[flat][1] <= mix.repetitions:
         return flat
-    low, high = flat, 1.0  # repetitions fall as the exponent grows
-    for _ in range(mix.steps):
-        middle = (low + high) / 2
-        low, high = (low, middle) if repeated(middle) <= mix.repetitions else (middle, high)
-    return high
+    return crossing(flat, 1.0, lambda s: s[1] > mix.repetitions)[1]
 
 
-def quotas(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """documents -> (mixed_source, tokens, share, exponent, weight, quota, n_blocks).
-
-    Weights are rounded to nine places, quotas are whole tokens.
-    """
-    totals = source_totals(docs)
+def _quotas(rows: DataFrame, mix: Mix) -> DataFrame:
+    totals = _totals(rows)
     exponent = exponent_for(totals, mix)
     power = F.pow("share", F.lit(exponent))
     z = totals.agg(F.sum(power)).first()[0] or 1.0
@@ -126,45 +123,103 @@ def quotas(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     )
 
 
-def blocks(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """documents -> (doc_id, source, row, tokens, epoch, block): every use of a document in the mixture.
+def quotas(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """documents -> (mixed_source, tokens, share, exponent, weight, quota, n_blocks).
 
-    Equal rows (doc_id, text and source) are one document; null and empty
-    texts have one token; a null source is one source.  A source's documents
-    are permuted anew in each epoch, by a hash.  The prefix sums of tokens are
-    taken in two steps, within buckets of the hash and over the buckets, so
-    that no task holds a whole source.  A source's quota is cut at the first
-    document that starts beyond it.
+    Equal rows count once.  Weights are rounded to nine places, quotas are
+    whole tokens.
+    """
+    return _quotas(distinct_rows(docs), mix)
+
+
+def _in_epoch(used: DataFrame, mix: Mix) -> DataFrame:
+    """Uses (mixed_source, epoch, doc_id, row, tokens) -> with the tokens before them in their epoch's permutation.
+
+    The permutation is the order of a hash.  Prefix sums are taken in two
+    steps, within buckets of the hash and over the buckets, so that no task
+    holds a whole source.
     """
-    shares = quotas(docs, mix)
-    rows = docs.select(
-        "doc_id", "source", row_hash(docs, ["doc_id", "text", "source"]).alias("row"), _source().alias("mixed_source"), token_estimate(F.col("text")).alias("tokens")
-    ).dropDuplicates(["doc_id", "row"])
-    epochs = shares.select(
-        "mixed_source", F.col("tokens").alias("whole"), "quota", "n_blocks",
-        F.explode(F.expr("sequence(0L, greatest(0L, (quota - 1) div tokens))")).alias("epoch"),
-    )
     key = F.md5(F.concat_ws("|", F.lit(mix.seed), F.col("epoch"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    # A row a source and epoch; a few are sent to every task, a larger number is joined by shuffles that split hot sources.
-    uses = shares.agg(F.sum(F.expr("(quota - 1) div tokens + 1"))).first()[0] or 0
-    used = rows.join(F.broadcast(epochs) if uses <= MOST_SENT else epochs, "mixed_source").withColumn("key", key).withColumn("bucket", F.substring("key", 1, mix.digits))
+    used = used.withColumn("key", key).withColumn("bucket", F.substring("key", 1, mix.digits))
     group = ["mixed_source", "epoch", "bucket"]
     sums = used.groupBy(*group).agg(F.sum("tokens").alias("in_bucket"))
     over = Window.partitionBy("mixed_source", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(*group, F.coalesce(F.sum("in_bucket").over(over), F.lit(0)).alias("base"))
     inside = Window.partitionBy(*group).orderBy("key", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = used.join(bases, group).withColumn("before", F.col("epoch") * F.col("whole") + F.col("base") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
-    block = F.floor(F.col("before").cast("double") / F.col("quota").cast("double") * F.col("n_blocks"))
-    return placed.filter("before < quota").select(
-        "doc_id", "source", "row", "tokens", "epoch", F.least(block, F.col("n_blocks") - 1).cast("long").alias("block")
-    )
+    return used.join(bases, group).withColumn("before", F.col("base") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
 
 
-def order(used: DataFrame, seed: int = 42) -> DataFrame:
-    """(doc_id, source, tokens, epoch, block, slot): the uses of a block permuted; a block has a bounded number of tokens."""
+def _block(before: Column, quota: Column, n_blocks: Column) -> Column:
+    return F.least(F.floor(before.cast("double") / quota.cast("double") * n_blocks), n_blocks - 1).cast("long")
+
+
+def blocks(docs: DataFrame, mix: Mix = Mix(), most_sent: int = MOST_SENT) -> DataFrame:
+    """documents -> (doc_id, source, row, tokens, epoch, block): every use of a document in the mixture.
+
+    Equal rows (doc_id, text and source) are one document, in totals and
+    quotas too; null and empty texts have one token; a null source is one
+    source; a text of any length is one document of one block, which it may
+    overfill.  A source's documents are permuted anew in each epoch.  A source's
+    quota is cut at the first document that starts beyond it.  The table of
+    sources and epochs is broadcast up to ``most_sent`` rows; beyond, it is
+    joined with hot sources salted.
+    """
+    rows = stored(distinct_rows(docs), "rows")
+    shares = _quotas(rows, mix)
+    epochs = shares.select(
+        "mixed_source", F.col("tokens").alias("whole"), "quota", "n_blocks",
+        F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.expr("(quota - 1) div tokens"))).alias("epochs"),
+    )
+    used = rows.join(F.broadcast(epochs), "mixed_source") if shares.count() <= most_sent else salted_join(rows, epochs, ["mixed_source"], ["row"])
+    used = _in_epoch(used.withColumn("epoch", F.explode("epochs")).drop("epochs"), mix)
+    used = used.withColumn("before", F.col("epoch") * F.col("whole") + F.col("before")).filter("before < quota")
+    return used.select("doc_id", "source", "row", "tokens", "epoch", _block(F.col("before"), F.col("quota"), F.col("n_blocks")).alias("block"))
+
+
+def arranged(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """A mixed table -> (doc_id, source, row, tokens, epoch, block, slot), a row for each row of ``docs``.
+
+    Rows that repeat are uses in epochs one after another, as ``blocks`` lays
+    them: each source's uses are spread evenly over all blocks, so that every
+    block holds the sources by their shares of the table.
+    """
+    rows = docs.groupBy("doc_id", "source", row_hash(docs, ["doc_id", "text", "source"]).alias("row"), _source().alias("mixed_source"), token_estimate(F.col("text")).alias("tokens"))
+    used = stored(rows.agg(F.count("*").alias("n")).select("*", F.explode(F.expr("sequence(0L, n - 1)")).alias("epoch")).drop("n"), "uses")
+    sums = stored(used.groupBy("mixed_source", "epoch").agg(F.sum("tokens").alias("own")), "epochs")
+    of = Window.partitionBy("mixed_source")
+    bases = sums.select(
+        "mixed_source", "epoch", F.sum("own").over(of).alias("quota"),
+        F.coalesce(F.sum("own").over(of.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"),
+    )
+    whole = sums.agg(F.sum("own")).first()[0] or 0
+    n_blocks = F.lit(max(1, math.ceil(whole / mix.block_tokens))).cast("long")
+    placed = _in_epoch(used, mix)
+    placed = placed.join(F.broadcast(bases), ["mixed_source", "epoch"]) if sums.count() <= MOST_SENT else salted_join(stored(placed, "placed"), bases, ["mixed_source", "epoch"], ["row"])
+    return _slots(placed.select("doc_id", "source", "row", "tokens", "epoch", _block(F.col("earlier") + F.col("before"), F.col("quota"), n_blocks).alias("block")), mix.seed)
+
+
+def texts_in_order(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """A mixed table -> (doc_id, text, block, slot), a row for each row of ``docs``."""
+    places = arranged(docs, mix).select("row", _id_hash("doc_id"), "block", "slot")
+    own = docs.select(row_hash(docs, ["doc_id", "text", "source"]).alias("row"), _id_hash("doc_id"), "doc_id", "text").dropDuplicates(["row", "id_hash"])
+    return own.join(places, ["row", "id_hash"]).select("doc_id", "text", "block", "slot")
+
+
+def _id_hash(column: str) -> Column:
+    """A second hash beside that of the row, by which equal ones of different documents are told apart."""
+    return F.xxhash64(F.lit(7), column).alias("id_hash")
+
+
+def _slots(used: DataFrame, seed: int) -> DataFrame:
+    """Uses with their slot: those of a block are permuted; a block has a bounded number of tokens."""
     key = F.md5(F.concat_ws("|", F.lit(seed), F.col("block"), F.col("epoch"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     slot = F.row_number().over(Window.partitionBy("block").orderBy("key", "doc_id", "epoch", "row"))
-    return used.withColumn("key", key).select("doc_id", "source", "tokens", "epoch", "block", (slot - 1).cast("long").alias("slot"))
+    return used.withColumn("key", key).withColumn("slot", (slot - 1).cast("long")).drop("key")
+
+
+def order(used: DataFrame, seed: int = 42) -> DataFrame:
+    """Uses as ``blocks`` gives them -> (doc_id, source, tokens, epoch, block, slot)."""
+    return _slots(used, seed).select("doc_id", "source", "tokens", "epoch", "block", "slot")
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -172,8 +227,8 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     Equal rows are one document first.
     """
-    uses, row, whole = fresh(docs, "_uses", "_row", "_whole")
-    times = blocks(docs, mix).groupBy("row").agg(F.count("*").cast("int").alias(uses)).withColumnRenamed("row", row)
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(whole), row_hash(docs, ["doc_id", "text", "source"]).alias(row))
-    kept = own.dropDuplicates([row]).join(times, row)
+    uses, row, name, whole = fresh(docs, "_uses", "_row", "_name", "_whole")
+    times = blocks(docs, mix).groupBy(F.col("row").alias(row), _id_hash("doc_id").alias(name)).agg(F.count("*").cast("int").alias(uses))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(whole), row_hash(docs, ["doc_id", "text", "source"]).alias(row), _id_hash("doc_id").alias(name))
+    kept = own.dropDuplicates([row, name]).join(times, [row, name])
     return kept.select(whole, F.explode(F.sequence(F.lit(1), F.col(uses)))).select(f"{whole}.*")

@@ -15,12 +15,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is read from ``spark.checkpoint.dir``.  Where neither that nor a
-    checkpoint directory is set (a local test session), a temporary one is set.
+    checkpoint directory is set, a local session gets a temporary one and a
+    cluster is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     folder = spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not folder:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trackframe-"))
         folder = spark.sparkContext.getCheckpointDir()
@@ -44,6 +47,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int = 16, most: int = 2000) -> DataFrame:
+    """``left`` joined with ``right``, which has each key once, with the hot keys of ``left`` dealt over ``salts`` tasks.
+
+    A key is hot if more than one in ``most`` of the rows of ``left`` have it,
+    so at most ``most`` keys are broadcast.  The rows of a hot key are dealt by
+    a hash of the ``spread`` columns; its row of ``right`` goes to each.
+    ``left`` is read twice and so should be a stored table.
+    """
+    least = max(1000, left.count() // most)
+    hot = F.broadcast(left.groupBy(*keys).count().filter(F.col("count") > least).select(*keys, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    own = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    other = right.join(hot, keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return own.join(other, [*keys, "_salt"], how).drop("_salt")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names starting with ``names`` that ``df`` has not got (case-insensitively)."""
     taken = {c.lower() for c in df.columns}

@@ -1,7 +1,7 @@
 """Token ids in files of compressed bit or byte planes.
 
-Documents are dealt by ranges of doc_id, sorted, encoded and packed into
-files.  A file holds blocks of a fixed number of 32-bit ids (the last of a file
+Documents are dealt by ranges of their order (that of doc_id, unless told
+otherwise), sorted, encoded and packed into files.  A file holds blocks of a fixed number of 32-bit ids (the last of a file
 may be shorter).  A block is transposed so that all lowest bytes (or bits) come
 first, then the next ones; every plane is compressed by zstandard.  An index of
 the blocks and of the documents follows:
@@ -20,6 +20,7 @@ committed once.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackframe.llm.storage import partitions_for, slices
+from trackframe.llm.storage import partitions_for, slices, stored
 
 HEAD, TAIL = b"TKPL", b"TKPLEND\n"
 _FOOT = struct.Struct("<QQQQ8s")
@@ -110,8 +111,35 @@ def unpack(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [int(d) if k else None for d, k in zip(names.tolist(), known)], sizes, ids
 
 
+#: The normalizer and pre-tokenizer that WordEncoder's fast path stands for, as tokenizer files state them.
+FAST = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def may_split_words(tokenizer: str) -> bool:
+    """Whether a tokenizer (its file's content) cuts texts as WordEncoder's fast path does, so that words can be encoded one by one."""
+    file = json.loads(tokenizer)
+    special = [t["content"] for t in file.get("added_tokens") or []]
+    return (
+        all(file.get(k) == v for k, v in FAST.items())
+        and not file.get("truncation") and not file.get("padding")
+        and all(t.startswith("<|") for t in special)
+    )
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizer whose pieces never cross white space, a distinct word once a batch.
+    """Encodes texts with a tokenizer; where its pieces never cross white space, a distinct word once a batch.
+
+    Tokenizers with another normalizer or pre-tokenizer than ``FAST`` get
+    every text whole.
 
     A text of Latin-1 characters is lower-cased, the punctuation at the end of
     a word is set apart and the text is split at blanks, all in Arrow's
@@ -130,7 +158,10 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            content = f.read()
+        self.fast = may_split_words(content)
+        self.whole, self.bare = Tokenizer.from_str(content), Tokenizer.from_str(content)
         self.bare.normalizer = None
         self.most, self.longest = most, longest
         self.young: dict[str, bytes] = {}
@@ -138,7 +169,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; none for nulls."""
-        odd = pc.fill_null(pc.match_substring_regex(texts, self.ODD), True)
+        odd = pc.fill_null(pc.match_substring_regex(texts, self.ODD), True) if self.fast else pa.array(np.ones(len(texts), bool))
         out = [np.empty(0, "<u4")] * len(texts)
         for k in pc.indices_nonzero(odd).to_pylist():
             if texts[k].is_valid:
@@ -199,14 +230,17 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, file_ids: int = 4 << 20, block: int = 1 << 16, kind: str = "byte", level: int = 3) -> None:
-    """Encodes the texts of ``docs`` and writes the files of ids in ascending doc_id order under ``path``.
+def write(
+    docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, file_ids: int = 4 << 20, block: int = 1 << 16, kind: str = "byte", level: int = 3, order: tuple[str, ...] = ("doc_id",)
+) -> None:
+    """Encodes the texts of ``docs`` and writes the files of ids in ascending order of the ``order`` columns under ``path``.
 
-    Null and empty texts give the end id alone.  Null doc_ids come first;
-    repeated doc_ids follow one another (ordered by text).  A file is closed
+    Null and empty texts give the end id alone.  Nulls come first in the
+    order; rows that are equal in it follow one another, ordered by a hash of
+    doc_id and text, by which they are also dealt to tasks.  A file is closed
     after the document that brings it to ``file_ids`` ids; a document of any
-    length stays in one file.  ``tokenizer`` is a path that every executor has.
-    Other columns are not looked at.
+    length is encoded whole and stays in one file.  ``tokenizer`` is a path
+    that every executor has.  Other columns are not looked at.
     """
     end = np.array([end_id], "<u4")
 
@@ -232,17 +266,22 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, file_ids:
             yield closed()
 
     n = partitions_for(docs.sparkSession)
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    packed = dealt.mapInArrow(files, "file binary").select(F.col("file").cast("string").alias("value"))
+    keys = [F.col(f"k.k{i}") for i in range(len(order))] + [F.col("k.tie")]
+    key = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(order)), F.xxhash64("doc_id", "text").alias("tie"))
+    dealt = docs.select("doc_id", "text", key.alias("k")).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    packed = dealt.select("doc_id", "text").mapInArrow(files, "file binary").select(F.col("file").cast("string").alias("value"))
     packed.write.option("maxRecordsPerFile", 1).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Files of ids -> (doc_id, start, n_tokens, ids_crc32), a row for each document.
 
-    ``start`` counts the ids of all documents before it: those of the files
-    before (summed over one row a file) and those before it in its own file.
-    No file gives an empty table.
+    ``start`` counts the ids of all documents before it: those of the
+    partitions before, of the files before in its own partition and those
+    before it in its own file.  Files are read once; what they hold of
+    documents is stored before sums are taken, first within partitions and
+    then over one row a partition, in groups of 1024.  No file gives an empty
+    table.
     """
     rows = "part long, seq long, doc_id long, local long, n_tokens long, ids_crc32 long"
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
@@ -261,16 +300,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 columns = [[part] * n, [seq] * n, names, starts, sizes, crc]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["part", "seq", "doc_id", "local", "n_tokens", "ids_crc32"])
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            feet = [_foot(c.as_buffer().to_pybytes()) for c in batch.column(0)]
-            columns = [[f[5] for f in feet], [f[6] for f in feet], [f[0] for f in feet]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["part", "seq", "total"])
-
-    before = F.coalesce(F.sum("total").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = raw.mapInArrow(totals, "part long, seq long, total long").select("part", "seq", before.alias("base"))
-    found = raw.mapInArrow(documents, rows).join(files, ["part", "seq"])
-    return found.select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    found = stored(raw.mapInArrow(documents, rows), "token-rows")
+    files = stored(found.groupBy("part", "seq").agg(F.sum("n_tokens").alias("total")), "token-files")
+    parts = files.groupBy("part", F.expr("part div 1024").alias("some")).agg(F.sum("total").alias("total"))
+    some = parts.groupBy("some").agg(F.sum("total").alias("total"))
+
+    def before(*by: str, within: str | None = None):
+        """The sum of total over the earlier rows, of the same group if one is named."""
+        over = Window.partitionBy(within) if within else Window.partitionBy(F.lit(0))
+        return F.coalesce(F.sum("total").over(over.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    far = some.select("some", before("some").alias("far"))
+    middle = parts.select("part", "some", before("part", within="some").alias("middle")).join(far, "some")
+    base = files.select("part", "seq", before("seq", within="part").alias("near")).join(middle, "part")
+    base = base.select("part", "seq", (F.col("far") + F.col("middle") + F.col("near")).alias("base"))
+    return found.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
