@@ -3,7 +3,14 @@
 Quality rules take out bad lines and documents; of near-duplicates one
 document stays; documents that hold benchmark items go; sources are mixed to
 target weights (every document is used at least once); what is left is
-written as token ids and read back.
+written as token ids, in blocks that hold the sources by their weights, and
+read back.
+
+Every stage takes null ids, texts, languages and sources, empty and very long
+texts, repeated rows, empty tables and further columns: null and empty texts
+fail the quality rules, of repeated rows one stays after near_duplicates, a
+null source is a source of its own, an empty table gives an empty one, and
+further columns pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -36,9 +43,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of the files of token ids."""
+    """(doc_id, start, n_tokens, ids_crc32) of the files of token ids, which follow the mixture's blocks and slots."""
     path = new_path(spark, "corpus-ids")
-    token_planes.write(docs, path, tokenizer_path())
+    token_planes.write(mixing.texts_in_order(docs), path, tokenizer_path(), order=("block", "slot"))
     return token_planes.read(spark, path)
 
 

@@ -12,12 +12,14 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` computed once, written to the shared checkpoint folder and read again, which cuts its lineage.
 
     The folder is that of ``spark.checkpoint.dir``; where neither it nor a
-    checkpoint directory is set (a local session), a temporary one is set.  A
-    written table is computed once, where ``checkpoint()`` would compute it
+    checkpoint directory is set, a local session gets a temporary one and a
+    cluster is refused.  A written table is computed once, where ``checkpoint()`` would compute it
     twice, and its files survive lost executors.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not folder:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trackframe-"))
         folder = spark.sparkContext.getCheckpointDir()
