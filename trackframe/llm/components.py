@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.storage import stored
+from trackframe.llm.storage import salted_join, stored
 
 
 def _jump(parents: DataFrame) -> DataFrame:
-    """Replaces every parent by its own parent until all point at their roots."""
+    """Replaces every parent by its own parent until all point at their roots.
+
+    A node that most others point at is a hot key, whose rows are salted.
+    """
     while True:
-        up = parents.select(F.col("node").alias("p"), F.col("root").alias("above"))
+        up = parents.filter("node <> root").select(F.col("node").alias("root"), F.col("root").alias("above"))
         parents = stored(
-            parents.join(up, parents.root == up.p, "left").select(
+            salted_join(parents, up, ["root"], ["node"], "left").select(
                 "node", F.coalesce("above", "root").alias("root"), (F.coalesce("above", "root") != F.col("root")).alias("moved")
             ),
             "jump",
@@ -29,8 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hooks every node to its smallest neighbour, jumps pointers to
     the roots and contracts the edges to roots.  Loops and repeated edges are
     allowed; nodes without an edge are not returned.  The work of a round is
-    joins and grouped minima, so a node of any degree is pre-aggregated on the
-    map side; every round is stored in the shared folder.
+    grouped minima, pre-aggregated on the map side, and joins in which nodes of
+    a high degree are salted; every round is stored in the shared folder.
     """
     edges = stored(
         edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
@@ -43,8 +46,9 @@ def components(edges: DataFrame) -> DataFrame:
         rounds.append(roots)
         left = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        named = stored(salted_join(edges, left, ["a"], ["b"]), "named")
         edges = stored(
-            edges.join(left, "a").join(right, "b").filter("ra <> rb")
+            salted_join(named, right, ["b"], ["a"]).filter("ra <> rb")
             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(),
             "edges",
         )
@@ -53,5 +57,5 @@ def components(edges: DataFrame) -> DataFrame:
     found = rounds[0]
     for later in rounds[1:]:
         up = later.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        found = found.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+        found = stored(salted_join(found, up, ["root"], ["node"], "left").select("node", F.coalesce("above", "root").alias("root")), "found")
     return found

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackframe.llm.components import components
-from trackframe.llm.storage import partitions_for, row_hash, slices, stored
+from trackframe.llm.storage import partitions_for, row_hash, salted_join, slices, stored
 
 BITS = 64
 
@@ -170,16 +170,30 @@ def links_in_runs(keys: np.ndarray, prints: np.ndarray, radius: int, same: Calla
     return np.array(found_a, np.int64), np.array(found_b, np.int64)
 
 
-def links(nodes: DataFrame, radius: int = 4, blocks: int = 6, most: int = 4096) -> DataFrame:
-    """Distinct fingerprints (column fingerprint) -> (a, b): links that connect what any chain of links connects.
+def blocks_for(count: int, radius: int, most: int) -> int:
+    """The least number of blocks for which random fingerprints seldom give a key more than ``most`` rows.
 
-    Every pair within the radius shares a key.  A key with over ``most``
+    More blocks mean more bits a key and more keys a fingerprint; any number
+    finds all links.
+    """
+    for blocks in range(radius + 2, radius + 6):
+        bits = min(bin(m).count("1") for m in block_masks(radius, blocks))
+        if 4 * count <= most << bits:
+            break
+    return blocks
+
+
+def links(nodes: DataFrame, radius: int = 4, blocks: int | None = None, most: int = 4096) -> DataFrame:
+    """Distinct fingerprints (column fingerprint, a stored table) -> (a, b): links that connect what any chain of links connects.
+
+    Every pair within the radius shares a key; the number of blocks is chosen
+    by the number of fingerprints, if it is not given.  A key with over ``most``
     fingerprints is cut into parts and its rows go to one group for each two
     parts, so that no group has more than twice that many.
     """
     spark = nodes.sparkSession
     n = partitions_for(spark)
-    masks = block_masks(radius, blocks)
+    masks = block_masks(radius, blocks or blocks_for(nodes.count(), radius, most))
     keyed = nodes.select(
         "fingerprint",
         F.explode(F.array(*(F.xxhash64(F.lit(k), F.col("fingerprint").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long"))) for k, m in enumerate(masks)))).alias("key"),
@@ -216,7 +230,7 @@ def links(nodes: DataFrame, radius: int = 4, blocks: int = 6, most: int = 4096)
     return dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
 
 
-def _marked(docs: DataFrame, width: int, radius: int, blocks: int, most: int) -> DataFrame:
+def _marked(docs: DataFrame, width: int, radius: int, blocks: int | None, most: int) -> DataFrame:
     """documents -> (doc_id, row, fingerprint, root, component_id); root is a fingerprint that names the component."""
     prints = stored(fingerprints(docs, width), "fingerprints")
     nodes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")), "nodes")
@@ -224,11 +238,11 @@ def _marked(docs: DataFrame, width: int, radius: int, blocks: int, most: int) ->
     rooted = nodes.join(found, nodes.fingerprint == found.node, "left").select("fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root"))
     rooted = stored(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fingerprint", "root", "component_id")
-    return prints.join(named, "fingerprint").select("doc_id", "row", "fingerprint", "root", "component_id")
+    named = stored(salted_join(rooted, least, ["root"], ["fingerprint"]).select("fingerprint", "root", "component_id"), "named")
+    return salted_join(prints, named, ["fingerprint"], ["doc_id", "row"]).select("doc_id", "row", "fingerprint", "root", "component_id")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, blocks: int = 6, most: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, blocks: int | None = None, most: int = 4096) -> DataFrame:
     """documents -> (doc_id, row, fingerprint, component_id), a row for each row of ``docs``.
 
     ``component_id`` is the smallest doc_id that links of at most ``radius``
@@ -236,8 +250,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, blocks: in
     have fingerprint zero and are linked like any other; a null doc_id gets
     the component of its fingerprint, and a component of null ids alone is
     null.  Repeated rows come back as often as they came; other columns are
-    not looked at.  Each exact fingerprint is compared once, however many
-    documents have it.
+    not looked at; a text of any length is folded in bounded parts.  Each exact
+    fingerprint is compared once, however many documents have it, and its
+    documents are joined salted.
     """
     return _marked(docs, width, radius, blocks, most).drop("root")
 
@@ -247,7 +262,7 @@ def hex16(column) -> F.Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def keep_one(docs: DataFrame, width: int = 4, radius: int = 4, blocks: int = 6, most: int = 4096) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 4, radius: int = 4, blocks: int | None = None, most: int = 4096) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest doc_id.
 
     All columns are kept, whatever their names.  Of repeated rows one stays,

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from trackframe.llm.components import components
 from trackframe.llm.simhash_planes import chosen_rows, folded, hashes, links_in_runs
-from trackframe.llm.storage import partitions_for, row_hash, slices, stored
+from trackframe.llm.storage import partitions_for, row_hash, salted_join, slices, stored
 
 #: Sets with similarity 0.8 share none of 24 bands of 5 with a chance of 0.00007, and differ in over 24 bits far more rarely.
 WIDTH, SIMILARITY, BANDS, ROWS, RADIUS = 5, 0.8, 24, 5, 24
@@ -119,10 +119,10 @@ def keep_one(docs: DataFrame, most: int = 2048, most_bytes: int = 16 << 20) -> D
     )
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("last")).filter("least <> last").drop("last")
-    loose = stored(components(keyed.join(shared, "key").select(F.col("node").alias("a"), F.col("least").alias("b"))), "loose")
-    members = loose.join(nodes, "node").select("node", F.col("root").alias("loose"), F.col("m.row").alias("_row"), "bytes")
+    loose = stored(components(salted_join(keyed, shared, ["key"], ["node"]).select(F.col("node").alias("a"), F.col("least").alias("b"))), "loose")
+    members = stored(loose.join(nodes, "node").select("node", F.col("root").alias("loose"), F.col("m.row").alias("_row"), "bytes"), "members")
     cuts = F.ceil(F.greatest(F.count("*") / most, F.sum("bytes") / most_bytes)).cast("int").alias("parts")
-    members = members.join(members.groupBy("loose").agg(cuts), "loose").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), "parts").cast("int"))
+    members = salted_join(members, members.groupBy("loose").agg(cuts), ["loose"], ["node"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), "parts").cast("int"))
     other = F.when(F.col("parts") <= 1, F.array(F.lit(0))).otherwise(F.expr("filter(sequence(0, parts - 1), x -> x <> part)"))
     texts = docs.select(row_hash(docs, ["doc_id", "text"]).alias("row"), "text")
     texts = texts.join(members, texts.row == members._row).withColumn("other", F.explode(other))
