@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from trackframe.operators import finder, fits, graph, hits, score, shape, stats
+from trackframe.operators import finder, fits, graph, growing, hits, reconstruct, score, shape, stats
 from trackframe.sources import io
 from trackframe.streaming import windows
 
@@ -32,34 +32,105 @@ def fired(spark, ids, event=0):
     return spark.createDataFrame([(event, d) for d in ids], "event_id long, det_id long")
 
 
+def summary(members, nodes):
+    return {r.track_id: r for r in finder.track_summary(members, nodes).collect()}
+
+
+def lists(rows):
+    """Tracks as lists of nodes in order, by their names."""
+    out = {}
+    for r in sorted(rows, key=lambda r: r.pos):
+        out.setdefault(r.track_id, []).append(r.det_id)
+    return out
+
+
 def test_connect_grows_a_line(spark, line):
     nodes, edges = line
-    active = fired(spark, range(1, 9))
-    found = graph.active_edges(edges, active, nodes)
-    seeds = graph.seed_order(active, found, nodes)
-    summary = finder.track_summary(finder.connect(found, seeds, nodes, sequential=True), nodes).collect()
-    assert len(summary) == 1 and summary[0].length == 8 and summary[0].status == "FINISHED"
-    both = finder.track_summary(finder.connect(found, seeds, nodes), nodes).collect()
-    assert sorted(r.length for r in both) == [4, 4]  # both ends are seeds and meet
+    members = growing.connect(fired(spark, range(1, 9)), nodes, edges)
+    assert lists(members.collect()) == {1: list(range(1, 9))}
+    assert summary(members, nodes)[1].status == "FINISHED"
 
 
 def test_connect_stops_before_a_gap_and_fit_does_not_jump_it(spark, line):
     nodes, edges = line
     active = fired(spark, [1, 2, 3, 5, 6, 7, 8])
-    found = graph.active_edges(edges, active, nodes)
-    members = finder.connect(found, graph.seed_order(active, found, nodes), nodes, sequential=True)
-    assert sorted(r.length for r in finder.track_summary(members, nodes).collect()) == [3, 4]
-    assert finder.fit_phase(members, found, nodes).count() == 7
+    members = growing.connect(active, nodes, edges)
+    assert lists(members.collect()) == {1: [1, 2, 3], 8: [8, 7, 6, 5]}
+    assert growing.fit_phase(members, active, nodes, edges).count() == 7
 
 
 def test_fit_extends_a_head(spark, line):
     nodes, edges = line
-    active = fired(spark, range(1, 9))
     members = spark.createDataFrame([(0, 1, k, k) for k in range(1, 5)], "event_id long, track_id long, pos long, det_id long")
-    grown = finder.fit_phase(members, graph.active_edges(edges, active, nodes), nodes)
+    grown = growing.fit_phase(members, fired(spark, range(1, 9)), nodes, edges)
     assert [r.det_id for r in grown.sort("pos").collect()] == list(range(1, 9))
 
 
+def test_fit_links_two_ends(spark, line):
+    """Heads that meet the end of another track ask to be joined; both meet here, and the link is one."""
+    nodes, edges = line
+    rows = [(0, 1, k, k) for k in range(1, 5)] + [(0, 8, k, 9 - k) for k in range(1, 5)]
+    members = spark.createDataFrame(rows, "event_id long, track_id long, pos long, det_id long")
+    links = [r for r in growing.fit_phase(members, fired(spark, range(1, 9)), nodes, edges).collect() if r.pos is None]
+    assert {(r.track_id, r.end, r.other, r.other_end) for r in links} == {(1, "head", 8, "head"), (8, "head", 1, "head")}
+
+
+def test_crossing_and_parallel_chains(spark):
+    """Chains with a common node stop before it and go straight on in the fit; neighbouring chains stay two."""
+    rows = [node(k + 1, k, k, k - 3, limit=k in (0, 6)) for k in range(7)] + [node(k + 11, k, k, 3 - k, limit=k in (0, 6)) for k in range(7) if k != 3]
+    nodes = spark.createDataFrame(rows, NODE)
+    pairs = list(zip([1, 2, 3, 4, 5, 6], [2, 3, 4, 5, 6, 7])) + [(11, 12), (12, 13), (13, 4), (4, 15), (15, 16), (16, 17)]
+    edges = graph.symmetrise(spark.createDataFrame(pairs, "src long, dst long"))
+    active = fired(spark, [r[0] for r in rows])
+    members = growing.connect(active, nodes, edges)
+    found = lists(members.collect())
+    assert found[1][:3] == [1, 2, 3] and all(len(e) < 7 for e in found.values())
+    grown = lists(r for r in growing.grow(active, nodes, edges).collect() if r.pos is not None)
+    assert grown[1] == [1, 2, 3, 4, 5, 6, 7] or set(grown[1]) <= set(range(1, 8))
+    side = [node(k + 1, k, k, 0, limit=k in (0, 5)) for k in range(6)] + [node(k + 11, k, k, 1, limit=k in (0, 5)) for k in range(6)]
+    nodes = spark.createDataFrame(side, NODE)
+    pairs = list(zip(range(1, 6), range(2, 7))) + list(zip(range(11, 16), range(12, 17))) + [(3, 13)]
+    members = growing.grow(fired(spark, [r[0] for r in side]), nodes, graph.symmetrise(spark.createDataFrame(pairs, "src long, dst long")))
+    own = lists(r for r in members.collect() if r.pos is not None)
+    assert all(set(t) <= set(range(1, 7)) or set(t) <= set(range(11, 17)) for t in own.values())
+
+
+def test_virtual_nodes_lie_between_steps(spark, line):
+    nodes, edges = line
+    virtual = spark.createDataFrame([(101, 2, 3)], "det_id long, parent_a long, parent_b long")
+    members = growing.connect(fired(spark, range(1, 9)), nodes, edges, virtual)
+    assert lists(members.collect()) == {1: [1, 2, 101, 3, 4, 5, 6, 7, 8]}
+
+
+def test_joining_chains_loops_and_twins(spark):
+    ids = "event_id long, track_id long, pos long, det_id long"
+    asked = "event_id long, track_a long, end_a string, track_b long, end_b string, place int"
+
+    def joined(tracks, links):
+        rows = [(0, t, p, d) for t, ds in tracks.items() for p, d in enumerate(ds)]
+        both = [(0, *link, 0) for a, ea, b, eb in links for link in ((a, ea, b, eb), (b, eb, a, ea))]
+        return lists(growing.join_ends(spark.createDataFrame(rows, ids), spark.createDataFrame(both, asked)).collect())
+
+    tracks = {t: [10 * t + 1, 10 * t + 2] for t in (1, 2, 3)}
+    assert joined(tracks, [(1, "head", 3, "head"), (3, "tail", 2, "tail")]) == {1: [11, 12, 32, 31, 21, 22]}
+    assert joined(tracks, [(1, "head", 2, "tail"), (2, "head", 3, "tail"), (3, "head", 1, "tail")]) == {1: [11, 12, 21, 22, 31, 32]}
+    assert joined(tracks, [(1, "head", 2, "tail"), (3, "head", 2, "tail")]) == {1: [11, 12, 21, 22], 3: [31, 32]}
+    for common, kept in ((66, {1, 2}), (67, {1})):  # of a hundred nodes; over two thirds go
+        assert set(joined({1: range(110), 2: range(110 - common, 210 - common)}, [])) == kept
+
+
+def test_reconstruction_of_lines_and_gaps(spark):
+    """A whole track, and one with a missing layer whose parts near each other are joined, are found and ranked."""
+    rows = [(k + 1, 1, 0, k, k in (0, 9), 0, 16.0 + k, 0.0, 35.0, 75.0, 0.0, 0.0, 1.0, 1.0) for k in range(10)]
+    nodes = spark.createDataFrame(rows, NODE + ", slope double")
+    hits_of = lambda event, ids: [(event, 7, s, d) for s, d in enumerate(ids)]
+    h = spark.createDataFrame(hits_of(0, range(1, 11)) + hits_of(1, [1, 2, 3, 4, 6, 7, 8, 9, 10]) + hits_of(2, [1, 2]), "event_id long, track_id long, seq long, det_id long")
+    edges = spark.createDataFrame(list(zip(range(1, 10), range(2, 11))), "src long, dst long")
+    for partitions in (1, 5):
+        found = reconstruct.reconstruct(h.repartition(partitions), nodes, edges).collect()
+        assert sorted((r.event_id, r.track_id, r.overlap, r.rank, r.clone) for r in found) == [(0, 7, 10, 1, False), (1, 7, 9, 1, False)]
+
+
 def test_merge_walks_chains_and_loops(spark):
     rows = [(0, t, p, 10 * t + p) for t in (1, 2, 3) for p in (1, 2)] + [(1, t, p, 10 * t + p) for t in (1, 2, 3) for p in (1, 2)]
     members = spark.createDataFrame(rows, "event_id long, track_id long, pos long, det_id long")

@@ -95,8 +95,12 @@ def anchors(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
     The first two nodes always open an anchor.
     """
+    return anchors_of(placed(members, nodes))
+
+
+def anchors_of(own: DataFrame) -> DataFrame:
+    """As ``anchors``, of members that have layers and positions already."""
     order = Window.partitionBy(*TRACK).orderBy("pos")
-    own = placed(members, nodes)
     opens = F.when((F.row_number().over(order) <= 2) | (F.lag("layer").over(order) != C("layer")), 1).otherwise(0)
     own = own.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     pair = F.floor((F.row_number().over(Window.partitionBy(*TRACK, "run").orderBy("pos")) - 1) / 2)
@@ -210,23 +214,24 @@ def leftover_components(members: DataFrame, active: DataFrame, found: DataFrame,
     return labelled.join(large, ["event_id", "component"], "left_semi").select("event_id", "component", "det_id")
 
 
-def propose_from_ends(members: DataFrame, nodes: DataFrame, farthest: float = 6.0, most: int = 5, turn: float = 70.0) -> DataFrame:
+def propose_from_ends(members: DataFrame, nodes: DataFrame, taken: DataFrame | None = None, farthest: float = 6.0, most: int = 5, turn: float = 70.0) -> DataFrame:
     """(event_id, track_a, end_a, track_b, end_b, angle): an unfinished track's end and the first of its nearest other ends that goes on straight.
 
-    Ends at a layer limit do not ask.  Sectors may differ by one (or five, over
-    the seam).  The ends of an event meet by event; its ends are few.
+    Finished tracks neither ask nor are asked, nor do ends that ``taken``
+    (links track_a, end_a, track_b, end_b) names on either side; ends at a
+    layer limit do not ask.  Sectors may differ by one, for heads also by five
+    (over the seam).  The ends of an event meet by event; its ends are few.
     """
-    own = placed(members, nodes)
-    order = Window.partitionBy(*TRACK).orderBy("pos")
-    ends = own.withColumns({"k": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy(*TRACK))})
-    ends = ends.withColumns({"bx": F.lag("x").over(order), "by": F.lag("y").over(order), "ox": F.lead("x").over(order), "oy": F.lead("y").over(order)}).filter("n > 1")
-    tail = ends.filter("k = 1").select("event_id", "track_id", F.lit("tail").alias("end"), "sector", "layer_limit", "x", "y", (C("x") - C("ox")).alias("ux"), (C("y") - C("oy")).alias("uy"))
-    head = ends.filter("k = n").select("event_id", "track_id", F.lit("head").alias("end"), "sector", "layer_limit", "x", "y", (C("x") - C("bx")).alias("ux"), (C("y") - C("by")).alias("uy"))
-    every = stored(tail.unionByName(head), "ends")
+    ends = ends_of(members, nodes).filter("NOT closed")
+    if taken is not None:
+        both = taken.select("event_id", C("track_a").alias("track_id"), C("end_a").alias("end")).unionByName(taken.select("event_id", C("track_b").alias("track_id"), C("end_b").alias("end")))
+        ends = ends.join(both, [*TRACK, "end"], "left_anti")
+    every = stored(ends.drop("closed"), "ends")
     a = every.filter("NOT layer_limit").select("event_id", *(C(c).alias(f"a_{c}") for c in every.columns[1:]))
     b = every.select("event_id", *(C(c).alias(f"b_{c}") for c in every.columns[1:]))
     away = F.round(F.hypot(C("a_x") - C("b_x"), C("a_y") - C("b_y")), 5)
-    near = a.join(b, "event_id").filter("a_track_id <> b_track_id AND abs(a_sector - b_sector) IN (0, 1, 5)").withColumn("away", away).filter(C("away") < farthest)
+    apart = F.abs(C("a_sector") - C("b_sector"))
+    near = a.join(b, "event_id").filter("a_track_id <> b_track_id").filter((apart <= 1) | ((apart == 5) & (C("a_end") == "head"))).withColumn("away", away).filter(C("away") < farthest)
     first = Window.partitionBy("event_id", "a_track_id", "a_end").orderBy("away", "b_track_id", "b_end")
     near = near.withColumn("place", F.row_number().over(first)).filter(C("place") <= most)
     near = near.withColumn("angle", F.abs(F.round(G.turn_angle(C("a_ux"), C("a_uy"), -C("b_ux"), -C("b_uy")), 3))).filter(C("angle") < turn)
@@ -234,6 +239,16 @@ def propose_from_ends(members: DataFrame, nodes: DataFrame, farthest: float = 6.
     return best.select("event_id", C("a_track_id").alias("track_a"), C("a_end").alias("end_a"), C("b_track_id").alias("track_b"), C("b_end").alias("end_b"), "angle")
 
 
+def ends_of(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(event_id, track_id, end, sector, layer_limit, x, y, ux, uy, closed): both ends of tracks of two nodes or more, the way they point, and whether both are at a limit."""
+    point = F.struct("pos", "x", "y", "sector", "layer_limit")
+    whole = placed(members, nodes).groupBy(*TRACK).agg(F.array_sort(F.collect_list(point)).alias("p")).filter(F.size("p") > 1)
+    at = lambda k: F.element_at("p", k)
+    two = whole.select(*TRACK, (at(1).layer_limit & at(-1).layer_limit).alias("closed"), F.explode(F.array(
+        F.struct(F.lit("tail").alias("end"), at(1).alias("e"), at(2).alias("next")), F.struct(F.lit("head").alias("end"), at(-1).alias("e"), at(-2).alias("next")))).alias("s"))
+    return two.select(*TRACK, "s.end", "s.e.sector", "s.e.layer_limit", "s.e.x", "s.e.y", (C("s.e.x") - C("s.next.x")).alias("ux"), (C("s.e.y") - C("s.next.y")).alias("uy"), "closed")
+
+
 def mutual(proposals: DataFrame) -> DataFrame:
     """Proposals (event_id, track_a, end_a, track_b, end_b) that both ends make: every end has one link at most."""
     one = proposals.groupBy("event_id", "track_a", "end_a").agg(F.min(F.struct("track_b", "end_b")).alias("m")).select("event_id", "track_a", "end_a", C("m.track_b").alias("track_b"), C("m.end_b").alias("end_b"))
@@ -317,104 +332,31 @@ def reconstruct_z(members: DataFrame, nodes: DataFrame) -> DataFrame:
     and y, within -40 and 110; an end beyond 110 counts as 105.  Tracks
     without a usable anchor keep their tubes' heights.
     """
-    anchor = anchors(members, nodes)
-    way = anchor.groupBy(*TRACK).agg((F.min_by("layer", "pos") <= F.max_by("layer", "pos")).alias("up"))
-    order = Window.partitionBy(*TRACK).orderBy("o")
-    usable = anchor.filter("z <> 0 AND z BETWEEN -35 AND 105").join(way, TRACK).withColumn("o", F.when(C("up"), C("pos")).otherwise(-C("pos")))
-    step = F.hypot(C("z") - F.coalesce(F.lag("z").over(order), F.lit(0.0)), C("y") - F.coalesce(F.lag("y").over(order), F.lit(0.0)))
-    usable = usable.withColumn("step", step).withColumn("p", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0))).select(*TRACK, "p", "z", "y")
-    points = usable.unionByName(usable.select(*TRACK).distinct().withColumns({"p": F.lit(0.0), "z": F.lit(0.0), "y": F.lit(0.0)}))
-    fit = points.groupBy(*TRACK).agg(F.regr_slope("z", "p").alias("mz"), F.regr_intercept("z", "p").alias("iz"), F.regr_slope("y", "p").alias("my"), F.max("p").alias("end"))
-    last = C("iz") + C("mz") * C("end")
-    fit = fit.select(*TRACK, F.when(last > 110, 105.0).otherwise(last).alias("zf"), F.atan(C("my") / F.when(C("mz") != 0, C("mz"))).alias("scatter"))
-    own = placed(members, nodes).join(way, TRACK).withColumn("o", F.when(C("up"), C("pos")).otherwise(-C("pos")))
+    return heights(placed(members, nodes))
+
+
+def heights(own: DataFrame) -> DataFrame:
+    """As ``reconstruct_z``, of members that have layers and (corrected) positions already; a height of 0 is none."""
+    order, whole = Window.partitionBy(*TRACK).orderBy("o"), Window.partitionBy(*TRACK)
+    anchor = anchors_of(own).withColumn("up", F.min_by("layer", "pos").over(whole) <= F.max_by("layer", "pos").over(whole))
+    usable = F.coalesce((C("z") != 0) & C("z").between(-35, 105), F.lit(False))
+    point = anchor.withColumn("o", F.when(C("up"), C("pos")).otherwise(-C("pos"))).withColumn("usable", usable)
+    point = point.withColumn("o", F.when(C("usable"), C("o"))).withColumn("z", F.when(C("usable"), C("z")))  # the others lie before the first and count nothing
+    step = F.hypot(C("z") - F.coalesce(F.lag("z").over(order), F.lit(0.0)), C("y") - F.coalesce(F.lag(F.when(C("usable"), C("y"))).over(order), F.lit(0.0)))
+    point = point.withColumn("step", step).withColumn("p", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # Sums of the line fits, in which the origin is one more point of zeros.
+    total = lambda c: F.sum(F.when(C("usable"), c))
+    sums = point.groupBy(*TRACK).agg(
+        F.first("up").alias("up"), (F.count(F.when(C("usable"), 1)) + 1).alias("n"), F.max("p").alias("end"), total(C("p")).alias("sp"), total(C("p") * C("p")).alias("spp"),
+        *(f for a in "zy" for f in (total(C(a)).alias(f"s{a}"), total(C("p") * C(a)).alias(f"sp{a}"))),
+    )
+    spread = C("n") * C("spp") - C("sp") * C("sp")
+    slope = lambda a: F.when(spread > 0, (C("n") * C(f"sp{a}") - C("sp") * C(f"s{a}")) / spread)
+    fit = sums.withColumns({"mz": slope("z"), "my": slope("y")}).withColumn("last", (C("sz") - C("mz") * C("sp")) / C("n") + C("mz") * C("end"))
+    fit = fit.select(*TRACK, "up", F.when(C("last") > 110, 105.0).otherwise(C("last")).alias("zf"), F.atan(C("my") / F.when(C("mz") != 0, C("mz"))).alias("scatter"))
+    own = own.join(fit, TRACK).withColumn("o", F.when(C("up"), C("pos")).otherwise(-C("pos")))
     step = F.hypot(C("x") - F.coalesce(F.lag("x").over(order), F.lit(0.0)), C("y") - F.coalesce(F.lag("y").over(order), F.lit(0.0)))
     own = own.withColumn("step", step).withColumn("d", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    own = own.withColumn("total", F.max("d").over(Window.partitionBy(*TRACK))).join(fit, TRACK, "left")
+    own = own.withColumn("total", F.max("d").over(whole))
     z = F.least(F.greatest(C("zf") * C("d") / C("total"), F.lit(-40.0)), F.lit(110.0))
     return own.select(*TRACK, "det_id", F.coalesce(F.when(C("total") > 0, z), C("z")).alias("z"), "scatter")
-
-
-def connect(found: DataFrame, seeds: DataFrame, nodes: DataFrame, most_neighbours: int = 5, least: int = 2, steps: int = 200, sequential: bool = False) -> DataFrame:
-    """Grows tracklets from seeds along unambiguous neighbours: members (event_id, track_id, pos, det_id).
-
-    Seeds are nodes with one neighbour or at a layer limit, in seed order; a
-    seed with more than ``most_neighbours`` neighbours ends the seeds of its
-    event.  The nodes last taken look at their free neighbours in the
-    tracklet's direction (up where there are any, else down, else in the same
-    layer); one is taken, up to four are if they hang together, else the
-    tracklet stops.  The track is named by its seed.
-
-    All tracklets advance together; a node that two want goes to the earlier
-    seed, and the other one stops.  ``sequential`` instead grows one seed of
-    each event to its end before the next one starts (all events at a time):
-    more rounds, but a tracklet never meets another that is still growing.
-    """
-    layer = nodes.select("det_id", "layer", "layer_limit")
-    order = seeds.join(layer.select("det_id", "layer_limit"), "det_id")
-    stop = F.min(F.when(C("degree") > most_neighbours, C("place"))).over(Window.partitionBy("event_id"))
-    start = order.withColumn("stop", stop).filter("(stop IS NULL OR place < stop) AND (degree = 1 OR layer_limit)")
-    start = stored(start.select("event_id", C("det_id").alias("track_id"), "place", "det_id", F.lit(0).alias("step"), F.lit(0).alias("way")), "seeds")
-    real = found.filter(C("dst_type") != VIRTUAL).join(layer.select(C("det_id").alias("src"), C("layer").alias("src_layer")), "src")
-    edges = stored(real.select("event_id", "src", "dst", F.when(C("dst_layer") > C("src_layer"), UP).when(C("dst_layer") < C("src_layer"), DOWN).otherwise(SAME).alias("kind")), "edges")
-    if not sequential:
-        taken = _grow(start, start, edges, most_neighbours, steps)
-    else:
-        taken = start.limit(0)
-        while True:
-            left = start.join(taken.select("event_id", "det_id"), ["event_id", "det_id"], "left_anti")
-            tried = left.join(taken.select(*TRACK).distinct(), TRACK, "left_anti")
-            now = stored(tried.withColumn("first", F.min("place").over(Window.partitionBy("event_id"))).filter("place = first").select(start.columns), "seed")
-            if now.isEmpty():
-                break
-            taken = _grow(now, stored(taken.unionByName(now), "taken"), edges, most_neighbours, steps)
-    # A seed that another tracklet took over before it grew is that one's node.
-    once = Window.partitionBy("event_id", "det_id").orderBy("step", "place")
-    own = taken.withColumn("copy", F.row_number().over(once)).filter("copy = 1")
-    pos = F.row_number().over(Window.partitionBy(*TRACK).orderBy("step", "det_id")).cast("long")
-    return drop_short(own.select(*TRACK, pos.alias("pos"), "det_id"), nodes, least)
-
-
-def _grow(front: DataFrame, taken: DataFrame, edges: DataFrame, most_neighbours: int, steps: int) -> DataFrame:
-    """All taken nodes after the tracklets of ``front`` have grown as far as they can."""
-    per = Window.partitionBy(*TRACK)
-    for step in range(1, steps + 1):
-        near = front.select("event_id", "track_id", "place", "way", C("det_id").alias("src")).join(edges, ["event_id", "src"])
-        near = near.join(taken.select("event_id", C("det_id").alias("dst")), ["event_id", "dst"], "left_anti").select("event_id", "track_id", "place", "way", "dst", "kind").distinct()
-        kinds = near.withColumns({"ups": F.count(F.when(C("kind") == UP, 1)).over(per), "downs": F.count(F.when(C("kind") == DOWN, 1)).over(per)})
-        onward = F.when((C("way") != DOWN) & (C("ups") > 0), UP).when((C("way") != UP) & (C("downs") > 0), DOWN).otherwise(SAME)
-        want = kinds.withColumn("onward", onward).filter("kind = onward")
-        want = want.select("event_id", "track_id", "place", F.when(C("onward") == SAME, C("way")).otherwise(C("onward")).alias("way"), C("dst").alias("det_id")).distinct()
-        want = stored(want.withColumn("n", F.count("*").over(per)).filter(C("n") < most_neighbours), "want")
-        if want.isEmpty():
-            break
-        several = want.filter("n > 1").select("event_id", "track_id", "det_id")
-        loose = all_adjacent(several, edges.select("src", "dst").distinct(), TRACK).filter("NOT adjacent").select(*TRACK)
-        claim = want.join(loose, TRACK, "left_anti").withColumn("first", F.min("place").over(Window.partitionBy("event_id", "det_id")))
-        lost = claim.filter("place > first").select(*TRACK).distinct()
-        front = stored(claim.join(lost, TRACK, "left_anti").select("event_id", "track_id", "place", "det_id", F.lit(step).alias("step"), "way"), "front")
-        taken = taken.unionByName(front)  # tables as stored; none is written again
-    return taken
-
-
-def fit_phase(members: DataFrame, found: DataFrame, nodes: DataFrame, steps: int = 50) -> DataFrame:
-    """Members with the heads of unfinished tracks extended: each round every head takes the node its anchors lead to.
-
-    A node that another track holds ends the extension there; two heads that
-    want one node leave it to the smaller track.
-    """
-    open_ = track_summary(members, nodes).filter("status = 'ONGOING'").select(*TRACK)
-    open_, members = stored(open_, "open"), stored(members.select(*TRACK, "pos", "det_id"), "members")
-    for _ in range(steps):
-        own = members.join(open_, TRACK, "left_semi")
-        free = head_candidates(own, found).join(members.select("event_id", "det_id"), ["event_id", "det_id"], "left_anti")
-        best = fit_next(anchors(own, nodes), free, nodes)
-        wins = Window.partitionBy("event_id", "det_id").orderBy("track_id")
-        best = best.withColumn("claim", F.row_number().over(wins)).filter("claim = 1")
-        last = own.groupBy(*TRACK).agg(F.max("pos").alias("last"))
-        new = stored(best.join(last, TRACK).select(*TRACK, (C("last") + 1).alias("pos"), "det_id"), "extended")
-        if new.isEmpty():
-            break
-        members = members.unionByName(new)
-        open_ = new.select(*TRACK)
-    return members

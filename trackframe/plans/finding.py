@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackframe.operators import finder, fits, graph, hits, score, shape
+from trackframe.operators import finder, fits, graph, growing, hits, reconstruct, score, shape
 from trackframe.plans.registry import query
 
 C = F.col
@@ -217,13 +217,19 @@ def reconstruct_z(v):
 
 @query()
 def connect(v):
-    found = active_edges(v)
-    return finder.connect(found, graph.seed_order(active(v), found, v("f_nodes")), v("f_nodes"))
+    return growing.connect(active(v), v("f_nodes"), sym(v))
 
 
 @query()
 def fit_phase(v):
-    return finder.fit_phase(tracks(v), active_edges(v), v("f_nodes"))
+    return growing.fit_phase(tracks(v), active(v), v("f_nodes"), sym(v))
+
+
+@query()
+def reconstruct_qa(v):
+    from trackframe.plans.graphs import _nodes
+
+    return reconstruct.reconstruct(v("f_hits"), _nodes(v), v("f_edges"))
 
 
 @query("SELECT event_id, component, det_id FROM (SELECT *, count(*) OVER (PARTITION BY event_id, component) AS n FROM comp) WHERE n >= 8", VIEWS, GRAPH | {
