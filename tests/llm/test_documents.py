@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -263,6 +264,64 @@ def test_secrets(spark):
     assert secret_index.redact("a token=abcdefgh b", found[0] + [("assign", 2, 16)]) == "a [assign] b"
 
 
+def test_hostile_texts_take_linear_time():
+    for text in ("a" * 1_000_000 + "://", "a1+" * 300_000 + "://" + "b." * 300_000, "eyJ" * 300_000, "eyJab." * 150_000, "token" + " " * 900_000, "http://" * 140_000, "-----BEGIN A " * 80_000):
+        began = time.time()
+        secret_index.Search().found([text])
+        assert time.time() - began < 5, text[:20]
+
+
+def test_redacted_tables(spark):
+    jwt = "eyJ" + "a" * 20 + ".eyJ" + "b" * 20 + ".cc"
+    rows = [(1, f"see {jwt} or ftp://me:pw12@host.example now"), (1, f"see {jwt} or ftp://me:pw12@host.example now"), (None, "AKIA" + "Z" * 16), (2, None), (3, ""), (4, "word " * 200_000 + "password=abcdef1")]
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string"), "spans", "kind")
+    found = secret_index.redacted(docs, segment=2)
+    assert found.columns == docs.columns
+    texts = sorted(((r.doc_id, r.text) for r in found.collect()), key=str)
+    once = "see [jwt] or [login] now"
+    assert texts == sorted([(1, once), (1, once), (None, "[access]"), (2, None), (3, ""), (4, "word " * 200_000 + "[assign]")], key=str)
+    assert secret_index.scan(docs).count() == 6 and secret_index.redacted(docs.limit(0)).count() == 0
+
+
+def slow_dedup(rows, least, words):
+    """What is left of each text, by all runs of any length: {(id, text): number of sentences removed}."""
+    once = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    parts = {r: [tuple((r[1] or "")[a:b].lower().split()) for a, b in substring_dedup.sentences(r[1] or "")] for r in once}
+    first = {}
+    for r in once:
+        for a in range(len(parts[r])):
+            for b in range(a + least, len(parts[r]) + 1):
+                first.setdefault(tuple(parts[r][a:b]), (r, a))
+    out = {}
+    for r in once:
+        gone = set()
+        for a in range(len(parts[r])):
+            for b in range(a + least, len(parts[r]) + 1):
+                run = tuple(parts[r][a:b])
+                if sum(map(len, run)) >= words and first[run] != (r, a):
+                    gone.update(range(a, b))
+        out[r] = len(gone)
+    return out
+
+
+def test_substring_dedup_against_all_runs(spark):
+    """Shortest runs remove what all runs of any length do; ids are distinct, so the order of places is plain."""
+    rng = random.Random(5)
+    pool = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice([1, 1, 2, 3, 6]))) + "." for _ in range(25)]
+    rows = [(k if k else None, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 9)))) for k in range(70)] + [(100, None), (101, ""), (102, " ".join(pool) * 400)]
+    rows.append(rows[3])
+    want = slow_dedup(rows[:-2] + rows[-1:], 2, 4)
+    docs = clashing(spark.createDataFrame(rows[:-2] + rows[-1:], "doc_id long, text string"), "h", "g", "first", "later", "_id").repartition(3)
+    for known in (100_000, 0):
+        got = substring_dedup.repeated_runs(docs, most_known=known)
+        covered = {}
+        for r in got.collect():
+            covered.setdefault(r.doc_id, set()).update(range(r["first"], r.after))
+        assert {k: len(v) for k, v in covered.items()} == {r[0]: n for r, n in want.items() if n}
+    found = substring_dedup.deduplicate(docs).collect()
+    assert all(r.n_removed == want[r.doc_id, dict((a, b) for a, b in rows)[r.doc_id]] for r in found) and len(found) == len(rows) - 1
+
+
 def test_trigram_queries():
     assert secret_index.trigram_query("[0-9a-f]+") == []
     assert secret_index.trigram_query("AKIA[A-Z0-9]+") == [frozenset({frozenset({"aki", "kia"})})]

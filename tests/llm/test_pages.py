@@ -1,5 +1,6 @@
 """Operators on pages and conversations against brute force."""
 
+import random
 import gzip
 import hashlib
 from collections import Counter
@@ -136,22 +137,90 @@ def talk():
 def slow_render(rows):
     by = {}
     for c, k, r, t in set(rows):
-        by.setdefault(c, []).append((k if k is not None else -1, r or "", t or "", r, t))
+        by.setdefault(c if c is not None else (k, r, t), []).append((k if k is not None else -1, r or "", t or "", r, t))
     whole = {c: tuple((r, t) for *_, r, t in sorted(v, key=lambda x: x[:3])) for c, v in by.items()}
-    out = {}
+    out = []
     for c, w in whole.items():
-        other = [v for d, v in whole.items() if d != c]
-        if any(len(v) > len(w) and v[: len(w)] == w for v in other):
+        other = {d: v for d, v in whole.items() if d != c}
+        if any(len(v) > len(w) and v[: len(w)] == w for v in other.values()):
             continue
-        if any(v == w and (c is None or (d is not None and d < c)) for d, v in whole.items() if d != c):
+        if any(v == w and not isinstance(d, tuple) and (isinstance(c, tuple) or d < c) for d, v in other.items()):
             continue
-        out[c] = (len(w), "".join(f"<|{'unknown' if r is None else r}|>\n{(t or '').replace('<|', '< |')}\n<|end|>\n" for r, t in w))
-    return out
+        out.append((None if isinstance(c, tuple) else c, len(w), "".join(f"<|{'unknown' if r is None else r}|>\n{(t or '').replace('<|', '< |')}\n<|end|>\n" for r, t in w)))
+    return sorted(out, key=str)
 
 
 def test_snapshots_collapse(spark):
-    df = clashing(spark.createDataFrame(talk(), "conv_id long, turn long, role string, text string"), "h", "g", "n", "k", "ts").repartition(3)
-    found = {r.conv_id: (r.n_turns, r.rendered) for r in chat_snapshots.render(df).collect()}
-    assert found == slow_render(talk())
-    assert set(found) == {3, 5, 6, 7, 8, 9, 10, 11}
+    rows = talk() + [(12, k, "user", f"turn {k} " * (20_000 if k == 3 else 1)) for k in range(500)] + [(13, k, "user", f"turn {k} " * (20_000 if k == 3 else 1)) for k in range(450)]
+    df = clashing(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), "h", "g", "n", "k", "ts", "alone").repartition(3)
+    found = sorted(((r.conv_id, r.n_turns, r.rendered) for r in chat_snapshots.render(df).collect()), key=str)
+    assert found == slow_render(rows)
+    assert [r[0] for r in found if r[0] is not None] != [] and {r[0] for r in found} == {None, 3, 5, 6, 7, 8, 9, 10, 11, 12}
     assert chat_snapshots.render(df.limit(0)).count() == 0
+
+
+def slow_templates(pages, tree):
+    """(host, shape) -> (template, purity) by loops over the tree; pages are (host, shape, bad)."""
+    known = [b for *_, b in pages if b is not None]
+    rate = sum(known) / len(known) if known else 0.0
+    template = {(h, s): "" for h, s, _ in pages}
+    depth = max(s.count("/") + 1 for _, s, _ in pages)
+    for level in range(depth):
+        parents = {}
+        for h, s, bad in pages:
+            parts = s.split("/")
+            if level < len(parts):
+                branch = parents.setdefault((h, template[h, s]), {}).setdefault(parts[level], [0, 0, 0])
+                branch[0] += 1
+                branch[1] += bad is not None
+                branch[2] += bad or 0
+        marks = {}
+        for parent, branches in parents.items():
+            n, l, b = (sum(x[k] for x in branches.values()) for k in range(3))
+            if len(branches) >= tree.branches and len(branches) >= tree.share * n:
+                marks |= {(*parent, seg): "*" for seg in branches}
+                continue
+            p = b / l if l else 0.0
+            place = {seg: int((x[2] + tree.weight * p) / (x[1] + tree.weight) * tree.steps + 0.5) for seg, x in branches.items()}
+            groups, at = [], None
+            for k in sorted(set(place.values())):
+                own = [seg for seg in branches if place[seg] == k]
+                gl, gb = (sum(branches[seg][c] for seg in own) for c in (1, 2))
+                if at is not None:
+                    u, v = (at[1] + 1) / (at[0] + 2), (gb + 1) / (gl + 2)
+                    apart = at[0] and gl and abs(u - v) > tree.z * (u * (1 - u) / (at[0] + 2) + v * (1 - v) / (gl + 2)) ** 0.5
+                if at is None or apart:
+                    groups.append(own)
+                    at = [gl, gb]
+                else:
+                    groups[-1] += own
+                    at = [at[0] + gl, at[1] + gb]
+            several = sum(len(g) > 1 for g in groups)
+            for number, own in enumerate(groups, 1):
+                for seg in own:
+                    marks[*parent, seg] = seg if len(own) == 1 else "*" if several == 1 else f"*{number}"
+        template = {(h, s): t + "/" + marks[h, t, s.split("/")[level]] if level <= s.count("/") else t for (h, s), t in template.items()}
+    out = {}
+    for (h, s), t in template.items():
+        bads = [b for x, y, b in pages if x == h and template[x, y] == t and b is not None]
+        out[h, s] = (t, round(1 - (sum(bads) + tree.weight * rate) / (len(bads) + tree.weight), 9))
+    return out
+
+
+def test_templates_against_loops(spark):
+    rng = random.Random(11)
+    pages = []
+    for host in ("a.org", "b.org", ""):
+        for _ in range(400):
+            depth = rng.choice([1, 2, 2, 3, 12])
+            first = rng.choice(["news", "shop", "spam", "junk", "blog", f"s{rng.randrange(300)}"]) if host != "b.org" else rng.choice(["x", "y"])
+            shape = "/".join([first] + [rng.choice(["p", "q", f"v{rng.randrange(40)}"]) for _ in range(depth - 1)])
+            worse = {"spam": 0.9, "junk": 0.85, "news": 0.05}.get(first, 0.3)
+            pages.append((host, shape, int(rng.random() < worse) if rng.random() < 0.6 else None))
+    tree = url_templates.Tree()
+    df = spark.createDataFrame(pages, "host string, shape string, bad int").repartition(3)
+    found = {(r.host, r.shape): (r.template, r.purity) for r in url_templates.templates(df, tree).collect()}
+    assert found == slow_templates(pages, tree)
+    tops = {t.split("/")[1] for (h, _), (t, _) in found.items() if h == "a.org"}
+    assert any(t.startswith("*") for t in tops)
+    assert url_templates.templates(df.limit(0), tree).count() == 0

@@ -37,7 +37,8 @@ class Rule:
     least: int = 1
 
 
-#: The first three are the base kinds; the order is that of kinds with the same start.
+#: The first three are the base kinds; the order is that of kinds with the same start.  Possessive repeats and what may not
+#: come before keep the time of a search in proportion to the text, whatever it holds.
 RULES = (
     Rule("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
@@ -46,9 +47,9 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]+", 0, 24),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++", 0, 30),
     Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
-    Rule("login", r"[a-z][a-z0-9+]*://[A-Za-z0-9._-]+:[^\s@:/]+@[A-Za-z0-9.-]+", 0, 12),
+    Rule("login", r"(?<![a-z0-9+])[a-z][a-z0-9+]*+://[A-Za-z0-9._-]++:[^\s@:/]++@[A-Za-z0-9.-]++", 0, 12),
 )
 BASE = ("assign", "access", "hex")
 _MOST = 64
@@ -74,9 +75,9 @@ def _strings(parsed) -> set[str] | None:
         elif op is C.BRANCH:
             parts = [_strings(p) for p in value[1]]
             own = None if None in parts else set().union(*parts)
-        elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and value[1] <= 2 and (one := _strings(value[2])) is not None:
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT) and value[1] <= 2 and (one := _strings(value[2])) is not None:
             own = set().union(*({"".join(x) for x in product(one, repeat=k)} for k in range(value[0], value[1] + 1)))
-        elif op is C.AT:
+        elif op in (C.AT, C.ASSERT, C.ASSERT_NOT):
             own = {""}
         else:
             return None
@@ -104,7 +105,7 @@ def _derive(parsed) -> list[Clause]:
         run = {""} if own is None else own
         if op is C.SUBPATTERN:
             clauses += _derive(value[3])
-        elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and value[0] >= 1:
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT) and value[0] >= 1:
             clauses += _derive(value[2])
         elif op is C.BRANCH:
             parts = [_derive(p) for p in value[1]]
@@ -151,31 +152,61 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, segment: int = 1024)
     """documents -> (doc_id, spans), a row for each row; spans: array of (kind, start, end) by start, then kind.
 
     Offsets are code points, ends exclusive.  Null and empty texts have no
-    span.  A doc_id may be null or repeated; other columns are not looked at.
-    Spans of different kinds may overlap.
+    span; a text of any length is searched whole, in time proportional to its
+    length.  A doc_id may be null or repeated; other columns are not looked
+    at.  Spans of different kinds may overlap; an empty table gives an empty
+    one.
     """
-    plan = [(r, trigram_query(r.pattern)) for r in rules]
-    trigrams = sorted({g for _, q in plan for clause in q for a in clause for g in a})
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    search = Search(rules)
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [re.compile(r.pattern) for r, _ in plan]
         for batch in batches:
             for at in range(0, batch.num_rows, segment):
                 some = batch.slice(at, segment)
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                index = Segment(texts, trigrams)
-                found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-                for order, ((rule, query), pattern) in enumerate(zip(plan, compiled)):
-                    for k in index.candidates(query).tolist():
-                        found[k] += [(a, order, b) for a, b in spans(texts[k], rule, pattern)]
-                rows = [[{"kind": rules[o].kind, "start": a, "end": b} for a, o, b in sorted(f)] for f in found]
+                rows = [[{"kind": k, "start": a, "end": b} for k, a, b in f] for f in search.found(some.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
 
     name = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(scanned, f"doc_id {name}, spans array<struct<kind: string, start: long, end: long>>")
 
 
+class Search:
+    """Rules with their trigram queries."""
+
+    def __init__(self, rules: tuple[Rule, ...] = RULES):
+        self.plan = [(r, trigram_query(r.pattern)) for r in rules]
+        self.trigrams = sorted({g for _, q in self.plan for clause in q for a in clause for g in a})
+
+    def found(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
+        """For each text of a segment its spans (kind, start, end) by start, then in the order of the rules."""
+        texts = [t or "" for t in texts]
+        index = Segment(texts, self.trigrams)
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        for order, (rule, query) in enumerate(self.plan):
+            pattern = re.compile(rule.pattern)
+            for k in index.candidates(query).tolist():
+                out[k] += [(a, order, b) for a, b in spans(texts[k], rule, pattern)]
+        return [[(self.plan[o][0].kind, a, b) for a, o, b in sorted(f)] for f in out]
+
+
+def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[{}]", segment: int = 1024) -> DataFrame:
+    """The rows of ``docs`` with every secret in their texts replaced by a mark; all columns stay, null texts stay null."""
+    at, search = docs.columns.index("text"), Search(rules)
+
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, segment):
+                some = batch.slice(start, segment)
+                texts = some.column(at).to_pylist()
+                new = [t if t is None else redact(t, f, mark) for t, f in zip(texts, search.found(texts))]
+                columns = list(some.columns)
+                columns[at] = pa.array(new, columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=some.schema)
+
+    return docs.mapInArrow(cleaned, docs.schema)
+
+
 def redact(text: str, found: list[tuple[str, int, int]], mark: str = "[{}]") -> str:
     """The text with every span (overlapping ones as one) replaced by the mark of its first kind."""
     out, done = [], 0

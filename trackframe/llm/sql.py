@@ -16,11 +16,11 @@ FROM d LEFT JOIN f USING (payload_digest)
 """
 
 OP5_CHAT = """
-WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text, CASE WHEN conv_id IS NULL THEN {'turn': turn, 'role': role, 'text': text} END AS alone FROM conversations),
 c AS (SELECT conv_id, count(*) AS n_turns, string_agg(sha256(coalesce(role, chr(1)) || chr(2) || coalesce(text, chr(1))), '' ORDER BY turn, role, text) AS prints,
   string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
-  FROM t GROUP BY conv_id),
-k AS (SELECT DISTINCT substr(prints, 1, 64 * g.k::BIGINT) AS prefix FROM c, range(1, 401) g(k) WHERE g.k < n_turns)
+  FROM t GROUP BY conv_id, alone),
+k AS (SELECT DISTINCT substr(prints, 1, 64 * g.k) AS prefix FROM (SELECT prints, unnest(range(1, n_turns)) AS k FROM c) g)
 SELECT conv_id, n_turns, rendered FROM (SELECT *, row_number() OVER (PARTITION BY prints ORDER BY conv_id) AS copy FROM c)
 WHERE copy = 1 AND prints NOT IN (SELECT prefix FROM k)
 """

@@ -47,15 +47,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int = 16, most: int = 2000) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int = 16, most: int = 2000, least_rows: int = 20_000) -> DataFrame:
     """``left`` joined with ``right``, which has each key once, with the hot keys of ``left`` dealt over ``salts`` tasks.
 
     A key is hot if more than one in ``most`` of the rows of ``left`` have it,
     so at most ``most`` keys are broadcast.  The rows of a hot key are dealt by
     a hash of the ``spread`` columns; its row of ``right`` goes to each.
-    ``left`` is read twice and so should be a stored table.
+    ``left`` is read twice and so should be a stored table.  Tables of few
+    rows are joined as they are.
     """
-    least = max(1000, left.count() // most)
+    rows = left.count()
+    if rows < least_rows:
+        return left.join(right, keys, how)
+    least = max(1000, rows // most)
     hot = F.broadcast(left.groupBy(*keys).count().filter(F.col("count") > least).select(*keys, F.lit(True).alias("_hot")))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     own = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")

@@ -6,7 +6,9 @@ Equal runs meet in one shuffle; all but the first (by document, then by place)
 are repeated, and the sentences that they cover are removed.  A run that
 occurs several times among the rows of one batch is sent once: the others are
 later than that one, so they are repeated whatever the rest of the corpus
-holds.  A run that a third of the corpus shares thus gives a row a batch.
+holds.  What repeats within a batch is remembered for the later batches of the
+task (in bounded memory), so a run that a third of the corpus shares gives
+little more than a row a task.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ def runs(text: str, least: int, words: int) -> list[tuple[int, int, bytes]]:
     return [(a, b, xxhash.xxh3_128_digest(b"".join(hashes[a:b]))) for a, b in spans]
 
 
-def repeated_runs(docs: DataFrame, least: int = 2, words: int = 4) -> DataFrame:
+def repeated_runs(docs: DataFrame, least: int = 2, words: int = 4, most_known: int = 100_000) -> DataFrame:
     """documents -> (doc_id, row, first, after): the runs of sentences that occur at an earlier place too.
 
     ``row`` is a hash of id and text; repeated rows are one document.  Places
@@ -64,10 +66,12 @@ def repeated_runs(docs: DataFrame, least: int = 2, words: int = 4) -> DataFrame:
     own = docs.select("doc_id", row_hash(docs, ["doc_id", "text"]).alias("row"), "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple] = {}  # runs that repeat, with the smallest place sent
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             kind = batch.column(0).type
             best: dict[bytes, tuple[tuple, int]] = {}
+            again: set[bytes] = set()
             at, first, after, digests = [], [], [], []
             for start in range(0, batch.num_rows, 512):
                 for k, text in enumerate(batch.column(2).slice(start, 512).to_pylist(), start):
@@ -80,6 +84,10 @@ def repeated_runs(docs: DataFrame, least: int = 2, words: int = 4) -> DataFrame:
             for n, digest in enumerate(digests):
                 k = at[n]
                 place = (ids[k] is None, ids[k] or 0, int(rows[k]), first[n])
+                sent = known.get(digest)
+                if sent is not None and place > sent:
+                    later[n] = True
+                    continue
                 seen = best.get(digest)
                 if seen is None:
                     best[digest] = (place, n)
@@ -87,9 +95,14 @@ def repeated_runs(docs: DataFrame, least: int = 2, words: int = 4) -> DataFrame:
                     pass  # a repeated row
                 elif place > seen[0]:
                     later[n] = True
+                    again.add(digest)
                 else:
                     later[seen[1]] = True
                     best[digest] = (place, n)
+                    again.add(digest)
+            if len(known) > most_known:
+                known.clear()
+            known.update((digest, best[digest][0]) for digest in again)
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).copy() if digests else np.empty((0, 2), np.int64)
             halves[later] = np.random.default_rng(len(at)).integers(-(1 << 62), 1 << 62, (int(later.sum()), 2))  # theirs is decided; they only spread
             taken = pa.array(at, pa.int64())
@@ -146,7 +159,8 @@ def deduplicate(docs: DataFrame, least: int = 2, words: int = 4) -> DataFrame:
     ``text`` what is left (null for null).  Texts with fewer sentences or
     words are left alone.  Repeated rows (same id and text) are one document
     and share its outcome; of equal texts under different ids that with the
-    smallest id stays.  Null ids come last.  Other columns are not looked at.
+    smallest id stays.  Null ids come last.  Texts of any length are taken
+    whole.  Other columns are not looked at; no row gives an empty table.
     """
     found = removals(docs, least, words)
     own = docs.select("doc_id", row_hash(docs, ["doc_id", "text"]).alias("row"), "text")

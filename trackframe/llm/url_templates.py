@@ -1,12 +1,13 @@
 """URL filters by a tree of path templates, in DataFrame operations alone.
 
-Per host, the segments of paths are the levels of a tree.  Numbers, dates and
-hashes become wildcards at once, and equal shapes are counted together; level
-by level, a branch becomes a wildcard if its parent has nearly as many branches
-as pages (a variable segment), or if its labelled rate is what that of its
-siblings leads to expect (a similar branch).  A template's purity is the share
-of clean pages among its labelled ones, smoothed towards the share of all; too
-low a purity rejects the template.
+Per host, the segments of paths are the levels of a tree, as deep as the
+deepest path.  Numbers, dates and hashes become wildcards at once, and equal
+shapes are counted together.  Level by level, a branch becomes a wildcard if
+its parent has nearly as many branches as pages (a variable segment); the other
+branches of a parent are put in order of their smoothed labelled rates and
+merged while neighbours' rates do not differ significantly (similar branches).
+A template's purity is the share of clean pages among its labelled ones,
+smoothed towards the share of all; too low a purity rejects the template.
 """
 
 from __future__ import annotations
@@ -14,20 +15,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackframe.llm.storage import stored
+from trackframe.llm.storage import salted_join, stored
 
 
 @dataclass(frozen=True)
 class Tree:
-    """Limits of the tree; deeper segments are one with the last level."""
+    """Limits of the tree."""
 
-    depth: int = 8
     branches: int = 8  # a variable segment has at least so many under its parent,
     share: float = 0.5  # and at least so many for each page
-    z: float = 1.96  # a similar branch's rate is within so many standard errors of its siblings'
+    z: float = 1.96  # similar rates are within so many standard errors of each other
+    steps: int = 20  # that smoothed rates are rounded to; equal ones are merged at once
     weight: float = 4.0  # labelled pages that the smoothing counts for
     least_purity: float = 0.5
 
@@ -94,31 +95,60 @@ def templates(pages: DataFrame, tree: Tree = Tree()) -> DataFrame:
     """(host, shape, bad) -> (host, shape, template, labelled, bad, purity), a row for each host and shape.
 
     ``bad`` is 1, 0 or null for a page without a label.  Pages are counted by
-    host and shape first; all later steps work on these counts, and the counts
-    of a parent are summed from those of its branches before they are joined.
+    host and shape first; all later steps work on these counts.  Parents with
+    many branches, and hosts with many shapes, are hot keys and joined salted.
     """
     leaves = pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("b"))
     leaves = stored(leaves, "leaves")
     total = leaves.agg(F.sum("l"), F.sum("b"), F.max(F.size(F.split("shape", "/")))).first()
     rate = (total[1] / total[0]) if total[0] else 0.0
-    now = leaves.withColumn("rest", F.split("shape", "/", tree.depth)).withColumn("template", F.lit(""))
-    for level in range(1, min(total[2] or 0, tree.depth) + 1):
-        now = now.withColumn("segment", F.get("rest", F.lit(level - 1)))
-        branch = now.filter("segment is not null").groupBy("host", "template", "segment").agg(*(F.sum(c).alias(f"{c}1") for c in "nlb"))
-        branch = stored(branch, "branches")
-        parent = branch.groupBy("host", "template").agg(F.count("*").alias("k"), *(F.sum(f"{c}1").alias(f"{c}0") for c in "nlb"))
-        p = F.when(F.col("l0") > 0, F.col("b0") / F.col("l0")).otherwise(0.0)
-        variable = (F.col("k") >= tree.branches) & (F.col("k") >= tree.share * F.col("n0"))
-        near = (F.col("l1") == 0) | (F.abs(F.try_divide("b1", "l1") - p) <= tree.z * F.sqrt(F.try_divide(p * (1 - p), F.col("l1"))))
-        marked = branch.join(parent, ["host", "template"]).select("host", "template", "segment", F.when(variable | ((F.col("k") > 1) & near), "*").otherwise(F.col("segment")).alias("mark"))
-        now = now.join(marked, ["host", "template", "segment"], "left").select(
-            "host", "shape", "n", "l", "b", "rest", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "mark")).alias("template")
+    now = stored(leaves.withColumn("rest", F.split("shape", "/")).withColumn("template", F.lit("")).withColumn("segment", F.get("rest", F.lit(0))), "level")
+    done = []
+    for level in range(1, (total[2] or 0) + 1):
+        marks = _marks(now, tree)
+        now = salted_join(now, marks, ["host", "template", "segment"], ["shape"]).select(
+            "host", "shape", "n", "l", "b", "rest", F.concat("template", F.lit("/"), "mark").alias("template"), F.get("rest", F.lit(level)).alias("segment")
         )
         now = stored(now, "level")
-    pure = now.groupBy("host", "template").agg(F.sum("l").alias("labelled"), F.sum("b").alias("bad"))
+        done.append(now.filter("segment IS NULL").drop("rest", "segment"))
+        now = now.filter("segment IS NOT NULL")
+    every = reduce(DataFrame.unionByName, done) if done else leaves.withColumn("template", F.lit(""))
+    pure = every.groupBy("host", "template").agg(F.sum("l").alias("labelled"), F.sum("b").alias("bad"))
     purity = 1 - (F.col("bad") + tree.weight * F.lit(rate)) / (F.col("labelled") + tree.weight)
     pure = pure.withColumn("purity", F.round(purity, 9))
-    return now.select("host", "shape", "template").join(pure, ["host", "template"]).select("host", "shape", "template", "labelled", "bad", "purity")
+    return salted_join(every.select("host", "shape", "template"), pure, ["host", "template"], ["shape"]).select("host", "shape", "template", "labelled", "bad", "purity")
+
+
+def _marks(now: DataFrame, tree: Tree) -> DataFrame:
+    """Leaves (host, template, segment, n, l, b) -> (host, template, segment, mark): what each branch's segment becomes."""
+    parent = ["host", "template"]
+    branch = stored(now.groupBy(*parent, "segment").agg(*(F.sum(c).alias(f"{c}1") for c in "nlb")), "branches")
+    above = branch.groupBy(*parent).agg(F.count("*").alias("k"), *(F.sum(f"{c}1").alias(f"{c}0") for c in "nlb"))
+    p = F.when(F.col("l0") > 0, F.col("b0") / F.col("l0")).otherwise(0.0)
+    smoothed = (F.col("b1") + tree.weight * p) / (F.col("l1") + tree.weight)
+    variable = (F.col("k") >= tree.branches) & (F.col("k") >= tree.share * F.col("n0"))
+    branch = stored(
+        salted_join(branch, above, parent, ["segment"]).select(*parent, "segment", "l1", "b1", F.when(~variable, F.round(smoothed * tree.steps).cast("int")).alias("place")), "placed"
+    )
+    # At most steps + 1 places a parent, so that the list below is short whatever the number of branches.
+    places = branch.filter("place IS NOT NULL").groupBy(*parent, "place").agg(F.count("*").alias("k"), F.sum("l1").alias("l"), F.sum("b1").alias("b"))
+    listed = places.groupBy(*parent).agg(F.array_sort(F.collect_list(F.struct("place", "k", "l", "b"))).alias("places"))
+
+    def merged(s: Column, x: Column) -> Column:
+        u, v = (s.b + 1) / (s.l + 2), (x.b + 1) / (x.l + 2)
+        apart = (s.l > 0) & (x.l > 0) & (F.abs(u - v) > tree.z * F.sqrt(u * (1 - u) / (s.l + 2) + v * (1 - v) / (x.l + 2)))
+        group = F.when(apart, s.group + 1).otherwise(s.group)
+        own = F.array(F.struct(x.place.alias("place"), x.k.alias("k"), group.alias("group")))
+        l, b = (F.when(apart, x[c]).otherwise(s[c] + x[c]).alias(c) for c in "lb")
+        return F.struct(l, b, group.alias("group"), F.concat(s.out, own).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("l"), F.lit(0).cast("long").alias("b"), F.lit(1).alias("group"), F.array().cast("array<struct<place: int, k: long, group: int>>").alias("out"))
+    groups = listed.select(*parent, F.explode(F.aggregate("places", start, merged)["out"]).alias("o")).select(*parent, "o.place", "o.k", "o.group")
+    groups = groups.withColumn("size", F.sum("k").over(Window.partitionBy(*parent, "group")))
+    groups = groups.withColumn("several", F.size(F.collect_set(F.when(F.col("size") > 1, F.col("group"))).over(Window.partitionBy(*parent))))
+    found = salted_join(branch, groups.drop("k"), [*parent, "place"], ["segment"], "left")
+    mark = F.when(F.col("place").isNull() | ((F.col("size") > 1) & (F.col("several") == 1)), "*").when(F.col("size") > 1, F.concat(F.lit("*"), F.col("group").cast("string"))).otherwise(F.col("segment"))
+    return found.select(*parent, "segment", mark.alias("mark"))
 
 
 def judge(pages: DataFrame, bad: DataFrame, rules: tuple[Rule, ...] = RULES, tree: Tree = Tree()) -> DataFrame:
@@ -129,7 +159,8 @@ def judge(pages: DataFrame, bad: DataFrame, rules: tuple[Rule, ...] = RULES, tre
     one fits, else the purity of the page's template does.  Null urls and
     those without :// have an empty host and path, and share one template.
     Repeated rows come back as often as they came, a null page_id has no label;
-    without any label everything is allowed that no rule blocks.
+    without any label everything is allowed that no rule blocks.  Urls of any
+    length and depth are judged whole; an empty table gives an empty one.
     """
     own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     own = own.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
@@ -138,7 +169,7 @@ def judge(pages: DataFrame, bad: DataFrame, rules: tuple[Rule, ...] = RULES, tre
     known = templates(own.join(labels, "page_id", "left").select("host", "shape", "bad"), tree)
     ruled = own.withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
     method = F.when(F.col("purity") < tree.least_purity, "block").otherwise("allow")
-    return ruled.join(known.select("host", "shape", "template", "purity"), ["host", "shape"]).select(
+    return salted_join(ruled, stored(known.select("host", "shape", "template", "purity"), "known"), ["host", "shape"], ["page_id", "path"]).select(
         "page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", method).alias("verdict"), "template", "purity"
     )
 
