@@ -1,8 +1,8 @@
 """Operators on pages and conversations against brute force."""
 
-import random
 import gzip
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -57,7 +57,8 @@ def test_arc_versions_and_errors():
         body = arc_to_warc.version_block(version, "n.arc", "20080430204825")
         record = arc_to_warc.arc_record(version, "http://a/", "20080430204825", block, len(body), "n.arc")
         for content in (body + record + record, gzip.compress(body) + gzip.compress(record) + gzip.compress(record)):
-            first, second = arc_to_warc.parse_arc(content)
+            about, first, second = arc_to_warc.parse_arc(content)
+            assert about["URL"] == "filedesc://n.arc" and about["at"] == 0
             assert first["URL"] == "http://a/" and first["block"] == second["block"] == block and first["at"] < second["at"]
             assert set(first) == {*arc_to_warc.FIELDS[version], "archive", "at", "block"}
         with pytest.raises(ValueError):
@@ -224,3 +225,56 @@ def test_templates_against_loops(spark):
     tops = {t.split("/")[1] for (h, _), (t, _) in found.items() if h == "a.org"}
     assert any(t.startswith("*") for t in tops)
     assert url_templates.templates(df.limit(0), tree).count() == 0
+
+
+def crawl(n):
+    """An ARC file of a gzip member a record, with a record that is no HTTP message."""
+    import gzip
+
+    A = arc_to_warc
+    records = [A.version_block(1, "old.arc", "20010203040506")]
+    records += [A.arc_record(1, f"http://h.example/{k}", "20010203040506", A.http_message(bytes(f"page {k % 7} ", "ascii") * 40, k), 0, "old.arc") for k in range(n)]
+    records.append(A.arc_record(1, "dns:h.example", "20010203040506", b"h.example 3600 IN A 192.0.2.1 " * 5, 0, "old.arc"))
+    records.append(records[-1])
+    return b"".join(gzip.compress(r, 1) for r in records)
+
+
+def test_members_resources_and_warcinfo(spark, tmp_path):
+    folder = tmp_path / "arcs"
+    folder.mkdir()
+    (folder / "part-0.arc.gz").write_bytes(crawl(30))
+    found = arc_to_warc.convert(spark, str(folder))
+    assert {(r.kind, r["count"]) for r in found.groupBy("kind").count().collect()} == {("response", 30), ("resource", 2), ("warcinfo", 1)}
+    arc_to_warc.write_warc(arc_to_warc.with_types(found), str(tmp_path / "warcs"))
+    rows = arc_to_warc.read_warc(spark, str(tmp_path / "warcs")).collect()
+    assert Counter(r.record_type for r in rows) == {"response": 7, "revisit": 23, "resource": 2}
+    assert all(r.refers_to == r.page_id % 7 for r in rows if r.record_type == "revisit")
+    assert {(r.payload_bytes, r.target) for r in rows if r.record_type == "resource"} == {(150, "dns:h.example")}
+    files = b"".join(arc_to_warc.unpacked(f.read_bytes())[0] for f in (tmp_path / "warcs").glob("part-*"))
+    fields = [f for f, _ in arc_to_warc.parse_warc(files)]
+    assert [f["warc-filename"] for f in fields if f["warc-type"] == "warcinfo"] == ["old.arc"]
+    assert all(f["warc-refers-to-target-uri"].startswith("http://h.example/") and f["warc-refers-to-date"] == "2001-02-03T04:05:06Z" for f in fields if f["warc-type"] == "revisit")
+
+
+def test_many_members_take_linear_time():
+    import time
+
+    whole = crawl(40_000)
+    began = time.time()
+    assert sum(1 for _ in arc_to_warc.parse_arc(whole)) == 40_003
+    assert time.time() - began < 20
+
+
+def test_damaged_archives_are_reported(spark, tmp_path):
+    folder = tmp_path / "arcs"
+    folder.mkdir()
+    whole = crawl(5)
+    (folder / "part-0.arc.gz").write_bytes(whole)
+    (folder / "part-1.arc.gz").write_bytes(whole[:-20])
+    (folder / "part-2.arc").write_bytes(arc_to_warc.unpacked(whole)[0][:-40])
+    found = arc_to_warc.convert(spark, str(folder), strict=False)
+    assert sorted(r.path.rsplit("/", 1)[1] for r in arc_to_warc.damaged(found).collect()) == ["part-1.arc.gz", "part-2.arc"]
+    assert Counter(r.kind for r in found.collect()) == {"response": 15, "resource": 4, "warcinfo": 3, "damaged": 2}
+    assert arc_to_warc.with_types(found).filter("record_type = 'damaged'").count() == 0
+    with pytest.raises(Exception, match="damaged|no ARC record"):
+        arc_to_warc.convert(spark, str(folder)).count()

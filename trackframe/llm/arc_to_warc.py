@@ -5,14 +5,18 @@ line of a record has; a record is such a line, the declared number of bytes
 and a new line.  The converter reads the fields of either version, cuts blocks
 by their declared lengths and makes up what WARC asks for and ARC lacks:
 record identifiers (from the archive's fields, so that a second run gives the
-same), timestamps, types and digests.  Archives are written through Spark's
+same), timestamps, types and digests.  The version block becomes a warcinfo
+record, an HTTP message a response (or a revisit of one), anything else a
+resource.  Archives are written through Spark's
 text writer, one value a file, whose line separator is the last byte; so they
 may lie in any file system that Spark knows.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -98,26 +102,28 @@ def write_arc(pages: DataFrame, path: str, file_bytes: int = 16 << 20, date: str
     packed.write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
 
 
-def _unpacked(content: bytes) -> bytes:
-    """The bytes of an archive, whether whole or of gzip members."""
+def unpacked(content: bytes) -> tuple[bytes, str | None]:
+    """The bytes of an archive, whether whole or of gzip members, and what is wrong after them; one pass, however many members."""
     if content[:2] != b"\x1f\x8b":
-        return content
+        return content, None
     out = []
-    while content:
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(content))
-        content = member.unused_data
-    return b"".join(out)
+    try:
+        with gzip.GzipFile(fileobj=io.BytesIO(content)) as f:
+            while some := f.read1(1 << 20):
+                out.append(some)
+    except (EOFError, OSError, zlib.error) as e:
+        return b"".join(out), f"a damaged gzip file: {e}"
+    return b"".join(out), None
 
 
 def parse_arc(content: bytes) -> Iterator[dict]:
-    """The records of an ARC file after its version block: fields by name, offset and block.
+    """The records of an ARC file, its version block first (``URL`` is filedesc://...): fields by name, offset and block.
 
     Which fields a header line has is read from the version block; the URL
     is what comes before the last ones, so that blanks in it do no harm.  A
     length that is not a number or reaches beyond the file raises ValueError.
     """
-    data = _unpacked(content)
+    data, wrong = unpacked(content)
     at, fields, archive = 0, None, ""
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
@@ -134,9 +140,12 @@ def parse_arc(content: bytes) -> Iterator[dict]:
             if not line.startswith("filedesc:"):
                 raise ValueError("an ARC file starts with its version block")
             fields, archive = block.split(b"\n")[1].decode().split(" "), parts[0]
+            yield {"URL": parts[0], "Archive-date": parts[2], "Content-type": parts[3], "archive": archive, "at": at, "block": block}
         else:
             yield dict(zip(fields, parts)) | {"archive": archive, "at": at, "block": block}
         at = end + 1 + len(block)
+    if wrong:
+        raise ValueError(wrong)
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -156,67 +165,96 @@ def arc_date(text: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-RECORD = "record_id string, target string, date string, head binary, payload binary, digest string, bytes long, page_id long"
+RECORD = "record_id string, target string, date string, head binary, payload binary, digest string, bytes long, page_id long, kind string, content_type string"
 
 
-def convert(spark: SparkSession, path: str) -> DataFrame:
-    """ARC files -> what their WARC records need: identifier, target, timestamp, HTTP head, payload, digest, length, page id."""
+def _converted(r: dict) -> tuple:
+    """What the WARC record of an ARC record needs, in the order of RECORD."""
+    if r["at"] == 0:
+        head, payload, kind, media = b"", r["block"], "warcinfo", "text/plain"
+    else:
+        head, payload = split_http(r["block"])
+        kind, media = ("response", "application/http; msgtype=response") if head else ("resource", r.get("Content-type", "application/octet-stream"))
+    digest = hashlib.sha256(payload).hexdigest()
+    page = re.search(rb"(?im)^X-Page-Id: (-?\d+)", head)
+    key = f"{r['archive']} {r['URL']} {r['Archive-date']} {r['at']} {page[1].decode() if page else ''} {digest}"
+    name = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, key)}"
+    return (name, r["URL"], arc_date(r["Archive-date"]), head, payload, digest, len(payload), int(page[1]) if page else None, kind, media)
+
+
+def convert(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """ARC files -> what their WARC records need: identifier, target, timestamp, HTTP head, payload, digest, length, page id, kind, content type.
+
+    A damaged file raises ValueError; unless ``strict``, what lies before the
+    damage is converted, and the file gives a row of kind "damaged" with its
+    path as target and the reason as payload.
+    """
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split(" ")[0] for c in RECORD.split(", ")]
-        kinds = [pa.string()] * 3 + [pa.binary()] * 2 + [pa.string(), pa.int64(), pa.int64()]
+        kinds = [pa.string()] * 3 + [pa.binary()] * 2 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
         for batch in batches:
             for k in range(batch.num_rows):
                 rows: list[tuple] = []
                 size = 0
-                for r in parse_arc(batch.column(0)[k].as_buffer().to_pybytes()):
-                    head, payload = split_http(r["block"])
-                    digest = hashlib.sha256(payload).hexdigest()
-                    page = re.search(rb"(?im)^X-Page-Id: (-?\d+)", head)
-                    key = f"{r['archive']} {r['URL']} {r['Archive-date']} {r['at']} {page[1].decode() if page else ''} {digest}"
-                    name = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, key)}"
-                    rows.append((name, r["URL"], arc_date(r["Archive-date"]), head, payload, digest, len(payload), int(page[1]) if page else None))
-                    size += len(payload)
-                    if size >= 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-                        rows, size = [], 0
+                try:
+                    for r in parse_arc(batch.column(0)[k].as_buffer().to_pybytes()):
+                        rows.append(_converted(r))
+                        size += rows[-1][6]
+                        if size >= 4 << 20:
+                            yield out(rows)
+                            rows, size = [], 0
+                except ValueError as e:
+                    if strict:
+                        raise
+                    rows.append((None, batch.column(1)[k].as_py(), None, b"", str(e).encode(), None, 0, None, "damaged", None))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                    yield out(rows)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(records, RECORD)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content", "path").mapInArrow(records, RECORD)
 
 
-def with_types(records: DataFrame, least: int = 100) -> DataFrame:
-    """Records -> with record_type, refers_to (page id) and refers_to_id of the response that a revisit repeats.
+def damaged(converted: DataFrame) -> DataFrame:
+    """(path, reason) of the files that ``convert`` could not read to their end."""
+    return converted.filter("kind = 'damaged'").select(F.col("target").alias("path"), F.col("payload").cast("string").alias("reason"))
 
-    Of records with equal payloads of at least ``least`` bytes that with the
-    smallest page id (then identifier; ids before nulls) is the response.
-    Digests are grouped with partial sums, and only narrow rows meet in the
-    join on them; payloads are joined by record identifier, which is unique.
+
+def with_types(records: DataFrame, least: int = 100) -> DataFrame:
+    """Records -> with record_type, and of revisits the page id, identifier, target and date of the response that they repeat.
+
+    Of responses with equal payloads of at least ``least`` bytes that with the
+    smallest page id (then identifier; ids before nulls) stays one.  Resources
+    and warcinfo records keep their kind and block; rows of damaged files are
+    left out.  Digests are grouped with partial sums, and only narrow rows meet
+    in the join on them; payloads are joined by record identifier, which is
+    unique.
     """
-    key = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id")
-    narrow = records.select("record_id", "page_id", "digest", "bytes").filter(F.col("bytes") >= least)
-    first = narrow.groupBy("digest").agg(F.min(key).alias("f"), F.count("*").alias("n")).filter("n > 1").select("digest", F.col("f.page_id").alias("refers_to"), F.col("f.record_id").alias("refers_to_id"))
-    again = narrow.join(first, "digest").filter("record_id <> refers_to_id").select("record_id", "refers_to", "refers_to_id", F.lit("revisit").alias("record_type"))
-    return records.join(again, "record_id", "left").withColumn("record_type", F.coalesce("record_type", F.lit("response")))
+    records = records.filter("kind <> 'damaged'")
+    key = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id", "target", "date")
+    narrow = records.filter((F.col("bytes") >= least) & (F.col("kind") == "response")).select("record_id", "page_id", "digest", "target", "date")
+    first = narrow.groupBy("digest").agg(F.min(key).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    first = first.select("digest", F.col("f.page_id").alias("refers_to"), F.col("f.record_id").alias("refers_to_id"), F.col("f.target").alias("refers_to_target"), F.col("f.date").alias("refers_to_date"))
+    again = narrow.select("record_id", "digest").join(first, "digest").filter("record_id <> refers_to_id").drop("digest").withColumn("record_type", F.lit("revisit"))
+    return records.join(again, "record_id", "left").withColumn("record_type", F.coalesce("record_type", "kind"))
 
 
 def warc_record(r: dict) -> bytes:
     """One WARC record; a revisit has the HTTP head alone as its block."""
-    revisit = r["record_type"] == "revisit"
-    block = r["head"] if revisit else r["head"] + r["payload"]
-    head = [
-        ("WARC-Type", r["record_type"]),
-        ("WARC-Record-ID", f"<{r['record_id']}>"),
-        ("WARC-Date", r["date"]),
-        ("WARC-Target-URI", r["target"]),
-        ("WARC-Payload-Digest", f"sha256:{r['digest']}"),
-        ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"),
-        ("Content-Type", "application/http; msgtype=response"),
-        ("Content-Length", str(len(block))),
-    ]
-    if revisit:
+    kind = r["record_type"]
+    block = r["head"] if kind == "revisit" else r["head"] + r["payload"]
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{r['record_id']}>"), ("WARC-Date", r["date"])]
+    if kind == "warcinfo":
+        head += [("WARC-Filename", r["target"].removeprefix("filedesc://"))]
+    else:
+        head += [("WARC-Target-URI", r["target"]), ("WARC-Payload-Digest", f"sha256:{r['digest']}")]
+    head += [("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"), ("Content-Type", r["content_type"]), ("Content-Length", str(len(block)))]
+    if kind == "revisit":
         head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{r['refers_to_id']}>")]
+        head += [("WARC-Refers-To-Target-URI", r["refers_to_target"]), ("WARC-Refers-To-Date", r["refers_to_date"])]
         head += [("X-Refers-To-Page", str(r["refers_to"]))] if r["refers_to"] is not None else []
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + _CRLF + block + _CRLF + _CRLF
 
@@ -243,7 +281,7 @@ def write_warc(records: DataFrame, path: str, file_bytes: int = 16 << 20) -> Non
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records of a WARC file: named fields (lower-case) and the block, cut by its declared length."""
-    data = _unpacked(content)
+    data, wrong = unpacked(content)
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
@@ -257,13 +295,16 @@ def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError(f"the WARC record at byte {at} has another length than declared")
         yield fields, block
         at = end + 8 + n
+    if wrong:
+        raise ValueError(wrong)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """WARC files -> (page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, target, date), a row a record.
 
-    Length and digest are those of the full payload, also for revisits; a
-    response's payload is held against both.
+    Length and digest are those of the full payload, also for revisits; the
+    payload of a response or resource is held against both.  warcinfo records
+    give no row.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,13 +314,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for k in range(batch.num_rows):
                 out = []
                 for f, block in parse_warc(batch.column(0)[k].as_buffer().to_pybytes()):
+                    if f["warc-type"] == "warcinfo":
+                        continue
                     head, payload = split_http(block)
                     page, size = re.search(rb"(?im)^X-Page-Id: (-?\d+)", head), re.search(rb"(?im)^Content-Length: (\d+)", head)
                     digest = f["warc-payload-digest"].removeprefix("sha256:")
-                    response = f["warc-type"] == "response"
-                    if response and hashlib.sha256(payload).hexdigest() != digest:
+                    whole = f["warc-type"] != "revisit"
+                    if whole and hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"{f['warc-record-id']} has another payload than its digest says")
-                    n = len(payload) if response or not size else int(size[1])
+                    n = len(payload) if whole or not size else int(size[1])
                     other = f.get("x-refers-to-page")
                     out.append((int(page[1]) if page else None, n, digest, f["warc-type"], int(other) if other else None, f["warc-record-id"].strip("<>"), f["warc-target-uri"], f["warc-date"]))
                 if out:
