@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackframe.operators import finder, fits, graph, growing, hits, reconstruct, score, shape
+from trackframe.plans.fitting import KM
 from trackframe.plans.registry import query
 
 C = F.col
@@ -269,7 +270,8 @@ def curvature_pairs(v):
     return shape.curvature_pairs(radii, 0.002)
 
 
-@query()
+@query("SELECT a.event_id, a.track_id AS a, b.track_id AS b FROM ks a JOIN ks b ON a.event_id = b.event_id AND a.track_id < b.track_id WHERE abs(a.k - b.k) < 0.002", "f_points", KM | {
+    "ks": "SELECT event_id, track_id, round(1 / r, 9) AS k FROM kasa WHERE r > 0"})
 def curvature_pairs_fitted(v):
     return shape.curvature_pairs(fits.kasa(v("f_points"), ["event_id", "track_id"]), 0.002)
 
