@@ -31,14 +31,19 @@ def by_event(hits: DataFrame) -> DataFrame:
     )
 
 
-def batch_events(hits: DataFrame, n: int) -> DataFrame:
+def batch_events(hits: DataFrame, n: int, span: int = 4096) -> DataFrame:
     """Hits with batch_id: every ``n`` events in the order of their ids are one.
 
-    Events are ranked by their distinct ids, so the rank is over events, not hits.
+    Events are ranked by their distinct ids, so the rank is over events, not
+    hits: within spans of ids, and by the events of the spans before.  Those
+    are one row a span.
     """
-    events = hits.select("event_id").distinct()
-    ranked = events.withColumn("batch_id", F.floor((F.row_number().over(Window.orderBy("event_id")) - 1) / n))
-    return hits.join(ranked, "event_id")
+    events = hits.select("event_id", F.floor(F.col("event_id") / span).alias("span")).distinct()
+    before = F.sum("n").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = events.groupBy("span").agg(F.count("*").alias("n")).select("span", F.coalesce(before, F.lit(0)).alias("earlier"))
+    inside = F.row_number().over(Window.partitionBy("span").orderBy("event_id")) - 1
+    ranked = events.withColumn("inside", inside).join(earlier, "span")
+    return hits.join(ranked.select("event_id", F.floor((F.col("earlier") + F.col("inside")) / n).alias("batch_id")), "event_id")
 
 
 def run_ids(hits: DataFrame, by: list[str]) -> DataFrame:
