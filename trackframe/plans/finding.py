@@ -97,9 +97,23 @@ def anchors(v):
     return rounded(finder.anchors(tracks(v), v("f_nodes")), "xyz")
 
 
-@query()
+#: Members between the means of the straight layers before and after, and where the line through these meets the tube.
+LEVEL = "CASE WHEN s.at_ IS NOT NULL THEN {'l': s.layer, 'x': lx, 'y': ly} END"
+ALONG = "OVER (PARTITION BY m.event_id, m.track_id ORDER BY pos ROWS BETWEEN"
+BETWEEN = f"""SELECT m.*, n.x - n.half_length * n.dx AS x3, n.y - n.half_length * n.dy AS y3, n.z - n.half_length * n.dz AS z3, n.x + n.half_length * n.dx AS x4, n.y + n.half_length * n.dy AS y4, n.dy, n.dz,
+  last_value({LEVEL} IGNORE NULLS) {ALONG} UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, first_value({LEVEL} IGNORE NULLS) {ALONG} 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a
+  FROM mem m JOIN f_nodes n ON n.det_id = m.det_id LEFT JOIN (SELECT event_id, track_id, layer, avg(x) AS lx, avg(y) AS ly, min(pos) AS at_ FROM mem WHERE node_type = 1 GROUP BY ALL) s ON s.event_id = m.event_id AND s.track_id = m.track_id AND s.at_ = m.pos"""
+MET = """SELECT *, CASE WHEN k <> 0 THEN (c1 * vx - ux * c2) / k END AS ix, CASE WHEN k <> 0 THEN (c1 * vy - uy * c2) / k END AS iy FROM (SELECT *, ux * vy - uy * vx AS k, b.x * a.y - b.y * a.x AS c1, x3 * y4 - y3 * x4 AS c2 FROM (
+  SELECT *, b.x - a.x AS ux, b.y - a.y AS uy, x3 - x4 AS vx, y3 - y4 AS vy, coalesce(node_type = 2 AND abs(b.l - a.l) >= 2, false) AS usable FROM btw))"""
+MOVED = """SELECT event_id, track_id, pos, det_id, layer, CASE WHEN usable THEN px ELSE x END AS cx, CASE WHEN usable THEN py ELSE y END AS cy, CASE WHEN usable AND k <> 0 THEN z3 + dz * (py - y3) / nullif(dy, 0) ELSE 0 END AS cz FROM (
+  SELECT *, CASE WHEN ix IS NULL THEN x WHEN on_ THEN ix WHEN first_ THEN x3 ELSE x4 END AS px, CASE WHEN ix IS NULL THEN y WHEN on_ THEN iy WHEN first_ THEN y3 ELSE y4 END AS py FROM (
+  SELECT *, sqrt((ix - x3) ** 2 + (iy - y3) ** 2) + sqrt((ix - x4) ** 2 + (iy - y4) ** 2) <= sqrt((x4 - x3) ** 2 + (y4 - y3) ** 2) + 1 AS on_, sqrt((ix - x3) ** 2 + (iy - y3) ** 2) < sqrt((ix - x4) ** 2 + (iy - y4) ** 2) AS first_ FROM met))"""
+SKEW = {"mem": MEM, "btw": BETWEEN, "met": MET, "moved": MOVED}
+
+
+@query("SELECT event_id, track_id, pos, det_id, round(cx, 4) AS cx, round(cy, 4) AS cy, round(cz, 3) AS cz FROM moved", VIEWS, SKEW)
 def correct_skew(v):
-    return finder.correct_skew(tracks(v), v("f_nodes"))
+    return rounded(rounded(finder.correct_skew(tracks(v), v("f_nodes")), ["cx", "cy"]), ["cz"], 3)
 
 
 CAND = "SELECT h.event_id, h.track_id, e.dst AS det_id FROM (SELECT event_id, track_id, arg_max(det_id, pos) AS head FROM mem GROUP BY ALL) h JOIN ae e ON e.event_id = h.event_id AND e.src = h.head WHERE NOT EXISTS (SELECT 1 FROM mem m WHERE m.event_id = h.event_id AND m.track_id = h.track_id AND m.det_id = e.dst)"
@@ -138,7 +152,13 @@ def absorb_same_layer(v):
     return finder.absorb_same_layer(tracks(v), active(v), active_edges(v), v("f_nodes"), rounds=1)
 
 
-@query()
+#: Rounds of absorbing: a free node has the track of its first neighbour among those that the last round reached.
+ABSORBED = """SELECT r.event_id, r.det_id, r.track_id FROM (WITH RECURSIVE r(event_id, det_id, track_id) USING KEY (event_id, det_id) AS (SELECT event_id, det_id, track_id FROM owned UNION
+  SELECT e.event_id, e.src, arg_min(r.track_id, e.dst) FROM r JOIN ae e ON e.event_id = r.event_id AND e.dst = r.det_id AND e.src_layer = e.dst_layer
+  ANTI JOIN recurring.r k ON k.event_id = e.event_id AND k.det_id = e.src GROUP BY e.event_id, e.src) SELECT * FROM r) r SEMI JOIN free ON free.event_id = r.event_id AND free.det_id = r.det_id"""
+
+
+@query(ABSORBED, VIEWS, GRAPH | {"mem": MEM, "owned": OWNED, "free": FREE})
 def absorb_all(v):
     return finder.absorb_same_layer(tracks(v), active(v), active_edges(v), v("f_nodes"))
 
@@ -154,17 +174,30 @@ def leftover_components(v):
     return finder.leftover_components(tracks(v), active(v), active_edges(v))
 
 
-@query()
+POINTING = """SELECT event_id, track_id, e, sector, layer_limit, x, y, x - ox AS ux, y - oy AS uy FROM (
+  SELECT *, 'tail' AS e, lead(x) OVER w AS ox, lead(y) OVER w AS oy, row_number() OVER w AS k, count(*) OVER t AS n, arg_min(layer_limit, pos) OVER t AND arg_max(layer_limit, pos) OVER t AS closed FROM mem WINDOW w AS (PARTITION BY event_id, track_id ORDER BY pos), t AS (PARTITION BY event_id, track_id)
+  UNION ALL SELECT *, 'head', lead(x) OVER w, lead(y) OVER w, row_number() OVER w, count(*) OVER t, arg_min(layer_limit, pos) OVER t AND arg_max(layer_limit, pos) OVER t FROM mem WINDOW w AS (PARTITION BY event_id, track_id ORDER BY pos DESC), t AS (PARTITION BY event_id, track_id)) WHERE k = 1 AND n > 1 AND NOT closed"""
+ENDED = """SELECT event_id, track_a, end_a, track_b, end_b, angle FROM (SELECT *, row_number() OVER (PARTITION BY event_id, track_a, end_a ORDER BY place) AS choice FROM (
+  SELECT *, abs(round(atan2(ax * -by_ - ay * -bx, ax * -bx + ay * -by_) * 180 / 3.14::DOUBLE, 3)) AS angle FROM (SELECT *, row_number() OVER (PARTITION BY event_id, track_a, end_a ORDER BY away, track_b, end_b) AS place FROM (
+  SELECT a.event_id, a.track_id AS track_a, a.e AS end_a, b.track_id AS track_b, b.e AS end_b, a.ux AS ax, a.uy AS ay, b.ux AS bx, b.uy AS by_, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 5) AS away
+  FROM po a JOIN po b ON a.event_id = b.event_id AND a.track_id <> b.track_id AND (abs(a.sector - b.sector) <= 1 OR (abs(a.sector - b.sector) = 5 AND a.e = 'head')) WHERE NOT a.layer_limit) WHERE away < 6) WHERE place <= 5) WHERE angle < 70) WHERE choice = 1"""
+
+
+@query(ENDED, VIEWS, {"mem": MEM, "po": POINTING})
 def propose_from_ends(v):
     return finder.propose_from_ends(tracks(v), v("f_nodes"))
 
 
-@query("SELECT event_id, track_id, min(r) AS merged_id FROM (WITH RECURSIVE reach(event_id, track_id, r) AS (SELECT DISTINCT event_id, track_id, track_id FROM mem UNION SELECT l.event_id, l.b, reach.r FROM reach JOIN lk l ON l.event_id = reach.event_id AND l.a = reach.track_id) SELECT * FROM reach) GROUP BY ALL", VIEWS, {
+MERGED = "SELECT event_id, track_id, min(r) AS merged_id FROM (WITH RECURSIVE reach(event_id, track_id, r) AS (SELECT DISTINCT event_id, track_id, track_id FROM mem UNION SELECT l.event_id, l.b, reach.r FROM reach JOIN lk l ON l.event_id = reach.event_id AND l.a = reach.track_id) SELECT * FROM reach) GROUP BY ALL"
+LINKED = {
     "mem": MEM, "sym": SYM, "en": "SELECT event_id, track_id, arg_max(det_id, pos) AS head, arg_min(det_id, pos) AS tail FROM mem GROUP BY ALL",
     "ab": "SELECT a.event_id, a.track_id AS a, b.track_id AS b FROM en a JOIN sym ON src = a.head JOIN en b ON b.event_id = a.event_id AND b.tail = dst AND b.track_id <> a.track_id",
     "one": "SELECT event_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY event_id, a ORDER BY b) AS p, row_number() OVER (PARTITION BY event_id, b ORDER BY a) AS q FROM ab) WHERE p = 1 AND q = 1",
     "lk": "SELECT event_id, a, b FROM one UNION SELECT event_id, b, a FROM one",
-})
+}
+
+
+@query(MERGED, VIEWS, LINKED)
 def merged_ids(v):
     return finder.merged_ids(tracks(v).select("event_id", "track_id").distinct(), head_tail_links(v))
 
@@ -179,7 +212,18 @@ def head_tail_links(v):
     return finder.mutual(both)
 
 
-@query()
+#: Chains walked from their first free end (a loop from its smallest track's tail), then their members in order, each node where it comes first.
+WALK = """SELECT * FROM (WITH RECURSIVE w(event_id, merged_id, track_id, entered, step, first_) AS (
+  SELECT event_id, merged_id, s.t, s.e, 0, s.t FROM (SELECT i.event_id, i.merged_id, min({'none': f.e IS NULL, 't': i.track_id, 'e': coalesce(f.e, 'tail')}) AS s FROM mid i LEFT JOIN free_ends f ON f.event_id = i.event_id AND f.track_id = i.track_id GROUP BY ALL)
+  UNION ALL SELECT w.event_id, merged_id, b, eb, step + 1, first_ FROM w JOIN ends_linked l ON l.event_id = w.event_id AND l.a = w.track_id AND l.ea <> w.entered WHERE b <> first_) SELECT * FROM w)"""
+LAID = """SELECT event_id, merged_id AS track_id, row_number() OVER (PARTITION BY event_id, merged_id ORDER BY step, key) AS pos, det_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id, merged_id, det_id ORDER BY step, key) AS copy FROM (
+  SELECT m.event_id, w.merged_id, m.det_id, step, CASE WHEN entered = 'head' THEN -pos ELSE pos END AS key FROM mem m JOIN walk w ON w.event_id = m.event_id AND w.track_id = m.track_id)) WHERE copy = 1"""
+
+
+@query(LAID, VIEWS, LINKED | {
+    "mid": MERGED, "ends_linked": "SELECT event_id, a, 'head' AS ea, b, 'tail' AS eb FROM one UNION ALL SELECT event_id, b, 'tail', a, 'head' FROM one",
+    "free_ends": "SELECT * FROM (SELECT event_id, track_id, 'head' AS e FROM en UNION ALL SELECT event_id, track_id, 'tail' FROM en) x ANTI JOIN ends_linked l ON l.event_id = x.event_id AND l.a = x.track_id AND l.ea = x.e", "walk": WALK,
+})
 def merge_tracks(v):
     return finder.merge_tracks(tracks(v), head_tail_links(v))
 
@@ -192,7 +236,16 @@ def dedupe_overlap(v):
     return score.without_overlapped(tracks(v))
 
 
-@query()
+#: Tracks in turn, the longest first; an event's state is the list of those that stay.
+STAYING = """SELECT event_id, track_id FROM (WITH RECURSIVE g(event_id, i, kept, track_id, stays) AS (SELECT DISTINCT event_id, 0::BIGINT, []::BIGINT[], NULL::BIGINT, false FROM turns UNION ALL
+  SELECT event_id, i, CASE WHEN stays THEN list_append(kept, track_id) ELSE kept END, track_id, stays FROM (SELECT g.event_id, t.i, g.kept, t.track_id, NOT coalesce(list_has_any(g.kept, bs), false) AS stays
+    FROM g JOIN turns t ON t.event_id = g.event_id AND t.i = g.i + 1 LEFT JOIN over_ o ON o.event_id = t.event_id AND o.a = t.track_id)) SELECT * FROM g) WHERE stays"""
+
+
+@query(STAYING, VIEWS, {
+    "mem": MEM, "size": "SELECT event_id, track_id, count(DISTINCT det_id) AS n FROM mem GROUP BY ALL", "dom": DOM, "turns": "SELECT event_id, track_id::BIGINT AS track_id, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, track_id) AS i FROM size",
+    "over_": "SELECT event_id, a, list(b::BIGINT) AS bs FROM dom WHERE m > 0.66 * least(na, nb) AND (nb > na OR (nb = na AND b < a)) GROUP BY ALL",
+})
 def dedupe_overlap_all(v):
     return finder.dedupe_overlap(tracks(v))
 

@@ -72,7 +72,18 @@ def global_error_all(v):
     return rounded(score.global_error(v("f_reco"), v("f_hits"), more_than=0), ERRORS)
 
 
-@query()
+#: True tracks in turn, each with its found ones by preference; an event's state is the list of found ones that are taken.
+GREEDY = """SELECT event_id, track_id, m.r AS reco_id, m.o AS overlap FROM (WITH RECURSIVE g(event_id, i, used, track_id, m) AS (
+  SELECT DISTINCT event_id, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::STRUCT(r BIGINT, o BIGINT) FROM turns UNION ALL
+  SELECT event_id, i, CASE WHEN m IS NULL THEN used ELSE list_append(used, m.r) END, track_id, m FROM (
+    SELECT g.event_id, t.i, g.used, t.track_id, list_filter(p.p, lambda x: NOT list_contains(g.used, x.r))[1] AS m FROM g JOIN turns t ON t.event_id = g.event_id AND t.i = g.i + 1
+    LEFT JOIN prefs p ON p.event_id = t.event_id AND p.track_id = t.track_id)) SELECT * FROM g) WHERE m IS NOT NULL"""
+
+
+@query(GREEDY, "f_hits f_reco", MORE | {
+    "turns": "SELECT event_id, track_id, row_number() OVER (PARTITION BY event_id ORDER BY l DESC, track_id) AS i FROM sz",
+    "prefs": "SELECT event_id, track_id, list({'r': reco_id::BIGINT, 'o': overlap::BIGINT} ORDER BY overlap DESC, reco_id) AS p FROM ov GROUP BY ALL",
+})
 def best_match(v):
     return score.best_match(v("f_reco"), v("f_hits"))
 
