@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackframe.operators import finder, fits, graph, growing, hits, reconstruct, score, shape
-from trackframe.plans.fitting import KM
+from trackframe.plans.fitting import KM, MOMENTS, circle_sql
 from trackframe.plans.registry import query
 
 C = F.col
@@ -302,10 +302,9 @@ def covariance(v):
     return rounded(shape.covariance(tracks(v), v("f_nodes")).drop("axis"), ["mx", "my", "sxx", "syy", "sxy", "e1", "e2"])
 
 
-@query("SELECT m.event_id, m.track_id, pos, det_id, CASE WHEN sxx * syy - sxy * sxy > 1e-6 THEN round(((x - mx) ** 2 * syy - 2 * (x - mx) * (y - my) * sxy + (y - my) ** 2 * sxx) / (sxx * syy - sxy * sxy), 3) END AS d2 FROM mem m JOIN cov c ON m.event_id = c.event_id AND m.track_id = c.track_id WHERE sxx * syy - sxy * sxy > 1e-6", VIEWS, {"mem": MEM, "cov": COV})
+@query("SELECT m.event_id, m.track_id, pos, det_id, CASE WHEN sxx * syy - sxy * sxy > 1e-6 THEN round(((x - mx) ** 2 * syy - 2 * (x - mx) * (y - my) * sxy + (y - my) ** 2 * sxx) / (sxx * syy - sxy * sxy), 3) END AS d2 FROM mem m JOIN cov c ON m.event_id = c.event_id AND m.track_id = c.track_id", VIEWS, {"mem": MEM, "cov": COV})
 def mahalanobis(v):
-    shapes = shape.covariance(tracks(v), v("f_nodes")).filter("sxx * syy - sxy * sxy > 1e-6")
-    return rounded(shape.mahalanobis(tracks(v), v("f_nodes"), shapes), ["d2"], 3)
+    return rounded(shape.mahalanobis(tracks(v), v("f_nodes"), shape.covariance(tracks(v), v("f_nodes"))), ["d2"], 3)
 
 
 ENDS = "SELECT event_id, track_id, x, y FROM (SELECT *, min(pos) OVER w AS lo, max(pos) OVER w AS hi FROM mem WINDOW w AS (PARTITION BY event_id, track_id)) WHERE pos IN (lo, hi)"
@@ -339,13 +338,29 @@ def merge_singletons(v):
     return shape.merge_singletons(tracks(v), v("f_nodes"))
 
 
-@query()
+SETS = {"truth": "SELECT event_id, track_id, tx AS x, ty AS y FROM f_hits", "tube": "SELECT event_id, track_id, x, y FROM mem", "anchor": "SELECT event_id, track_id, x, y FROM anc", "reco": "SELECT event_id, track_id, cx AS x, cy AS y FROM moved"}
+
+
+def _compare() -> str:
+    fit = lambda n: circle_sql("hyper", f"({MOMENTS.replace('FROM f_points', f'FROM ({SETS[n]})')})")
+    joins = " ".join(f"LEFT JOIN (SELECT event_id, track_id, round(1 / nullif(r, 0), 5) AS {n}_curvature FROM ({fit(n)})) {n}_fit USING (event_id, track_id)" for n in SETS)
+    first = "SELECT event_id, track_id, round(arg_min(px, seq), 6) AS px, round(arg_min(py, seq), 6) AS py, round(arg_min(pz, seq), 6) AS pz FROM f_hits GROUP BY ALL"
+    return f"SELECT * FROM ({first}) {joins} LEFT JOIN (SELECT event_id, track_id, min(scatter) AS scatter FROM ({ZED}) GROUP BY ALL) USING (event_id, track_id)"
+
+
+@query(_compare(), VIEWS, SKEW | {"anc": ANCHORS, "way": WAY, "zp": ZP})
 def curvature_compare(v):
-    """Radii of circles through the true points, the tubes and the anchors of each track, with its first momentum."""
+    """Curvatures of circles through the true points, the tubes, the anchors and the corrected points of each track, with its first momentum and its scatter angle."""
     by = ["event_id", "track_id"]
-    truth = fits.circle(v("f_hits").select(*by, C("tx").alias("x"), C("ty").alias("y")), by).select(*by, C("r").alias("truth_r"))
     own = tracks(v)
-    tubes = fits.circle(finder.placed(own, v("f_nodes")).select(*by, "x", "y"), by).select(*by, C("r").alias("tube_r"))
-    anchor = fits.circle(finder.anchors(own, v("f_nodes")).select(*by, "x", "y"), by).select(*by, C("r").alias("anchor_r"))
-    first = v("f_hits").groupBy(*by).agg(*(F.min_by(c, "seq").alias(c) for c in ("px", "py", "pz")))
-    return truth.join(first, by).join(tubes, by, "left").join(anchor, by, "left")
+    moved = finder.correct_skew(own, v("f_nodes"))
+    sets = {
+        "truth": v("f_hits").select(*by, C("tx").alias("x"), C("ty").alias("y")), "tube": finder.placed(own, v("f_nodes")), "anchor": finder.anchors(own, v("f_nodes")),
+        "reco": moved.select(*by, C("cx").alias("x"), C("cy").alias("y")),
+    }
+    found = v("f_hits").groupBy(*by).agg(*(F.round(F.min_by(c, "seq"), 6).alias(c) for c in ("px", "py", "pz")))
+    for name, points in sets.items():
+        fit = fits.circle(points.select(*by, "x", "y"), by)
+        found = found.join(fit.select(*by, F.round(1 / F.when(C("r") > 0, C("r")), 5).alias(f"{name}_curvature")), by, "left")
+    scatter = finder.reconstruct_z(own, v("f_nodes")).groupBy(*by).agg(F.round(F.min("scatter"), 4).alias("scatter"))
+    return found.join(scatter, by, "left")

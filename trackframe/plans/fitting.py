@@ -56,19 +56,41 @@ def circle_sigma(v):
     return rounded(fits.circle_sigma(points(v), fits.kasa(points(v), BY), BY), ["sigma"], 4)
 
 
-@query()
+def circle_sql(kind: str, moments: str = "moments") -> str:
+    """SQL of a Hyper, Pratt or Taubin fit: the root next to zero by plain Newton steps, many more than the fit needs."""
+    second, third, fourth, share = {
+        "hyper": ("4 * cov - 3 * mz * mz - mzz", "0", "4", -2), "pratt": ("4 * cov - 3 * mz * mz - mzz", "0", "4", 2), "taubin": ("-3 * mz * mz - mzz", "4 * mz", "0", 0),
+    }[kind]
+    value, slope = "(p0 + t * (p1 + t * (p2 + t * (p3 + t * p4))))", "(p1 + t * (2 * p2 + t * (3 * p3 + t * 4 * p4)))"
+    return f"""SELECT event_id, track_id, n, u + mx AS a, v + my AS b, sqrt(u * u + v * v + mz + {share} * root) AS r FROM (
+      SELECT *, CASE WHEN abs(det) > 1e-12 THEN (mxz * (myy - root) - myz * mxy) / 2 / det END AS u, CASE WHEN abs(det) > 1e-12 THEN (myz * (mxx - root) - mxz * mxy) / 2 / det END AS v FROM (SELECT *, root * root - root * mz + cov AS det FROM (
+      SELECT *, list_reduce(list_transform(range(60), lambda i: 0::DOUBLE), lambda t, i: CASE WHEN {slope} = 0 THEN t ELSE t - {value} / {slope} END) AS root FROM (
+      SELECT *, mxz * (mxz * myy - myz * mxy) + myz * (myz * mxx - mxz * mxy) - (mzz - mz * mz) * cov AS p0, (mzz - mz * mz) * mz + 4 * cov * mz - mxz * mxz - myz * myz AS p1, ({second})::DOUBLE AS p2, ({third})::DOUBLE AS p3, ({fourth})::DOUBLE AS p4 FROM (
+      SELECT *, mxx + myy AS mz, mxx * myy - mxy * mxy AS cov FROM {moments})))))"""
+
+
+#: A circle as its curvature, and its centre and radius where these are told by the points: under 10 m.
+CURVED = "round(1 / nullif(r, 0), 6) AS curvature, CASE WHEN r < 1000 THEN round(a, 2) END AS a, CASE WHEN r < 1000 THEN round(b, 2) END AS b, CASE WHEN r < 1000 THEN round(r, 2) END AS r"
+
+
+def curved(fit):
+    near = lambda c: F.when(C("r") < 1000, F.round(c, 2)).alias(c)
+    return fit.select(*BY, "n", F.round(1 / F.when(C("r") > 0, C("r")), 6).alias("curvature"), near("a"), near("b"), near("r"))
+
+
+@query(f"SELECT event_id, track_id, n, {CURVED} FROM ({circle_sql('hyper')})", "f_points", {"moments": MOMENTS})
 def circle_hyper(v):
-    return fits.circle(points(v), BY, "hyper")
+    return curved(fits.circle(points(v), BY, "hyper"))
 
 
-@query()
+@query(f"SELECT event_id, track_id, n, {CURVED} FROM ({circle_sql('pratt')})", "f_points", {"moments": MOMENTS})
 def circle_pratt(v):
-    return fits.circle(points(v), BY, "pratt")
+    return curved(fits.circle(points(v), BY, "pratt"))
 
 
-@query()
+@query(f"SELECT event_id, track_id, n, {CURVED} FROM ({circle_sql('taubin')})", "f_points", {"moments": MOMENTS})
 def circle_taubin(v):
-    return fits.circle(points(v), BY, "taubin")
+    return curved(fits.circle(points(v), BY, "taubin"))
 
 
 @query()
@@ -92,18 +114,34 @@ def isochrone_refit(v):
     return fits.isochrone_refit(shifted(v), BY)
 
 
-@query("SELECT p.event_id, p.track_id, k, round(abs((x - ax) * by_ - (y - ay) * bx) / sqrt(bx * bx + by_ * by_), 4) AS distance FROM f_points p JOIN (SELECT event_id, track_id, regr_intercept(x, k) AS ax, regr_slope(x, k) AS bx, regr_intercept(y, k) AS ay, regr_slope(y, k) AS by_ FROM f_points GROUP BY ALL) f ON p.event_id = f.event_id AND p.track_id = f.track_id WHERE abs(bx) + abs(by_) > 1e-6", "f_points")
+@query("SELECT p.event_id, p.track_id, k, CASE WHEN abs(bx) + abs(by_) > 1e-6 THEN round(abs((x - ax) * by_ - (y - ay) * bx) / sqrt(bx * bx + by_ * by_), 4) END AS distance FROM f_points p JOIN (SELECT event_id, track_id, regr_intercept(x, k) AS ax, regr_slope(x, k) AS bx, regr_intercept(y, k) AS ay, regr_slope(y, k) AS by_ FROM f_points GROUP BY ALL) f ON p.event_id = f.event_id AND p.track_id = f.track_id", "f_points")
 def point_line_fit_dist(v):
     x = fits.linear_fit(points(v), BY, "k", "x").select(*BY, C("intercept").alias("ax"), C("slope").alias("bx"))
     y = fits.linear_fit(points(v), BY, "k", "y").select(*BY, C("intercept").alias("ay"), C("slope").alias("by"))
-    both = points(v).join(x, BY).join(y, BY).filter("abs(bx) + abs(by) > 1e-6")
-    return both.select(*BY, "k", F.round(fits.distance_to_line(C("x"), C("y"), C("ax"), C("bx"), C("ay"), C("by")), 4).alias("distance"))
+    both = points(v).join(x, BY).join(y, BY)
+    away = fits.distance_to_line(C("x"), C("y"), C("ax"), C("bx"), C("ay"), C("by"))
+    return both.select(*BY, "k", F.when(F.expr("abs(bx) + abs(by) > 1e-6"), F.round(away, 4)).alias("distance"))
 
 
-@query()
+def _solved(axis: str) -> str:
+    """Coefficients of axis = c0 + c1 k + c2 k2 by track."""
+    sums = SUMS.replace("u * x)", f"u * {axis})").replace("sum(x)", f"sum({axis})")
+    return f"SELECT event_id, track_id, a0 - a1 * mx + a2 * mx * mx AS {axis}0, a1 - 2 * a2 * mx AS {axis}1, a2 AS {axis}2 FROM ({SOLVED.replace('FROM sums', f'FROM ({sums})')})"
+
+
+#: The distance from a point to the curve: the square's least value is between the roots of its slope's slope or beyond them, so halving finds it in each stretch.
+HALVED = "list_reduce(list_prepend([lo, hi], list_transform(range(100), lambda i: [lo, hi])), lambda g, i: CASE WHEN c0 + (g[1] + g[2]) / 2 * (c1 + (g[1] + g[2]) / 2 * (c2 + (g[1] + g[2]) / 2 * c3)) < 0 THEN [(g[1] + g[2]) / 2, g[2]] ELSE [g[1], (g[1] + g[2]) / 2] END)[1]"
+NEAREST = f"""SELECT event_id, track_id, k, round(min(sqrt((x0 + t * (x1 + t * x2) - px) ** 2 + (y0 + t * (y1 + t * y2) - py) ** 2)), 3) AS distance FROM (SELECT *, CASE WHEN c3 > 1e-12 THEN {HALVED} WHEN c1 > 1e-12 THEN -c0 / c1 END AS t FROM (
+  SELECT *, unnest(CASE WHEN c3 > 1e-12 THEN [turn - reach, turn - bend, turn + bend] ELSE [0] END) AS lo, unnest(CASE WHEN c3 > 1e-12 THEN [turn - bend, turn + bend, turn + reach] ELSE [0] END) AS hi FROM (
+  SELECT *, -c2 / (3 * c3) AS turn, sqrt(greatest(c2 * c2 - 3 * c3 * c1, 0)) / (3 * c3) AS bend, 2 + 2 * (abs(c2) + abs(c1) + abs(c0)) / c3 AS reach FROM (
+  SELECT *, 2 * (x2 * x2 + y2 * y2) AS c3, 3 * (x1 * x2 + y1 * y2) AS c2, x1 * x1 + y1 * y1 + 2 * (x2 * (x0 - px) + y2 * (y0 - py)) AS c1, x1 * (x0 - px) + y1 * (y0 - py) AS c0 FROM (
+  SELECT p.event_id, p.track_id, p.k, p.x AS px, p.y AS py, x0, x1, x2, y0, y1, y2 FROM f_points p JOIN xs ON p.event_id = xs.event_id AND p.track_id = xs.track_id JOIN ys ON p.event_id = ys.event_id AND p.track_id = ys.track_id))))) GROUP BY ALL"""
+
+
+@query(NEAREST, "f_points", {"xs": _solved("x"), "ys": _solved("y")})
 def point_quad_fit_dist(v):
     name = lambda a: [C("c0").alias(f"{a}0"), C("c1").alias(f"{a}1"), C("c2").alias(f"{a}2")]
     x = fits.quadratic_fit(points(v), BY, "k", "x").select(*BY, *name("x"))
     y = fits.quadratic_fit(points(v), BY, "k", "y").select(*BY, *name("y"))
     rows = points(v).select(*BY, "k", C("x").alias("px"), C("y").alias("py")).join(x, BY).join(y, BY)
-    return fits.distance_to_curve(rows).select(*BY, "k", "distance")
+    return rounded(fits.distance_to_curve(rows).select(*BY, "k", "distance"), ["distance"], 3)
