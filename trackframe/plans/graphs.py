@@ -164,18 +164,24 @@ def _points(v):
 
 
 C = F.col
+#: A signed angle; half a turn has no sign of its own, nor has 0.
+WHOLE = "CASE WHEN a <= -180 THEN -a ELSE a + 0 END"
 
 
-@query("SELECT event_id, reco_id, pos, abs(round(atan2((ax - x) * (cy - y) - (ay - y) * (cx - x), (ax - x) * (cx - x) + (ay - y) * (cy - y)) * 180 / 3.14159265::DOUBLE, 4)) AS angle FROM pts WHERE ax IS NOT NULL AND cx IS NOT NULL AND (ax <> x OR ay <> y) AND (cx <> x OR cy <> y)", "f_reco f_nodes", {"pts": POINTS})
+def _whole(a):
+    return F.when(a <= -180, -a).otherwise(a + 0.0)
+
+
+@query(f"SELECT event_id, reco_id, pos, {WHOLE} AS angle FROM (SELECT *, round(atan2((ax - x) * (cy - y) - (ay - y) * (cx - x), (ax - x) * (cx - x) + (ay - y) * (cy - y)) * 180 / 3.14159265::DOUBLE, 4) AS a FROM pts) WHERE ax IS NOT NULL AND cx IS NOT NULL AND (ax <> x OR ay <> y) AND (cx <> x OR cy <> y)", "f_reco f_nodes", {"pts": POINTS})
 def bend_angle(v):
     pts = _points(v).filter("ax IS NOT NULL AND cx IS NOT NULL AND (ax <> x OR ay <> y) AND (cx <> x OR cy <> y)")
-    return pts.select("event_id", "reco_id", "pos", F.abs(F.round(G.bend_angle(C("ax"), C("ay"), C("x"), C("y"), C("cx"), C("cy")), 4)).alias("angle"))
+    return pts.select("event_id", "reco_id", "pos", _whole(F.round(G.bend_angle(C("ax"), C("ay"), C("x"), C("y"), C("cx"), C("cy")), 4)).alias("angle"))
 
 
-@query("SELECT event_id, reco_id, pos, abs(round(atan2((x - ax) * (cy - y) - (y - ay) * (cx - x), (x - ax) * (cx - x) + (y - ay) * (cy - y)) * 180 / 3.14::DOUBLE, 4)) AS turn FROM pts WHERE ax IS NOT NULL AND cx IS NOT NULL", "f_reco f_nodes", {"pts": POINTS})
+@query(f"SELECT event_id, reco_id, pos, {WHOLE} AS turn FROM (SELECT *, round(atan2((x - ax) * (cy - y) - (y - ay) * (cx - x), (x - ax) * (cx - x) + (y - ay) * (cy - y)) * 180 / 3.14::DOUBLE, 4) AS a FROM pts) WHERE ax IS NOT NULL AND cx IS NOT NULL", "f_reco f_nodes", {"pts": POINTS})
 def turn_angle(v):
     pts = _points(v).filter("ax IS NOT NULL AND cx IS NOT NULL")
-    return pts.select("event_id", "reco_id", "pos", F.abs(F.round(G.turn_angle(C("x") - C("ax"), C("y") - C("ay"), C("cx") - C("x"), C("cy") - C("y")), 4)).alias("turn"))
+    return pts.select("event_id", "reco_id", "pos", _whole(F.round(G.turn_angle(C("x") - C("ax"), C("y") - C("ay"), C("cx") - C("x"), C("cy") - C("y")), 4)).alias("turn"))
 
 
 def _curve(third: str) -> str:
@@ -215,41 +221,46 @@ def closest_points(v):
     return found.select(C("src").alias("a"), C("dst").alias("b"), *(F.round(n, 3 if n[1] == "z" else 4).alias(n) for n in ("px", "py", "pz", "qx", "qy", "qz")))
 
 
-LINES = """SELECT *, CASE WHEN cross_uv <> 0 THEN (a * vx - ux * b) / cross_uv END AS ix, CASE WHEN cross_uv <> 0 THEN (a * vy - uy * b) / cross_uv END AS iy FROM (
-  SELECT *, ux * vy - uy * vx AS cross_uv, ax * cy - ay * cx AS a, x3 * y4 - y3 * x4 AS b FROM (
-  SELECT *, ax - cx AS ux, ay - cy AS uy, x3 - x4 AS vx, y3 - y4 AS vy FROM (
-  SELECT p.*, n.x AS tx, n.y AS ty, n.dy, n.dz, n.x - n.half_length * n.dx AS x3, n.y - n.half_length * n.dy AS y3, n.z - n.half_length * n.dz AS z3, n.x + n.half_length * n.dx AS x4, n.y + n.half_length * n.dy AS y4
-  FROM pts p JOIN f_reco r ON p.event_id = r.event_id AND p.reco_id = r.reco_id AND p.pos = r.pos JOIN f_nodes n ON r.det_id = n.det_id WHERE n.node_type = 2 AND ax IS NOT NULL AND cx IS NOT NULL)))"""
-OFF = "sqrt((ix - x3) ** 2 + (iy - y3) ** 2) + sqrt((ix - x4) ** 2 + (iy - y4) ** 2) > sqrt((x4 - x3) ** 2 + (y4 - y3) ** 2) + 1"
-MEET = "abs(cross_uv) > 0.01"
+#: Lines at skewed members: from the point before to the one after, from the track's first point to the one before, and along the tube.
+TUBES = "SELECT p.*, n.x AS tx, n.y AS ty, n.dy, n.dz, n.x - n.half_length * n.dx AS x3, n.y - n.half_length * n.dy AS y3, n.z - n.half_length * n.dz AS z3, n.x + n.half_length * n.dx AS x4, n.y + n.half_length * n.dy AS y4, first_value(p.x) OVER w AS ox, first_value(p.y) OVER w AS oy FROM pts p JOIN f_reco r ON p.event_id = r.event_id AND p.reco_id = r.reco_id AND p.pos = r.pos JOIN f_nodes n ON r.det_id = n.det_id WINDOW w AS (PARTITION BY p.event_id, p.reco_id ORDER BY p.pos)"
+DRAWN = """SELECT * EXCLUDE (ax, ay, cx, cy), 'around' AS line, ax, ay, cx, cy FROM tubes WHERE abs(dz) < 1 AND cx IS NOT NULL UNION ALL SELECT * EXCLUDE (ax, ay, cx, cy), 'from first', ox, oy, ax, ay FROM tubes WHERE abs(dz) < 1 AND pos > 2 UNION ALL SELECT * EXCLUDE (ax, ay, cx, cy), 'along', x3, y3, x4, y4 FROM tubes WHERE abs(dz) < 1"""
+LINES = """SELECT *, sqrt((ix - x3) ** 2 + (iy - y3) ** 2) AS w3, sqrt((ix - x4) ** 2 + (iy - y4) ** 2) AS w4, sqrt((x4 - x3) ** 2 + (y4 - y3) ** 2) + 1 AS most FROM (SELECT *, CASE WHEN cross_uv <> 0 THEN (a * vx - ux * b) / cross_uv END AS ix, CASE WHEN cross_uv <> 0 THEN (a * vy - uy * b) / cross_uv END AS iy FROM (
+  SELECT *, ux * vy - uy * vx AS cross_uv, ax * cy - ay * cx AS a, x3 * y4 - y3 * x4 AS b FROM (SELECT *, ax - cx AS ux, ay - cy AS uy, x3 - x4 AS vx, y3 - y4 AS vy FROM drawn WHERE ax IS NOT NULL)))"""
+LINED = {"pts": POINTS, "tubes": TUBES, "drawn": DRAWN, "lines": LINES}
 
 
 def _lines(v):
-    """Skewed members with the points before and after, where the line and the tube are not almost parallel."""
-    pts = _points(v).filter("node_type = 2 AND ax IS NOT NULL AND cx IS NOT NULL")
+    """Skewed members with the lines of DRAWN."""
     near, far = G.tube_ends("")
-    cross = (C("ax") - C("cx")) * (near[1] - far[1]) - (C("ay") - C("cy")) * (near[0] - far[0])
-    return pts.filter(F.abs(cross) > 0.01)
+    first = Window.partitionBy("event_id", "reco_id").orderBy("pos")
+    own = _points(v).withColumns({"ox": F.first("x").over(first), "oy": F.first("y").over(first)}).filter("node_type = 2")
+    drawn = {"around": (C("ax"), C("ay"), C("cx"), C("cy")), "from first": (C("ox"), C("oy"), C("ax"), C("ay")), "along": (*near[:2], *far[:2])}
+    lines = F.array(*(F.struct(F.lit(k).alias("line"), *(c.alias(f"l{i}") for i, c in enumerate(cs))) for k, cs in drawn.items()))
+    own = own.withColumn("l", F.explode(lines)).filter("(l.line <> 'around' OR (ax IS NOT NULL AND cx IS NOT NULL)) AND (l.line <> 'from first' OR pos > 2)")
+    return own.drop("ax", "ay", "cx", "cy").select("*", "l.line", C("l.l0").alias("ax"), C("l.l1").alias("ay"), C("l.l2").alias("bx"), C("l.l3").alias("by"))
+
+
+LINE = ["event_id", "reco_id", "pos", "line"]
 
 
-@query(f"SELECT event_id, reco_id, pos, round(ix, 2) AS ix, round(iy, 2) AS iy, CASE WHEN abs(dy) > 0.001 THEN round(z3 + dz * (iy - y3) / dy, 0) END AS iz FROM lines WHERE {MEET} AND abs(ix) < 1000 AND abs(iy) < 1000", "f_reco f_nodes", {"pts": POINTS, "lines": LINES})
+@query("SELECT event_id, reco_id, pos, line, round(ix, 3) AS ix, round(iy, 3) AS iy, CASE WHEN abs(dy) > 0.001 THEN round(z3 + dz * (iy - y3) / dy, 2) END AS iz FROM lines", "f_reco f_nodes", LINED)
 def line_intersect(v):
-    x, y, z = G.line_meets_tube(C("ax"), C("ay"), C("cx"), C("cy"), "")
-    found = _lines(v).select("event_id", "reco_id", "pos", F.round(x, 2).alias("ix"), F.round(y, 2).alias("iy"), F.when(F.abs("dy") > 0.001, F.round(z, 0)).alias("iz"))
-    return found.filter("abs(ix) < 1000 AND abs(iy) < 1000")
+    x, y, z = G.line_meets_tube(C("ax"), C("ay"), C("bx"), C("by"), "")
+    return _lines(v).select(*LINE, F.round(x, 3).alias("ix"), F.round(y, 3).alias("iy"), F.when(F.abs("dy") > 0.001, F.round(z, 2)).alias("iz"))
 
 
-@query(f"SELECT event_id, reco_id, pos, round(ix, 3) AS ix, round(iy, 3) AS iy FROM lines WHERE {MEET} AND NOT ({OFF})", "f_reco f_nodes", {"pts": POINTS, "lines": LINES})
+@query("SELECT event_id, reco_id, pos, line, coalesce(w3 + w4 <= most, false) AS met, CASE WHEN w3 + w4 <= most THEN round(ix, 3) END AS ix, CASE WHEN w3 + w4 <= most THEN round(iy, 3) END AS iy FROM lines", "f_reco f_nodes", LINED)
 def line_tube_strict(v):
-    x, y, _ = G.line_meets_tube(C("ax"), C("ay"), C("cx"), C("cy"), "")
-    found = _lines(v).filter(G.on_tube(x, y, ""))
-    return found.select("event_id", "reco_id", "pos", F.round(x, 3).alias("ix"), F.round(y, 3).alias("iy"))
+    x, y, _ = G.line_meets_tube(C("ax"), C("ay"), C("bx"), C("by"), "")
+    met = F.coalesce(G.on_tube(x, y, ""), F.lit(False))
+    return _lines(v).select(*LINE, met.alias("met"), F.when(met, F.round(x, 3)).alias("ix"), F.when(met, F.round(y, 3)).alias("iy"))
 
 
-@query(f"SELECT event_id, reco_id, pos, round(CASE WHEN NOT ({OFF}) THEN ix WHEN sqrt((ix - x3) ** 2 + (iy - y3) ** 2) < sqrt((ix - x4) ** 2 + (iy - y4) ** 2) THEN x3 ELSE x4 END, 3) AS cx, round(CASE WHEN NOT ({OFF}) THEN iy WHEN sqrt((ix - x3) ** 2 + (iy - y3) ** 2) < sqrt((ix - x4) ** 2 + (iy - y4) ** 2) THEN y3 ELSE y4 END, 3) AS cy FROM lines WHERE {MEET}", "f_reco f_nodes", {"pts": POINTS, "lines": LINES})
+@query("SELECT event_id, reco_id, pos, line, round(px, 3) AS cx, round(py, 3) AS cy, CASE WHEN ix IS NULL THEN 0 WHEN abs(dy) > 0.001 THEN round(z3 + dz * (py - y3) / dy, 2) END AS cz FROM (SELECT *, CASE WHEN ix IS NULL THEN tx WHEN w3 + w4 <= most THEN ix WHEN w3 < w4 THEN x3 ELSE x4 END AS px, CASE WHEN ix IS NULL THEN ty WHEN w3 + w4 <= most THEN iy WHEN w3 < w4 THEN y3 ELSE y4 END AS py FROM lines)", "f_reco f_nodes", LINED)
 def line_tube_clamp(v):
-    rows = _lines(v).withColumnsRenamed({"cx": "bx", "cy": "by"})
-    return G.with_clamped(rows, C("ax"), C("ay"), C("bx"), C("by"), "").select("event_id", "reco_id", "pos", F.round("cx", 3).alias("cx"), F.round("cy", 3).alias("cy"))
+    found = G.with_clamped(_lines(v), C("ax"), C("ay"), C("bx"), C("by"), "")
+    height = F.when((C("cz") == 0) | (F.abs("dy") > 0.001), F.round("cz", 2))
+    return found.select(*LINE, F.round("cx", 3).alias("cx"), F.round("cy", 3).alias("cy"), height.alias("cz"))
 
 
 @query("SELECT event_id, reco_id, pos, CASE WHEN x - ax > 1 THEN 1 WHEN x - ax < -1 THEN -1 ELSE 0 END AS dir_x, CASE WHEN y - ay > 1 THEN 1 WHEN y - ay < -1 THEN -1 ELSE 0 END AS dir_y FROM (SELECT event_id, reco_id, pos, round(x, 6) AS x, round(y, 6) AS y, round(ax, 6) AS ax, round(ay, 6) AS ay FROM pts) WHERE ax IS NOT NULL", "f_reco f_nodes", {"pts": POINTS})
