@@ -324,24 +324,35 @@ def valid_tracks(summary: DataFrame, least: int = 3) -> DataFrame:
 
 
 def reconstruct_z(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(event_id, track_id, det_id, z, scatter): heights along a track from line fits of its anchors.
+    """(event_id, track_id, det_id, z, scatter): heights along a track from line fits of its points.
 
-    The points are the origin and then the anchors from the lower layer on;
-    z and y are fitted as lines of the length in the y-z plane.  A node's
-    height lies between 0 and the fit's end by its share of the length in x
-    and y, within -40 and 110; an end beyond 110 counts as 105.  Tracks
-    without a usable anchor keep their tubes' heights.
+    Skewed nodes are corrected first (``correct_skew``); straight tubes have
+    no height of their own.  See ``heights``.
     """
-    return heights(placed(members, nodes))
+    moved = correct_skew(members, nodes).select(*TRACK, "pos", "det_id", C("cx").alias("x"), C("cy").alias("y"), C("cz").alias("z"))
+    return heights(moved.join(nodes.select("det_id", "layer"), "det_id"))
 
 
 def heights(own: DataFrame) -> DataFrame:
-    """As ``reconstruct_z``, of members that have layers and (corrected) positions already; a height of 0 is none."""
+    """Members with layers and (corrected) positions -> (event_id, track_id, det_id, z, scatter); a height of 0 is none.
+
+    The points are the origin and then the anchors from the lower layer on, of
+    heights from -35 to 105; where one or none is usable, the members whose
+    height is neither 0 nor the tubes' common 35 take their place.  z and y are fitted as lines of
+    the length in the y-z plane.  A node's height lies between 0 and the fit's
+    end by its share of the length in x and y, within -40 and 110; an end
+    beyond 110 counts as 105.  Tracks without a point keep their heights.
+    """
     order, whole = Window.partitionBy(*TRACK).orderBy("o"), Window.partitionBy(*TRACK)
-    anchor = anchors_of(own).withColumn("up", F.min_by("layer", "pos").over(whole) <= F.max_by("layer", "pos").over(whole))
-    usable = F.coalesce((C("z") != 0) & C("z").between(-35, 105), F.lit(False))
-    point = anchor.withColumn("o", F.when(C("up"), C("pos")).otherwise(-C("pos"))).withColumn("usable", usable)
-    point = point.withColumn("o", F.when(C("usable"), C("o"))).withColumn("z", F.when(C("usable"), C("z")))  # the others lie before the first and count nothing
+    fits = lambda *none: F.coalesce(~C("z").isin(*none) & C("z").between(-35, 105), F.lit(False))
+    anchor = anchors_of(own).select(*TRACK, "pos", "layer", "y", "z", fits(0.0).alias("ok"))
+    member = own.select(*TRACK, "pos", F.lit(None).cast("long").alias("layer"), "y", "z", fits(0.0, 35.0).alias("ok")).filter("ok")
+    point = anchor.unionByName(member)
+    at = F.when(C("layer").isNotNull(), C("pos"))
+    point = point.withColumns({"up": F.min_by("layer", at).over(whole) <= F.max_by("layer", at).over(whole), "enough": F.count(F.when(C("ok") & C("layer").isNotNull(), 1)).over(whole) > 1})
+    point = point.withColumn("usable", C("ok") & (C("enough") == C("layer").isNotNull()))
+    # The others lie before the first and count nothing.
+    point = point.withColumn("o", F.when(C("usable"), F.when(C("up"), C("pos")).otherwise(-C("pos")))).withColumn("z", F.when(C("usable"), C("z")))
     step = F.hypot(C("z") - F.coalesce(F.lag("z").over(order), F.lit(0.0)), C("y") - F.coalesce(F.lag(F.when(C("usable"), C("y"))).over(order), F.lit(0.0)))
     point = point.withColumn("step", step).withColumn("p", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # Sums of the line fits, in which the origin is one more point of zeros.
@@ -359,4 +370,5 @@ def heights(own: DataFrame) -> DataFrame:
     own = own.withColumn("step", step).withColumn("d", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     own = own.withColumn("total", F.max("d").over(whole))
     z = F.least(F.greatest(C("zf") * C("d") / C("total"), F.lit(-40.0)), F.lit(110.0))
-    return own.select(*TRACK, "det_id", F.coalesce(F.when(C("total") > 0, z), C("z")).alias("z"), "scatter")
+    # greatest and least pass over nulls, so a missing fit is asked for by name.
+    return own.select(*TRACK, "det_id", F.when(C("zf").isNotNull() & (C("total") > 0), z).otherwise(C("z")).alias("z"), "scatter")

@@ -255,16 +255,21 @@ def valid_tracks(v):
     return finder.valid_tracks(finder.track_summary(tracks(v), v("f_nodes")), 6).select("event_id", "track_id", "length", "number")
 
 
-ZED = """SELECT o.event_id, o.track_id, det_id, round(least(greatest(zf * d / total, -40), 110), 3) AS z, round(scatter, 4) AS scatter FROM (
-  SELECT *, max(d) OVER (PARTITION BY event_id, track_id) AS total FROM (SELECT *, sum(step) OVER (PARTITION BY event_id, track_id ORDER BY o) AS d FROM (SELECT *, sqrt((x - coalesce(lag(x) OVER w, 0)) ** 2 + (y - coalesce(lag(y) OVER w, 0)) ** 2) AS step FROM (SELECT m.*, CASE WHEN up THEN pos ELSE -pos END AS o FROM mem m JOIN way ON way.event_id = m.event_id AND way.track_id = m.track_id) WINDOW w AS (PARTITION BY event_id, track_id ORDER BY o)))) o
-  JOIN (SELECT event_id, track_id, CASE WHEN iz + mz * pe > 110 THEN 105 ELSE iz + mz * pe END AS zf, atan(my / nullif(mz, 0)) AS scatter FROM (SELECT event_id, track_id, regr_slope(z, p) AS mz, regr_intercept(z, p) AS iz, regr_slope(y, p) AS my, max(p) AS pe FROM (
-    SELECT event_id, track_id, p, z, y FROM zp UNION ALL SELECT DISTINCT event_id, track_id, 0, 0, 0 FROM zp) GROUP BY ALL)) f ON f.event_id = o.event_id AND f.track_id = o.track_id"""
+#: Corrected members, their anchors and directions, the points with a height, and heights along the tracks.
+COR = "SELECT event_id, track_id, pos, det_id, layer, cx AS x, cy AS y, cz AS z FROM moved"
 WAY = "SELECT event_id, track_id, arg_min(layer, pos) <= arg_max(layer, pos) AS up FROM anc GROUP BY ALL"
+PTS = """SELECT * FROM (SELECT event_id, track_id, pos, y, z, 0 AS kind FROM anc WHERE z <> 0 AND z BETWEEN -35 AND 105 UNION ALL SELECT event_id, track_id, pos, y, z, 1 FROM cor WHERE z <> 0 AND z <> 35 AND z BETWEEN -35 AND 105)
+  QUALIFY (kind = 0) = (count(*) FILTER (kind = 0) OVER (PARTITION BY event_id, track_id) > 1)"""
 ZP = """SELECT event_id, track_id, z, y, sum(step) OVER (PARTITION BY event_id, track_id ORDER BY o) AS p FROM (SELECT *, sqrt((z - coalesce(lag(z) OVER w, 0)) ** 2 + (y - coalesce(lag(y) OVER w, 0)) ** 2) AS step FROM (
-  SELECT a.*, CASE WHEN up THEN pos ELSE -pos END AS o FROM anc a JOIN way ON way.event_id = a.event_id AND way.track_id = a.track_id WHERE z <> 0 AND z BETWEEN -35 AND 105) WINDOW w AS (PARTITION BY event_id, track_id ORDER BY o))"""
+  SELECT a.*, CASE WHEN up THEN pos ELSE -pos END AS o FROM pz a JOIN way ON way.event_id = a.event_id AND way.track_id = a.track_id) WINDOW w AS (PARTITION BY event_id, track_id ORDER BY o))"""
+ZED = """SELECT o.event_id, o.track_id, det_id, round(CASE WHEN zf IS NOT NULL AND total > 0 THEN least(greatest(zf * d / total, -40), 110) ELSE z END, 3) AS z, round(scatter, 4) AS scatter FROM (
+  SELECT *, max(d) OVER (PARTITION BY event_id, track_id) AS total FROM (SELECT *, sum(step) OVER (PARTITION BY event_id, track_id ORDER BY o) AS d FROM (SELECT *, sqrt((x - coalesce(lag(x) OVER w, 0)) ** 2 + (y - coalesce(lag(y) OVER w, 0)) ** 2) AS step FROM (SELECT m.*, CASE WHEN up THEN pos ELSE -pos END AS o FROM cor m JOIN way ON way.event_id = m.event_id AND way.track_id = m.track_id) WINDOW w AS (PARTITION BY event_id, track_id ORDER BY o)))) o
+  LEFT JOIN (SELECT event_id, track_id, CASE WHEN iz + mz * pe > 110 THEN 105 ELSE iz + mz * pe END AS zf, atan(my / nullif(mz, 0)) AS scatter FROM (SELECT event_id, track_id, regr_slope(z, p) AS mz, regr_intercept(z, p) AS iz, regr_slope(y, p) AS my, max(p) AS pe FROM (
+    SELECT event_id, track_id, p, z, y FROM zp UNION ALL SELECT DISTINCT event_id, track_id, 0, 0, 0 FROM zp) GROUP BY ALL)) f ON f.event_id = o.event_id AND f.track_id = o.track_id"""
+HEIGHTS = SKEW | {"cor": COR, "anc": ANCHORS.replace("FROM mem", "FROM cor"), "way": WAY, "pz": PTS, "zp": ZP}
 
 
-@query(ZED, VIEWS, {"mem": MEM, "anc": ANCHORS, "way": WAY, "zp": ZP})
+@query(ZED, VIEWS, HEIGHTS)
 def reconstruct_z(v):
     return rounded(rounded(finder.reconstruct_z(tracks(v), v("f_nodes")), ["z"], 3), ["scatter"])
 
@@ -338,7 +343,7 @@ def merge_singletons(v):
     return shape.merge_singletons(tracks(v), v("f_nodes"))
 
 
-SETS = {"truth": "SELECT event_id, track_id, tx AS x, ty AS y FROM f_hits", "tube": "SELECT event_id, track_id, x, y FROM mem", "anchor": "SELECT event_id, track_id, x, y FROM anc", "reco": "SELECT event_id, track_id, cx AS x, cy AS y FROM moved"}
+SETS = {"truth": "SELECT event_id, track_id, tx AS x, ty AS y FROM f_hits", "tube": "SELECT event_id, track_id, x, y FROM mem", "anchor": "SELECT event_id, track_id, x, y FROM tube_anc", "reco": "SELECT event_id, track_id, cx AS x, cy AS y FROM moved"}
 
 
 def _compare() -> str:
@@ -348,7 +353,7 @@ def _compare() -> str:
     return f"SELECT * FROM ({first}) {joins} LEFT JOIN (SELECT event_id, track_id, min(scatter) AS scatter FROM ({ZED}) GROUP BY ALL) USING (event_id, track_id)"
 
 
-@query(_compare(), VIEWS, SKEW | {"anc": ANCHORS, "way": WAY, "zp": ZP})
+@query(_compare(), VIEWS, HEIGHTS | {"tube_anc": ANCHORS})
 def curvature_compare(v):
     """Curvatures of circles through the true points, the tubes, the anchors and the corrected points of each track, with its first momentum and its scatter angle."""
     by = ["event_id", "track_id"]
