@@ -240,6 +240,32 @@ def test_tables_round_trip(spark, tmp_path):
     assert io.load_scores(spark, str(tmp_path / "out/t"), ["v"]).count() == 2
 
 
+def heights_of(spark, rows):
+    own = spark.createDataFrame([(0, 1, i, i, float(layer), 0.0, z, layer) for i, (layer, z) in enumerate(rows, 1)], "event_id long, track_id long, pos long, det_id long, x double, y double, z double, layer long")
+    return [r.z for r in finder.heights(own).orderBy("det_id").collect()]
+
+
+def test_heights_rise_with_the_length(spark):
+    assert heights_of(spark, [(1, 10.0), (2, 20.0), (3, 0.0), (4, 40.0)]) == pytest.approx([10, 20, 30, 40])
+
+
+def test_heights_come_from_members_where_one_anchor_is_usable(spark):
+    # Four nodes of one layer: two open anchors of their own, and the mean of the others is out of range.
+    assert heights_of(spark, [(2, 50.0), (2, 0.0), (2, -34.0), (2, -40.0)])[0] != 50.0
+    # A single node at its tube's height, or at none, gives no point and keeps it.
+    assert heights_of(spark, [(2, 35.0)]) == [35.0]
+    assert heights_of(spark, [(2, 0.0), (3, 0.0)]) == [0.0, 0.0]
+
+
+def test_hit_file_keeps_its_header(spark, tmp_path):
+    hits = spark.createDataFrame([(0, 0, 5, 1, 0.1, 1, "t"), (0, 7, 5, 1, 0.2, 1, "t")], "event_id long, ref long, det_id long, track_id long, isochrone double, hit_type long, ts string")
+    points = spark.createDataFrame([(0, 0, 3.0, 4.0, 1.0)], "event_id long, ref long, tx double, ty double, tz double")
+    enriched = io.enrich_hits(hits, points, spark.createDataFrame([(5, 6.0, 8.0, 35.0)], "det_id long, x double, y double, z double"))
+    io.write_hits_csv(enriched, f"{tmp_path}/hits")
+    (row,) = io.read_hits_csv(spark, f"{tmp_path}/hits").collect()
+    assert (row.EvtNum, row.r, row.mr, row.detID, row.timeStamp) == (0, 5.0, 10.0, 5, "t")
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = spark.range(500).select(F.timestamp_seconds(F.col("id") * 977).alias("ts"), (F.col("id") % 7).alias("det_id"), (F.col("id") * 0.5).alias("value"))
     rows.repartitionByRange(4, "ts").write.parquet(str(tmp_path / "in"))
@@ -256,7 +282,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["qa_rank", "clone_rank", "global_error", "active_edges", "fit_next", "reconstruct_z", "circle_kasa", "median_spread"])
+@pytest.mark.parametrize("name", ["qa_rank", "clone_rank", "global_error", "active_edges", "fit_next", "reconstruct_z", "circle_kasa", "median_spread", "best_match", "merge_tracks", "propose_from_ends", "dedupe_overlap_all", "absorb_all", "circle_hyper", "hits_csv"])
 def test_queries_against_sql(spark, name):
     import duckdb
 
@@ -272,7 +298,7 @@ def test_queries_against_sql(spark, name):
 
 
 def same_rows(rows):
-    return [tuple(None if v is None or v != v else round(float(v), 3) for v in r) for r in rows]
+    return [tuple(None if v is None or v != v else v if isinstance(v, str) else round(float(v), 3) for v in r) for r in rows]
 
 
 def test_every_query_has_a_name_of_its_own():

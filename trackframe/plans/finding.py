@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackframe.operators import finder, fits, graph, growing, hits, reconstruct, score, shape
+from trackframe.operators import finder, fits, graph, growing, hits, reconstruct, results, score, shape
 from trackframe.plans.fitting import KM, MOMENTS, circle_sql
 from trackframe.plans.registry import query
 
@@ -356,16 +356,6 @@ def _compare() -> str:
 @query(_compare(), VIEWS, HEIGHTS | {"tube_anc": ANCHORS})
 def curvature_compare(v):
     """Curvatures of circles through the true points, the tubes, the anchors and the corrected points of each track, with its first momentum and its scatter angle."""
-    by = ["event_id", "track_id"]
-    own = tracks(v)
-    moved = finder.correct_skew(own, v("f_nodes"))
-    sets = {
-        "truth": v("f_hits").select(*by, C("tx").alias("x"), C("ty").alias("y")), "tube": finder.placed(own, v("f_nodes")), "anchor": finder.anchors(own, v("f_nodes")),
-        "reco": moved.select(*by, C("cx").alias("x"), C("cy").alias("y")),
-    }
-    found = v("f_hits").groupBy(*by).agg(*(F.round(F.min_by(c, "seq"), 6).alias(c) for c in ("px", "py", "pz")))
-    for name, points in sets.items():
-        fit = fits.circle(points.select(*by, "x", "y"), by)
-        found = found.join(fit.select(*by, F.round(1 / F.when(C("r") > 0, C("r")), 5).alias(f"{name}_curvature")), by, "left")
-    scatter = finder.reconstruct_z(own, v("f_nodes")).groupBy(*by).agg(F.round(F.min("scatter"), 4).alias("scatter"))
-    return found.join(scatter, by, "left")
+    found = results.curvatures(tracks(v), v("f_hits"), v("f_nodes"))
+    bent = [F.round(1 / F.when(C(f"{n}_r") > 0, C(f"{n}_r")), 5).alias(f"{n}_curvature") for n in SETS]
+    return found.select("event_id", "track_id", *(F.round(c, 6).alias(c) for c in ("px", "py", "pz")), *bent, F.round("scatter", 4).alias("scatter"))

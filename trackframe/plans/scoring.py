@@ -79,11 +79,11 @@ GREEDY = """SELECT event_id, track_id, m.r AS reco_id, m.o AS overlap FROM (WITH
     SELECT g.event_id, t.i, g.used, t.track_id, list_filter(p.p, lambda x: NOT list_contains(g.used, x.r))[1] AS m FROM g JOIN turns t ON t.event_id = g.event_id AND t.i = g.i + 1
     LEFT JOIN prefs p ON p.event_id = t.event_id AND p.track_id = t.track_id)) SELECT * FROM g) WHERE m IS NOT NULL"""
 
+TURNS = "SELECT event_id, track_id, row_number() OVER (PARTITION BY event_id ORDER BY l DESC, track_id) AS i FROM sz"
+PREFS = "SELECT event_id, track_id, list({'r': reco_id::BIGINT, 'o': overlap::BIGINT} ORDER BY overlap DESC, reco_id) AS p FROM ov GROUP BY ALL"
 
-@query(GREEDY, "f_hits f_reco", MORE | {
-    "turns": "SELECT event_id, track_id, row_number() OVER (PARTITION BY event_id ORDER BY l DESC, track_id) AS i FROM sz",
-    "prefs": "SELECT event_id, track_id, list({'r': reco_id::BIGINT, 'o': overlap::BIGINT} ORDER BY overlap DESC, reco_id) AS p FROM ov GROUP BY ALL",
-})
+
+@query(GREEDY, "f_hits f_reco", MORE | {"turns": TURNS, "prefs": PREFS})
 def best_match(v):
     return score.best_match(v("f_reco"), v("f_hits"))
 

@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from trackframe.functions.shared import shared_path, stored
 from trackframe.operators import hits as H
+from trackframe.operators import results
+from trackframe.plans.finding import ANCHORS, MEM
 from trackframe.plans.registry import query
+from trackframe.plans.scoring import GREEDY, MORE, PREFS, TURNS
 from trackframe.sources import io
 
-@query("SELECT det_id, sector, layer, CASE node_type WHEN 1 THEN 'PARA' WHEN 2 THEN 'SKEW' ELSE 'UNKNOWN' END AS kind, 1 AS weight, round(CASE WHEN dx = 0 AND dy = 0 THEN 1.0::DOUBLE WHEN atan2(dy, dx) > 0 THEN tan(pi() / 60) WHEN atan2(dy, dx) < 0 THEN -tan(pi() / 60) ELSE 1.0::DOUBLE END, 8) AS slope FROM f_nodes", "f_nodes")
+
+def _file(df, name, write=lambda df, path: df.write.parquet(path)):
+    """The session and the path of a file that ``df`` was written to."""
+    path = shared_path(df.sparkSession, name)
+    write(df, path)
+    return df.sparkSession, path
+
+
+@query("SELECT det_id, sector, layer, CASE node_type WHEN 1 THEN 'PARA' WHEN 2 THEN 'SKEW' ELSE 'UNKNOWN' END AS kind, 1 AS weight, round(CASE WHEN dx = 0 AND dy = 0 THEN 1.0::DOUBLE WHEN atan2(dy, dx) > 0 THEN tan(pi() / 60) WHEN atan2(dy, dx) < 0 THEN -tan(pi() / 60) ELSE 1.0::DOUBLE END, 8) AS slope, coalesce(n, 0) AS n_near, coalesce(s, 0)::BIGINT AS sum_near FROM f_nodes LEFT JOIN (SELECT src, count(*) AS n, sum(dst) AS s FROM f_edges GROUP BY src) ON src = det_id", "f_nodes f_edges")
 def load_nodes(v):
-    return io.as_nodes(v("f_nodes")).select("det_id", "sector", "layer", "kind", "weight", F.round("slope", 8).alias("slope"))
+    """A node file with lists of neighbours is written and loaded."""
+    near = v("f_edges").groupBy("src").agg(F.collect_list("dst").alias("neighbours"))
+    raw = v("f_nodes").join(near, F.col("det_id") == F.col("src"), "left").drop("src")
+    nodes, edges = io.load_nodes(*_file(raw, "nodes"))
+    near = edges.groupBy(F.col("src").alias("det_id")).agg(F.count("*").alias("n"), F.sum("dst").alias("s"))
+    return nodes.join(near, "det_id", "left").select("det_id", "sector", "layer", "kind", "weight", F.round("slope", 8).alias("slope"), F.coalesce("n", F.lit(0)).alias("n_near"), F.coalesce("s", F.lit(0)).alias("sum_near"))
 
 
-@query("SELECT event_id, seq, det_id, 'STT' AS kind, round(isochrone, 6) AS isochrone FROM f_hits", "f_hits")
+@query("SELECT event_id, seq, det_id, CASE seq % 3 WHEN 0 THEN 'STT' WHEN 1 THEN 'MVD' ELSE 'UNKNOWN' END AS kind, round(isochrone, 6) AS isochrone FROM f_hits", "f_hits")
 def load_hits(v):
-    return v("f_hits").select("event_id", "seq", "det_id", io.hit_kind(F.col("hit_type")).alias("kind"), F.round("isochrone", 6).alias("isochrone"))
+    """A hit file with types 1, 2 and 3 is written and loaded."""
+    raw = v("f_hits").withColumn("hit_type", 1 + F.col("seq") % 3)
+    return io.load_hits(*_file(raw, "hits")).select("event_id", "seq", "det_id", "kind", F.round("isochrone", 6).alias("isochrone"))
 
 
 @query("SELECT event_id, seq, det_id FROM f_hits WHERE event_id >= 10 AND event_id < 40", "f_hits")
@@ -27,7 +49,7 @@ def event_range(v):
 def neighbour_lines(v):
     near = v("f_edges").groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("ds"))
     lines = near.select(F.concat_ws(",", F.col("src").cast("string"), F.lit("0"), F.array_join(F.transform("ds", lambda d: d.cast("string")), ","), F.lit("0")).alias("value"))
-    return io.parse_neighbour_lines(lines)
+    return io.load_neighbour_csv(*_file(lines, "lines", lambda df, path: df.write.text(path)))
 
 
 @query("SELECT det_id, sector, layer, node_type, round(x, 6) AS x, round(y, 6) AS y, round(sqrt(x * x + y * y), 6) AS r, round(degrees(atan2(y, x)), 6) AS theta_deg, CASE WHEN node_type = 1 THEN 0.0::DOUBLE ELSE z END AS z_det, sector_limit FROM f_nodes", "f_nodes")
@@ -36,10 +58,31 @@ def derive_nodes(v):
     return io.derive_nodes(raw).select("det_id", "sector", "layer", "node_type", *(F.round(c, 6).alias(c) for c in ("x", "y", "r", "theta_deg")), "z_det", "sector_limit")
 
 
-@query("SELECT event_id, seq, h.det_id, round(n.x, 6) AS tube_x, round(n.y, 6) AS tube_y, round(sqrt(n.x * n.x + n.y * n.y), 6) AS tube_r, round(degrees(atan2(n.y, n.x)), 6) AS tube_theta_deg, round(sqrt(tx * tx + ty * ty), 6) AS truth_r, round(degrees(atan2(ty, tx)), 6) AS truth_theta_deg FROM f_hits h JOIN f_nodes n ON h.det_id = n.det_id", "f_hits f_nodes")
+#: Hits name their truth point by its index, which counts an event's points from its last hit on.
+JOINED = """SELECT h.event_id, h.seq, h.det_id, h.track_id, h.isochrone, h.hit_type, t.tx, t.ty, t.tz, n.x AS tube_x, n.y AS tube_y, n.z AS tube_z FROM (SELECT *, count(*) OVER (PARTITION BY event_id) - seq AS ref FROM f_hits) h
+  JOIN (SELECT event_id, count(*) OVER (PARTITION BY event_id) - seq AS ref, tx, ty, tz FROM f_hits) t ON h.event_id = t.event_id AND h.ref = t.ref JOIN f_nodes n ON h.det_id = n.det_id"""
+
+
+def _enriched(v):
+    own = v("f_hits").withColumn("ref", F.count("*").over(Window.partitionBy("event_id")) - F.col("seq"))
+    points = own.select("event_id", "ref", "tx", "ty", "tz", "px", "py", "pz")
+    return io.enrich_hits(own.drop("tx", "ty", "tz", "px", "py", "pz"), points, v("f_nodes"))
+
+
+ENRICHED = ("tube_x", "tube_y", "tube_r", "tube_theta_deg", "truth_x", "truth_y", "truth_r", "truth_theta_deg")
+
+
+@query("SELECT event_id, seq, det_id, round(tube_x, 6) AS tube_x, round(tube_y, 6) AS tube_y, round(sqrt(tube_x ** 2 + tube_y ** 2), 6) AS tube_r, round(degrees(atan2(tube_y, tube_x)), 6) AS tube_theta_deg, round(tx, 6) AS truth_x, round(ty, 6) AS truth_y, round(sqrt(tx ** 2 + ty ** 2), 6) AS truth_r, round(degrees(atan2(ty, tx)), 6) AS truth_theta_deg FROM j", "f_hits f_nodes", {"j": JOINED})
 def enrich_hits(v):
-    found = io.enrich_hits(v("f_hits"), v("f_nodes"))
-    return found.select("event_id", "seq", "det_id", *(F.round(c, 6).alias(c) for c in ("tube_x", "tube_y", "tube_r", "tube_theta_deg", "truth_r", "truth_theta_deg")))
+    found = _enriched(v).withColumnsRenamed({"tx": "truth_x", "ty": "truth_y"})
+    return found.select("event_id", "seq", "det_id", *(F.round(c, 6).alias(c) for c in ENRICHED))
+
+
+@query("SELECT event_id AS EvtNum, det_id AS detID, track_id AS trackID, hit_type AS type, round(tx, 6) AS x, round(ty, 6) AS y, round(tz, 6) AS z, round(tube_x, 6) AS mx, round(tube_y, 6) AS my, tube_z AS mz, round(sqrt(tx ** 2 + ty ** 2), 6) AS r, round(atan2(ty, tx), 6) AS theta, round(degrees(atan2(ty, tx)), 6) AS thetaDeg, round(sqrt(tube_x ** 2 + tube_y ** 2), 6) AS mr, round(atan2(tube_y, tube_x), 6) AS mtheta, round(degrees(atan2(tube_y, tube_x)), 6) AS mthetaDeg, round(isochrone, 6) AS isochrone FROM j", "f_hits f_nodes", {"j": JOINED})
+def hits_csv(v):
+    """The file of hits is written with its header and read back."""
+    found = io.read_hits_csv(*_file(_enriched(v), "hits_csv", io.write_hits_csv)).drop("timeStamp")
+    return found.select(*(c if kind in ("bigint", "string") else F.round(c, 6).alias(c) for c, kind in found.dtypes))
 
 
 @query("SELECT event_id, seq, CASE WHEN k % 5 = 0 THEN -10000.0::DOUBLE ELSE round(tx, 6) END AS tx, CASE WHEN k % 5 = 0 THEN -10000.0::DOUBLE ELSE round(ty, 6) END AS ty FROM f_hits", "f_hits")
@@ -50,14 +93,19 @@ def noise_left_join(v):
     return io.enrich_noise(hits, points).select("event_id", "seq", F.round("tx", 6).alias("tx"), F.round("ty", 6).alias("ty"))
 
 
-@query("SELECT run, count(*) AS n_events, sum(trks)::BIGINT AS n_tracks, sum(hits)::BIGINT AS n_hits FROM f_timing GROUP BY run", "f_timing")
+@query("SELECT run, count(*) AS n_events, sum(trks)::BIGINT AS n_tracks, sum(hits)::BIGINT AS n_hits, round(sum(tottime), 6) AS seconds FROM f_timing GROUP BY run", "f_timing")
 def load_timing(v):
-    return v("f_timing").groupBy("run").agg(F.count("*").alias("n_events"), F.sum("trks").alias("n_tracks"), F.sum("hits").alias("n_hits"))
+    """A timing file for each run is written and loaded."""
+    session, paths = None, {}
+    for run in range(3):
+        session, paths[run] = _file(v("f_timing").filter(F.col("run") == run).drop("run"), "timing", io.write_csv)
+    found = io.load_timing(session, paths).withColumn("run", F.col("run").cast("long"))
+    return found.groupBy("run").agg(F.count("*").alias("n_events"), F.sum("trks").alias("n_tracks"), F.sum("hits").alias("n_hits"), F.round(F.sum("tottime"), 6).alias("seconds"))
 
 
 @query("SELECT evt, rank, f1 FROM f_scores", "f_scores")
 def load_scores(v):
-    return v("f_scores").select("evt", "rank", "f1")
+    return io.load_scores(*_file(v("f_scores"), "scores"), ["evt", "rank", "f1"])
 
 
 MATCHES = """SELECT event_id, reco_id, track_id AS best FROM (SELECT *, row_number() OVER (PARTITION BY event_id, reco_id ORDER BY n DESC, track_id) AS o FROM (
@@ -187,3 +235,14 @@ def run_summary(v):
 @query("SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, count(*) AS n, round(sum(value), 4) AS total FROM f_stream GROUP BY date_trunc('day', ts)", "f_stream")
 def time_windows(v):
     return H.time_windows(v("f_stream")).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT 'MCDetID' AS name, count(*) AS n_rows FROM (SELECT *, count(*) OVER (PARTITION BY event_id, track_id) AS n FROM (SELECT DISTINCT event_id, track_id, det_id FROM f_hits)) WHERE n > 5 UNION ALL SELECT 'RecoDetID', count(*) FROM (SELECT *, count(*) OVER (PARTITION BY event_id, reco_id) AS n FROM f_reco) WHERE n > 5 UNION ALL SELECT 'ComponentPerEvt', count(DISTINCT event_id) FROM f_reco UNION ALL SELECT unnest(['ConnectedComponents', 'CoordCollected']), count(*) FROM f_reco UNION ALL SELECT unnest(['PerMCTrackError', 'PerTrackCurv']), count(DISTINCT event_id * 100 + track_id) FROM f_hits UNION ALL SELECT 'PerRecoTrackError', count(*) FROM (SELECT event_id, reco_id FROM f_reco GROUP BY ALL HAVING count(*) >= 5) SEMI JOIN (SELECT DISTINCT event_id, reco_id FROM f_reco NATURAL JOIN (SELECT DISTINCT event_id, det_id FROM f_hits)) USING (event_id, reco_id) UNION ALL SELECT 'GlobalEvtError', count(DISTINCT event_id) FROM (SELECT event_id FROM f_hits GROUP BY event_id, track_id HAVING count(DISTINCT det_id) > 5) UNION ALL SELECT 'CoordDiff', sum(overlap)::BIGINT FROM best UNION ALL SELECT 'Anchors', count(*) FROM anc", "f_hits f_reco f_nodes", MORE | {"turns": TURNS, "prefs": PREFS, "best": GREEDY, "mem": MEM, "anc": ANCHORS})
+def write_tables(v):
+    """All result tables are written by buckets of events and read back."""
+    reco, hits, nodes = (stored(v(name), name) for name in ("f_reco", "f_hits", "f_nodes"))
+    path = shared_path(reco.sparkSession, "results")
+    tables = results.result_tables(reco, hits, nodes)
+    io.write_tables(tables, path, bucket=100)
+    counts = [reco.sparkSession.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n_rows")) for name in tables]
+    return functools.reduce(lambda a, b: a.unionByName(b), counts)

@@ -67,11 +67,14 @@ def derive_nodes(raw: DataFrame) -> DataFrame:
     )
 
 
-def enrich_hits(hits: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Hits with the tube's and the truth's position, both cartesian and polar."""
-    tubes = nodes.select("det_id", F.col("x").alias("tube_x"), F.col("y").alias("tube_y"))
-    polar = lambda x, y, n: {f"{n}_r": F.hypot(x, y), f"{n}_theta_deg": F.degrees(F.atan2(F.col(y), F.col(x)))}
-    return hits.join(tubes, "det_id").withColumns(polar("tube_x", "tube_y", "tube") | polar("tx", "ty", "truth"))
+def enrich_hits(hits: DataFrame, points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Hits with the truth point (tx, ty, ...) that their ref names in the event and with the tube's position, both cartesian and polar.
+
+    Hits without a point or a tube are left out; ``enrich_noise`` keeps them.
+    """
+    tubes = nodes.select("det_id", F.col("x").alias("tube_x"), F.col("y").alias("tube_y"), F.col("z").alias("tube_z"))
+    polar = lambda x, y, n: {f"{n}_r": F.hypot(x, y), f"{n}_theta": F.atan2(F.col(y), F.col(x)), f"{n}_theta_deg": F.degrees(F.atan2(F.col(y), F.col(x)))}
+    return hits.join(points, ["event_id", "ref"]).join(tubes, "det_id").withColumns(polar("tube_x", "tube_y", "tube") | polar("tx", "ty", "truth"))
 
 
 def enrich_noise(hits: DataFrame, points: DataFrame, sentinel: float = -10000.0) -> DataFrame:
@@ -127,6 +130,24 @@ def member_coords(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.join(at, "det_id").withColumns({f"c{a}": F.coalesce(f"c{a}", a) for a in "xyz"})
 
 
+#: Header of the file of hits and the columns that stand under it (fixed values of the format).
+HIT_FILE = {
+    "EvtNum": "event_id", "x": "tx", "y": "ty", "z": "tz", "mx": "tube_x", "my": "tube_y", "mz": "tube_z", "r": "truth_r", "theta": "truth_theta", "thetaDeg": "truth_theta_deg",
+    "mr": "tube_r", "mtheta": "tube_theta", "mthetaDeg": "tube_theta_deg", "isochrone": "isochrone", "type": "hit_type", "trackID": "track_id", "timeStamp": "ts", "detID": "det_id",
+}
+
+
+def write_hits_csv(enriched: DataFrame, path: str) -> None:
+    """Enriched hits as CSV files with the full header."""
+    write_csv(enriched.select(*(F.col(c).alias(n) for n, c in HIT_FILE.items())), path)
+
+
+def read_hits_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What write_hits_csv wrote."""
+    kinds = {"EvtNum": "long", "type": "long", "trackID": "long", "detID": "long", "timeStamp": "string"}
+    return spark.read.csv(path, header=True, schema=", ".join(f"{n} {kinds.get(n, 'double')}" for n in HIT_FILE))
+
+
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
     """A table as CSV files."""
     df.write.mode("overwrite").csv(path, header=header)
