@@ -30,24 +30,29 @@ def lengths(members: DataFrame, track: str, name: str) -> DataFrame:
     return members.groupBy("event_id", track).agg(F.countDistinct("det_id").alias(name))
 
 
-def complex_tracks(hits: DataFrame, edges: DataFrame) -> DataFrame:
+def complex_tracks(hits: DataFrame, edges: DataFrame, parity: bool = False) -> DataFrame:
     """(event_id, track_id, shares, gap, complex).
 
     A track is complex if a node of it is also one of another track or next to
-    one, or if some hit is not next to the hit before.
+    one, or if some hit is not next to the hit before.  With ``parity`` each
+    track looks only at tracks of larger ids, and only up to its first gap's
+    hit; what it finds still marks both.
     """
+    by = ["event_id", "track_id"]
+    order = Window.partitionBy(*by).orderBy("seq")
+    steps = hits.select(*by, "seq", F.lag("det_id").over(order).alias("src"), F.col("det_id").alias("dst")).filter("src IS NOT NULL")
+    gaps = steps.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti").groupBy(*by).agg(F.min("seq").alias("first"))
     own = truth_nodes(hits)
+    scanned = truth_nodes(hits.join(gaps, by, "left").filter("first IS NULL OR seq <= first")) if parity else own
     other = own.select("event_id", F.col("det_id").alias("near"), F.col("track_id").alias("other"))
-    beside = own.join(edges.select(F.col("src").alias("det_id"), F.col("dst").alias("near")), "det_id")
-    reach = own.select("event_id", "track_id", F.col("det_id").alias("near")).unionByName(beside.select("event_id", "track_id", "near")).distinct()
-    touched = reach.join(other, ["event_id", "near"]).filter("track_id <> other").select("event_id", "track_id").distinct().withColumn("shares", F.lit(True))
-    order = Window.partitionBy("event_id", "track_id").orderBy("seq")
-    steps = hits.select("event_id", "track_id", F.lag("det_id").over(order).alias("src"), F.col("det_id").alias("dst")).filter("src IS NOT NULL")
-    gaps = steps.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti").select("event_id", "track_id").distinct().withColumn("gap", F.lit(True))
-    tracks = hits.select("event_id", "track_id").distinct()
-    found = tracks.join(touched, ["event_id", "track_id"], "left").join(gaps, ["event_id", "track_id"], "left")
+    beside = scanned.join(edges.select(F.col("src").alias("det_id"), F.col("dst").alias("near")), "det_id")
+    reach = scanned.select(*by, F.col("det_id").alias("near")).unionByName(beside.select(*by, "near")).distinct()
+    pairs = reach.join(other, ["event_id", "near"]).filter("track_id < other" if parity else "track_id <> other")
+    met = pairs.select("event_id", F.explode(F.array("track_id", "other")).alias("track_id")) if parity else pairs.select(*by)
+    touched = met.distinct().withColumn("shares", F.lit(True))
+    found = hits.select(*by).distinct().join(touched, by, "left").join(gaps.select(*by, F.lit(True).alias("gap")), by, "left")
     shares, gap = F.coalesce("shares", F.lit(False)), F.coalesce("gap", F.lit(False))
-    return found.select("event_id", "track_id", shares.alias("shares"), gap.alias("gap"), (shares | gap).alias("complex"))
+    return found.select(*by, shares.alias("shares"), gap.alias("gap"), (shares | gap).alias("complex"))
 
 
 def global_error(reco: DataFrame, hits: DataFrame, more_than: int = 5, least: int = 5) -> DataFrame:

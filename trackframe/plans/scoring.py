@@ -37,6 +37,16 @@ def complex_tracks(v):
     return score.complex_tracks(v("f_hits"), graph.symmetrise(v("f_edges")))
 
 
+GAPS = "SELECT event_id, track_id, min(seq) AS first_ FROM (SELECT event_id, track_id, seq, det_id AS dst, lag(det_id) OVER (PARTITION BY event_id, track_id ORDER BY seq) AS src FROM f_hits) x ANTI JOIN sym ON sym.src = x.src AND sym.dst = x.dst WHERE x.src IS NOT NULL GROUP BY ALL"
+SEEN = "SELECT h.event_id, h.track_id, det_id FROM f_hits h LEFT JOIN gaps g ON g.event_id = h.event_id AND g.track_id = h.track_id WHERE first_ IS NULL OR seq <= first_"
+LATER = "SELECT DISTINCT a.event_id, unnest([a.track_id, b.track_id]) AS track_id FROM (SELECT event_id, track_id, det_id AS near FROM seen UNION SELECT event_id, track_id, dst FROM seen JOIN sym ON det_id = src) a JOIN truth b ON a.event_id = b.event_id AND a.near = b.det_id AND a.track_id < b.track_id"
+
+
+@query("SELECT t.event_id, t.track_id, s.track_id IS NOT NULL AS shares, g.track_id IS NOT NULL AS gap, s.track_id IS NOT NULL OR g.track_id IS NOT NULL AS complex FROM (SELECT DISTINCT event_id, track_id FROM truth) t LEFT JOIN later s ON t.event_id = s.event_id AND t.track_id = s.track_id LEFT JOIN gaps g ON t.event_id = g.event_id AND t.track_id = g.track_id", "f_hits f_edges", {"truth": TRUTH, "sym": SYM, "gaps": GAPS, "seen": SEEN, "later": LATER})
+def complex_tracks_parity(v):
+    return score.complex_tracks(v("f_hits"), graph.symmetrise(v("f_edges")), parity=True)
+
+
 @query("SELECT * FROM ov", "f_hits f_reco", MORE)
 def overlap(v):
     return score.overlaps(v("f_reco"), v("f_hits"))
