@@ -190,6 +190,22 @@ def test_moments_in_one_grouping(spark):
             assert abs(a[g][c] - b[g][c]) < 1e-9
 
 
+def test_refits_of_displaced_points(spark):
+    at = [(0, t, k, 10 * math.cos(k), 10 * math.sin(k), wide) for t, wide in ((1, 0.0), (2, 0.2)) for k in range(6)]
+    points = spark.createDataFrame(at, "event_id long, track_id long, k long, x double, y double, isochrone double")
+    still, moved = sorted(fits.isochrone_refit(points, ["event_id", "track_id"], 20).collect(), key=lambda r: r.track_id)
+    assert (still.r16, still.r50, still.r84) == pytest.approx((10, 10, 10))
+    assert 9.5 < moved.r16 < moved.r50 < moved.r84 < 10.5
+
+
+def test_complex_tracks_are_scanned_up_to_their_first_gap(spark):
+    # Track 1 leaps from node 2 to node 5 and only then meets track 2, at its third hit.
+    hits = spark.createDataFrame([(0, 1, s, d) for s, d in enumerate((1, 2, 5, 6), 1)] + [(0, 2, s, d) for s, d in enumerate((7, 8), 5)], "event_id long, track_id long, seq long, det_id long")
+    edges = chain(spark, [1, 2]).unionByName(chain(spark, [5, 6, 7, 8]))
+    shares = lambda parity: {r.track_id for r in score.complex_tracks(hits, graph.symmetrise(edges), parity).collect() if r.shares}
+    assert shares(False) == {1, 2} and shares(True) == set()
+
+
 def test_distance_to_curve(spark):
     rows = [(0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 2.0), (0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 3.0, 0.0), (1.0, 2.0, 0.5, 0.0, 1.0, -1.0, 4.0, 4.0)]
     df = spark.createDataFrame(rows, "x0 double, x1 double, x2 double, y0 double, y1 double, y2 double, px double, py double")
