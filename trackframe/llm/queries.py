@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackframe.llm import arc_to_warc, bm25_decontaminate, chat_snapshots, line_quality, mixing, secret_index, simhash_planes, substring_dedup, token_planes, url_templates
+from trackframe.llm import arc_to_warc, bm25_decontaminate, chat_snapshots, line_quality, mixing, secret_index, simhash_planes, substring_dedup, token_alignment, token_planes, url_templates
 from trackframe.llm.storage import new_path
 
 
@@ -72,6 +72,13 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read(spark, path)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return token_alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_substring_dedup, op2_warc, op3_quality_rules, op4_url_filter, op5_chat, op6_mixing, op7_secret_scan, op8_decontaminate, op9_simhash, op10_token_ids]
+    own = [op1_substring_dedup, op2_warc, op3_quality_rules, op4_url_filter, op5_chat, op6_mixing, op7_secret_scan, op8_decontaminate, op9_simhash, op10_token_ids, op11_token_alignment]
     return {f.__name__: f for f in own}
