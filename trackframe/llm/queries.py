@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackframe.llm import arc_to_warc, bm25_decontaminate, chat_snapshots, line_quality, mixing, reversed_search, secret_index, simhash_planes, substring_dedup, token_alignment, token_planes, url_templates
+from trackframe.llm import arc_to_warc, bm25_decontaminate, chat_snapshots, line_quality, mixing, reversed_search, secret_index, simhash_planes, substring_dedup, token_alignment, token_planes, toxic_ngrams, url_templates
 from trackframe.llm.storage import new_path
 
 
@@ -79,10 +79,15 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return toxic_ngrams.score(docs, toxic_ngrams.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reversed_search.rank(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_substring_dedup, op2_warc, op3_quality_rules, op4_url_filter, op5_chat, op6_mixing, op7_secret_scan, op8_decontaminate, op9_simhash, op10_token_ids, op11_token_alignment, op13_lexical_search]
+    own = [op1_substring_dedup, op2_warc, op3_quality_rules, op4_url_filter, op5_chat, op6_mixing, op7_secret_scan, op8_decontaminate, op9_simhash, op10_token_ids, op11_token_alignment, op12_toxicity, op13_lexical_search]
     return {f.__name__: f for f in own}
