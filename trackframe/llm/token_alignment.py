@@ -65,14 +65,14 @@ def piece_bytes(piece: str) -> bytes:
 
 
 class Words:
-    """The links of words, each word with the blank before it: (keys of its links as bytes, tokens of A, of B, groups, ``a|b;a|b``), or None.
+    """The links of words, each word with the blank before it: (keys of its links as bytes, tokens of A, of B, groups, with ``strings`` ``a|b;a|b``), or None.
 
     None is a word whose tokens do not give its bytes back.
     """
 
     SPLIT = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, a_path: str, b_path: str, most: int = 200_000, longest: int = 40):
+    def __init__(self, a_path: str, b_path: str, strings: bool = True, most: int = 200_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         import tiktoken
@@ -103,7 +103,7 @@ class Words:
         self.b_sizes = np.array(list(map(len, self.b_bytes)))
         text = lambda n, end: np.array([f"{i}{end}" for i in range(n)], object)
         self.shown = [[text(len(s), end) for end in (",", last)] for s, last in ((self.a_sizes, "|"), (self.b_sizes, ";"))]
-        self.most, self.longest = most, longest
+        self.strings, self.most, self.longest = strings, most, longest
         self.young: dict[str, tuple | None] = {}
         self.old: dict[str, tuple | None] = {}
 
@@ -120,24 +120,29 @@ class Words:
         if b"".join([self.a_bytes[i] for i in a]) != (raw := whole.encode()) or b"".join([self.b_bytes[i] for i in b]) != raw:
             return [None] if len(words) == 1 else [r for w in words for r in self.aligned([w], latin)]
         a, b = np.array(a), np.array(b)
-        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-        both = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        ends = np.union1d(a_ends, b_ends)
-        keys = (a[np.searchsorted(a_ends, ends)] * B_IDS + b[np.searchsorted(b_ends, ends)]).astype("<u4")
-        stops = np.cumsum([len(w.encode()) + 1 for w in words])
-        cuts = [np.r_[0, np.searchsorted(e, stops, "right")].tolist() for e in (ends, a_ends, b_ends, both)]
+        # For every byte: whether tokens of A (1) or B (2) end there, and how many did before.
+        here = np.zeros(len(raw) + 1, np.uint8)
+        here[np.cumsum(self.a_sizes[a])] |= 1
+        here[np.cumsum(self.b_sizes[b])] |= 2
+        ends = np.flatnonzero(here)
+        here = here[ends]
+        of_a, of_b, common = np.cumsum(here & 1, dtype=np.int64), np.cumsum(here >> 1, dtype=np.int64), here == 3
+        keys = (a[of_a - (here & 1)] * B_IDS + b[of_b - (here >> 1)]).astype("<u4").tobytes()
+        stops = np.searchsorted(ends, np.cumsum([len(w.encode()) + 1 for w in words]), "right")
+        cuts = [[0, *c[stops - 1].tolist()] for c in (of_a, of_b, np.cumsum(common))]
+        links = [0, *stops.tolist()]
+        found = zip(links, links[1:], *(side for c in cuts for side in (c, c[1:])))
+        if not self.strings:
+            return [(keys[4 * e0 : 4 * e1], a1 - a0, b1 - b0, g1 - g0, "") for e0, e1, a0, a1, b0, b1, g0, g1 in found]
         # The tokens of both in the order in which they are shown: A's of a group, then B's.
-        n_a, n_b = np.searchsorted(a_ends, both, "right"), np.searchsorted(b_ends, both, "right")
-        a_group, b_group = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
+        n_a, n_b = of_a[common], of_b[common]
+        a_at, b_at = np.flatnonzero(here & 1), np.flatnonzero(here & 2)
+        group = np.cumsum(common) - common
         shown = np.empty(len(a) + len(b), object)
-        for ids, at, last, tables in ((a, np.arange(len(a)) + np.r_[0, n_b][a_group], np.isin(a_ends, both), self.shown[0]), (b, np.arange(len(b)) + n_a[b_group], np.isin(b_ends, both), self.shown[1])):
+        for ids, at, last, tables in ((a, np.arange(len(a)) + np.r_[0, n_b][group[a_at]], common[a_at], self.shown[0]), (b, np.arange(len(b)) + n_a[group[b_at]], common[b_at], self.shown[1])):
             shown[at] = np.where(last, tables[1][ids], tables[0][ids])
         shown = shown.tolist()
-        out = []
-        for k in range(len(words)):
-            e0, e1, a0, a1, b0, b1, g0, g1 = (c[k + i] for c in cuts for i in (0, 1))
-            out.append((keys[e0:e1].tobytes(), a1 - a0, b1 - b0, g1 - g0, "".join(shown[a0 + b0 : a1 + b1])[:-1]))
-        return out
+        return [(keys[4 * e0 : 4 * e1], a1 - a0, b1 - b0, g1 - g0, "".join(shown[a0 + b0 : a1 + b1])[:-1]) for e0, e1, a0, a1, b0, b1, g0, g1 in found]
 
     def of(self, words: list[str]) -> list[tuple | None]:
         """The alignments of distinct words."""
@@ -152,9 +157,9 @@ class Words:
             elif w in self.old:
                 self.young[w] = out[k] = self.old[w]
             elif w:
-                (latin if max(w) < "ɐ" else other).append(k)
+                (latin if w.isascii() or max(w) < "ɐ" else other).append(k)
         for some, plain in ((latin, True), (other, False)):
-            together = [k for k in some if self.apart and words[k] == words[k].strip()]
+            together = [k for k in some if not (words[k][0].isspace() or words[k][-1].isspace())] if self.apart else []
             runs = [together[k : k + 1000] for k in range(0, len(together), 1000)]
             for ks in runs + [[k] for k in sorted(set(some).difference(together))]:
                 for k, record in zip(ks, self.aligned([words[k] for k in ks], plain)):
@@ -171,7 +176,7 @@ class Words:
         words = coded.dictionary.to_pylist()
         codes, ends = coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy()[1:].astype(np.int64) - parts.offsets[0].as_py()
         # Blanks beside white space, or at a text's ends, stay within words.
-        odd = np.array([not w or w != w.strip() for w in words], bool)
+        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words], bool)
         if not self.apart:
             odd[:] = True
         bad = np.flatnonzero(np.add.reduceat(odd[codes].astype(np.int64), ends - np.diff(np.r_[0, ends]))) if len(ends) else []
@@ -187,9 +192,9 @@ class Words:
 
 
 @lru_cache(maxsize=1)
-def _words(a_path: str, b_path: str) -> Words:
-    """The words of this Python worker, which the next tasks find known."""
-    return Words(a_path, b_path)
+def _words(a_path: str, b_path: str, strings: bool) -> Words:
+    """The words of this Python worker, which the next tasks find known; with ``strings``, their groups too."""
+    return Words(a_path, b_path, strings)
 
 
 class Batch:
@@ -239,7 +244,7 @@ def pairs_by_task(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """(key, dealt, n): how many texts of a task hold each pair of ids, and the hash by which keys are dealt."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(a_path, b_path)
+        words = _words(a_path, b_path, False)
         keys, counts, waiting, size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -326,7 +331,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, most_pairs: int = MOST_PAIR
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function, counts, best = known.value
-        words = _words(a_path, b_path)
+        words = _words(a_path, b_path, True)
         for some in slices(batches, 1024):
             own = Batch(words, some.column(1))
             at = function.values(own.keys)
@@ -357,7 +362,7 @@ def _joined(docs: DataFrame, pairs: DataFrame, a_path: str, b_path: str, groups:
     """As align, for pairs of any number: the links of a row, counted by pair, meet the pairs' counts in a join."""
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(a_path, b_path)
+        words = _words(a_path, b_path, True)
         for some in slices(batches, 256):
             own = Batch(words, some.column(1))
             nothing = np.zeros(len(own.links), np.int64)
