@@ -214,39 +214,72 @@ def leftover_components(members: DataFrame, active: DataFrame, found: DataFrame,
     return labelled.join(large, ["event_id", "component"], "left_semi").select("event_id", "component", "det_id")
 
 
-def propose_from_ends(members: DataFrame, nodes: DataFrame, taken: DataFrame | None = None, farthest: float = 6.0, most: int = 5, turn: float = 70.0) -> DataFrame:
+#: A track from layer 0 to beyond this one has gone through.
+FAR_LAYER = 21
+
+
+def propose_from_ends(members: DataFrame, nodes: DataFrame, taken: DataFrame | None = None, remaining: DataFrame | None = None, finished: DataFrame | None = None, farthest: float = 6.0, most: int = 5, turn: float = 70.0) -> DataFrame:
     """(event_id, track_a, end_a, track_b, end_b, angle): an unfinished track's end and the first of its nearest other ends that goes on straight.
 
-    Finished tracks neither ask nor are asked, nor do ends that ``taken``
-    (links track_a, end_a, track_b, end_b) names on either side; ends at a
-    layer limit do not ask.  Sectors may differ by one, for heads also by five
-    (over the seam).  The ends of an event meet by event; its ends are few.
+    Finished tracks neither ask nor are asked: those of ``finished``
+    (event_id, track_id), or else those with both ends at a layer limit or
+    with layer 0 and one beyond 21.  Ends at a layer limit, in ``taken``
+    (links track_a, end_a, track_b, end_b, on either side) or in ``remaining``
+    (event_id, track_id, end: neighbours are left there) do not ask.  Of
+    another track that end is looked at whose id is nearer.  Sectors may
+    differ by one, for heads also by five (over the seam); of the ``most``
+    nearest ends those in ``taken`` are passed over.  Ends meet by square
+    cells of the largest distance, so an event's number of ends does not count.
     """
-    ends = ends_of(members, nodes).filter("NOT closed")
-    if taken is not None:
+    ends = ends_of(members, nodes)
+    ends = ends.filter("NOT closed") if finished is None else ends.join(finished.select(*TRACK).distinct(), TRACK, "left_anti")
+    key = [*TRACK, "end"]
+    if taken is None:
+        ends = ends.withColumn("free", F.lit(True))
+    else:
         both = taken.select("event_id", C("track_a").alias("track_id"), C("end_a").alias("end")).unionByName(taken.select("event_id", C("track_b").alias("track_id"), C("end_b").alias("end")))
-        ends = ends.join(both, [*TRACK, "end"], "left_anti")
-    every = stored(ends.drop("closed"), "ends")
-    a = every.filter("NOT layer_limit").select("event_id", *(C(c).alias(f"a_{c}") for c in every.columns[1:]))
-    b = every.select("event_id", *(C(c).alias(f"b_{c}") for c in every.columns[1:]))
+        ends = ends.join(both.distinct().withColumn("busy", F.lit(True)), key, "left").withColumn("free", C("busy").isNull()).drop("busy")
+    cell = lambda a: F.floor(C(a) / farthest)
+    every = stored(ends.drop("closed").withColumns({"cx": cell("x"), "cy": cell("y")}), "ends")
+    asking = every.filter("free AND NOT layer_limit")
+    if remaining is not None:
+        asking = asking.join(remaining.select(*key), key, "left_anti")
+    around = F.array(*(F.lit(k) for k in (-1, 0, 1)))
+    a = asking.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).withColumns({"cx": C("cx") + C("dx"), "cy": C("cy") + C("dy")}).drop("dx", "dy")
+    a = a.select("event_id", "cx", "cy", *(C(c).alias(f"a_{c}") for c in every.columns if c not in ("event_id", "cx", "cy")))
+    b = every.select("event_id", "cx", "cy", *(C(c).alias(f"b_{c}") for c in every.columns if c not in ("event_id", "cx", "cy")))
     away = F.round(F.hypot(C("a_x") - C("b_x"), C("a_y") - C("b_y")), 5)
     apart = F.abs(C("a_sector") - C("b_sector"))
-    near = a.join(b, "event_id").filter("a_track_id <> b_track_id").filter((apart <= 1) | ((apart == 5) & (C("a_end") == "head"))).withColumn("away", away).filter(C("away") < farthest)
-    first = Window.partitionBy("event_id", "a_track_id", "a_end").orderBy("away", "b_track_id", "b_end")
+    own, other = F.abs(C("a_det_id") - C("b_det_id")), F.abs(C("a_det_id") - C("b_other_id"))
+    nearer = F.when(C("b_end") == "tail", own < other).otherwise(own <= other)
+    near = a.join(b, ["event_id", "cx", "cy"]).filter("a_track_id <> b_track_id").filter(nearer).filter((apart <= 1) | ((apart == 5) & (C("a_end") == "head"))).withColumn("away", away).filter(C("away") < farthest)
+    first = Window.partitionBy("event_id", "a_track_id", "a_end").orderBy("away", "b_track_id")
     near = near.withColumn("place", F.row_number().over(first)).filter(C("place") <= most)
-    near = near.withColumn("angle", F.abs(F.round(G.turn_angle(C("a_ux"), C("a_uy"), -C("b_ux"), -C("b_uy")), 3))).filter(C("angle") < turn)
+    near = near.filter("b_free").withColumn("angle", F.abs(F.round(G.turn_angle(C("a_ux"), C("a_uy"), -C("b_ux"), -C("b_uy")), 3))).filter(C("angle") < turn)
     best = near.withColumn("choice", F.row_number().over(first)).filter("choice = 1")
     return best.select("event_id", C("a_track_id").alias("track_a"), C("a_end").alias("end_a"), C("b_track_id").alias("track_b"), C("b_end").alias("end_b"), "angle")
 
 
 def ends_of(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(event_id, track_id, end, sector, layer_limit, x, y, ux, uy, closed): both ends of tracks of two nodes or more, the way they point, and whether both are at a limit."""
-    point = F.struct("pos", "x", "y", "sector", "layer_limit")
-    whole = placed(members, nodes).groupBy(*TRACK).agg(F.array_sort(F.collect_list(point)).alias("p")).filter(F.size("p") > 1)
+    """(event_id, track_id, end, det_id, other_id, sector, layer_limit, x, y, ux, uy, closed): both ends of tracks of two nodes or more, the other end's node and the way they point.
+
+    ``closed`` tracks have both ends at a limit, or go from layer 0 to beyond 21.
+    """
+    point = F.struct("pos", "det_id", "x", "y", "sector", "layer_limit")
+    whole = placed(members, nodes).groupBy(*TRACK).agg(F.array_sort(F.collect_list(point)).alias("p"), F.min("layer").alias("low"), F.max("layer").alias("high")).filter(F.size("p") > 1)
     at = lambda k: F.element_at("p", k)
-    two = whole.select(*TRACK, (at(1).layer_limit & at(-1).layer_limit).alias("closed"), F.explode(F.array(
-        F.struct(F.lit("tail").alias("end"), at(1).alias("e"), at(2).alias("next")), F.struct(F.lit("head").alias("end"), at(-1).alias("e"), at(-2).alias("next")))).alias("s"))
-    return two.select(*TRACK, "s.end", "s.e.sector", "s.e.layer_limit", "s.e.x", "s.e.y", (C("s.e.x") - C("s.next.x")).alias("ux"), (C("s.e.y") - C("s.next.y")).alias("uy"), "closed")
+    through = (at(1).layer_limit & at(-1).layer_limit) | ((C("low") == 0) & (C("high") > FAR_LAYER))
+    two = whole.select(*TRACK, through.alias("closed"), F.explode(F.array(
+        F.struct(F.lit("tail").alias("end"), at(1).alias("e"), at(2).alias("next"), at(-1).det_id.alias("other_id")), F.struct(F.lit("head").alias("end"), at(-1).alias("e"), at(-2).alias("next"), at(1).det_id.alias("other_id")))).alias("s"))
+    return two.select(*TRACK, "s.end", "s.e.det_id", "s.other_id", "s.e.sector", "s.e.layer_limit", "s.e.x", "s.e.y", (C("s.e.x") - C("s.next.x")).alias("ux"), (C("s.e.y") - C("s.next.y")).alias("uy"), "closed")
+
+
+def remaining_ends(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members and active edges -> (event_id, track_id, end): ends with a fired neighbour, virtual ones too, outside their track."""
+    last = members.groupBy(*TRACK).agg(F.min_by("det_id", "pos").alias("tail"), F.max_by("det_id", "pos").alias("head"))
+    ends = last.select(*TRACK, F.explode(F.array(*(F.struct(F.lit(e).alias("end"), C(e).alias("src")) for e in ("tail", "head")))).alias("e")).select(*TRACK, "e.end", "e.src")
+    near = ends.join(found.select("event_id", "src", C("dst").alias("det_id")), ["event_id", "src"])
+    return near.join(members.select(*TRACK, "det_id"), [*TRACK, "det_id"], "left_anti").select(*TRACK, "end").distinct()
 
 
 def mutual(proposals: DataFrame) -> DataFrame:
@@ -266,9 +299,10 @@ def merged_ids(tracks: DataFrame, links: DataFrame) -> DataFrame:
 def merge_tracks(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members of merged tracks (event_id, track_id, pos, det_id), tracks laid end to end along mutual links.
 
-    Every chain is walked from its end with the smallest track (a loop from its
-    smallest track's head), all chains one track further in each round; a
-    track that is entered by its head is reversed.  A node counts once, where
+    Every chain is walked from its free end with the smallest track, by the
+    tail if both of its ends are free (a loop from its smallest track's tail),
+    all chains one track further in each round; a track that is entered by its
+    head is reversed.  A node counts once, where
     it comes first.
     """
     tracks, links = stored(members.select(*TRACK).distinct(), "tracks"), stored(links, "links")
@@ -276,8 +310,8 @@ def merge_tracks(members: DataFrame, links: DataFrame) -> DataFrame:
     ends = tracks.withColumn("end", F.explode(F.array(F.lit("head"), F.lit("tail"))))
     free = ends.join(links.select("event_id", C("track_a").alias("track_id"), C("end_a").alias("end")), [*TRACK, "end"], "left_anti")
     # Entered by a free end where the chain has one; the smallest track's tail else.
-    start = ids.join(free, TRACK, "left").groupBy("event_id", "merged_id").agg(F.min(F.struct(C("end").isNull().alias("none"), "track_id", F.coalesce("end", F.lit("tail")).alias("end"))).alias("s"))
-    at = stored(start.select("event_id", "merged_id", C("s.track_id").alias("track_id"), C("s.end").alias("entered"), F.lit(0).alias("step")), "walk")
+    start = ids.join(free, TRACK, "left").groupBy("event_id", "merged_id").agg(F.min(F.struct(C("end").isNull().alias("none"), "track_id", F.coalesce(C("end") == "head", F.lit(False)).alias("by_head"))).alias("s"))
+    at = stored(start.select("event_id", "merged_id", C("s.track_id").alias("track_id"), F.when(C("s.by_head"), "head").otherwise("tail").alias("entered"), F.lit(0).alias("step")), "walk")
     walked = at
     while True:
         leave = at.withColumn("end_a", F.when(C("entered") == "head", "tail").otherwise("head")).withColumnRenamed("track_id", "track_a")

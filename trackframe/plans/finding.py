@@ -135,10 +135,13 @@ def fit_next(v):
     return chosen(v)
 
 
-@query("""SELECT event_id, track_a, track_b, det_id, angle FROM (SELECT c.event_id, c.track_id AS track_a, e.track_id AS track_b, c.det_id, abs(round(atan2((l.x - e.x) * (e.ty - e.y) - (l.y - e.y) * (e.tx - e.x), (l.x - e.x) * (e.tx - e.x) + (l.y - e.y) * (e.ty - e.y)) * 180 / 3.14159265::DOUBLE, 3)) AS angle
+PROPOSED = """SELECT event_id, track_a, track_b, det_id, angle FROM (SELECT c.event_id, c.track_id AS track_a, e.track_id AS track_b, c.det_id, abs(round(atan2((l.x - e.x) * (e.ty - e.y) - (l.y - e.y) * (e.tx - e.x), (l.x - e.x) * (e.tx - e.x) + (l.y - e.y) * (e.ty - e.y)) * 180 / 3.14159265::DOUBLE, 3)) AS angle
   FROM nxt c JOIN (SELECT event_id, track_id, det_id, x, y, lead(x) OVER w AS tx, lead(y) OVER w AS ty, row_number() OVER w AS k, count(*) OVER (PARTITION BY event_id, track_id) AS n FROM mem WINDOW w AS (PARTITION BY event_id, track_id ORDER BY pos)
     UNION ALL SELECT event_id, track_id, det_id, x, y, lead(x) OVER w, lead(y) OVER w, row_number() OVER w, count(*) OVER (PARTITION BY event_id, track_id) FROM mem WINDOW w AS (PARTITION BY event_id, track_id ORDER BY pos DESC)) e
-  ON e.event_id = c.event_id AND e.det_id = c.det_id AND e.k = 1 AND e.n > 1 AND e.track_id <> c.track_id JOIN (SELECT event_id, track_id, arg_max(x, pos) AS x, arg_max(y, pos) AS y FROM mem GROUP BY ALL) l ON l.event_id = c.event_id AND l.track_id = c.track_id) WHERE angle > 105""", VIEWS, FIT | {"nxt": NEXT})
+  ON e.event_id = c.event_id AND e.det_id = c.det_id AND e.k = 1 AND e.n > 1 AND e.track_id <> c.track_id JOIN (SELECT event_id, track_id, arg_max(x, pos) AS x, arg_max(y, pos) AS y FROM mem GROUP BY ALL) l ON l.event_id = c.event_id AND l.track_id = c.track_id) WHERE angle > 105"""
+
+
+@query(PROPOSED, VIEWS, FIT | {"nxt": NEXT})
 def propose_from_fit(v):
     return finder.propose_from_fit(chosen(v), tracks(v), v("f_nodes"))
 
@@ -174,20 +177,40 @@ def leftover_components(v):
     return finder.leftover_components(tracks(v), active(v), active_edges(v))
 
 
-POINTING = """SELECT event_id, track_id, e, sector, layer_limit, x, y, x - ox AS ux, y - oy AS uy FROM (
-  SELECT *, 'tail' AS e, lead(x) OVER w AS ox, lead(y) OVER w AS oy, row_number() OVER w AS k, count(*) OVER t AS n, arg_min(layer_limit, pos) OVER t AND arg_max(layer_limit, pos) OVER t AS closed FROM mem WINDOW w AS (PARTITION BY event_id, track_id ORDER BY pos), t AS (PARTITION BY event_id, track_id)
-  UNION ALL SELECT *, 'head', lead(x) OVER w, lead(y) OVER w, row_number() OVER w, count(*) OVER t, arg_min(layer_limit, pos) OVER t AND arg_max(layer_limit, pos) OVER t FROM mem WINDOW w AS (PARTITION BY event_id, track_id ORDER BY pos DESC), t AS (PARTITION BY event_id, track_id)) WHERE k = 1 AND n > 1 AND NOT closed"""
-ENDED = """SELECT event_id, track_a, end_a, track_b, end_b, angle FROM (SELECT *, row_number() OVER (PARTITION BY event_id, track_a, end_a ORDER BY place) AS choice FROM (
-  SELECT *, abs(round(atan2(ax * -by_ - ay * -bx, ax * -bx + ay * -by_) * 180 / 3.14::DOUBLE, 3)) AS angle FROM (SELECT *, row_number() OVER (PARTITION BY event_id, track_a, end_a ORDER BY away, track_b, end_b) AS place FROM (
-  SELECT a.event_id, a.track_id AS track_a, a.e AS end_a, b.track_id AS track_b, b.e AS end_b, a.ux AS ax, a.uy AS ay, b.ux AS bx, b.uy AS by_, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 5) AS away
-  FROM po a JOIN po b ON a.event_id = b.event_id AND a.track_id <> b.track_id AND (abs(a.sector - b.sector) <= 1 OR (abs(a.sector - b.sector) = 5 AND a.e = 'head')) WHERE NOT a.layer_limit) WHERE away < 6) WHERE place <= 5) WHERE angle < 70) WHERE choice = 1"""
+POINTING = """SELECT event_id, track_id, e, det_id, other_id, sector, layer_limit, x, y, x - ox AS ux, y - oy AS uy FROM (
+  SELECT *, 'tail' AS e, lead(x) OVER w AS ox, lead(y) OVER w AS oy, row_number() OVER w AS k, count(*) OVER t AS n, arg_max(det_id, pos) OVER t AS other_id, (arg_min(layer_limit, pos) OVER t AND arg_max(layer_limit, pos) OVER t) OR (min(layer) OVER t = 0 AND max(layer) OVER t > 21) AS closed FROM mem WINDOW w AS (PARTITION BY event_id, track_id ORDER BY pos), t AS (PARTITION BY event_id, track_id)
+  UNION ALL SELECT *, 'head', lead(x) OVER w, lead(y) OVER w, row_number() OVER w, count(*) OVER t, arg_min(det_id, pos) OVER t, (arg_min(layer_limit, pos) OVER t AND arg_max(layer_limit, pos) OVER t) OR (min(layer) OVER t = 0 AND max(layer) OVER t > 21) FROM mem WINDOW w AS (PARTITION BY event_id, track_id ORDER BY pos DESC), t AS (PARTITION BY event_id, track_id)) WHERE k = 1 AND n > 1 AND NOT closed"""
+#: Ends with fired neighbours outside their track, and ends that links of the fit have taken.
+REMAIN = "SELECT DISTINCT h.event_id, h.track_id, h.e FROM (SELECT event_id, track_id, 'head' AS e, arg_max(det_id, pos) AS d FROM mem GROUP BY ALL UNION ALL SELECT event_id, track_id, 'tail', arg_min(det_id, pos) FROM mem GROUP BY ALL) h JOIN ae ON ae.event_id = h.event_id AND ae.src = h.d WHERE NOT EXISTS (SELECT 1 FROM mem m WHERE m.event_id = h.event_id AND m.track_id = h.track_id AND m.det_id = ae.dst)"
+
 
+def _ended(asks: str, free: str) -> str:
+    return f"""SELECT event_id, track_a, end_a, track_b, end_b, angle FROM (SELECT *, row_number() OVER (PARTITION BY event_id, track_a, end_a ORDER BY place) AS choice FROM (
+  SELECT *, abs(round(atan2(ax * -by_ - ay * -bx, ax * -bx + ay * -by_) * 180 / 3.14::DOUBLE, 3)) AS angle FROM (SELECT *, row_number() OVER (PARTITION BY event_id, track_a, end_a ORDER BY away, track_b) AS place FROM (
+  SELECT a.event_id, a.track_id AS track_a, a.e AS end_a, b.track_id AS track_b, b.e AS end_b, a.ux AS ax, a.uy AS ay, b.ux AS bx, b.uy AS by_, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 5) AS away, {free} AS free
+  FROM po a JOIN po b ON a.event_id = b.event_id AND a.track_id <> b.track_id AND CASE WHEN b.e = 'tail' THEN abs(a.det_id - b.det_id) < abs(a.det_id - b.other_id) ELSE abs(a.det_id - b.det_id) <= abs(a.det_id - b.other_id) END
+    AND (abs(a.sector - b.sector) <= 1 OR (abs(a.sector - b.sector) = 5 AND a.e = 'head')) WHERE NOT a.layer_limit{asks}) WHERE away < 6) WHERE place <= 5 AND free) WHERE angle < 70) WHERE choice = 1"""
 
-@query(ENDED, VIEWS, {"mem": MEM, "po": POINTING})
+
+@query(_ended("", "true"), VIEWS, {"mem": MEM, "po": POINTING})
 def propose_from_ends(v):
     return finder.propose_from_ends(tracks(v), v("f_nodes"))
 
 
+#: Links of the fit, of which each track's head and the end that it meets are taken.
+TAKEN = """SELECT f.event_id, f.track_a AS track_id, 'head' AS e FROM pf f UNION SELECT f.event_id, f.track_b, CASE WHEN t.d = f.det_id THEN 'tail' ELSE 'head' END FROM pf f JOIN (SELECT event_id, track_id, arg_min(det_id, pos) AS d FROM mem GROUP BY ALL) t ON t.event_id = f.event_id AND t.track_id = f.track_b"""
+IN = "(SELECT 1 FROM {} x WHERE x.event_id = {}.event_id AND x.track_id = {}.track_id AND x.e = {}.e)"
+
+
+@query(_ended(f" AND NOT EXISTS {IN.format('rem', 'a', 'a', 'a')} AND NOT EXISTS {IN.format('tk', 'a', 'a', 'a')}", f"NOT EXISTS {IN.format('tk', 'b', 'b', 'b')}"), VIEWS, FIT | {"mem": MEM, "po": POINTING, "rem": REMAIN, "nxt": NEXT, "pf": PROPOSED, "tk": TAKEN})
+def propose_from_open_ends(v):
+    """As the chain has it: ends that the fit's links have taken, or at which fired neighbours remain, do not ask."""
+    linked = finder.propose_from_fit(chosen(v), tracks(v), v("f_nodes"))
+    tails = tracks(v).groupBy("event_id", C("track_id").alias("track_b")).agg(F.min_by("det_id", "pos").alias("tail"))
+    linked = linked.join(tails, ["event_id", "track_b"]).select("event_id", "track_a", F.lit("head").alias("end_a"), "track_b", F.when(C("tail") == C("det_id"), "tail").otherwise("head").alias("end_b"))
+    return finder.propose_from_ends(tracks(v), v("f_nodes"), linked, finder.remaining_ends(tracks(v), active_edges(v)))
+
+
 MERGED = "SELECT event_id, track_id, min(r) AS merged_id FROM (WITH RECURSIVE reach(event_id, track_id, r) AS (SELECT DISTINCT event_id, track_id, track_id FROM mem UNION SELECT l.event_id, l.b, reach.r FROM reach JOIN lk l ON l.event_id = reach.event_id AND l.a = reach.track_id) SELECT * FROM reach) GROUP BY ALL"
 LINKED = {
     "mem": MEM, "sym": SYM, "en": "SELECT event_id, track_id, arg_max(det_id, pos) AS head, arg_min(det_id, pos) AS tail FROM mem GROUP BY ALL",
@@ -214,16 +237,19 @@ def head_tail_links(v):
 
 #: Chains walked from their first free end (a loop from its smallest track's tail), then their members in order, each node where it comes first.
 WALK = """SELECT * FROM (WITH RECURSIVE w(event_id, merged_id, track_id, entered, step, first_) AS (
-  SELECT event_id, merged_id, s.t, s.e, 0, s.t FROM (SELECT i.event_id, i.merged_id, min({'none': f.e IS NULL, 't': i.track_id, 'e': coalesce(f.e, 'tail')}) AS s FROM mid i LEFT JOIN free_ends f ON f.event_id = i.event_id AND f.track_id = i.track_id GROUP BY ALL)
+  SELECT event_id, merged_id, s.t, CASE WHEN s.h THEN 'head' ELSE 'tail' END, 0, s.t FROM (SELECT i.event_id, i.merged_id, min({'none': f.e IS NULL, 't': i.track_id, 'h': coalesce(f.e = 'head', false)}) AS s FROM mid i LEFT JOIN free_ends f ON f.event_id = i.event_id AND f.track_id = i.track_id GROUP BY ALL)
   UNION ALL SELECT w.event_id, merged_id, b, eb, step + 1, first_ FROM w JOIN ends_linked l ON l.event_id = w.event_id AND l.a = w.track_id AND l.ea <> w.entered WHERE b <> first_) SELECT * FROM w)"""
 LAID = """SELECT event_id, merged_id AS track_id, row_number() OVER (PARTITION BY event_id, merged_id ORDER BY step, key) AS pos, det_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id, merged_id, det_id ORDER BY step, key) AS copy FROM (
   SELECT m.event_id, w.merged_id, m.det_id, step, CASE WHEN entered = 'head' THEN -pos ELSE pos END AS key FROM mem m JOIN walk w ON w.event_id = m.event_id AND w.track_id = m.track_id)) WHERE copy = 1"""
 
 
-@query(LAID, VIEWS, LINKED | {
+CHAINS = LINKED | {
     "mid": MERGED, "ends_linked": "SELECT event_id, a, 'head' AS ea, b, 'tail' AS eb FROM one UNION ALL SELECT event_id, b, 'tail', a, 'head' FROM one",
     "free_ends": "SELECT * FROM (SELECT event_id, track_id, 'head' AS e FROM en UNION ALL SELECT event_id, track_id, 'tail' FROM en) x ANTI JOIN ends_linked l ON l.event_id = x.event_id AND l.a = x.track_id AND l.ea = x.e", "walk": WALK,
-})
+}
+
+
+@query(LAID, VIEWS, CHAINS)
 def merge_tracks(v):
     return finder.merge_tracks(tracks(v), head_tail_links(v))
 
@@ -242,10 +268,13 @@ STAYING = """SELECT event_id, track_id FROM (WITH RECURSIVE g(event_id, i, kept,
     FROM g JOIN turns t ON t.event_id = g.event_id AND t.i = g.i + 1 LEFT JOIN over_ o ON o.event_id = t.event_id AND o.a = t.track_id)) SELECT * FROM g) WHERE stays"""
 
 
-@query(STAYING, VIEWS, {
+STAY = {
     "mem": MEM, "size": "SELECT event_id, track_id, count(DISTINCT det_id) AS n FROM mem GROUP BY ALL", "dom": DOM, "turns": "SELECT event_id, track_id::BIGINT AS track_id, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, track_id) AS i FROM size",
     "over_": "SELECT event_id, a, list(b::BIGINT) AS bs FROM dom WHERE m > 0.66 * least(na, nb) AND (nb > na OR (nb = na AND b < a)) GROUP BY ALL",
-})
+}
+
+
+@query(STAYING, VIEWS, STAY)
 def dedupe_overlap_all(v):
     return finder.dedupe_overlap(tracks(v))
 
@@ -274,6 +303,62 @@ def reconstruct_z(v):
     return rounded(rounded(finder.reconstruct_z(tracks(v), v("f_nodes")), ["z"], 3), ["scatter"])
 
 
+#: The rules of ``growing``, each on the fixture's members, against SQL of their own or that of the joins and windows above.
+@query(NEXT, VIEWS, FIT)
+def grown_next(v):
+    return growing.next_nodes(tracks(v), active(v), v("f_nodes"), sym(v))
+
+
+#: The neighbours ahead of a node: all if they hang together, else those without a foreign node of the node's layer, if some are.
+STEPS = """SELECT event_id, of, det_id FROM (SELECT *, count(*) OVER w AS n, count(*) FILTER (fo) OVER w AS bad, coalesce(pairs, 0) AS p FROM (
+  SELECT m.event_id, m.src AS of, m.dst AS det_id, EXISTS (SELECT 1 FROM ae e WHERE e.event_id = m.event_id AND e.src = m.dst AND e.dst_layer = m.src_layer AND e.dst <> m.src) AS fo FROM ae m) x
+  LEFT JOIN (SELECT a.event_id, a.src AS of, count(*) AS pairs FROM ae a JOIN sym s ON s.src = a.dst JOIN ae b ON b.event_id = a.event_id AND b.src = a.src AND b.dst = s.dst WHERE a.dst < b.dst GROUP BY ALL) q USING (event_id, of) WINDOW w AS (PARTITION BY event_id, of))
+  WHERE n < 5 AND (p >= n - 1 OR (NOT fo AND bad BETWEEN 1 AND n - 1))"""
+
+
+@query(STEPS, VIEWS, GRAPH)
+def grown_step(v):
+    return growing.frontier_steps(active(v), v("f_nodes"), sym(v))
+
+
+#: By ascending id: free nodes that a chain of free same-layer neighbours of rising ids ties to an owned one; each has its first neighbour's track.
+DRAWN = """SELECT event_id, det_id FROM (WITH RECURSIVE r(event_id, det_id) AS (SELECT f.event_id, f.det_id FROM free f JOIN same s ON s.event_id = f.event_id AND s.src = f.det_id SEMI JOIN owned o ON o.event_id = s.event_id AND o.det_id = s.dst
+  UNION SELECT s.event_id, s.dst FROM r JOIN same s ON s.event_id = r.event_id AND s.src = r.det_id AND s.dst > s.src SEMI JOIN free f ON f.event_id = s.event_id AND f.det_id = s.dst) SELECT * FROM r)"""
+FROM_WHOM = """SELECT d.event_id, d.det_id, min(s.dst) AS near FROM drawn d JOIN same s ON s.event_id = d.event_id AND s.src = d.det_id
+  WHERE EXISTS (SELECT 1 FROM owned o WHERE o.event_id = s.event_id AND o.det_id = s.dst) OR (s.dst < s.src AND EXISTS (SELECT 1 FROM drawn x WHERE x.event_id = s.event_id AND x.det_id = s.dst)) GROUP BY ALL"""
+GIVEN = """SELECT event_id, det_id, track_id FROM (WITH RECURSIVE g(event_id, det_id, track_id) AS (SELECT f.event_id, f.det_id, o.track_id FROM fw f JOIN owned o ON o.event_id = f.event_id AND o.det_id = f.near
+  UNION ALL SELECT f.event_id, f.det_id, g.track_id FROM g JOIN fw f ON f.event_id = g.event_id AND f.near = g.det_id) SELECT * FROM g)"""
+GATHER = GRAPH | {
+    "mem": MEM, "owned": OWNED, "free": FREE, "same": "SELECT * FROM ae WHERE src_layer = dst_layer", "drawn": DRAWN, "fw": FROM_WHOM, "given": GIVEN, "rest": "SELECT * FROM free ANTI JOIN drawn USING (event_id, det_id)",
+    "rl": "SELECT ae.event_id, src, dst FROM ae SEMI JOIN rest a ON a.event_id = ae.event_id AND a.det_id = ae.src SEMI JOIN rest b ON b.event_id = ae.event_id AND b.det_id = ae.dst", "comp": _reach("rest", "rl"),
+    "large": "SELECT event_id, component, det_id FROM (SELECT *, count(*) OVER (PARTITION BY event_id, component) AS n FROM comp) WHERE n > 5",
+}
+
+
+def half(v):
+    """Half of the tracks, so that much is left over, by ids that are no node's."""
+    return tracks(v).filter("track_id % 2 = 0").withColumn("track_id", -1 - C("track_id"))
+
+
+HALF = {"mem": f"SELECT * REPLACE (-1 - track_id AS track_id) FROM ({MEM}) WHERE track_id % 2 = 0"}
+
+
+@query("SELECT event_id, track_id, det_id FROM given UNION ALL SELECT event_id, component, det_id FROM large UNION ALL SELECT event_id, track_id, det_id FROM mem", VIEWS, GATHER | HALF)
+def grown_gather(v):
+    return growing.gather(half(v), active(v), v("f_nodes"), sym(v)).select("event_id", "track_id", "det_id")
+
+
+@query(LAID, VIEWS, CHAINS)
+def grown_chain(v):
+    return growing.join_ends(tracks(v), head_tail_links(v).withColumn("place", F.lit(0)), share=None)
+
+
+@query(STAYING, VIEWS, STAY)
+def grown_clean(v):
+    none = head_tail_links(v).limit(0).withColumn("place", F.lit(0))
+    return growing.join_ends(tracks(v), none).select("event_id", "track_id").distinct()
+
+
 @query()
 def connect(v):
     return growing.connect(active(v), v("f_nodes"), sym(v))
