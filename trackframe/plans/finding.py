@@ -376,6 +376,19 @@ def reconstruct_qa(v):
     return reconstruct.reconstruct(v("f_hits"), _nodes(v), v("f_edges"))
 
 
+@query("SELECT event_id, track_id, k, det_id, seq, round(tx, 5) AS tx, round(ty, 5) AS ty, round(tz, 5) AS tz FROM f_curved", "f_curved")
+def curved_hits(v):
+    return rounded(v("f_curved"), ["tx", "ty", "tz"], 5)
+
+
+@query()
+def reconstruct_curved(v):
+    """The whole way on curved tracks, where the truth is a line through the detector."""
+    from trackframe.plans.graphs import _nodes
+
+    return reconstruct.reconstruct(v("f_curved"), _nodes(v), v("f_edges"))
+
+
 @query("SELECT event_id, component, det_id FROM (SELECT *, count(*) OVER (PARTITION BY event_id, component) AS n FROM comp) WHERE n >= 8", VIEWS, GRAPH | {
     "cut": "SELECT DISTINCT event_id, det_id FROM f_hits WHERE hit_type = 1 AND isochrone >= 0.3", "cl": "SELECT ae.event_id, src, dst FROM ae SEMI JOIN cut a ON a.event_id = ae.event_id AND a.det_id = ae.src SEMI JOIN cut b ON b.event_id = ae.event_id AND b.det_id = ae.dst", "comp": _reach("cut", "cl"),
 })

@@ -90,6 +90,36 @@ def f_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def f_curved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of curved tracks, a helix for each three orders, three to an event, with a hit in every layer.
+
+    The azimuth at radius r is phi0 + asin(r / 2 rho) in the track's sense,
+    the height 35 and the length of the arc times the slope; the tube is the
+    one whose wire is nearest at that height.  Curvatures and slopes fall with
+    the tubes' width, so that hits of neighbouring layers lie in tubes that
+    are mostly neighbours.
+    """
+    rings = _rings(_read(spark, sf_dir, "part"))
+    k = F.col("key")
+    tracks = _read(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 3).alias("key")).distinct()
+    tracks = tracks.select(
+        F.floor(k / 3).alias("event_id"), (k % 3).alias("track_id"), (F.lit(2 * PI) * ((k * 7919) % 10007) / 10007).alias("phi0"),
+        F.when(k % 2 == 0, 1.0).otherwise(-1.0).alias("way"), ((60.0 + (k * 31) % 200) * max(1.0, rings / 24)).alias("rho"), (((k * 17) % 101 - 50) / (50.0 * rings)).alias("slope"),
+    )
+    layer, r = F.col("layer"), F.col("layer") + 16.0
+    hits = tracks.withColumn("layer", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(25).cast("long"))))
+    bend = F.asin(r / (2 * F.col("rho")))
+    hits = hits.withColumns({"phi": F.col("phi0") + F.col("way") * bend, "tz": 35 + 2 * F.col("rho") * bend * F.col("slope")})
+    tilt = F.when(~layer.between(8, 15), 0.0).when(layer % 2 == 0, 3.0).otherwise(-3.0) * F.lit(PI) / 180
+    wire = F.col("phi") - F.atan((F.col("tz") - 35) * F.tan(tilt) / r)
+    turn = F.pmod(F.floor(wire * F.lit(6.0 * rings) / F.lit(2 * PI)), F.lit(6 * rings))
+    det = (turn % rings) * 156 + layer * 6 + F.floor(turn / rings) + 1
+    return hits.select(
+        "event_id", "track_id", (layer + 1).alias("k"), det.cast("long").alias("det_id"), (F.col("track_id") * 26 + layer + 1).alias("seq"),
+        (r * F.cos("phi")).alias("tx"), (r * F.sin("phi")).alias("ty"), "tz",
+    )
+
+
 def f_reco(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Found tracks with every kind of fault: lost, part of another, split, thinned."""
     t = (F.col("track_id") + F.col("event_id")) % 10
@@ -187,6 +217,15 @@ SQL: dict[str, tuple[str, list[str]]] = {
           FROM f_items, f_rings) i JOIN f_nodes n ON i.det_id = n.det_id""",
         ["f_rings", "f_nodes", "f_items"],
     ),
+    "f_curved": (
+        f"""SELECT event_id, track_id, layer + 1 AS k, (turn % r) * 156 + layer * 6 + turn // r + 1 AS det_id, track_id * 26 + layer + 1 AS seq, rad * cos(phi) AS tx, rad * sin(phi) AS ty, tz FROM (
+          SELECT *, ((floor((phi - atan((tz - 35) * tan(tilt) / rad)) * (6.0::DOUBLE * r) / {2 * PI!r}::DOUBLE)::BIGINT % (6 * r)) + 6 * r) % (6 * r) AS turn FROM (
+          SELECT *, phi0 + way * bend AS phi, 35 + 2 * rho * bend * slope AS tz, (CASE WHEN layer NOT BETWEEN 8 AND 15 THEN 0.0::DOUBLE WHEN layer % 2 = 0 THEN 3.0::DOUBLE ELSE -3.0::DOUBLE END) * {PI!r}::DOUBLE / 180 AS tilt FROM (
+          SELECT *, layer + 16.0::DOUBLE AS rad, asin((layer + 16.0::DOUBLE) / (2 * rho)) AS bend FROM (
+          SELECT key // 3 AS event_id, key % 3 AS track_id, {2 * PI!r}::DOUBLE * ((key * 7919) % 10007) / 10007 AS phi0, CASE WHEN key % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS way,
+            (60.0::DOUBLE + (key * 31) % 200) * greatest(1.0::DOUBLE, r / 24::DOUBLE) AS rho, ((key * 17) % 101 - 50) / (50.0::DOUBLE * r) AS slope, unnest(range(0, 26)) AS layer, r FROM (SELECT DISTINCT l_orderkey // 3 AS key FROM lineitem), f_rings))))""",
+        ["f_rings"],
+    ),
     "f_reco": (
         """SELECT event_id, reco_id, det_id, row_number() OVER (PARTITION BY event_id, reco_id ORDER BY mk, mt, det_id) AS pos FROM (
           SELECT event_id, reco_id, det_id, min(k) AS mk, arg_min(track_id, k * 1000 + track_id) AS mt FROM (
