@@ -110,6 +110,26 @@ def on_tube(x: Column, y: Column, p: str) -> Column:
     return ways <= F.hypot(far[0] - near[0], far[1] - near[1]) + 1
 
 
+def strictly_met(x1: Column, y1: Column, x2: Column, y2: Column, tube: Column) -> Column:
+    """Where the line through two points meets the tube of a struct, as struct(on, x, y, z): ``on`` is false where they are parallel or meet over 1 off the tube's ends."""
+    reach = lambda c: tube["half_length"] * tube[f"d{c}"]
+    ends = F.struct(*((tube[c] - reach(c)).alias(f"{c}3") for c in "xyz"), *((tube[c] + reach(c)).alias(f"{c}4") for c in "xy"))
+
+    def met(e: Column) -> Column:
+        cross = (x1 - x2) * (e.y3 - e.y4) - (y1 - y2) * (e.x3 - e.x4)
+        det, a, b = F.when(cross != 0, cross), x1 * y2 - y1 * x2, e.x3 * e.y4 - e.y3 * e.x4
+        return F.struct(((a * (e.x3 - e.x4) - (x1 - x2) * b) / det).alias("x"), ((a * (e.y3 - e.y4) - (y1 - y2) * b) / det).alias("y"), e.alias("e"))
+
+    def judged(p: Column) -> Column:
+        ways = F.hypot(p.x - p.e.x3, p.y - p.e.y3) + F.hypot(p.x - p.e.x4, p.y - p.e.y4)
+        on = F.coalesce(ways <= F.hypot(p.e.x4 - p.e.x3, p.e.y4 - p.e.y3) + 1, F.lit(False))
+        z = p.e.z3 + tube["dz"] * (p.y - p.e.y3) / F.when(tube["dy"] != 0, tube["dy"])
+        return F.struct(on.alias("on"), p.x.alias("x"), p.y.alias("y"), z.alias("z"))
+
+    one = lambda v, f: F.get(F.transform(F.array(v), f), F.lit(0))
+    return one(ends, lambda e: one(met(e), judged))
+
+
 def with_clamped(rows: DataFrame, x1: Column, y1: Column, x2: Column, y2: Column, p: str) -> DataFrame:
     """Rows with cx, cy and cz: as line_meets_tube; the nearer end of the tube where the point is off it, its centre at height 0 where they are parallel."""
     kept = rows.columns

@@ -109,6 +109,64 @@ def anchors_of(own: DataFrame) -> DataFrame:
     return grouped.select(*TRACK, number.alias("pos"), "layer", "n", "x", "y", "z")
 
 
+def let(value, f):
+    """``f`` of a value that is computed once within an array function."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def in_turn(members: DataFrame, nodes: DataFrame, start, step, done):
+    """A fold over the nodes of each track in order: (event_id, track_id, s), with ``done`` of the last state."""
+    node = F.struct("pos", "det_id", "layer", "node_type", "x", "y", "z", "half_length", "dx", "dy", "dz")
+    own = members.join(nodes.select("det_id", "layer", "node_type", "x", "y", "z", "half_length", "dx", "dy", "dz"), "det_id")
+    return own.groupBy(*TRACK).agg(F.array_sort(F.collect_list(node)).alias("m")).select(*TRACK, F.aggregate("m", start, step, done).alias("s"))
+
+
+def anchors_in_turn(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """As ``anchors``, where a skewed node that opens a layer is first moved to where its tube meets the line through the last anchor and the one three before it.
+
+    Those may have been moved themselves, so the nodes of a track are folded
+    in order.  A node stays at its tube's centre if there are fewer than four
+    anchors, if the line is parallel to its tube or meets it more than 1 off
+    its ends.
+    """
+    point = "struct<layer:bigint,n:bigint,x:double,y:double,z:double>"
+    start = F.struct(F.lit(0).cast("long").alias("k"), F.lit(None).cast("long").alias("layer"), F.lit(0).cast("long").alias("run"), F.array().cast(f"array<{point}>").alias("a"))
+
+    def made(layer, n, x, y, z):
+        return F.struct(layer.cast("long").alias("layer"), n.cast("long").alias("n"), x.cast("double").alias("x"), y.cast("double").alias("y"), z.cast("double").alias("z"))
+
+    def step(s, m):
+        opens = (s.k < 2) | (s.layer != m.layer)
+        own = made(m.layer, F.lit(1), m.x, m.y, m.z)
+        line = F.struct(F.get(s.a, F.size(s.a) - 1).alias("q"), F.get(s.a, F.size(s.a) - 4).alias("p"))
+        at = F.when(opens & (s.k >= 2) & (m.node_type == 2) & (F.size(s.a) > 3), let(line, lambda v: let(G.strictly_met(v.p.x, v.p.y, v.q.x, v.q.y, m), lambda c: F.when(c.on, made(m.layer, F.lit(1), c.x, c.y, F.coalesce(c.z, m.z))).otherwise(own)))).otherwise(own)
+        run = F.when(opens, F.lit(0).cast("long")).otherwise(s.run + 1)
+        last = F.get(s.a, F.size(s.a) - 1)
+        mean = let(last, lambda b: made(m.layer, b.n + 1, (b.x + m.x) / 2, (b.y + m.y) / 2, (b.z + m.z) / 2))
+        return let(F.struct(opens.alias("opens"), run.alias("run")), lambda o: F.struct(
+            (s.k + 1).alias("k"), m.layer.cast("long").alias("layer"), o.run.alias("run"),
+            F.when(o.opens | (o.run % 2 == 0), F.concat(s.a, F.array(at))).otherwise(F.concat(F.slice(s.a, F.lit(1), F.size(s.a) - 1), F.array(mean))).alias("a"),
+        ))
+
+    found = in_turn(members, nodes, start, step, lambda s: s.a)
+    return found.select(*TRACK, F.posexplode("s").alias("k", "p")).select(*TRACK, (C("k") + 1).cast("long").alias("pos"), "p.layer", "p.n", "p.x", "p.y", "p.z")
+
+
+def unwrapped_in_turn(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(event_id, track_id, pos, det_id, theta): azimuths in degrees, each moved by a whole turn where it and the (moved) one before lie beyond 150 on opposite sides.
+
+    The first two nodes stay as they are.
+    """
+    start = F.array().cast("array<struct<pos:bigint,det_id:bigint,theta:double>>")
+
+    def step(s, m):
+        now, before = F.degrees(F.atan2(m.y, m.x)), F.get(s, F.size(s) - 1).theta
+        theta = F.when(F.size(s) < 2, now).otherwise(G.unwrapped(now, before))
+        return F.concat(s, F.array(F.struct(m.pos.cast("long").alias("pos"), m.det_id.cast("long").alias("det_id"), theta.alias("theta"))))
+
+    return in_turn(members, nodes, start, step, lambda s: s).select(*TRACK, F.explode("s").alias("p")).select(*TRACK, "p.pos", "p.det_id", "p.theta")
+
+
 def correct_skew(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Members with corrected cx, cy, cz: skewed nodes between straight ones lie where their tube meets the line between these.
 

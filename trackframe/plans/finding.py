@@ -97,6 +97,34 @@ def anchors(v):
     return rounded(finder.anchors(tracks(v), v("f_nodes")), "xyz")
 
 
+#: The members of a track in turn, with their tubes' ends.
+TURN = "SELECT m.*, row_number() OVER (PARTITION BY event_id, track_id ORDER BY pos) AS i, n.x - n.half_length * n.dx AS x3, n.y - n.half_length * n.dy AS y3, n.z - n.half_length * n.dz AS z3, n.x + n.half_length * n.dx AS x4, n.y + n.half_length * n.dy AS y4, n.dy, n.dz FROM mem m JOIN f_nodes n USING (det_id)"
+#: A fold over the members: the state holds the anchors so far, the last layer and the place in it.
+FOLDED = """SELECT event_id, track_id, i, a FROM (WITH RECURSIVE f(event_id, track_id, i, layer, run, a) AS (
+  SELECT DISTINCT event_id, track_id, 0::BIGINT, NULL::BIGINT, 0::BIGINT, []::STRUCT(layer BIGINT, n BIGINT, x DOUBLE, y DOUBLE, z DOUBLE)[] FROM turn
+  UNION ALL SELECT event_id, track_id, i, layer, run, CASE WHEN opens OR run % 2 = 0 THEN list_append(a, {'layer': layer, 'n': 1::BIGINT, 'x': CASE WHEN on_ THEN ix ELSE x END, 'y': CASE WHEN on_ THEN iy ELSE y END, 'z': CASE WHEN on_ THEN coalesce(z3 + dz * (iy - y3) / nullif(dy, 0), z) ELSE z END})
+      ELSE list_append(a[1:len(a) - 1], {'layer': layer, 'n': a[-1].n + 1, 'x': (a[-1].x + x) / 2, 'y': (a[-1].y + y) / 2, 'z': (a[-1].z + z) / 2}) END
+    FROM (SELECT *, coalesce(movable AND sqrt((ix - x3) ** 2 + (iy - y3) ** 2) + sqrt((ix - x4) ** 2 + (iy - y4) ** 2) <= sqrt((x4 - x3) ** 2 + (y4 - y3) ** 2) + 1, false) AS on_ FROM (
+    SELECT *, (c1 * (x3 - x4) - ux * c2) / nullif(k, 0) AS ix, (c1 * (y3 - y4) - uy * c2) / nullif(k, 0) AS iy FROM (
+    SELECT *, ux * (y3 - y4) - uy * (x3 - x4) AS k, px * qy - py * qx AS c1, x3 * y4 - y3 * x4 AS c2 FROM (
+    SELECT f.event_id, f.track_id, t.i, t.layer, f.a, t.x, t.y, t.z, t.x3, t.y3, t.z3, t.x4, t.y4, t.dy, t.dz, f.i < 2 OR f.layer <> t.layer AS opens, CASE WHEN f.i < 2 OR f.layer <> t.layer THEN 0 ELSE f.run + 1 END AS run,
+      (f.i >= 2 AND f.layer <> t.layer AND t.node_type = 2 AND len(f.a) > 3) AS movable, a[-4].x AS px, a[-4].y AS py, a[-1].x AS qx, a[-1].y AS qy, a[-4].x - a[-1].x AS ux, a[-4].y - a[-1].y AS uy
+    FROM f JOIN turn t ON t.event_id = f.event_id AND t.track_id = f.track_id AND t.i = f.i + 1))))) SELECT * FROM f) QUALIFY i = max(i) OVER (PARTITION BY event_id, track_id)"""
+
+
+@query("SELECT event_id, track_id, k AS pos, p.layer AS layer, p.n AS n, round(p.x, 4) AS x, round(p.y, 4) AS y, round(p.z, 3) AS z FROM (SELECT event_id, track_id, unnest(a) AS p, generate_subscripts(a, 1) AS k FROM fold)", VIEWS, {"mem": MEM, "turn": TURN, "fold": FOLDED})
+def anchors_in_turn(v):
+    return rounded(rounded(finder.anchors_in_turn(tracks(v), v("f_nodes")), "xy"), "z", 3)
+
+
+@query("""SELECT event_id, track_id, pos, det_id, round(theta, 4) AS theta FROM (WITH RECURSIVE f(event_id, track_id, i, pos, det_id, theta) AS (
+  SELECT event_id, track_id, i, pos, det_id, degrees(atan2(y, x)) FROM turn WHERE i = 1 UNION ALL
+  SELECT event_id, track_id, i, pos, det_id, CASE WHEN i > 2 AND before > 150 AND now_ < -150 THEN now_ + 360 WHEN i > 2 AND before < -150 AND now_ > 150 THEN now_ - 360 ELSE now_ END FROM (
+    SELECT t.event_id, t.track_id, t.i, t.pos, t.det_id, degrees(atan2(t.y, t.x)) AS now_, f.theta AS before FROM f JOIN turn t ON t.event_id = f.event_id AND t.track_id = f.track_id AND t.i = f.i + 1)) SELECT * FROM f)""", VIEWS, {"mem": MEM, "turn": TURN})
+def unwrap_in_turn(v):
+    return rounded(finder.unwrapped_in_turn(tracks(v), v("f_nodes")), ["theta"])
+
+
 #: Members between the means of the straight layers before and after, and where the line through these meets the tube.
 LEVEL = "CASE WHEN s.at_ IS NOT NULL THEN {'l': s.layer, 'x': lx, 'y': ly} END"
 ALONG = "OVER (PARTITION BY m.event_id, m.track_id ORDER BY pos ROWS BETWEEN"
