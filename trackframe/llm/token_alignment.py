@@ -71,6 +71,9 @@ class Words:
     """
 
     SPLIT = re.compile(r"(?<=\S) (?=\S)")
+    #: White space of any library, at a word's edge; or nothing at all.
+    BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    EDGE = rf"^(?:{BLANK}|$)|{BLANK}$"
 
     def __init__(self, a_path: str, b_path: str, strings: bool = True, most: int = 200_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -148,15 +151,14 @@ class Words:
         """The alignments of distinct words."""
         if len(self.young) > self.most // 2:
             self.old, self.young = self.young, {}
-        out: list = [None] * len(words)
+        out: list = list(map(self.young.get, words))
         latin: list[int] = []
         other: list[int] = []
-        for k, w in enumerate(words):
-            if w in self.young:
-                out[k] = self.young[w]
-            elif w in self.old:
+        for k in [k for k, r in enumerate(out) if r is None]:
+            w = words[k]
+            if w in self.old:
                 self.young[w] = out[k] = self.old[w]
-            elif w:
+            elif w and w not in self.young:
                 (latin if w.isascii() or max(w) < "ɐ" else other).append(k)
         for some, plain in ((latin, True), (other, False)):
             together = [k for k in some if not (words[k][0].isspace() or words[k][-1].isspace())] if self.apart else []
@@ -176,7 +178,7 @@ class Words:
         words = coded.dictionary.to_pylist()
         codes, ends = coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy()[1:].astype(np.int64) - parts.offsets[0].as_py()
         # Blanks beside white space, or at a text's ends, stay within words.
-        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words], bool)
+        odd = pc.match_substring_regex(coded.dictionary, self.EDGE).to_numpy(zero_copy_only=False)
         if not self.apart:
             odd[:] = True
         bad = np.flatnonzero(np.add.reduceat(odd[codes].astype(np.int64), ends - np.diff(np.r_[0, ends]))) if len(ends) else []
@@ -197,12 +199,18 @@ def _words(a_path: str, b_path: str, strings: bool) -> Words:
     return Words(a_path, b_path, strings)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending; sorting is faster than hashing here."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 class Batch:
     """The texts of a batch as words with their alignments."""
 
     def __init__(self, words: Words, texts: pa.Array):
         self.codes, self.ends, names = words.split(texts)
-        used = np.unique(self.codes)  # words that only a text's first splitting had are in no text
+        used = distinct(self.codes)  # words that only a text's first splitting had are in no text
         self.codes = np.searchsorted(used, self.codes)
         self.records = words.of([names[k] for k in used.tolist()])
         self.starts = np.r_[0, self.ends[:-1]].astype(np.int64) if len(self.ends) else np.empty(0, np.int64)
@@ -224,13 +232,13 @@ class Batch:
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """The texts and the keys of their distinct pairs."""
         there = self.sound[self.doc]
-        at = np.unique(self.doc[there] * len(self.records) + self.codes[there])
+        at = distinct(self.doc[there] * len(self.records) + self.codes[there])
         doc, word = np.divmod(at, max(1, len(self.records)))
         each = self.links[word]
         ends = np.cumsum(each)
         first = (np.cumsum(self.links) - self.links)[word]
         keys = self.keys[np.repeat(first - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-        both = np.unique(np.repeat(doc, each).astype(np.uint64) << np.uint64(32) | keys.astype(np.uint64))
+        both = distinct(np.repeat(doc, each).astype(np.uint64) << np.uint64(32) | keys.astype(np.uint64))
         return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
     def shown(self, k: int) -> str:
@@ -253,7 +261,9 @@ def pairs_by_task(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
         for batch in slices(batches, 1024):
             _, own = Batch(words, batch.column(0)).pairs()
-            waiting.append(np.unique(own, return_counts=True))
+            own.sort()
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+            waiting.append((own[first], np.diff(np.r_[first, len(own)])))
             size += len(waiting[-1][0])
             if size > 2_000_000:
                 keys, counts = merged()
