@@ -17,18 +17,24 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
 _MARKS = re.compile(r"[!?]{2,}|\.{4,}|…{2,}")
-_CODE = re.compile(r"[{}]|</?\w+[^<>]*>|\bfunction\s*\(|\bvar\s+\w+\s*=")
+_CODE = re.compile(r"[{}]|</?\w[^<>]*+>|\bfunction\s*\(|\bvar\s+\w+\s*=")
 _MENU = re.compile(r"(?:^|\s)(?:\||›|»|·|/|>)(?=\s|$)")
 _BOILERPLATE = re.compile(
     r"all rights reserved|copyright (?:\(c\)|©|\d{4})|©\s*\d{4}|terms of (?:use|service)|privacy policy|cookie policy|(?:uses?|accept) cookies"
     r"|licensed under|released under the .{1,40} licen[cs]e|subscribe to our|sign up for our|click here|enable javascript|lorem ipsum|powered by \w+"
+    r"|alle rechte vorbehalten|nutzungsbedingungen|datenschutzerklärung|newsletter abonnieren|hier klicken"
+    r"|tous droits réservés|conditions d['’]utilisation|politique de confidentialité|mentions légales|cliquez ici"
+    r"|todos los derechos reservados|términos (?:de uso|del servicio)|política de (?:privacidad|cookies)|aviso legal|haga clic aquí"
 )
+#: The end of a sentence, perhaps quoted.
+_ENDS = (".", "!", "?", "…", ":", ";", '."', '!"', '?"', ".»", ".”", ".)")
 #: What a lower-cased text holds if a rule's pattern can match in it; texts without any of it are not searched.
 _HINTS = {
     "marks": ("!!", "??", "!?", "?!", "....", "……"),
     "code": ("{", "}", "<", "function", "var"),
     "menu": ("|", "›", "»", "·", "/", ">"),
-    "boilerplate": ("rights reserved", "copyright", "©", "terms of", "policy", "cookies", "licensed under", "released under", "subscribe to", "sign up", "click here", "javascript", "lorem", "powered by"),
+    "boilerplate": ("rights reserved", "copyright", "©", "terms of", "policy", "cookies", "licensed under", "released under", "subscribe to", "sign up", "click here", "javascript", "lorem", "powered by",
+        "rechte", "nutzungs", "datenschutz", "newsletter", "hier klicken", "droits", "utilisation", "confidentialité", "mentions", "cliquez", "derechos", "términos", "política", "aviso", "haga clic"),
 }
 
 
@@ -41,6 +47,7 @@ class Rules:
     max_capitals: float = 0.7  # of the words of a line of five words or more
     max_stutter: float = 0.5  # words of a line of five words or more that repeat the word before
     max_separators: int = 2  # menu separators that stand alone
+    menu_lines: int = 4  # lines in a row of at most two words without an end mark make a menu
     boilerplate_words: int = 40  # longer lines are prose that happens to hold such a phrase
     max_lost: float = 0.4  # of a document's word characters
     min_words: int = 20
@@ -64,7 +71,7 @@ def line_fault(line: str, words: list[bytes], rules: Rules, may: frozenset[str])
     if n >= 3 and "marks" in may and len(_MARKS.findall(line)) > rules.max_marks * n:
         return "punctuation"
     if n >= 5:
-        if sum(map(str.isupper, line.split())) > rules.max_capitals * n:
+        if sum(map(str.isupper, b" ".join(words).decode("utf-8", "surrogatepass").split(" "))) > rules.max_capitals * n:
             return "punctuation"
         if sum(map(bytes.__eq__, words, words[1:])) > rules.max_stutter * n:
             return "repeated"
@@ -75,6 +82,22 @@ def line_fault(line: str, words: list[bytes], rules: Rules, may: frozenset[str])
     return None
 
 
+def menu_lines(lines: list[str], rules: Rules) -> set[int]:
+    """The places of lines that stand in a row of short ones without an end mark; lines without a word do not break a row."""
+    found: set[int] = set()
+    row: list[int] = []
+    for at, line in enumerate([*lines, "."]):
+        if len(line) <= 60 and not (own := line.strip(BLANKS)):
+            continue
+        if len(line) <= 60 and len(WORD.findall(own)) <= 2 and not own.endswith(_ENDS):
+            row.append(at)
+            continue
+        if len(row) >= rules.menu_lines:
+            found.update(row)
+        row = []
+    return found
+
+
 def word_chars(text: str) -> int:
     """Code points that are not blanks."""
     return len(text) - sum(map(text.count, BLANKS))
@@ -113,7 +136,9 @@ def judge(text: str | None, rules: Rules) -> dict:
     seen: set[str] = set()
     duplicates = lost = 0
     left, why = [], []
-    for line in text.split("\n"):
+    lines = text.split("\n")
+    menu = menu_lines(lines, rules) if len(lines) >= rules.menu_lines else ()
+    for at, line in enumerate(lines):
         own = line.encode("utf-8", "surrogatepass").split()
         if not own:
             left.append(line)
@@ -121,7 +146,7 @@ def judge(text: str | None, rules: Rules) -> dict:
         again = line in seen
         duplicates += again
         seen.add(line)
-        fault = "repeated" if again else line_fault(line, own, rules, may)
+        fault = "repeated" if again else "navigation" if at in menu else line_fault(line, own, rules, may)
         if fault is None:
             left.append(line)
         else:
@@ -162,7 +187,9 @@ def figures(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     repeated windows, or that lose more than ``max_lost`` of their word
     characters.  Null and empty texts have zeros and are not kept.  A doc_id
     may be null or repeated; each row is judged by itself, in one pass without
-    a shuffle.
+    a shuffle.  Texts of any length are judged whole, in time that grows with
+    their length; an empty table gives an empty one, and further columns are
+    not looked at.
     """
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
