@@ -21,6 +21,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -121,7 +122,8 @@ def parse_arc(content: bytes) -> Iterator[dict]:
 
     Which fields a header line has is read from the version block; the URL
     is what comes before the last ones, so that blanks in it do no harm.  A
-    length that is not a number or reaches beyond the file raises ValueError.
+    length that is not a number or reaches beyond the file raises ValueError,
+    and so does a version block that does not name the fields.
     """
     data, wrong = unpacked(content)
     at, fields, archive = 0, None, ""
@@ -133,13 +135,16 @@ def parse_arc(content: bytes) -> Iterator[dict]:
         line = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r")
         n = len(fields) if fields else (10 if len(line.split(" ")) >= 10 else 5)
         parts = line.rsplit(" ", n - 1)
-        if end < 0 or len(parts) != n or not parts[-1].isdigit() or end + 1 + int(parts[-1]) > len(data):
+        if end < 0 or len(parts) != n or not re.fullmatch(r"[0-9]{1,18}", parts[-1]) or end + 1 + int(parts[-1]) > len(data):
             raise ValueError(f"no ARC record at byte {at}: {line[:80]!r}")
         block = data[end + 1 : end + 1 + int(parts[-1])]
         if fields is None:
             if not line.startswith("filedesc:"):
                 raise ValueError("an ARC file starts with its version block")
-            fields, archive = block.split(b"\n")[1].decode().split(" "), parts[0]
+            lines = block.split(b"\n")
+            fields, archive = lines[1].decode().rstrip("\r").split(" ") if len(lines) > 1 else [], parts[0]
+            if not {"URL", "Archive-date", "Archive-length"} <= set(fields):
+                raise ValueError("the version block names no fields of URL, date and length")
             yield {"URL": parts[0], "Archive-date": parts[2], "Content-type": parts[3], "archive": archive, "at": at, "block": block}
         else:
             yield dict(zip(fields, parts)) | {"archive": archive, "at": at, "block": block}
@@ -157,12 +162,13 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
 
 
 def arc_date(text: str) -> str:
-    """The timestamp of an ARC record, of 8 to 14 digits, as WARC writes it; the epoch if it is none."""
-    digits = text if text.isdigit() else ""
-    if not 8 <= len(digits) <= 14:
-        digits = "19700101"
-    d = digits.ljust(14, "0")
-    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+    """The timestamp of an ARC record, of 8 to 14 digits, as WARC writes it; the epoch if it is none of the calendar and the clock."""
+    d = text.ljust(14, "0") if re.fullmatch(r"[0-9]{8,14}", text) else ""
+    try:
+        when = datetime(*(int(x) for x in (d[:4], d[4:6], d[6:8], d[8:10], d[10:12], d[12:14])))
+    except ValueError:
+        when = datetime(1970, 1, 1)
+    return f"{when:%Y-%m-%dT%H:%M:%SZ}" if when.year >= 1000 else f"{when.year:04d}{when:-%m-%dT%H:%M:%SZ}"
 
 
 RECORD = "record_id string, target string, date string, head binary, payload binary, digest string, bytes long, page_id long, kind string, content_type string"
@@ -285,10 +291,12 @@ def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
+        lines = data[at : max(at, end)].decode().split("\r\n")
         if end < 0 or not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+        if not re.fullmatch(r"[0-9]{1,18}", fields.get("content-length", "")):
+            raise ValueError(f"the WARC record at byte {at} declares no length")
         n = int(fields["content-length"])
         block = data[end + 4 : end + 4 + n]
         if len(block) != n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
