@@ -1,7 +1,8 @@
 """URL filters by a tree of path templates, in DataFrame operations alone.
 
 Per host, the segments of paths are the levels of a tree, as deep as the
-deepest path.  Numbers, dates and hashes become wildcards at once, and equal
+deepest path; stretches in which all paths below a parent agree are passed at
+once, so that the number of rounds is that of branchings.  Numbers, dates and hashes become wildcards at once, and equal
 shapes are counted together.  Level by level, a branch becomes a wildcard if
 its parent has nearly as many branches as pages (a variable segment); the other
 branches of a parent are put in order of their smoothed labelled rates and
@@ -100,25 +101,38 @@ def templates(pages: DataFrame, tree: Tree = Tree()) -> DataFrame:
     """
     leaves = pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("b"))
     leaves = stored(leaves, "leaves")
-    total = leaves.agg(F.sum("l"), F.sum("b"), F.max(F.size(F.split("shape", "/")))).first()
+    total = leaves.agg(F.sum("l"), F.sum("b")).first()
     rate = (total[1] / total[0]) if total[0] else 0.0
-    now = stored(leaves.withColumn("rest", F.split("shape", "/")).withColumn("template", F.lit("")).withColumn("segment", F.get("rest", F.lit(0))), "level")
-    done = []
-    for level in range(1, (total[2] or 0) + 1):
-        marks = _marks(now, tree)
-        now = salted_join(now, marks, ["host", "template", "segment"], ["shape"]).select(
-            "host", "shape", "n", "l", "b", "rest", F.concat("template", F.lit("/"), "mark").alias("template"), F.get("rest", F.lit(level)).alias("segment")
-        )
-        now = stored(now, "level")
+    now, done = _along(leaves.withColumn("rest", F.split("shape", "/")).withColumn("template", F.lit(""))), []
+    while True:
         done.append(now.filter("segment IS NULL").drop("rest", "segment"))
         now = now.filter("segment IS NOT NULL")
-    every = reduce(DataFrame.unionByName, done) if done else leaves.withColumn("template", F.lit(""))
+        if now.isEmpty():
+            break
+        marked = salted_join(now, _marks(now, tree), ["host", "template", "segment"], ["shape"])
+        now = _along(marked.select("host", "shape", "n", "l", "b", F.expr("slice(rest, 2, size(rest))").alias("rest"), F.concat("template", F.lit("/"), "mark").alias("template")))
+    every = reduce(DataFrame.unionByName, done)
     pure = every.groupBy("host", "template").agg(F.sum("l").alias("labelled"), F.sum("b").alias("bad"))
     purity = 1 - (F.col("bad") + tree.weight * F.lit(rate)) / (F.col("labelled") + tree.weight)
     pure = pure.withColumn("purity", F.round(purity, 9))
     return salted_join(every.select("host", "shape", "template"), pure, ["host", "template"], ["shape"]).select("host", "shape", "template", "labelled", "bad", "purity")
 
 
+def _along(now: DataFrame) -> DataFrame:
+    """Leaves (host, template, rest) moved along the segments that all leaves of their parent have in common, with the next segment (null at a path's end); stored."""
+    now = stored(now, "level")
+    both = now.groupBy("host", "template").agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+    agreed = F.aggregate(
+        F.sequence(F.lit(0), F.least(F.size("low"), F.size("high"))), F.lit(0),
+        lambda n, k: F.when((n == k) & (k < F.size("low")) & (F.get("low", k) == F.get("high", k)), n + 1).otherwise(n),
+    )
+    both = both.select("host", "template", agreed.alias("same")).filter("same > 0")
+    moved = salted_join(now, both, ["host", "template"], ["shape"], "left").withColumn("same", F.coalesce("same", F.lit(0)))
+    path = F.concat("template", F.array_join(F.transform(F.slice("rest", F.lit(1), F.col("same")), lambda x: F.concat(F.lit("/"), x)), ""))
+    moved = moved.select("host", "shape", "n", "l", "b", F.expr("slice(rest, same + 1, size(rest))").alias("rest"), path.alias("template"))
+    return stored(moved.withColumn("segment", F.get("rest", F.lit(0))), "along")
+
+
 def _marks(now: DataFrame, tree: Tree) -> DataFrame:
     """Leaves (host, template, segment, n, l, b) -> (host, template, segment, mark): what each branch's segment becomes."""
     parent = ["host", "template"]
