@@ -31,3 +31,13 @@ def test_answers_apart_and_made_up_answers(spark):
     assert found == {d: want for d, _, want in DOCS}
     kept = bm25_decontaminate.without_leaks(docs, items)
     assert sorted(r.doc_id for r in kept.collect()) == [d for d, _, want in DOCS if not want]
+
+
+def test_items_in_scripts_without_blanks(spark):
+    """Letters are the words there: a whole copy is found within a text, other texts stay."""
+    items = spark.createDataFrame([(1, "法国的首都是哪里？巴黎是法国的首都。"), (2, "日本で一番高い山は富士山です。高さは三千七百七十六メートルです。"), (3, "เมืองหลวงของประเทศไทยคือกรุงเทพมหานคร")], "item_id long, text string")
+    texts = ["前言。法国的首都是哪里？巴黎是法国的首都。后记。", "昨日、日本で一番高い山は富士山です。高さは三千七百七十六メートルです。と聞いた。", "A text on เมืองหลวงของประเทศไทยคือกรุงเทพมหานคร here", "法国的天气今天很好，我们去公园散步。", "plain words only"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in bm25_decontaminate.leaks(docs, items).collect()}
+    assert found == {(0, 1), (1, 2), (2, 3)}
+    assert sorted(r.doc_id for r in bm25_decontaminate.without_leaks(docs, items).collect()) == [3, 4]

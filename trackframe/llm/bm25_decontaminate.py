@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 from trackframe.llm.storage import row_hash, slices
 
 _WORD = re.compile(r"\w+")
+#: Letters of scripts that set no blanks between words (Thai to Lao, Burmese, Khmer, kana, Han): each is a word by itself.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_HAS_UNSPACED, _WORD_OR_LETTER = re.compile(f"[{_UNSPACED}]"), re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+")
 _END = 1 << 60
 
 
@@ -49,13 +52,14 @@ class Settings:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased words without punctuation."""
-    return _WORD.findall((text or "").lower())
+    """Lower-cased words without punctuation; of scripts without blanks, letters."""
+    text = text or ""
+    return (_WORD if text.isascii() or not _HAS_UNSPACED.search(text) else _WORD_OR_LETTER).findall(text.lower())
 
 
 def question_end(text: str) -> int:
     """The place after the last question mark that words follow; -1 without one."""
-    at = text.rfind("?")
+    at = max(text.rfind("?"), text.rfind("？"))
     return at + 1 if at >= 0 and words_of(text[at:]) else -1
 
 
@@ -64,7 +68,7 @@ def split_item(text: str | None) -> tuple[list[str], list[str]]:
     text = (text or "").strip()
     at = question_end(text)
     if at < 0:
-        ends = [m.end() for m in re.finditer(r"[.!?]+\s", text)]
+        ends = [m.end() for m in re.finditer(r"[.!?]+\s|[。！？]", text)]
         at = ends[-1] if ends else len(text)
     return words_of(text[:at]), words_of(text[at:])
 
