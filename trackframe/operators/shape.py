@@ -59,6 +59,22 @@ def shortest_pairs(members: DataFrame, nodes: DataFrame, below: float) -> DataFr
     return near.groupBy("event_id", "a", "b").agg(F.min("distance").alias("distance"))
 
 
+def mahalanobis_pairs(members: DataFrame, nodes: DataFrame, below: float = 6.0) -> DataFrame:
+    """(event_id, a, b, distance, d2), a < b: tracks with ends nearer than ``below``, and the squared distance of their means in units of their pooled covariance.
+
+    Candidates come from cells of ends (``shortest_pairs``); d2 is null for
+    tracks of one node and where the pooled covariance is flat.
+    """
+    shapes = covariance(members, nodes).select(*TRACK, "n", "mx", "my", "sxx", "syy", "sxy")
+    near = shortest_pairs(members, nodes, below)
+    for t in "ab":
+        near = near.join(shapes.select("event_id", C("track_id").alias(t), *(C(c).alias(f"{t}_{c}") for c in shapes.columns[2:])), ["event_id", t], "left")
+    pooled = lambda c: ((C("a_n") - 1) * C(f"a_{c}") + (C("b_n") - 1) * C(f"b_{c}")) / (C("a_n") + C("b_n") - 2)
+    near = near.withColumns({c: pooled(c) for c in ("sxx", "syy", "sxy")}).withColumns({"u": C("a_mx") - C("b_mx"), "v": C("a_my") - C("b_my"), "det": C("sxx") * C("syy") - C("sxy") * C("sxy")})
+    d2 = (C("u") * C("u") * C("syy") - 2 * C("u") * C("v") * C("sxy") + C("v") * C("v") * C("sxx")) / F.when(C("det") > 1e-6, C("det"))
+    return near.select("event_id", "a", "b", "distance", d2.alias("d2"))
+
+
 def curvature_pairs(circles: DataFrame, below: float) -> DataFrame:
     """(event_id, a, b), a < b: tracks of an event whose curvatures differ by less than ``below``; met by cells of that size."""
     own = circles.filter("r IS NOT NULL AND r > 0").withColumn("k", F.round(1 / C("r"), 9)).withColumn("cell", F.floor(C("k") / below))

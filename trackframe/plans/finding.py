@@ -71,10 +71,7 @@ VPAIRS = f"""SELECT row_number() OVER (ORDER BY a, b) + (SELECT max(det_id) FROM
 
 @query("SELECT event_id, prev, virtual FROM (SELECT p.event_id, v.a AS prev, v.virtual, row_number() OVER (PARTITION BY p.event_id, v.a ORDER BY round(sqrt((m.x - n.x) ** 2 + (m.y - n.y) ** 2), 6), v.virtual) AS o FROM vp v JOIN act p ON p.det_id = v.a JOIN act q ON q.event_id = p.event_id AND q.det_id = v.b JOIN f_nodes m ON m.det_id = v.a JOIN f_nodes n ON n.det_id = v.b) WHERE o = 1", VIEWS, GRAPH | {"vp": VPAIRS})
 def nearest_virtual(v):
-    from trackframe.plans.graphs import _nodes
-
-    nodes = _nodes(v)
-    return finder.nearest_virtual(graph.virtual_nodes(nodes, graph.layer_pairs(nodes, v("f_edges"))), v("f_nodes"), active(v))
+    return finder.nearest_virtual(virtual_of(v), v("f_nodes"), active(v))
 
 
 @query("SELECT event_id, reco_id AS track_id, det_id FROM (SELECT *, count(*) OVER (PARTITION BY event_id, reco_id) AS n FROM f_reco) WHERE n >= 9", "f_reco")
@@ -376,6 +373,28 @@ def grown_gather(v):
     return growing.gather(half(v), active(v), v("f_nodes"), sym(v)).select("event_id", "track_id", "det_id")
 
 
+def virtual_of(v):
+    from trackframe.plans.graphs import _nodes
+
+    nodes = _nodes(v)
+    return graph.virtual_nodes(nodes, graph.layer_pairs(nodes, v("f_edges")))
+
+
+#: Components in the order of their ids; the virtual nodes that a run of one layer shares with fired nodes stand after it, each where it comes first, none after the last run.
+WITH_VIRTUAL = """SELECT event_id, component AS track_id, row_number() OVER (PARTITION BY event_id, component ORDER BY run, kind, i, det_id) AS pos, det_id FROM (
+  SELECT event_id, component, det_id, i, run, 0 AS kind FROM runs UNION ALL
+  SELECT event_id, component, virtual, i, run, 1 FROM (SELECT r.event_id, r.component, w.virtual, r.i, r.run, r.runs, row_number() OVER (PARTITION BY r.event_id, r.component, w.virtual ORDER BY r.i) AS o
+    FROM runs r JOIN (SELECT a AS det_id, b AS other, virtual FROM vp UNION ALL SELECT b, a, virtual FROM vp) w ON w.det_id = r.det_id SEMI JOIN act f ON f.event_id = r.event_id AND f.det_id = w.other) WHERE o = 1 AND run < runs)"""
+RUNS = """SELECT *, max(run) OVER (PARTITION BY event_id, component) AS runs FROM (SELECT *, sum(turn) OVER (PARTITION BY event_id, component ORDER BY i) AS run FROM (
+  SELECT *, CASE WHEN layer = lag(layer) OVER w THEN 0 ELSE 1 END AS turn, row_number() OVER w AS i FROM large JOIN (SELECT det_id, layer FROM f_nodes) USING (det_id) WINDOW w AS (PARTITION BY event_id, component ORDER BY det_id)))"""
+
+
+@query(WITH_VIRTUAL, VIEWS, GATHER | HALF | {"vp": VPAIRS, "runs": RUNS})
+def grown_leftovers(v):
+    found = growing.gather(half(v), active(v), v("f_nodes"), sym(v), virtual_of(v))
+    return found.filter("track_id >= 0")
+
+
 @query(LAID, VIEWS, CHAINS)
 def grown_chain(v):
     return growing.join_ends(tracks(v), head_tail_links(v).withColumn("place", F.lit(0)), share=None)
@@ -446,6 +465,14 @@ def shortest_pairs(v):
     return shape.shortest_pairs(tracks(v), v("f_nodes"), 4.0)
 
 
+@query("""SELECT event_id, a, b, distance, CASE WHEN det > 1e-6 THEN round((u * u * syy - 2 * u * v * sxy + v * v * sxx) / det, 3) END AS d2 FROM (SELECT *, sxx * syy - sxy * sxy AS det FROM (
+  SELECT p.*, x.mx - y.mx AS u, x.my - y.my AS v, ((x.n - 1) * x.sxx + (y.n - 1) * y.sxx) / (x.n + y.n - 2) AS sxx, ((x.n - 1) * x.syy + (y.n - 1) * y.syy) / (x.n + y.n - 2) AS syy, ((x.n - 1) * x.sxy + (y.n - 1) * y.sxy) / (x.n + y.n - 2) AS sxy
+  FROM pairs p LEFT JOIN cov x ON x.event_id = p.event_id AND x.track_id = p.a LEFT JOIN cov y ON y.event_id = p.event_id AND y.track_id = p.b))""", VIEWS, {
+    "mem": MEM, "cov": COV, "ends": ENDS, "pairs": "SELECT * FROM (SELECT a.event_id, a.track_id AS a, b.track_id AS b, min(round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 5)) AS distance FROM ends a JOIN ends b ON a.event_id = b.event_id AND a.track_id < b.track_id GROUP BY ALL) WHERE distance < 6"})
+def mahalanobis_pairs(v):
+    return rounded(shape.mahalanobis_pairs(tracks(v), v("f_nodes")), ["d2"], 3)
+
+
 @query("SELECT a.event_id, a.track_id AS a, b.track_id AS b FROM ks a JOIN ks b ON a.event_id = b.event_id AND a.track_id < b.track_id WHERE abs(a.k - b.k) < 0.002", "f_points", {
     "ks": "SELECT event_id, track_id, round(1 / (30 + 40 * regr_r2(y, x)), 9) AS k FROM f_points GROUP BY ALL HAVING regr_r2(y, x) IS NOT NULL"})
 def curvature_pairs(v):
