@@ -130,6 +130,21 @@ def strictly_met(x1: Column, y1: Column, x2: Column, y2: Column, tube: Column) -
     return one(ends, lambda e: one(met(e), judged))
 
 
+def clamped_met(x1: Column, y1: Column, x2: Column, y2: Column, tube: Column) -> Column:
+    """As strictly_met, as struct(x, y, z): the nearer end of the tube where the point is off it, its centre at height 0 where they are parallel."""
+    one = lambda v, f: F.get(F.transform(F.array(v), f), F.lit(0))
+    reach = lambda c: tube["half_length"] * tube[f"d{c}"]
+
+    def placed(p: Column) -> Column:
+        near, far = [tube[c] - reach(c) for c in "xyz"], [tube[c] + reach(c) for c in "xyz"]
+        first = F.hypot(p.x - near[0], p.y - near[1]) < F.hypot(p.x - far[0], p.y - far[1])
+        at = [F.when(p.x.isNull(), tube[c]).when(p.on, p[c]).when(first, near[k]).otherwise(far[k]) for k, c in enumerate("xy")]
+        height = lambda q: near[2] + tube["dz"] * (q.y - near[1]) / F.when(tube["dy"] != 0, tube["dy"])
+        return one(F.struct(at[0].alias("x"), at[1].alias("y")), lambda q: F.struct(q.x.alias("x"), q.y.alias("y"), F.when(p.x.isNull(), 0.0).otherwise(height(q)).alias("z")))
+
+    return one(strictly_met(x1, y1, x2, y2, tube), placed)
+
+
 def with_clamped(rows: DataFrame, x1: Column, y1: Column, x2: Column, y2: Column, p: str) -> DataFrame:
     """Rows with cx, cy and cz: as line_meets_tube; the nearer end of the tube where the point is off it, its centre at height 0 where they are parallel."""
     kept = rows.columns

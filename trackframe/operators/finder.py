@@ -189,6 +189,85 @@ def correct_skew(members: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def with_shared_virtuals(members: DataFrame, virtual: DataFrame) -> DataFrame:
+    """Members with the virtual node that two neighbours in a track share put between them; positions are numbered anew."""
+    order = Window.partitionBy(*TRACK).orderBy("pos")
+    own = members.select(*TRACK, "pos", "det_id", F.lag("det_id").over(order).alias("before"))
+    pair = virtual.select(C("det_id").alias("between"), F.least("parent_a", "parent_b").alias("a"), F.greatest("parent_a", "parent_b").alias("b"))
+    shared = own.join(pair, (F.least("before", "det_id") == C("a")) & (F.greatest("before", "det_id") == C("b"))).select(*TRACK, (2 * C("pos") - 1).alias("place"), C("between").alias("det_id"))
+    every = own.select(*TRACK, (2 * C("pos")).alias("place"), "det_id").unionByName(shared)
+    return every.select(*TRACK, F.row_number().over(Window.partitionBy(*TRACK).orderBy("place", "det_id")).cast("long").alias("pos"), "det_id")
+
+
+def correct_islands(members: DataFrame, grid: DataFrame, most: int = 3, too_many: int = 6) -> DataFrame:
+    """(event_id, track_id, pos, det_id, cx, cy, cz, fixed): members, virtual nodes among them, with skewed nodes corrected between islands of virtual nodes.
+
+    ``grid`` has real and virtual nodes.  Straight nodes are fixed.  At the
+    first real node after an island, V is the mean of its first three nodes.
+    If the node before the island is straight, the island's nodes are fixed as
+    they are.  Else the line runs from L, the mean of the last fixed nodes
+    (those of one layer), to V: the nodes in between, three of a layer, move
+    to where their tubes meet it, at their nearer ends if off, and are fixed.
+    Where L's and V's layers are under two apart, or over ``too_many`` nodes
+    wait, the nodes in between go back to their tubes' centres at height 0,
+    and the island's first node is fixed at V.  A track without a fixed node
+    stays.  Later islands build on what earlier ones fixed, so the nodes of a
+    track are folded in order.
+    """
+    number = {"pos": "bigint", "det_id": "bigint", "layer": "bigint", "t": "bigint", "w": "bigint"} | dict.fromkeys(("cx", "cy", "cz", "x", "y", "z", "half_length", "dx", "dy", "dz"), "double")
+    kind = f"struct<{','.join(f'{n}:{t}' for n, t in number.items())}>"
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("a"), F.lit(0).alias("p"))
+    mean = lambda some, c: F.aggregate(some, F.lit(0.0), lambda s, e: s + e[c], lambda s: s / F.size(some))
+
+    def node(e, **new):
+        return F.struct(*(new.get(n, e[n]).cast(t).alias(n) for n, t in number.items()))
+
+    def corrected(a, p):
+        """The nodes so far, ended by an island of ``p``, after the correction."""
+        base = F.size(a) - p
+        island = F.slice(a, base + 1, F.least(p, F.lit(3)))
+        places = F.sequence(F.lit(0), base - 1)
+        at = lambda k: F.get(a, k)
+
+        def line(j):
+            first = F.aggregate(places, F.lit(-1), lambda s, k: F.when((k < j) & (at(k).layer != at(j).layer), k).otherwise(s)) + 1
+            return let(F.struct(j.alias("j"), first.alias("first")), lambda f: let(F.struct(
+                f.j.alias("j"), F.filter(F.slice(a, f.first + 1, f.j - f.first + 1), lambda e: e.w == 1).alias("fixed"),
+                F.size(F.filter(F.slice(a, f.first + 1, base - f.first), lambda e: (e.t != VIRTUAL) & (e.w == 0))).alias("waiting"),
+            ), lambda g: F.struct(
+                g.j.alias("j"), at(g.j).layer.alias("layer"), mean(g.fixed, "cx").alias("lx"), mean(g.fixed, "cy").alias("ly"), g.waiting.alias("waiting"),
+                mean(island, "cx").alias("vx"), mean(island, "cy").alias("vy"), mean(island, "cz").alias("vz"),
+            )))
+
+        def moved(g):
+            close = (F.abs(g.layer - at(base).layer) < 2) | (g.waiting > too_many)
+
+            def one(e, k):
+                between = (k > g.j) & (k < base) & (e.t != VIRTUAL)
+                rank = F.size(F.filter(F.slice(a, g.j + 2, F.greatest(k - g.j - 1, F.lit(0))), lambda q: (q.t != VIRTUAL) & (q.layer == e.layer)))
+                back = node(e, cx=e.x, cy=e.y, cz=F.lit(0.0), w=F.lit(0))
+                onto = let(G.clamped_met(g.lx, g.ly, g.vx, g.vy, e), lambda c: node(e, cx=c.x, cy=c.y, cz=c.z, w=F.lit(1)))
+                return F.when(close & between, back).when(close & (k == base), node(e, cx=g.vx, cy=g.vy, cz=g.vz, w=F.lit(1))).when(~close & between & (rank < most), onto).otherwise(node(e))
+
+            return F.transform(a, one)
+
+        marked = F.transform(a, lambda e, k: F.when(k >= base, node(e, w=F.lit(1))).otherwise(node(e)))
+        last = F.when(base > 0, F.aggregate(places, F.lit(-1), lambda s, k: F.when(at(k).w == 1, k).otherwise(s))).otherwise(-1)
+        return F.when((base <= 0) | (at(base - 1).t == 1), marked).otherwise(let(last, lambda j: F.when(j < 0, a).otherwise(let(line(j), moved))))
+
+    def step(s, m):
+        straight = m.node_type == 1
+        own = F.struct(*(c.cast(number[n]).alias(n) for n, c in {
+            "pos": m.pos, "det_id": m.det_id, "layer": m.layer, "t": m.node_type, "w": F.when(straight, 1).otherwise(0), "cx": m.x, "cy": m.y, "cz": F.when(m.node_type == VIRTUAL, m.z).otherwise(0.0),
+        }.items()), *(m[c].cast("double").alias(c) for c in ("x", "y", "z", "half_length", "dx", "dy", "dz")))
+        island = m.node_type == VIRTUAL
+        before = F.when(island | (s.p == 0), s.a).otherwise(corrected(s.a, s.p))
+        return F.struct(F.concat(before, F.array(own)).alias("a"), F.when(island, s.p + 1).otherwise(0).alias("p"))
+
+    found = in_turn(members, grid, start, step, lambda s: s.a).select(*TRACK, F.explode("s").alias("n"))
+    return found.select(*TRACK, "n.pos", "n.det_id", "n.cx", "n.cy", "n.cz", (C("n.w") == 1).alias("fixed"))
+
+
 def fit_next(points: DataFrame, candidates: DataFrame, nodes: DataFrame, farthest: float = 6.0) -> DataFrame:
     """(event_id, track_id, det_id, distance): for each track's head the candidate nearest to where its last three anchors lead.
 

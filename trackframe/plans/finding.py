@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trackframe.operators import finder, fits, graph, growing, hits, reconstruct, results, score, shape
 from trackframe.plans.fitting import KM, MOMENTS, circle_sql
+from trackframe.plans.graphs import PAIRS, closest_sql
 from trackframe.plans.registry import query
 
 C = F.col
@@ -141,6 +142,38 @@ def correct_skew(v):
     return rounded(rounded(finder.correct_skew(tracks(v), v("f_nodes")), ["cx", "cy"]), ["cz"], 3)
 
 
+#: Members with the virtual nodes that neighbours in a track share, places of virtual nodes, and the fold over them.
+WITH_SHARED = """SELECT event_id, track_id, row_number() OVER (PARTITION BY event_id, track_id ORDER BY place, det_id) AS pos, det_id FROM (SELECT event_id, track_id, 2 * pos AS place, det_id FROM mem
+  UNION ALL SELECT m.event_id, m.track_id, 2 * m.pos - 1, v.virtual FROM (SELECT *, lag(det_id) OVER (PARTITION BY event_id, track_id ORDER BY pos) AS before FROM mem) m JOIN vp v ON v.a = least(before, det_id) AND v.b = greatest(before, det_id))"""
+IN_TURN = """SELECT m.event_id, m.track_id, m.pos, m.det_id, g.* EXCLUDE (det_id), x - half_length * dx AS x3, y - half_length * dy AS y3, z - half_length * dz AS z3, x + half_length * dx AS x4, y + half_length * dy AS y4,
+  row_number() OVER (PARTITION BY event_id, track_id ORDER BY pos) AS i FROM shared m JOIN grid g USING (det_id)"""
+ISLANDS = """SELECT event_id, track_id, a FROM (WITH RECURSIVE f(event_id, track_id, i, p, a) AS (
+  SELECT DISTINCT event_id, track_id, 0::BIGINT, 0::BIGINT, []::STRUCT(pos BIGINT, d BIGINT, l BIGINT, t BIGINT, w BIGINT, cx DOUBLE, cy DOUBLE, cz DOUBLE, x DOUBLE, y DOUBLE, x3 DOUBLE, y3 DOUBLE, z3 DOUBLE, x4 DOUBLE, y4 DOUBLE, dy DOUBLE, dz DOUBLE)[] FROM steps
+  UNION ALL SELECT event_id, track_id, i, CASE WHEN t = 4 THEN p + 1 ELSE 0 END, list_append(list_transform(b, lambda e: {'pos': e.pos, 'd': e.d, 'l': e.l, 't': e.t, 'w': CASE WHEN e.how IN (1, 3) THEN 1 WHEN e.how = 2 THEN 0 ELSE e.w END,
+      'cx': CASE e.how WHEN 3 THEN e.px WHEN 2 THEN e.x WHEN 4 THEN e.cx ELSE e.cx END, 'cy': CASE e.how WHEN 3 THEN e.py WHEN 2 THEN e.y ELSE e.cy END, 'cz': CASE e.how WHEN 3 THEN e.pz WHEN 2 THEN 0 ELSE e.cz END,
+      'x': e.x, 'y': e.y, 'x3': e.x3, 'y3': e.y3, 'z3': e.z3, 'x4': e.x4, 'y4': e.y4, 'dy': e.dy, 'dz': e.dz}), own) FROM (
+    -- How each node changes: 1 fixed, 2 back to its centre, 3 moved to (px, py, pz).
+    SELECT *, list_transform(c, lambda e: {'pos': e.pos, 'd': e.d, 'l': e.l, 't': e.t, 'w': e.w, 'cx': e.cx, 'cy': e.cy, 'cz': e.cz, 'x': e.x, 'y': e.y, 'x3': e.x3, 'y3': e.y3, 'z3': e.z3, 'x4': e.x4, 'y4': e.y4, 'dy': e.dy, 'dz': e.dz, 'how': e.how,
+      'px': CASE WHEN e.k = base + 1 THEN vx ELSE e.qx END, 'py': CASE WHEN e.k = base + 1 THEN vy ELSE e.qy END, 'pz': CASE WHEN e.k = base + 1 THEN vz WHEN e.ix IS NULL THEN 0 ELSE e.z3 + e.dz * (e.qy - e.y3) / nullif(e.dy, 0) END}) AS b FROM (
+    SELECT *, list_transform(m, lambda e: {'pos': e.pos, 'd': e.d, 'l': e.l, 't': e.t, 'w': e.w, 'cx': e.cx, 'cy': e.cy, 'cz': e.cz, 'x': e.x, 'y': e.y, 'x3': e.x3, 'y3': e.y3, 'z3': e.z3, 'x4': e.x4, 'y4': e.y4, 'dy': e.dy, 'dz': e.dz, 'how': e.how, 'k': e.k, 'ix': e.ix,
+      'qx': CASE WHEN e.ix IS NULL THEN e.x WHEN {on_} THEN e.ix WHEN {first_} THEN e.x3 ELSE e.x4 END, 'qy': CASE WHEN e.ix IS NULL THEN e.y WHEN {on_} THEN e.iy WHEN {first_} THEN e.y3 ELSE e.y4 END}) AS c FROM (
+    SELECT *, list_transform(a, lambda e, k: {'pos': e.pos, 'd': e.d, 'l': e.l, 't': e.t, 'w': e.w, 'cx': e.cx, 'cy': e.cy, 'cz': e.cz, 'x': e.x, 'y': e.y, 'x3': e.x3, 'y3': e.y3, 'z3': e.z3, 'x4': e.x4, 'y4': e.y4, 'dy': e.dy, 'dz': e.dz, 'k': k,
+      'how': CASE WHEN mode = 1 AND k > base THEN 1 WHEN mode = 2 AND k > j AND k <= base AND e.t <> 4 THEN 2 WHEN mode = 2 AND k = base + 1 THEN 3
+        WHEN mode = 3 AND k > j AND k <= base AND e.t <> 4 AND len(list_filter(range(j + 1, k), lambda q: a[q].t <> 4 AND a[q].l = e.l)) < 3 THEN 3 ELSE 0 END,
+      'ix': ((lx * vy - ly * vx) * (e.x3 - e.x4) - (lx - vx) * (e.x3 * e.y4 - e.y3 * e.x4)) / nullif((lx - vx) * (e.y3 - e.y4) - (ly - vy) * (e.x3 - e.x4), 0),
+      'iy': ((lx * vy - ly * vx) * (e.y3 - e.y4) - (ly - vy) * (e.x3 * e.y4 - e.y3 * e.x4)) / nullif((lx - vx) * (e.y3 - e.y4) - (ly - vy) * (e.x3 - e.x4), 0)}) AS m FROM (
+    SELECT *, CASE WHEN t = 4 OR p = 0 THEN 0 WHEN base = 0 OR a[base].t = 1 THEN 1 WHEN j IS NULL THEN 0 WHEN abs(a[j].l - a[base + 1].l) < 2 OR waiting > 6 THEN 2 ELSE 3 END AS mode FROM (
+    SELECT *, list_avg(list_transform(fx, lambda q: a[q].cx)) AS lx, list_avg(list_transform(fx, lambda q: a[q].cy)) AS ly, len(list_filter(range(f0, base + 1), lambda q: a[q].t <> 4 AND a[q].w = 0)) AS waiting FROM (
+    SELECT *, list_filter(range(f0, j + 1), lambda q: a[q].w = 1) AS fx FROM (
+    SELECT *, coalesce(list_max(list_filter(range(1, j), lambda q: a[q].l <> a[j].l)), 0) + 1 AS f0 FROM (
+    SELECT *, list_max(list_filter(range(1, base + 1), lambda q: a[q].w = 1)) AS j, list_avg(list_transform(vs, lambda e: e.cx)) AS vx, list_avg(list_transform(vs, lambda e: e.cy)) AS vy, list_avg(list_transform(vs, lambda e: e.cz)) AS vz FROM (
+    SELECT *, a[base + 1 : base + least(p, 3)] AS vs FROM (
+    SELECT f.event_id, f.track_id, s.i, f.p, f.a, len(f.a) - f.p AS base, s.node_type AS t, {'pos': s.pos, 'd': s.det_id, 'l': s.layer, 't': s.node_type, 'w': CASE WHEN s.node_type = 1 THEN 1 ELSE 0 END, 'cx': s.x, 'cy': s.y, 'cz': CASE WHEN s.node_type = 4 THEN s.z ELSE 0 END,
+      'x': s.x, 'y': s.y, 'x3': s.x3, 'y3': s.y3, 'z3': s.z3, 'x4': s.x4, 'y4': s.y4, 'dy': s.dy, 'dz': s.dz} AS own
+    FROM f JOIN steps s ON s.event_id = f.event_id AND s.track_id = f.track_id AND s.i = f.i + 1))))))))))) SELECT * FROM f) QUALIFY i = max(i) OVER (PARTITION BY event_id, track_id)"""
+ISLANDS = ISLANDS.replace("{on_}", "sqrt((e.ix - e.x3) ** 2 + (e.iy - e.y3) ** 2) + sqrt((e.ix - e.x4) ** 2 + (e.iy - e.y4) ** 2) <= sqrt((e.x4 - e.x3) ** 2 + (e.y4 - e.y3) ** 2) + 1").replace("{first_}", "sqrt((e.ix - e.x3) ** 2 + (e.iy - e.y3) ** 2) < sqrt((e.ix - e.x4) ** 2 + (e.iy - e.y4) ** 2)")
+
+
 CAND = "SELECT h.event_id, h.track_id, e.dst AS det_id FROM (SELECT event_id, track_id, arg_max(det_id, pos) AS head FROM mem GROUP BY ALL) h JOIN ae e ON e.event_id = h.event_id AND e.src = h.head WHERE NOT EXISTS (SELECT 1 FROM mem m WHERE m.event_id = h.event_id AND m.track_id = h.track_id AND m.det_id = e.dst)"
 LAST3 = """SELECT event_id, track_id, regr_slope(x, p) AS mx, regr_intercept(x, p) AS ix, regr_slope(y, p) AS my, regr_intercept(y, p) AS iy, max(p) AS pl, arg_max(x, pos) AS lx, arg_max(y, pos) AS ly, arg_max(layer, pos) AS l1, max(layer) FILTER (back = 3) AS l3 FROM (
   SELECT *, sum(step) OVER (PARTITION BY event_id, track_id ORDER BY pos) AS p FROM (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS step FROM (SELECT *, row_number() OVER (PARTITION BY event_id, track_id ORDER BY pos DESC) AS back FROM anc) WHERE back <= 3 WINDOW w AS (PARTITION BY event_id, track_id ORDER BY pos))) GROUP BY ALL"""
@@ -151,6 +184,20 @@ NEXT = """SELECT event_id, track_id, det_id, distance FROM (SELECT *, row_number
 FIT = GRAPH | {"mem": MEM, "anc": ANCHORS, "cand": CAND, "last3": LAST3}
 
 
+GRID = """SELECT det_id, layer, node_type, x, y, z, half_length, dx, dy, dz FROM f_nodes
+  UNION ALL SELECT virtual, m_layer, 4, (px + qx) / 2, (py + qy) / 2, (pz + qz) / 2, NULL, NULL, NULL, NULL FROM met_pairs JOIN vp USING (a, b)"""
+
+
+@query("SELECT event_id, track_id, n.pos AS pos, n.d AS det_id, round(n.cx, 4) AS cx, round(n.cy, 4) AS cy, round(n.cz, 3) AS cz, n.w = 1 AS fixed FROM (SELECT event_id, track_id, unnest(a) AS n FROM folds)", VIEWS, {
+    "mem": MEM, "vp": VPAIRS, "met_pairs": closest_sql(PAIRS, 0.10), "grid": GRID, "shared": WITH_SHARED, "steps": IN_TURN, "folds": ISLANDS,
+})
+def correct_islands(v):
+    """Skewed members between islands of virtual nodes, on the found tracks with the virtual nodes that their neighbours share."""
+    virtual = virtual_of(v)
+    found = finder.correct_islands(finder.with_shared_virtuals(tracks(v), virtual), graph.extend(v("f_nodes"), virtual))
+    return rounded(rounded(found, ["cx", "cy"]), ["cz"], 3)
+
+
 def chosen(v):
     return finder.fit_next(finder.anchors(tracks(v), v("f_nodes")), finder.head_candidates(tracks(v), active_edges(v)), v("f_nodes"))
 
