@@ -45,6 +45,15 @@ def event_range(v):
     return H.event_range(v("f_hits"), 10, 40).select("event_id", "seq", "det_id")
 
 
+@query("SELECT event_id, seq, det_id FROM f_hits WHERE event_id >= 10 AND event_id < 40", "f_hits")
+def event_range_pruned(v):
+    """As event_range, from a table in folders of ten events, of which three are read."""
+    hits = v("f_hits").select("event_id", "seq", "det_id")
+    path = shared_path(hits.sparkSession, "by-event")
+    io.write_by_event(hits, path, 10)
+    return io.read_by_event(hits.sparkSession, path, 10, 40, 10)
+
+
 @query("SELECT src, dst FROM f_edges", "f_edges")
 def neighbour_lines(v):
     near = v("f_edges").groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("ds"))

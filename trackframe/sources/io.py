@@ -176,3 +176,18 @@ def fired_nodes(active: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes that fired in some event, with original and starting coordinates."""
     fired = nodes.join(active.select("det_id").distinct(), "det_id", "left_semi")
     return fired.select("det_id", "x", "y", "z", F.col("x").alias("x_det"), F.col("y").alias("y_det"), F.when(node_kind(F.col("node_type")) == "PARA", 0.0).otherwise(F.col("z")).alias("z_det"))
+
+
+def write_by_event(df: DataFrame, path: str, events: int = 1000) -> None:
+    """A table with event_id, in folders of ``events`` consecutive events each, sorted by event within its files."""
+    own = df.withColumn("event_bucket", F.expr(f"event_id div {events}"))
+    own.repartition("event_bucket").sortWithinPartitions("event_bucket", "event_id").write.partitionBy("event_bucket").parquet(path)
+
+
+def read_by_event(spark: SparkSession, path: str, first: int = -1, last: int = -1, events: int = 1000) -> DataFrame:
+    """Rows of events from ``first`` up to, but without, ``last`` (all if both are negative) of such a table; other folders are not read."""
+    found = spark.read.parquet(path)
+    if first >= 0 or last >= 0:
+        first, last = max(first, 0), max(last, 0)
+        found = found.filter((F.col("event_bucket") >= first // events) & (F.col("event_bucket") <= (last - 1) // events) & (F.col("event_id") >= first) & (F.col("event_id") < last))
+    return found.drop("event_bucket")
