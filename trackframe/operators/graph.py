@@ -123,8 +123,17 @@ def active_k_hop(edges: DataFrame, active: DataFrame, depth: int) -> DataFrame:
     return out.distinct()
 
 
+#: Edges of a static graph that may be broadcast with the kinds of their nodes, with some 50 bytes each.
+MOST_EDGES = 1_000_000
+
+
 def active_edges(edges: DataFrame, active: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(event_id, src, dst, dst_type, dst_layer): edges between fired nodes, and to virtual nodes both of whose parents fired."""
+    """(event_id, src, dst, dst_type, dst_layer): edges between fired nodes, and to virtual nodes both of whose parents fired.
+
+    The edges are those of the detector: up to ``MOST_EDGES`` they are sent to
+    the fired nodes, so that only what they lead to is dealt by event and
+    node; beyond it they meet by node first.
+    """
     kinds = nodes.select(F.col("det_id").alias("dst"), F.col("node_type").alias("dst_type"), F.col("layer").alias("dst_layer"))
     fired = active
     if "parent_a" in nodes.columns:
@@ -132,8 +141,10 @@ def active_edges(edges: DataFrame, active: DataFrame, nodes: DataFrame) -> DataF
         one = both.join(active.withColumnRenamed("det_id", "parent_a"), "parent_a")
         lit = one.join(active.withColumnRenamed("det_id", "parent_b"), ["event_id", "parent_b"]).select("event_id", "det_id")
         fired = active.unionByName(lit)
-    out = fired.join(edges.select(F.col("src").alias("det_id"), "dst"), "det_id").withColumnRenamed("det_id", "src")
-    return out.join(fired.withColumnRenamed("det_id", "dst"), ["event_id", "dst"]).join(kinds, "dst").select("event_id", "src", "dst", "dst_type", "dst_layer")
+    static = stored(edges.select(F.col("src").alias("det_id"), "dst").join(kinds, "dst"), "static-edges")
+    static = F.broadcast(static) if static.count() <= MOST_EDGES else static
+    out = fired.join(static, "det_id").withColumnRenamed("det_id", "src")
+    return out.join(fired.withColumnRenamed("det_id", "dst"), ["event_id", "dst"]).select("event_id", "src", "dst", "dst_type", "dst_layer")
 
 
 def seed_order(active: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
