@@ -436,6 +436,16 @@ RUNS = """SELECT *, max(run) OVER (PARTITION BY event_id, component) AS runs FRO
   SELECT *, CASE WHEN layer = lag(layer) OVER w THEN 0 ELSE 1 END AS turn, row_number() OVER w AS i FROM large JOIN (SELECT det_id, layer FROM f_nodes) USING (det_id) WINDOW w AS (PARTITION BY event_id, component ORDER BY det_id)))"""
 
 
+@query("""SELECT event_id, src, coalesce(nv, 0) AS n_virtual, n_next, n_prev, n_same, mask, mask > 6 AS complex FROM (SELECT event_id, src, count(*) FILTER (dst_layer > src_layer) AS n_next, count(*) FILTER (dst_layer < src_layer) AS n_prev, count(*) FILTER (dst_layer = src_layer) AS n_same,
+  bit_or(CASE WHEN dst_layer > src_layer THEN 4 WHEN dst_layer < src_layer THEN 1 ELSE 2 END) AS mask FROM ae GROUP BY ALL)
+  LEFT JOIN (SELECT a.event_id, w.a AS src, count(*) AS nv FROM (SELECT a, b FROM vp UNION ALL SELECT b, a FROM vp) w JOIN act a ON a.det_id = w.a SEMI JOIN act o ON o.event_id = a.event_id AND o.det_id = w.b GROUP BY ALL) USING (event_id, src)""", VIEWS, GRAPH | {"vp": VPAIRS})
+def classify_with_virtual(v):
+    """As classify_neighbours, in the graph with virtual nodes."""
+    virtual = virtual_of(v)
+    edges = sym(v).unionByName(graph.virtual_edges(virtual))
+    return finder.classify_neighbours(graph.active_edges(edges, active(v), graph.extend(v("f_nodes"), virtual)), v("f_nodes"))
+
+
 @query(WITH_VIRTUAL, VIEWS, GATHER | HALF | {"vp": VPAIRS, "runs": RUNS})
 def grown_leftovers(v):
     found = growing.gather(half(v), active(v), v("f_nodes"), sym(v), virtual_of(v))
