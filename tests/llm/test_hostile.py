@@ -74,6 +74,24 @@ def test_damaged_archives_raise_value_errors_only():
             list(arc_to_warc.parse_warc(data))
 
 
+def test_very_long_pages_and_texts(spark, tmp_path):
+    """A page of 3 MB among short ones; a text of 300,000 words and its near copy; empty tables."""
+    from trackframe.llm import queries, similar_shingles, token_planes
+
+    long = "<p>" + "word " * 600_000
+    pages = spark.createDataFrame([(1, "http://a/1", "short"), (2, "http://a/2", long), (3, "http://a/3", long), (4, None, None)], "page_id long, url string, html string")
+    found = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in arc_to_warc.through_archives(pages).collect()}
+    assert found == {1: (5, "response", None), 2: (len(long), "response", None), 3: (len(long), "revisit", 2), 4: (0, "response", None)}
+    rng = random.Random(1)
+    text = " ".join(f"w{rng.randrange(5000)}" for _ in range(300_000))
+    docs = spark.createDataFrame([(1, text), (2, text + " and more"), (3, "another text of some words that stands alone")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in similar_shingles.keep_one(docs).collect()) == [1, 3]
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert similar_shingles.keep_one(none).collect() == []
+    token_planes.write(none, str(tmp_path / "ids"), queries.tokenizer_path())
+    assert token_planes.read(spark, str(tmp_path / "ids")).collect() == []
+
+
 def test_dates_of_the_calendar():
     assert arc_to_warc.arc_date("20080229123456") == "2008-02-29T12:34:56Z"
     assert arc_to_warc.arc_date("20080229") == "2008-02-29T00:00:00Z"

@@ -347,7 +347,8 @@ def through_archives(pages: DataFrame, file_bytes: int = 16 << 20) -> DataFrame:
     (always responses), page ids may be null or repeated, other columns are not
     looked at, no row gives an empty table.  Repeated page ids with equal
     payloads refer to their own id; which of them is the response is settled
-    by the record identifier.
+    by the record identifier.  A page of any length is one record, and a file
+    is closed after it, so a file holds ``file_bytes`` and one page at most.
     """
     spark = pages.sparkSession
     arcs, warcs = new_path(spark, "arc"), new_path(spark, "warc")

@@ -110,8 +110,9 @@ def keep_one(docs: DataFrame, most: int = 2048, most_bytes: int = 16 << 20) -> D
     Texts are similar if their sets of shingles have a Jaccard similarity of
     at least 0.8; those without a word are equal.  Loose components with over
     ``most`` sets or ``most_bytes`` of text are cut into parts; every two
-    parts meet in a group of their own.  All columns are kept, whatever their
-    names; repeated rows and null ids are treated as by simhash_planes.keep_one.
+    parts meet in a group of their own.  A text of any length is one set of
+    all its shingles; an empty table gives an empty one.  All columns are
+    kept, whatever their names; repeated rows and null ids are treated as by simhash_planes.keep_one.
     """
     nodes = stored(
         sketches(docs).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("m"), F.max("bytes").alias("bytes"), F.first("keys").alias("keys")),

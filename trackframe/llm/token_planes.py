@@ -240,7 +240,8 @@ def write(
     doc_id and text, by which they are also dealt to tasks.  A file is closed
     after the document that brings it to ``file_ids`` ids; a document of any
     length is encoded whole and stays in one file.  ``tokenizer`` is a path
-    that every executor has.  Other columns are not looked at.
+    that every executor has.  An empty table gives no file of ids.  Other
+    columns are not looked at.
     """
     end = np.array([end_id], "<u4")
 
