@@ -55,35 +55,39 @@ def complex_tracks(hits: DataFrame, edges: DataFrame, parity: bool = False) -> D
     return found.select(*by, shares.alias("shares"), gap.alias("gap"), (shares | gap).alias("complex"))
 
 
-def global_error(reco: DataFrame, hits: DataFrame, more_than: int = 5, least: int = 5) -> DataFrame:
-    """Errors of each event: true tracks that are cut apart (under) and found ones that hold several (over).
-
-    For each true track with more than so many nodes, the best found one (of
-    at least ``least`` nodes) with overlap m gives (L - m) m / L; for each
-    found one, its length less its best overlap.  Both are also divided by the
-    summed length of the true tracks.  Events without a found track have
-    (0, 1, 0 | 1, 0, 1) as the defaults of the six figures.
+def global_error(reco: DataFrame, hits: DataFrame, more_than: int = 5, least: int = 5, parity: bool = False) -> DataFrame:
+    """(event_id, n_truth, n_reco, under, over, total, under_norm, over_norm, total_norm): errors of each event.
+
+    Every found track of at least ``least`` nodes has the true one (of more
+    than ``more_than`` nodes, L of them) with which it has most nodes in
+    common, m (of equal ones that of the smaller id).  ``under`` sums
+    (L - m) m / L, what such tracks lack, and ``over`` what found tracks have
+    besides m.  ``total`` is the root of their squares' sum over the area, the
+    number of hits of the true tracks; the others are divided by the area.  A
+    found track without a true one adds nothing to ``under``; with ``parity``
+    it makes that and the totals NaN.  Events without a found track have all
+    true tracks, and (1, 0, 1, 1, 0, 1) as their six errors.
     """
-    sizes = lengths(hits, "track_id", "l").filter(F.col("l") > more_than)
+    every = lengths(hits, "track_id", "l")
+    sizes = every.filter(F.col("l") > more_than)
+    n_all = every.groupBy("event_id").agg(F.count("*").alias("n_all"), F.count(F.when(F.col("l") > more_than, 1)).alias("n_truth"))
     area = hits.join(sizes, ["event_id", "track_id"], "left_semi").groupBy("event_id").agg(F.count("*").alias("area"))
-    found_sizes = lengths(reco, "reco_id", "rl").filter(F.col("rl") >= least)
-    shared = overlaps(reco, hits).join(sizes, ["event_id", "track_id"]).join(found_sizes, ["event_id", "reco_id"])
-    # The first found (smallest id) of the largest overlaps counts.
-    m = shared.groupBy("event_id", "track_id").agg(F.max("overlap").alias("m"))
-    under = sizes.join(m, ["event_id", "track_id"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
-    under = under.groupBy("event_id").agg(F.count("*").alias("n_truth"), F.sum((F.col("l") - F.col("m")) * F.col("m") / F.col("l")).alias("under"))
-    best = shared.groupBy("event_id", "reco_id").agg(F.max("overlap").alias("m"))
-    over = found_sizes.join(best, ["event_id", "reco_id"], "left").groupBy("event_id").agg(F.sum(F.col("rl") - F.coalesce("m", F.lit(0))).alias("over"))
-    n_found = reco.groupBy("event_id").agg(F.countDistinct("reco_id").alias("n_reco"))
-    every = under.join(area, "event_id").join(over, "event_id", "left").join(n_found, "event_id", "left")
-    none = F.col("n_reco").isNull()
-    u, o = F.coalesce("under", F.lit(0.0)), F.coalesce("over", F.lit(0)).cast("double")
-    total = F.sqrt(u * u + o * o) / F.col("area")
-    return every.select(
-        "event_id", "n_truth", F.coalesce("n_reco", F.lit(0)).alias("n_reco"),
-        F.when(none, 0.0).otherwise(u).alias("under"), F.when(none, 1.0).otherwise(o).alias("over"), F.when(none, 0.0).otherwise(total).alias("total"),
-        F.when(none, 1.0).otherwise(u / F.col("area")).alias("under_norm"), F.when(none, 0.0).otherwise(o / F.col("area")).alias("over_norm"),
-        F.when(none, 1.0).otherwise(u / F.col("area") + o / F.col("area")).alias("total_norm"),
+    own = reco.groupBy("event_id", "reco_id").agg(F.countDistinct("det_id").alias("rl"))
+    shared = overlaps(reco, hits).join(sizes, ["event_id", "track_id"])
+    best = shared.groupBy("event_id", "reco_id").agg(F.max(F.struct("overlap", (-F.col("track_id")).alias("t"), "l")).alias("b")).select("event_id", "reco_id", F.col("b.overlap").alias("m"), F.col("b.l").alias("l"))
+    used = own.join(best, ["event_id", "reco_id"], "left").withColumn("used", F.col("rl") >= least)
+    lacks = F.when(F.col("m").isNotNull(), (F.col("l") - F.col("m")) * F.col("m") / F.col("l")).otherwise(F.lit(float("nan") if parity else 0.0))
+    sums = used.groupBy("event_id").agg(
+        F.count("*").alias("n_reco"), F.coalesce(F.sum(F.when(F.col("used"), lacks)), F.lit(0.0)).alias("u"),
+        F.coalesce(F.sum(F.when(F.col("used"), F.col("rl") - F.coalesce("m", F.lit(0)))), F.lit(0)).cast("double").alias("o"),
+    )
+    found = n_all.join(area, "event_id", "left").join(sums, "event_id", "left")
+    none, wide = F.col("n_reco").isNull(), F.when(F.col("area") > 0, F.col("area"))
+    u, o = F.col("u"), F.col("o")
+    total = F.sqrt(u * u + o * o) / wide
+    return found.select(
+        "event_id", F.when(none, F.col("n_all")).otherwise(F.col("n_truth")).alias("n_truth"), F.coalesce("n_reco", F.lit(0)).alias("n_reco"),
+        *(F.when(none, d).otherwise(c).alias(n) for n, d, c in (("under", 1.0, u), ("over", 0.0, o), ("total", 1.0, total), ("under_norm", 1.0, u / wide), ("over_norm", 0.0, o / wide), ("total_norm", 1.0, total))),
     )
 
 
