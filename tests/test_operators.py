@@ -298,7 +298,8 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["qa_rank", "clone_rank", "global_error", "active_edges", "fit_next", "reconstruct_z", "circle_kasa", "median_spread", "best_match", "merge_tracks", "propose_from_ends", "dedupe_overlap_all", "absorb_all", "circle_hyper", "hits_csv"])
+@pytest.mark.parametrize("name", ["qa_rank", "clone_rank", "global_error", "active_edges", "fit_next", "reconstruct_z", "circle_kasa", "median_spread", "best_match", "merge_tracks", "propose_from_ends", "dedupe_overlap_all", "absorb_all", "circle_hyper", "hits_csv",
+    "grown_step", "grown_next", "grown_gather", "grown_leftovers", "grown_chain", "grown_clean", "propose_from_open_ends", "anchors_in_turn", "unwrap_in_turn", "correct_islands", "mahalanobis_pairs", "curved_hits", "classify_with_virtual", "global_error_parity"])
 def test_queries_against_sql(spark, name):
     import duckdb
 
