@@ -76,4 +76,4 @@ def test_odd_rows_and_empty_tables(spark):
 
 def test_names(spark):
     names = list(queries.queries())
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14))
