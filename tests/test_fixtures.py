@@ -66,3 +66,27 @@ def test_virtual_nodes_are_numbered_by_spans(spark, monkeypatch, span):
 
     got, want = compared(spark, Path(SF), "virtual_nodes")
     assert got == want
+
+
+@pytest.mark.parametrize("name", ("active_edges", "active_virtuals"))
+def test_active_edges_beyond_what_is_broadcast(spark, monkeypatch, name):
+    """Edges to nodes that did not fire are not dealt: none of the shuffles by event has rows by (event, node)."""
+    from pathlib import Path
+
+    monkeypatch.setattr(graph, "MOST_EDGES", 0)
+    got, want = compared(spark, Path(SF), name)
+    assert got == want
+    nodes = spark.createDataFrame([(d, 1, 0) for d in (1, 2, 3)], "det_id long, node_type long, layer long")
+    fired = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (1, 1)], "event_id long, det_id long")
+    found = graph.active_edges(spark.createDataFrame([(1, 2), (1, 3), (2, 9)], "src long, dst long"), fired, nodes)
+    assert sorted((r.event_id, r.src, r.dst) for r in found.collect()) == [(0, 1, 2), (0, 1, 3)]
+    assert "hashpartitioning(event_id#" in plan(found) and "dst#" not in "".join(line for line in plan(found).splitlines() if "hashpartitioning(event_id" in line)
+
+
+@pytest.mark.parametrize("name", ("classify_with_virtual", "correct_islands", "grown_leftovers", "nearest_virtual"))
+def test_virtual_nodes_where_a_tube_lies_across_the_axis(spark, tmp_path, name):
+    """With an odd number of rings a skewed tube's azimuth is next to 0 or a half turn; its slope has the sign of that azimuth, however small."""
+    spark.range(468).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got, want = compared(spark, tmp_path, name)
+    assert got == want

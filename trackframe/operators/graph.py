@@ -139,7 +139,9 @@ def active_edges(edges: DataFrame, active: DataFrame, nodes: DataFrame) -> DataF
 
     The edges are those of the detector: up to ``MOST_EDGES`` they are sent to
     the fired nodes, so that only what they lead to is dealt by event and
-    node; beyond it they meet by node first.
+    node.  Beyond it each fired node gets its list of neighbours, and those
+    that fired are picked where the nodes of an event are side by side, so
+    that edges to nodes that did not fire are never dealt.
     """
     kinds = nodes.select(F.col("det_id").alias("dst"), F.col("node_type").alias("dst_type"), F.col("layer").alias("dst_layer"))
     fired = active
@@ -148,10 +150,17 @@ def active_edges(edges: DataFrame, active: DataFrame, nodes: DataFrame) -> DataF
         one = both.join(active.withColumnRenamed("det_id", "parent_a"), "parent_a")
         lit = one.join(active.withColumnRenamed("det_id", "parent_b"), ["event_id", "parent_b"]).select("event_id", "det_id")
         fired = active.unionByName(lit)
-    static = stored(edges.select(F.col("src").alias("det_id"), "dst").join(kinds, "dst"), "static-edges")
-    static = F.broadcast(static) if static.count() <= MOST_EDGES else static
-    out = fired.join(static, "det_id").withColumnRenamed("det_id", "src")
-    return out.join(fired.withColumnRenamed("det_id", "dst"), ["event_id", "dst"]).select("event_id", "src", "dst", "dst_type", "dst_layer")
+    static = stored(edges.select(F.col("src").alias("det_id"), "dst"), "static-edges")
+    few = static.count() <= MOST_EDGES
+    static = static.join(kinds, "dst")
+    if few:
+        out = fired.join(F.broadcast(static), "det_id").withColumnRenamed("det_id", "src")
+        return out.join(fired.withColumnRenamed("det_id", "dst"), ["event_id", "dst"]).select("event_id", "src", "dst", "dst_type", "dst_layer")
+    near = static.groupBy("det_id").agg(F.collect_list(F.struct("dst", "dst_type", "dst_layer")).alias("near"))
+    side_by_side = F.collect_list("det_id").over(Window.partitionBy("event_id"))
+    own = fired.join(near, "det_id", "left").withColumn("lit", F.array_intersect(side_by_side, "near.dst"))
+    met = F.explode(F.filter("near", lambda n: F.array_contains("lit", n.dst)))
+    return own.select("event_id", F.col("det_id").alias("src"), met.alias("n")).select("event_id", "src", "n.*")
 
 
 def seed_order(active: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
