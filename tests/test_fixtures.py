@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from trackframe.operators import graph
+from trackframe.operators import fits, graph
 from trackframe.plans import catalog
 from trackframe.sources import fixtures
 
@@ -90,3 +90,13 @@ def test_virtual_nodes_where_a_tube_lies_across_the_axis(spark, tmp_path, name):
     spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
     got, want = compared(spark, tmp_path, name)
     assert got == want
+
+
+def test_two_points_have_no_circle(spark):
+    """On a line both ends of the fit's quotients are rounding, which engines do differently."""
+    far, turn = 0.5 + F.col("id") % 41, F.col("id") * 0.37
+    two = spark.range(4000).select("id", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"), far.alias("far"), turn.alias("turn"))
+    points = two.select("id", (-3.277779 + F.col("t") * F.col("far") * F.cos("turn")).alias("x"), (-15.660657 + F.col("t") * F.col("far") * F.sin("turn")).alias("y"))
+    assert fits.circle(points, ["id"]).filter("r IS NOT NULL").count() == 0
+    arc = spark.range(30).select(F.floor(F.col("id") / 3).alias("g"), (20 * F.cos(F.col("id") / 20)).alias("x"), (20 * F.sin(F.col("id") / 20)).alias("y"))
+    assert all(abs(r.r - 20) < 0.01 for r in fits.circle(arc, ["g"]).collect())

@@ -57,13 +57,13 @@ def circle_sigma(v):
 
 
 def circle_sql(kind: str, moments: str = "moments") -> str:
-    """SQL of a Hyper, Pratt or Taubin fit: the root next to zero by plain Newton steps, many more than the fit needs."""
+    """SQL of a Hyper, Pratt or Taubin fit: the root next to zero by plain Newton steps, many more than the fit needs; none for points on a line."""
     second, third, fourth, share = {
         "hyper": ("4 * cov - 3 * mz * mz - mzz", "0", "4", -2), "pratt": ("4 * cov - 3 * mz * mz - mzz", "0", "4", 2), "taubin": ("-3 * mz * mz - mzz", "4 * mz", "0", 0),
     }[kind]
     value, slope = "(p0 + t * (p1 + t * (p2 + t * (p3 + t * p4))))", "(p1 + t * (2 * p2 + t * (3 * p3 + t * 4 * p4)))"
     return f"""SELECT event_id, track_id, n, u + mx AS a, v + my AS b, sqrt(u * u + v * v + mz + {share} * root) AS r FROM (
-      SELECT *, CASE WHEN abs(det) > 1e-12 THEN (mxz * (myy - root) - myz * mxy) / 2 / det END AS u, CASE WHEN abs(det) > 1e-12 THEN (myz * (mxx - root) - mxz * mxy) / 2 / det END AS v FROM (SELECT *, root * root - root * mz + cov AS det FROM (
+      SELECT *, CASE WHEN abs(det) > 1e-12 AND cov > 1e-12 * mz * mz THEN (mxz * (myy - root) - myz * mxy) / 2 / det END AS u, CASE WHEN abs(det) > 1e-12 AND cov > 1e-12 * mz * mz THEN (myz * (mxx - root) - mxz * mxy) / 2 / det END AS v FROM (SELECT *, root * root - root * mz + cov AS det FROM (
       SELECT *, list_reduce(list_transform(range(60), lambda i: 0::DOUBLE), lambda t, i: CASE WHEN {slope} = 0 THEN t ELSE t - {value} / {slope} END) AS root FROM (
       SELECT *, mxz * (mxz * myy - myz * mxy) + myz * (myz * mxx - mxz * mxy) - (mzz - mz * mz) * cov AS p0, (mzz - mz * mz) * mz + 4 * cov * mz - mxz * mxz - myz * myz AS p1, ({second})::DOUBLE AS p2, ({third})::DOUBLE AS p3, ({fourth})::DOUBLE AS p4 FROM (
       SELECT *, mxx + myy AS mz, mxx * myy - mxy * mxy AS cov FROM {moments})))))"""
