@@ -100,3 +100,15 @@ def test_two_points_have_no_circle(spark):
     assert fits.circle(points, ["id"]).filter("r IS NOT NULL").count() == 0
     arc = spark.range(30).select(F.floor(F.col("id") / 3).alias("g"), (20 * F.cos(F.col("id") / 20)).alias("x"), (20 * F.sin(F.col("id") / 20)).alias("y"))
     assert all(abs(r.r - 20) < 0.01 for r in fits.circle(arc, ["g"]).collect())
+
+
+@pytest.mark.parametrize("name", ("anchors",))
+def test_tracks_of_many_hits_are_dealt_over_tasks_of_bounded_size(spark, many, name):
+    """What sorts and groups tracks stays in the tasks that hits are dealt over; a shuffle by track would be put together by bytes."""
+    from pathlib import Path
+
+    got, want = compared(spark, Path(SF), name)
+    assert got == want
+    text = plan(catalog.queries()[name](spark, SF))
+    assert "REPARTITION_BY_NUM" in text and "hashpartitioning(event_id" in text
+    assert not [line for line in text.splitlines() if "Exchange hashpartitioning(event_id" in line and "REPARTITION_BY_NUM" not in line]
