@@ -112,3 +112,11 @@ def test_tracks_of_many_hits_are_dealt_over_tasks_of_bounded_size(spark, many, n
     text = plan(catalog.queries()[name](spark, SF))
     assert "REPARTITION_BY_NUM" in text and "hashpartitioning(event_id" in text
     assert not [line for line in text.splitlines() if "Exchange hashpartitioning(event_id" in line and "REPARTITION_BY_NUM" not in line]
+
+
+def test_file_of_hits_is_compressed(spark):
+    from pathlib import Path
+
+    got, want = compared(spark, Path("/root/testdata/sf0.001"), "hits_csv")
+    assert got == want
+    assert all(f.endswith(".csv.gz") for f in catalog.queries()["hits_csv"](spark, "/root/testdata/sf0.001").inputFiles())

@@ -138,8 +138,8 @@ HIT_FILE = {
 
 
 def write_hits_csv(enriched: DataFrame, path: str) -> None:
-    """Enriched hits as CSV files with the full header."""
-    write_csv(enriched.select(*(F.col(c).alias(n) for n, c in HIT_FILE.items())), path)
+    """Enriched hits as compressed CSV files with the full header."""
+    write_csv(enriched.select(*(F.col(c).alias(n) for n, c in HIT_FILE.items())), path, compression="gzip")
 
 
 def read_hits_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -148,9 +148,9 @@ def read_hits_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=", ".join(f"{n} {kinds.get(n, 'double')}" for n in HIT_FILE))
 
 
-def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
+def write_csv(df: DataFrame, path: str, header: bool = True, compression: str = "none") -> None:
     """A table as CSV files."""
-    df.write.mode("overwrite").csv(path, header=header)
+    df.write.mode("overwrite").csv(path, header=header, compression=compression)
 
 
 def tracks_json(members: DataFrame, track: str = "track_id", order: str = "seq") -> DataFrame:
