@@ -102,7 +102,7 @@ def test_two_points_have_no_circle(spark):
     assert all(abs(r.r - 20) < 0.01 for r in fits.circle(arc, ["g"]).collect())
 
 
-@pytest.mark.parametrize("name", ("anchors",))
+@pytest.mark.parametrize("name", ("anchors", "covariance"))
 def test_tracks_of_many_hits_are_dealt_over_tasks_of_bounded_size(spark, many, name):
     """What sorts and groups tracks stays in the tasks that hits are dealt over; a shuffle by track would be put together by bytes."""
     from pathlib import Path

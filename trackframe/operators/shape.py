@@ -18,9 +18,9 @@ def area_open(active: DataFrame, edges: DataFrame, area: int) -> DataFrame:
     return found.join(large, ["event_id", "component"], "left_semi").select("event_id", "component", "det_id")
 
 
-def covariance(members: DataFrame, nodes: DataFrame) -> DataFrame:
+def covariance(members: DataFrame, nodes: DataFrame, tasks: int | None = None) -> DataFrame:
     """(event_id, track_id, n, mx, my, sxx, syy, sxy, e1, e2, axis): mean, covariance, its eigenvalues and the angle of the larger one's axis."""
-    own = placed(members, nodes)
+    own = placed(members, nodes, tasks)
     m = own.groupBy(*TRACK).agg(
         F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.covar_samp("x", "x").alias("sxx"), F.covar_samp("y", "y").alias("syy"), F.covar_samp("x", "y").alias("sxy")
     ).filter("n > 1")
