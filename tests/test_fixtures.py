@@ -114,6 +114,18 @@ def test_tracks_of_many_hits_are_dealt_over_tasks_of_bounded_size(spark, many, n
     assert not [line for line in text.splitlines() if "Exchange hashpartitioning(event_id" in line and "REPARTITION_BY_NUM" not in line]
 
 
+@pytest.mark.parametrize("name", ("correct_skew", "reconstruct_z"))
+def test_corrections_of_many_hits_run_in_tasks_of_bounded_size(spark, many, name):
+    """Members that meet their tubes are laid out once and dealt by event; what is stored between comes from several tasks."""
+    from pathlib import Path
+
+    got, want = compared(spark, Path(SF), name)
+    assert got == want
+    found = catalog.queries()[name](spark, SF)
+    assert len(found.inputFiles()) > 1
+    assert name == "correct_skew" or "REPARTITION_BY_NUM" in plan(found)
+
+
 def test_file_of_hits_is_compressed(spark):
     from pathlib import Path
 

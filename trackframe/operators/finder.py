@@ -172,25 +172,30 @@ def unwrapped_in_turn(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return in_turn(members, nodes, start, step, lambda s: s).select(*TRACK, F.explode("s").alias("p")).select(*TRACK, "p.pos", "p.det_id", "p.theta")
 
 
-def correct_skew(members: DataFrame, nodes: DataFrame) -> DataFrame:
+def correct_skew(members: DataFrame, nodes: DataFrame, tasks: int | None = None) -> DataFrame:
     """Members with corrected cx, cy, cz: skewed nodes between straight ones lie where their tube meets the line between these.
 
     The line runs from the mean of the last straight layer before to that of
     the first one after; a node between layers that are less than two apart,
     or without one of them, stays at its tube's centre with height 0.
     """
-    own = members.join(nodes.select("det_id", "layer", "node_type", "x", "y", "z", "half_length", "dx", "dy", "dz"), "det_id")
-    straight = own.filter("node_type = 1").groupBy(*TRACK, "layer").agg(F.avg("x").alias("lx"), F.avg("y").alias("ly"), F.min("pos").alias("at"))
-    level = F.struct("at", "layer", "lx", "ly")
-    marks = straight.select(*TRACK, C("at").alias("pos"), level.alias("level"))
+    return skew_corrected(members, nodes, tasks).drop("layer")
+
+
+def skew_corrected(members: DataFrame, nodes: DataFrame, tasks: int | None = None) -> DataFrame:
+    """As ``correct_skew``, with the layers."""
+    own = dealt(members.join(nodes.select("det_id", "layer", "node_type", "x", "y", "z", "half_length", "dx", "dy", "dz"), "det_id"), tasks)
+    # A straight layer's mean stands at its first node, found by a window, so that members are laid out once.
+    layer, straight = Window.partitionBy(*TRACK, "layer"), lambda c: F.when(C("node_type") == 1, C(c))
+    own = own.withColumns({"at": F.min(straight("pos")).over(layer), "lx": F.avg(straight("x")).over(layer), "ly": F.avg(straight("y")).over(layer)})
     along = Window.partitionBy(*TRACK).orderBy("pos")
-    both = own.join(marks, [*TRACK, "pos"], "left").withColumns({
+    both = own.withColumn("level", F.when(C("pos") == C("at"), F.struct("at", "layer", "lx", "ly"))).withColumns({
         "before": F.last("level", True).over(along.rowsBetween(Window.unboundedPreceding, -1)), "after": F.first("level", True).over(along.rowsBetween(1, Window.unboundedFollowing)),
     })
     both = G.with_clamped(both, C("before.lx"), C("before.ly"), C("after.lx"), C("after.ly"), "")
     usable = (C("node_type") == 2) & C("before").isNotNull() & C("after").isNotNull() & (F.abs(C("before.layer") - C("after.layer")) >= 2)
     return both.select(
-        *TRACK, "pos", "det_id", F.when(usable, C("cx")).otherwise(C("x")).alias("cx"), F.when(usable, C("cy")).otherwise(C("y")).alias("cy"), F.when(usable, C("cz")).otherwise(0.0).alias("cz")
+        *TRACK, "pos", "det_id", "layer", F.when(usable, C("cx")).otherwise(C("x")).alias("cx"), F.when(usable, C("cy")).otherwise(C("y")).alias("cy"), F.when(usable, C("cz")).otherwise(0.0).alias("cz")
     )
 
 
@@ -499,17 +504,17 @@ def valid_tracks(summary: DataFrame, least: int = 3) -> DataFrame:
     return summary.filter(C("length") >= least).withColumn("number", number.cast("long"))
 
 
-def reconstruct_z(members: DataFrame, nodes: DataFrame) -> DataFrame:
+def reconstruct_z(members: DataFrame, nodes: DataFrame, tasks: int | None = None) -> DataFrame:
     """(event_id, track_id, det_id, z, scatter): heights along a track from line fits of its points.
 
     Skewed nodes are corrected first (``correct_skew``); straight tubes have
     no height of their own.  See ``heights``.
     """
-    moved = correct_skew(members, nodes).select(*TRACK, "pos", "det_id", C("cx").alias("x"), C("cy").alias("y"), C("cz").alias("z"))
-    return heights(moved.join(nodes.select("det_id", "layer"), "det_id"))
+    moved = skew_corrected(members, nodes, tasks).select(*TRACK, "pos", "det_id", "layer", C("cx").alias("x"), C("cy").alias("y"), C("cz").alias("z"))
+    return heights(dealt(moved, tasks), tasks)
 
 
-def heights(own: DataFrame) -> DataFrame:
+def heights(own: DataFrame, tasks: int | None = None) -> DataFrame:
     """Members with layers and (corrected) positions -> (event_id, track_id, det_id, z, scatter); a height of 0 is none.
 
     The points are the origin and then the anchors from the lower layer on, of
@@ -523,7 +528,7 @@ def heights(own: DataFrame) -> DataFrame:
     fits = lambda *none: F.coalesce(~C("z").isin(*none) & C("z").between(-35, 105), F.lit(False))
     anchor = anchors_of(own).select(*TRACK, "pos", "layer", "y", "z", fits(0.0).alias("ok"))
     member = own.select(*TRACK, "pos", F.lit(None).cast("long").alias("layer"), "y", "z", fits(0.0, 35.0).alias("ok")).filter("ok")
-    point = anchor.unionByName(member)
+    point = dealt(anchor.unionByName(member), tasks)
     at = F.when(C("layer").isNotNull(), C("pos"))
     point = point.withColumns({"up": F.min_by("layer", at).over(whole) <= F.max_by("layer", at).over(whole), "enough": F.count(F.when(C("ok") & C("layer").isNotNull(), 1)).over(whole) > 1})
     point = point.withColumn("usable", C("ok") & (C("enough") == C("layer").isNotNull()))
@@ -541,7 +546,7 @@ def heights(own: DataFrame) -> DataFrame:
     slope = lambda a: F.when(spread > 0, (C("n") * C(f"sp{a}") - C("sp") * C(f"s{a}")) / spread)
     fit = sums.withColumns({"mz": slope("z"), "my": slope("y")}).withColumn("last", (C("sz") - C("mz") * C("sp")) / C("n") + C("mz") * C("end"))
     fit = fit.select(*TRACK, "up", F.when(C("last") > 110, 105.0).otherwise(C("last")).alias("zf"), F.atan(C("my") / F.when(C("mz") != 0, C("mz"))).alias("scatter"))
-    own = own.join(fit, TRACK).withColumn("o", F.when(C("up"), C("pos")).otherwise(-C("pos")))
+    own = dealt(own.join(fit, TRACK), tasks).withColumn("o", F.when(C("up"), C("pos")).otherwise(-C("pos")))
     step = F.hypot(C("x") - F.coalesce(F.lag("x").over(order), F.lit(0.0)), C("y") - F.coalesce(F.lag("y").over(order), F.lit(0.0)))
     own = own.withColumn("step", step).withColumn("d", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     own = own.withColumn("total", F.max("d").over(whole))

@@ -143,7 +143,7 @@ SKEW = {"mem": MEM, "btw": BETWEEN, "met": MET, "moved": MOVED}
 
 @query("SELECT event_id, track_id, pos, det_id, round(cx, 4) AS cx, round(cy, 4) AS cy, round(cz, 3) AS cz FROM moved", VIEWS, SKEW)
 def correct_skew(v):
-    return rounded(rounded(finder.correct_skew(tracks(v), v("f_nodes")), ["cx", "cy"]), ["cz"], 3)
+    return rounded(rounded(finder.correct_skew(tracks(v), v("f_nodes"), tasks(v)), ["cx", "cy"]), ["cz"], 3)
 
 
 #: Members with the virtual nodes that neighbours in a track share, places of virtual nodes, and the fold over them.
@@ -376,7 +376,7 @@ HEIGHTS = SKEW | {"cor": COR, "anc": ANCHORS.replace("FROM mem", "FROM cor"), "w
 
 @query(ZED, VIEWS, HEIGHTS)
 def reconstruct_z(v):
-    return rounded(rounded(finder.reconstruct_z(tracks(v), v("f_nodes")), ["z"], 3), ["scatter"])
+    return rounded(rounded(finder.reconstruct_z(tracks(v), v("f_nodes"), tasks(v)), ["z"], 3), ["scatter"])
 
 
 #: The rules of ``growing``, each on the fixture's members, against SQL of their own or that of the joins and windows above.
