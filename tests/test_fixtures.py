@@ -132,3 +132,27 @@ def test_file_of_hits_is_compressed(spark):
     got, want = compared(spark, Path("/root/testdata/sf0.001"), "hits_csv")
     assert got == want
     assert all(f.endswith(".csv.gz") for f in catalog.queries()["hits_csv"](spark, "/root/testdata/sf0.001").inputFiles())
+
+
+@pytest.mark.parametrize("name", ("residuals", "mean_residuals", "overlap"))
+def test_what_goes_by_event_is_dealt_by_event_alone(spark, many, name):
+    """Found tracks, matches, members and points meet in the tasks that hits are dealt over, without a shuffle by track or by event and node."""
+    from pathlib import Path
+
+    got, want = compared(spark, Path(SF), name)
+    assert got == want
+    text = plan(catalog.queries()[name](spark, SF))
+    assert "REPARTITION_BY_NUM" in text
+    assert not [line for line in text.splitlines() if "Exchange hashpartitioning(event_id" in line and "REPARTITION_BY_NUM" not in line]
+
+
+@pytest.mark.parametrize("name", ("residuals_of_perfect", "global_error_parity"))
+def test_scores_do_not_deal_members_again(spark, many, name):
+    """Beside the deal by event only tables of one row a track or event are shuffled by these."""
+    from pathlib import Path
+
+    got, want = compared(spark, Path(SF), name)
+    assert got == want
+    text = plan(catalog.queries()[name](spark, SF))
+    again = [line for line in text.splitlines() if "Exchange hashpartitioning(event_id" in line and "REPARTITION_BY_NUM" not in line]
+    assert not [line for line in again if "det_id" in line]

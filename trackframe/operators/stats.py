@@ -130,9 +130,9 @@ def relative_residual(found: Column, true: Column) -> Column:
     return (found - true) / F.when(true != 0, true)
 
 
-def residuals_of_perfect(residuals: DataFrame, scores: DataFrame) -> DataFrame:
-    """Residuals of tracks with an f1 of 1."""
-    return residuals.join(scores.filter("f1 = 1").select("event_id", "track_id"), ["event_id", "track_id"], "left_semi")
+def perfect_matches(scores: DataFrame) -> DataFrame:
+    """(event_id, track_id, reco_id): matches with an f1 of 1."""
+    return scores.filter("f1 = 1").select("event_id", "track_id", F.col("match").alias("reco_id"))
 
 
 def multiplicity(hits: DataFrame) -> DataFrame:

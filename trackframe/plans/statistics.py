@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trackframe.operators import score, stats
 from trackframe.plans.registry import query
 from trackframe.plans.scoring import GIVEN, MORE, RESIDUALS, given
+from trackframe.sources.fixtures import event_tasks
 
 C = F.col
 
@@ -112,9 +113,9 @@ def relative_residual(v):
 
 @query("SELECT r.event_id, r.track_id, det_id, dx, dy FROM res r JOIN given g ON r.event_id = g.event_id AND r.track_id = g.track_id JOIN sz s ON s.event_id = g.event_id AND s.track_id = g.track_id JOIN rsz q ON q.event_id = g.event_id AND q.reco_id = g.reco_id WHERE overlap = l AND overlap = rl", "f_hits f_reco f_nodes", MORE | {"given": GIVEN, "res": RESIDUALS})
 def residuals_of_perfect(v):
-    match = given(v)
-    found = rounded(score.residuals(match, v("f_reco"), v("f_hits"), v("f_nodes")), ["dx", "dy"], 5)
-    return stats.residuals_of_perfect(found, score.f1_scores(match, v("f_reco"), v("f_hits"))).select("event_id", "track_id", "det_id", "dx", "dy")
+    perfect = stats.perfect_matches(score.f1_scores(given(v), v("f_reco"), v("f_hits")))
+    found = score.residuals(perfect, v("f_reco"), v("f_hits"), v("f_nodes"), event_tasks(v("lineitem")))
+    return rounded(found, ["dx", "dy"], 5).select("event_id", "track_id", "det_id", "dx", "dy")
 
 
 @query("SELECT n_tracks, count(*) AS n_events FROM (SELECT event_id, count(DISTINCT track_id) AS n_tracks FROM f_hits GROUP BY event_id) GROUP BY n_tracks", "f_hits")
