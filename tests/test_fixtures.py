@@ -134,7 +134,7 @@ def test_file_of_hits_is_compressed(spark):
     assert all(f.endswith(".csv.gz") for f in catalog.queries()["hits_csv"](spark, "/root/testdata/sf0.001").inputFiles())
 
 
-@pytest.mark.parametrize("name", ("residuals", "mean_residuals", "overlap"))
+@pytest.mark.parametrize("name", ("residuals", "mean_residuals", "overlap", "step_direction"))
 def test_what_goes_by_event_is_dealt_by_event_alone(spark, many, name):
     """Found tracks, matches, members and points meet in the tasks that hits are dealt over, without a shuffle by track or by event and node."""
     from pathlib import Path

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackframe.functions import geometry as G
 from trackframe.operators import graph, hits
 from trackframe.plans.registry import query
+from trackframe.sources.fixtures import event_tasks
 from trackframe.sources.io import as_nodes
 
 SLOPE = "round(CASE WHEN dx = 0 AND dy = 0 THEN 1.0::DOUBLE WHEN atan2(dy, dx) > 0 THEN tan(pi() / 60) WHEN atan2(dy, dx) < 0 THEN -tan(pi() / 60) ELSE 1.0::DOUBLE END, 8)"
@@ -159,7 +160,8 @@ POINTS = "SELECT event_id, reco_id, pos, x, y, lag(x) OVER w AS ax, lag(y) OVER
 
 def _points(v):
     w = Window.partitionBy("event_id", "reco_id").orderBy("pos")
-    own = v("f_reco").join(v("f_nodes").drop("ring"), "det_id")
+    own, tasks = v("f_reco").join(v("f_nodes").drop("ring"), "det_id"), event_tasks(v("lineitem"))
+    own = own.repartition(tasks, "event_id") if tasks else own
     return own.withColumns({"ax": F.lag("x").over(w), "ay": F.lag("y").over(w), "cx": F.lead("x").over(w), "cy": F.lead("y").over(w), "theta": F.degrees(F.atan2("y", "x"))}).withColumn("before", F.lag("theta").over(w))
 
 
