@@ -166,3 +166,12 @@ def test_complex_tracks_send_nothing_through_the_driver(spark, many, name):
     got, want = compared(spark, Path(SF), name)
     assert got == want
     assert "Broadcast" not in plan(catalog.queries()[name](spark, SF))
+
+
+def test_links_of_ends_send_nothing_through_the_driver(spark, many):
+    """Ends of tracks and what they propose grow with the events, and were broadcast where they take few bytes."""
+    from pathlib import Path
+
+    got, want = compared(spark, Path(SF), "grown_chain")
+    assert got == want
+    assert "Broadcast" not in plan(catalog.queries()["grown_chain"](spark, SF))

@@ -433,7 +433,7 @@ def mutual(proposals: DataFrame) -> DataFrame:
     """Proposals (event_id, track_a, end_a, track_b, end_b) that both ends make: every end has one link at most."""
     one = proposals.groupBy("event_id", "track_a", "end_a").agg(F.min(F.struct("track_b", "end_b")).alias("m")).select("event_id", "track_a", "end_a", C("m.track_b").alias("track_b"), C("m.end_b").alias("end_b"))
     back = one.select("event_id", C("track_b").alias("track_a"), C("end_b").alias("end_a"), C("track_a").alias("track_b"), C("end_a").alias("end_b"))
-    return one.intersect(back)
+    return one.join(back.hint("merge"), one.columns, "left_semi")
 
 
 def merged_ids(tracks: DataFrame, links: DataFrame) -> DataFrame:

@@ -304,8 +304,9 @@ def merged_ids(v):
 def head_tail_links(v):
     """Heads next to tails of other tracks, each end's first partner, if both have each other."""
     ends = tracks(v).groupBy("event_id", "track_id").agg(F.max_by("det_id", "pos").alias("head"), F.min_by("det_id", "pos").alias("tail"))
-    a = ends.select("event_id", C("track_id").alias("track_a"), C("head").alias("src"))
-    b = ends.select("event_id", C("track_id").alias("track_b"), C("tail").alias("dst"))
+    # Ends grow with the events; the planner would send them all through the driver where they take few bytes.
+    a = ends.select("event_id", C("track_id").alias("track_a"), C("head").alias("src")).hint("merge")
+    b = ends.select("event_id", C("track_id").alias("track_b"), C("tail").alias("dst")).hint("merge")
     met = a.join(sym(v), "src").join(b, ["event_id", "dst"]).filter("track_a <> track_b").select("event_id", "track_a", F.lit("head").alias("end_a"), "track_b", F.lit("tail").alias("end_b"))
     both = met.unionByName(met.select("event_id", C("track_b").alias("track_a"), C("end_b").alias("end_a"), C("track_a").alias("track_b"), C("end_a").alias("end_b")))
     return finder.mutual(both)
