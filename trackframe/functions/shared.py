@@ -1,11 +1,12 @@
-"""Storage of intermediate tables of iterative operators."""
+"""Storage of intermediate tables of iterative operators, and of values within array functions."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -33,3 +34,8 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once within an array function."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))

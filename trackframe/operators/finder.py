@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackframe.functions import geometry as G
-from trackframe.functions.shared import stored
+from trackframe.functions.shared import let, stored
 from trackframe.operators.graph import VIRTUAL, components
 
 C = F.col
@@ -114,11 +114,6 @@ def anchors_of(own: DataFrame) -> DataFrame:
     return grouped.select(*TRACK, number.alias("pos"), "layer", "n", "x", "y", "z")
 
 
-def let(value, f):
-    """``f`` of a value that is computed once within an array function."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def in_turn(members: DataFrame, nodes: DataFrame, start, step, done):
     """A fold over the nodes of each track in order: (event_id, track_id, s), with ``done`` of the last state."""
     node = F.struct("pos", "det_id", "layer", "node_type", "x", "y", "z", "half_length", "dx", "dy", "dz")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackframe.functions import geometry as G
-from trackframe.functions.shared import stored
+from trackframe.functions.shared import let, stored
 
 PARA, SKEW, VIRTUAL = 1, 2, 6
 #: Ids of first nodes whose pairs are numbered by one task.
@@ -101,6 +101,22 @@ def is_neighbour(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(known, ["a", "b"], "left").withColumn("adjacent", F.coalesce("adjacent", F.lit(False)))
 
 
+def neighbour_steps(edges: DataFrame) -> DataFrame:
+    """(det_id, steps): each node's neighbours as steps from its own id, which are alike for most nodes and so take little room where they are sent."""
+    return edges.groupBy(F.col("src").alias("det_id")).agg(F.collect_set(F.col("dst") - F.col("src")).alias("steps"))
+
+
+def _from(steps: Column | str, at: Column | str) -> Column:
+    """The nodes that steps lead to from a node."""
+    return F.transform(steps, lambda s: s + at)
+
+
+def _by_event(active: DataFrame, steps: DataFrame, tasks: int | None) -> DataFrame:
+    """(event_id, det_id, steps): fired nodes with their steps, dealt by event over ``tasks`` if they are given; none are left out."""
+    own = active.join(steps, "det_id", "left").select("event_id", "det_id", "steps")
+    return own.repartition(tasks, "event_id") if tasks else own
+
+
 def active_two_hop(edges: DataFrame, active: DataFrame) -> DataFrame:
     """(event_id, det_id, reached): active nodes within two steps of an active node; inactive ones in between count, itself does not."""
     one = active.join(edges.select(F.col("src").alias("det_id"), F.col("dst").alias("reached")), "det_id")
@@ -109,25 +125,52 @@ def active_two_hop(edges: DataFrame, active: DataFrame) -> DataFrame:
     return every.join(active.select("event_id", F.col("det_id").alias("reached")), ["event_id", "reached"], "left_semi").select("event_id", "det_id", "reached")
 
 
-def active_k_hop(edges: DataFrame, active: DataFrame, depth: int) -> DataFrame:
+def active_k_hop(edges: DataFrame, active: DataFrame, depth: int, tasks: int | None = None) -> DataFrame:
     """(event_id, det_id, reached): active nodes found in at most ``depth`` steps.
 
     From each level the search goes on through the active nodes found there,
     or through all nodes of the level if none is active (it jumps a gap).  The
     start may be reached again.
+
+    Searches that meet no gap stay within their event, whose fired nodes have
+    their neighbours with them; only the others go over the static graph.
     """
-    step = edges.select(F.col("src").alias("at"), F.col("dst").alias("reached"))
-    fired = active.select("event_id", F.col("det_id").alias("reached"), F.lit(True).alias("on"))
-    front = active.select("event_id", "det_id", F.col("det_id").alias("at"))
-    out = None
-    for _ in range(depth):
-        level = front.join(step, "at").select("event_id", "det_id", "reached").distinct().join(fired, ["event_id", "reached"], "left")
-        some = F.max(F.coalesce("on", F.lit(False))).over(Window.partitionBy("event_id", "det_id"))
-        level = level.withColumn("some", some)
-        found = level.filter("on").select("event_id", "det_id", "reached")
-        out = found if out is None else out.unionByName(found)
-        front = level.filter("on OR NOT some").select("event_id", "det_id", F.col("reached").alias("at"))
-    return out.distinct()
+    near = neighbour_steps(edges)
+    none = F.array().cast("array<bigint>")
+    node = F.struct("det_id", F.coalesce(_from("steps", F.col("det_id")), none).alias("near"))
+    events = _by_event(active, near, tasks).groupBy("event_id").agg(F.collect_list(node).alias("e"))
+
+    def searched(lists: Column, fired: Column) -> Column:
+        """For each node of an event what it finds, and the level that has a gap, if any, with its number."""
+        at = lambda d: F.get(lists, (F.array_position(fired, d) - 1).cast("int"))
+        told = lambda found, front, gap: F.struct(found.alias("found"), front.alias("front"), gap.cast("int").alias("gap"))
+
+        def further(s: Column, k: int) -> Column:
+            on = F.array_distinct(F.flatten(F.transform(s.front, lambda d: at(d).on)))
+            whole = F.array_distinct(F.flatten(F.transform(s.front, lambda d: at(d).near)))
+            return F.when(s.gap.isNull(), let(on, lambda o: F.when(F.size(o) > 0, told(F.array_union(s.found, o), o, F.lit(None))).otherwise(told(s.found, whole, F.lit(k))))).otherwise(s)
+
+        def search(x: Column) -> Column:
+            first = F.when(F.size(x.on) > 0, told(x.on, x.on, F.lit(None))).otherwise(told(none, x.near, F.lit(1)))
+            for k in range(2, depth + 1):
+                first = let(first, lambda s, k=k: further(s, k))
+            return F.struct(x.det_id.alias("det_id"), first.alias("s"))
+
+        return F.transform(lists, search)
+
+    lit = let(F.col("e.det_id"), lambda fired: let(F.transform("e", lambda x: F.struct(x.det_id.alias("det_id"), x.near.alias("near"), F.array_intersect(x.near, fired).alias("on"))), lambda lists: searched(lists, fired)))
+    rows = events.select("event_id", F.explode(lit).alias("x")).select("event_id", "x.det_id", "x.s.*")
+    rows = stored(rows.select("event_id", "det_id", "found", F.when(F.col("gap") < depth, F.col("front")).alias("front"), "gap"), "hops")
+    out, open_ = rows.filter("front IS NULL"), rows.filter("front IS NOT NULL")
+    fired = rows.groupBy("event_id").agg(F.collect_list("det_id").alias("fired"))
+    for k in range(2, depth + 1):
+        go, wait = open_.filter(F.col("gap") < k), open_.filter(F.col("gap") >= k)
+        level = go.select("event_id", "det_id", F.explode("front").alias("at")).join(near.toDF("at", "steps"), "at").select("event_id", "det_id", _from("steps", F.col("at")).alias("ids"))
+        level = level.groupBy("event_id", "det_id").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("level"))
+        level = go.join(level, ["event_id", "det_id"], "left").withColumn("level", F.coalesce("level", none)).join(fired, "event_id").withColumn("on", F.array_intersect("level", "fired"))
+        gone = level.select("event_id", "det_id", F.array_union("found", "on").alias("found"), F.when(F.size("on") > 0, F.col("on")).otherwise(F.col("level")).alias("front"), "gap")
+        open_ = stored(gone.unionByName(wait), "gaps")
+    return out.unionByName(open_).select("event_id", "det_id", F.explode("found").alias("reached"))
 
 
 #: Edges of a static graph that may be broadcast with the kinds of their nodes, with some 50 bytes each.

@@ -117,7 +117,7 @@ def active_two_hop(v):
   SELECT f.event_id, f.det_id, s.dst FROM (SELECT * FROM (SELECT *, bool_or(on1) OVER (PARTITION BY event_id, det_id) AS hit FROM l1) WHERE on1 OR NOT hit) f JOIN sym s ON f.reached = s.src JOIN act t ON f.event_id = t.event_id AND s.dst = t.det_id""", "f_hits f_edges",
   {"act": ACTIVE, "sym": SYM, "l1": "SELECT a.event_id, a.det_id, dst AS reached, t.det_id IS NOT NULL AS on1 FROM act a JOIN sym ON a.det_id = src LEFT JOIN act t ON a.event_id = t.event_id AND t.det_id = dst"})
 def active_k_hop(v):
-    return graph.active_k_hop(graph.symmetrise(v("f_edges")), _active(v), 2)
+    return graph.active_k_hop(graph.symmetrise(v("f_edges")), _active(v), 2, event_tasks(v("lineitem")))
 
 
 @query("SELECT a.event_id, s.src, s.dst, n.node_type AS dst_type, n.layer AS dst_layer FROM act a JOIN sym s ON a.det_id = s.src JOIN act b ON a.event_id = b.event_id AND b.det_id = s.dst JOIN f_nodes n ON n.det_id = s.dst", "f_hits f_edges f_nodes", {"act": ACTIVE, "sym": SYM})
