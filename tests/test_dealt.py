@@ -47,3 +47,8 @@ def test_searches_over_gaps_and_on_from_them(spark):
     assert found(2) == [(0, 1, 1), (0, 1, 3), (0, 3, 3), (0, 3, 4), (0, 4, 3), (0, 4, 4), (1, 10, 10), (1, 13, 13), (2, 10, 10)]
     # From 1 the search goes on through itself and 3, from 10 and 13 through themselves alone.
     assert found(3) == [(0, 1, 1), (0, 1, 3), (0, 1, 4), (0, 3, 3), (0, 3, 4), (0, 4, 3), (0, 4, 4), (1, 10, 10), (1, 13, 13), (2, 10, 10)]
+
+
+def test_two_hops_deal_fired_nodes_not_what_they_lead_to(spark):
+    edges, active = fired_chain(spark)
+    assert dealt(spark, lambda: graph.active_two_hop(edges, active).collect())[0] <= 600

@@ -117,12 +117,18 @@ def _by_event(active: DataFrame, steps: DataFrame, tasks: int | None) -> DataFra
     return own.repartition(tasks, "event_id") if tasks else own
 
 
-def active_two_hop(edges: DataFrame, active: DataFrame) -> DataFrame:
-    """(event_id, det_id, reached): active nodes within two steps of an active node; inactive ones in between count, itself does not."""
-    one = active.join(edges.select(F.col("src").alias("det_id"), F.col("dst").alias("reached")), "det_id")
-    two = one.join(edges.select(F.col("src").alias("reached"), F.col("dst").alias("next")), "reached").select("event_id", "det_id", F.col("next").alias("reached"))
-    every = one.select("event_id", "det_id", "reached").unionByName(two).filter("det_id <> reached").distinct()
-    return every.join(active.select("event_id", F.col("det_id").alias("reached")), ["event_id", "reached"], "left_semi").select("event_id", "det_id", "reached")
+def active_two_hop(edges: DataFrame, active: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(event_id, det_id, reached): active nodes within two steps of an active node; inactive ones in between count, itself does not.
+
+    What two steps reach is told once for each node of the detector; fired
+    nodes take it to their event, where those that fired are side by side.
+    """
+    near = neighbour_steps(edges)
+    first = near.select("det_id", F.explode("steps").alias("step")).select("det_id", "step", (F.col("det_id") + F.col("step")).alias("at"))
+    second = first.join(near.toDF("at", "more"), "at").select("det_id", _from("more", F.col("step")).alias("steps"))
+    both = near.unionByName(second).groupBy("det_id").agg(F.array_remove(F.array_distinct(F.flatten(F.collect_list("steps"))), 0).alias("steps"))
+    own = _by_event(active, both, tasks).withColumn("fired", F.collect_list("det_id").over(Window.partitionBy("event_id")))
+    return own.select("event_id", "det_id", F.explode(F.array_intersect(_from("steps", F.col("det_id")), "fired")).alias("reached"))
 
 
 def active_k_hop(edges: DataFrame, active: DataFrame, depth: int, tasks: int | None = None) -> DataFrame:

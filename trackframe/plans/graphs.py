@@ -110,7 +110,7 @@ def is_neighbour(v):
 
 @query("SELECT DISTINCT o.event_id, o.det_id, o.reached FROM (SELECT event_id, det_id, dst AS reached FROM act JOIN sym ON det_id = src UNION SELECT event_id, det_id, b.dst FROM act JOIN sym a ON det_id = a.src JOIN sym b ON a.dst = b.src) o JOIN act t ON o.event_id = t.event_id AND o.reached = t.det_id WHERE o.det_id <> o.reached", "f_hits f_edges", {"act": ACTIVE, "sym": SYM})
 def active_two_hop(v):
-    return graph.active_two_hop(graph.symmetrise(v("f_edges")), _active(v))
+    return graph.active_two_hop(graph.symmetrise(v("f_edges")), _active(v), event_tasks(v("lineitem")))
 
 
 @query("""SELECT event_id, det_id, reached FROM l1 WHERE on1 UNION
