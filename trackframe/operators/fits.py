@@ -109,7 +109,11 @@ def circle_sigma(points: DataFrame, fits: DataFrame, by: list[str]) -> DataFrame
 
 
 def _least_distance(g: np.ndarray, x: np.ndarray, y: np.ndarray, rounds: int, close: float, farthest: float) -> tuple[np.ndarray, ...]:
-    """Circles of least distance to the points of groups 0, 1, ... (g), all at once: n, a, b, r, sigma, code."""
+    """Circles of least distance to the points of groups 0, 1, ... (g), all at once: n, a, b, r, sigma, code.
+
+    A group whose equations have no solution, as those of a far circle where
+    the damping has become too small to count, takes no step but more damping.
+    """
     count = int(g[-1]) + 1
     total = lambda v: np.bincount(g, v, count)
     n = total(np.ones(len(g)))
@@ -142,11 +146,13 @@ def _least_distance(g: np.ndarray, x: np.ndarray, y: np.ndarray, rounds: int, cl
                 normal[:, i, j] = total(slope[:, i] * slope[:, j])
         right = np.stack([total(slope[:, i] * e) for i in range(3)], axis=1)
         normal[:, range(3), range(3)] = normal[:, range(3), range(3)] * (1 + damp)[:, None] + 1e-15
-        step = -np.linalg.solve(normal, right[:, :, None])[:, :, 0]
+        regular = np.linalg.det(normal) != 0
+        step = np.zeros_like(p)
+        step[regular] = -np.linalg.solve(normal[regular], right[regular, :, None])[:, :, 0]
         tried = p + step
         other, f = residuals(tried)
         better = (code == 1) & (total(f * f) < cost) & (tried[:, 2] > 0)
-        code = np.where((code == 1) & (np.abs(step).sum(axis=1) < close * (1 + np.abs(p[:, 2]))), 0, code)
+        code = np.where((code == 1) & regular & (np.abs(step).sum(axis=1) < close * (1 + np.abs(p[:, 2]))), 0, code)
         code = np.where((code == 1) & ~better & (damp > 1e8), 2, code)
         p = np.where(better[:, None], tried, p)
         slope, e = np.where(better[g][:, None], other, slope), np.where(better[g], f, e)
