@@ -1,14 +1,15 @@
-"""What queries deal out over tasks, by the rows of their shuffles."""
+"""What queries deal out over tasks and write, by the figures of their stages."""
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
 
-from trackframe.operators import graph
+from trackframe.operators import fits, graph
 
 
-def dealt(spark, f):
-    """Rows that the stages of f write for shuffles, the most first."""
+def dealt(spark, f, what="shuffleWriteRecords"):
+    """Rows that the stages of f write for shuffles (or another figure of theirs), the most first."""
     sc = spark.sparkContext
     group = uuid.uuid4().hex
     sc.setJobGroup(group, "")
@@ -19,7 +20,7 @@ def dealt(spark, f):
     rows = []
     for s in stages:
         try:
-            rows.append(store.lastStageAttempt(s).shuffleWriteRecords())
+            rows.append(getattr(store.lastStageAttempt(s), what)())
         except Exception:  # skipped stages have no attempt
             pass
     return sorted(rows, reverse=True)
@@ -52,3 +53,13 @@ def test_searches_over_gaps_and_on_from_them(spark):
 def test_two_hops_deal_fired_nodes_not_what_they_lead_to(spark):
     edges, active = fired_chain(spark)
     assert dealt(spark, lambda: graph.active_two_hop(edges, active).collect())[0] <= 600
+
+
+def test_refits_write_no_draws(spark):
+    at = [(0, t, k, 10 * math.cos(k), 10 * math.sin(k), 0.2) for t in range(20) for k in range(6)] + [(1, 0, k, float(k), 2.0 * k, 0.0) for k in range(4)]
+    points = spark.createDataFrame(at, "event_id long, track_id long, k long, x double, y double, isochrone double")
+    found = []
+    run = lambda: found.extend(fits.isochrone_refit(points, ["event_id", "track_id"], 20).collect())
+    assert dealt(spark, run, "outputRecords")[0] == 0
+    # Points on a line that are not moved have no circle.
+    assert sorted(r.track_id for r in found) == list(range(20)) and all(r.n == 6 and 9.4 < r.r16 <= r.r50 <= r.r84 < 10.6 for r in found)

@@ -231,18 +231,66 @@ def moments_about(points: DataFrame, by: list[str], cx: str, cy: str) -> DataFra
     )
 
 
-def isochrone_refit(points: DataFrame, by: list[str], draws: int = 100) -> DataFrame:
+def _hyper_radii(m: dict[str, np.ndarray], steps: int = 20) -> np.ndarray:
+    """Radii of the Hyper fit as ``newton_circle`` tells them, of many moments at once; masked where there is no circle."""
+    xx, yy, xy, xz, yz, zz = (m[c] for c in ("mxx", "myy", "mxy", "mxz", "myz", "mzz"))
+    mz, cov = xx + yy, xx * yy - xy * xy
+    var = zz - mz * mz
+    p0 = xz * (xz * yy - yz * xy) + yz * (yz * xx - xz * xy) - var * cov
+    p1 = var * mz + 4 * cov * mz - xz * xz - yz * yz
+    p2 = 4 * cov - 3 * mz * mz - zz
+    x, y, done = np.zeros_like(p0), p0, p1 == 0
+    with np.errstate(all="ignore"):
+        further = -p0 / p1
+        for _ in range(steps):
+            value = p0 + further * (p1 + further * (p2 + further * (further * 4)))
+            done = done | ~(np.abs(value) < np.abs(y))
+            if done.all():
+                break
+            slope = p1 + further * (2 * p2 + further * (further * 4 * 4))
+            x, y = np.where(done, x, further), np.where(done, y, value)
+            further = further - value / slope
+            done = done | (slope == 0)
+        det = x * x - x * mz + cov
+        u, v = (xz * (yy - x) - yz * xy) / (2 * det), (yz * (xx - x) - xz * xy) / (2 * det)
+        r = np.sqrt(u * u + v * v + mz - 2 * x)
+    return np.ma.array(r, mask=~((np.abs(det) > 1e-12) & (cov > 1e-12 * mz * mz)))
+
+
+#: Drawn points that one task of ``isochrone_refit`` sums up.
+ONE_DRAWN = 2_500_000
+
+
+def isochrone_refit(points: DataFrame, by: list[str], draws: int = 100, many: int | None = None) -> DataFrame:
     """(by, n, r16, r50, r84): sorted elements of the radii of Hyper fits to displaced points.
 
     The points are dealt by group before they are multiplied, so the draws of
-    a group meet without another shuffle.
+    a group meet without another shuffle; ``many`` points or so go to tasks of
+    ``ONE_DRAWN`` drawn ones, whose sums are held in memory.  The fits of a
+    group's draws are made side by side, so none of them is written.
     """
-    w = Window.partitionBy(*by)
-    own = points.repartition(*by).withColumns({"cx": F.avg("x").over(w), "cy": F.avg("y").over(w)})
-    fits = newton_circle(moments_about(displaced(own, draws), [*by, "draw"], "cx", "cy"), [*by, "draw"], "hyper")
-    radii = fits.filter("r IS NOT NULL").groupBy(*by).agg(F.max("n").alias("n"), F.sort_array(F.collect_list("r")).alias("rs"))
-    at = lambda share: F.get("rs", F.least(F.size("rs") - 1, F.floor(F.size("rs") * share).cast("int")))
-    return radii.select(*by, "n", at(0.16).alias("r16"), at(0.5).alias("r50"), at(0.84).alias("r84"))
+    w, tasks = Window.partitionBy(*by), -(-(many or 0) * draws // ONE_DRAWN)
+    own = points.repartition(tasks, *by) if tasks else points.repartition(*by)
+    sums = moments_about(displaced(own.withColumns({"cx": F.avg("x").over(w), "cy": F.avg("y").over(w)}), draws), [*by, "draw"], "cx", "cy")
+    names = ("mxx", "myy", "mxy", "mxz", "myz", "mzz")
+    sets = sums.groupBy(*by).agg(F.collect_list(F.struct("n", *names)).alias("m"))
+    at = ("r16", 0.16), ("r50", 0.5), ("r84", 0.84)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, m = batch["m"].value_lengths().to_numpy(), batch["m"].flatten()
+            m = {f.name: c.to_numpy(zero_copy_only=False) for f, c in zip(m.type, m.flatten())}
+            r, g = _hyper_radii(m), np.repeat(np.arange(len(size)), size)
+            count = np.bincount(g[~r.mask], minlength=len(size))
+            order = np.lexsort((r.data, r.mask, g))
+            some = np.flatnonzero(count)
+            first, count = (np.cumsum(size) - size)[some], count[some]
+            n = np.zeros(len(size), np.int64)
+            np.maximum.at(n, g[~r.mask], m["n"][~r.mask])
+            found = [r.data[order[first + np.minimum(count - 1, np.floor(count * share).astype(np.int64))]] for _, share in at]
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(some)) for c in by), pa.array(n[some]), *(pa.array(c) for c in found)], names=[*by, "n", *(c for c, _ in at)])
+
+    return sets.mapInArrow(fitted, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in sets.schema if f.name in by), "n long", *(f"{c} double" for c, _ in at)]))
 
 
 def distance_to_line(px: Column, py: Column, ax: Column, bx: Column, ay: Column, by: Column) -> Column:

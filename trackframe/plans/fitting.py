@@ -111,7 +111,7 @@ def pt_from_radius(v):
 
 @query()
 def isochrone_refit(v):
-    return fits.isochrone_refit(shifted(v), BY)
+    return fits.isochrone_refit(shifted(v), BY, many=v("lineitem").count())
 
 
 @query("SELECT p.event_id, p.track_id, k, CASE WHEN abs(bx) + abs(by_) > 1e-6 THEN round(abs((x - ax) * by_ - (y - ay) * bx) / sqrt(bx * bx + by_ * by_), 4) END AS distance FROM f_points p JOIN (SELECT event_id, track_id, regr_intercept(x, k) AS ax, regr_slope(x, k) AS bx, regr_intercept(y, k) AS ay, regr_slope(y, k) AS by_ FROM f_points GROUP BY ALL) f ON p.event_id = f.event_id AND p.track_id = f.track_id", "f_points")
