@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from trackframe.operators import fits, graph
+from trackframe.sources import io
 
 
 def dealt(spark, f, what="shuffleWriteRecords"):
@@ -63,3 +64,10 @@ def test_refits_write_no_draws(spark):
     assert dealt(spark, run, "outputRecords")[0] == 0
     # Points on a line that are not moved have no circle.
     assert sorted(r.track_id for r in found) == list(range(20)) and all(r.n == 6 and 9.4 < r.r16 <= r.r50 <= r.r84 < 10.6 for r in found)
+
+
+def test_buckets_of_result_tables_are_one_file_each(spark, tmp_path):
+    rows = spark.range(0, 400, 1, 8).select((F.col("id") % 20).alias("event_id"), F.col("id").alias("v"))
+    io.write_tables({"t": rows}, str(tmp_path), bucket=5)
+    assert [len(list(d.glob("part-*"))) for d in sorted((tmp_path / "t").glob("event_bucket=*"))] == [1] * 4
+    assert spark.read.parquet(str(tmp_path / "t")).agg(F.count("*"), F.sum("v")).first()[:] == (400, 79800)
