@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from trackframe.operators import fits, graph
+from trackframe.operators import fits, graph, score
 from trackframe.sources import io
 
 
@@ -71,3 +71,10 @@ def test_buckets_of_result_tables_are_one_file_each(spark, tmp_path):
     io.write_tables({"t": rows}, str(tmp_path), bucket=5)
     assert [len(list(d.glob("part-*"))) for d in sorted((tmp_path / "t").glob("event_bucket=*"))] == [1] * 4
     assert spark.read.parquet(str(tmp_path / "t")).agg(F.count("*"), F.sum("v")).first()[:] == (400, 79800)
+
+
+def test_complex_tracks_deal_hits_not_what_is_beside_them(spark):
+    edges, active = fired_chain(spark)
+    hits = active.select("event_id", (F.col("det_id") % 10).alias("track_id"), F.col("det_id").alias("seq"), "det_id")
+    for parity in (False, True):
+        assert dealt(spark, lambda: score.complex_tracks(hits, edges, parity).collect())[0] <= 600

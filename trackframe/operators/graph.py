@@ -106,7 +106,7 @@ def neighbour_steps(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("det_id")).agg(F.collect_set(F.col("dst") - F.col("src")).alias("steps"))
 
 
-def _from(steps: Column | str, at: Column | str) -> Column:
+def steps_from(steps: Column | str, at: Column | str) -> Column:
     """The nodes that steps lead to from a node."""
     return F.transform(steps, lambda s: s + at)
 
@@ -125,10 +125,10 @@ def active_two_hop(edges: DataFrame, active: DataFrame, tasks: int | None = None
     """
     near = neighbour_steps(edges)
     first = near.select("det_id", F.explode("steps").alias("step")).select("det_id", "step", (F.col("det_id") + F.col("step")).alias("at"))
-    second = first.join(near.toDF("at", "more"), "at").select("det_id", _from("more", F.col("step")).alias("steps"))
+    second = first.join(near.toDF("at", "more"), "at").select("det_id", steps_from("more", F.col("step")).alias("steps"))
     both = near.unionByName(second).groupBy("det_id").agg(F.array_remove(F.array_distinct(F.flatten(F.collect_list("steps"))), 0).alias("steps"))
     own = _by_event(active, both, tasks).withColumn("fired", F.collect_list("det_id").over(Window.partitionBy("event_id")))
-    return own.select("event_id", "det_id", F.explode(F.array_intersect(_from("steps", F.col("det_id")), "fired")).alias("reached"))
+    return own.select("event_id", "det_id", F.explode(F.array_intersect(steps_from("steps", F.col("det_id")), "fired")).alias("reached"))
 
 
 def active_k_hop(edges: DataFrame, active: DataFrame, depth: int, tasks: int | None = None) -> DataFrame:
@@ -143,7 +143,7 @@ def active_k_hop(edges: DataFrame, active: DataFrame, depth: int, tasks: int | N
     """
     near = neighbour_steps(edges)
     none = F.array().cast("array<bigint>")
-    node = F.struct("det_id", F.coalesce(_from("steps", F.col("det_id")), none).alias("near"))
+    node = F.struct("det_id", F.coalesce(steps_from("steps", F.col("det_id")), none).alias("near"))
     events = _by_event(active, near, tasks).groupBy("event_id").agg(F.collect_list(node).alias("e"))
 
     def searched(lists: Column, fired: Column) -> Column:
@@ -171,7 +171,7 @@ def active_k_hop(edges: DataFrame, active: DataFrame, depth: int, tasks: int | N
     fired = rows.groupBy("event_id").agg(F.collect_list("det_id").alias("fired"))
     for k in range(2, depth + 1):
         go, wait = open_.filter(F.col("gap") < k), open_.filter(F.col("gap") >= k)
-        level = go.select("event_id", "det_id", F.explode("front").alias("at")).join(near.toDF("at", "steps"), "at").select("event_id", "det_id", _from("steps", F.col("at")).alias("ids"))
+        level = go.select("event_id", "det_id", F.explode("front").alias("at")).join(near.toDF("at", "steps"), "at").select("event_id", "det_id", steps_from("steps", F.col("at")).alias("ids"))
         level = level.groupBy("event_id", "det_id").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("level"))
         level = go.join(level, ["event_id", "det_id"], "left").withColumn("level", F.coalesce("level", none)).join(fired, "event_id").withColumn("on", F.array_intersect("level", "fired"))
         gone = level.select("event_id", "det_id", F.array_union("found", "on").alias("found"), F.when(F.size("on") > 0, F.col("on")).otherwise(F.col("level")).alias("front"), "gap")

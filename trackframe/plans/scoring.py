@@ -35,7 +35,7 @@ def rounded(df, names, digits=5):
   LEFT JOIN (SELECT DISTINCT event_id, track_id FROM (SELECT event_id, track_id, det_id AS dst, lag(det_id) OVER (PARTITION BY event_id, track_id ORDER BY seq) AS src FROM f_hits) x WHERE src IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sym WHERE sym.src = x.src AND sym.dst = x.dst)) g ON t.event_id = g.event_id AND t.track_id = g.track_id""",
   "f_hits f_edges", MORE | {"sym": SYM, "ov": "SELECT 1", "rsz": "SELECT 1"})
 def complex_tracks(v):
-    return score.complex_tracks(v("f_hits"), graph.symmetrise(v("f_edges")))
+    return score.complex_tracks(v("f_hits"), graph.symmetrise(v("f_edges")), tasks=event_tasks(v("lineitem")))
 
 
 GAPS = "SELECT event_id, track_id, min(seq) AS first_ FROM (SELECT event_id, track_id, seq, det_id AS dst, lag(det_id) OVER (PARTITION BY event_id, track_id ORDER BY seq) AS src FROM f_hits) x ANTI JOIN sym ON sym.src = x.src AND sym.dst = x.dst WHERE x.src IS NOT NULL GROUP BY ALL"
@@ -45,7 +45,7 @@ LATER = "SELECT DISTINCT a.event_id, unnest([a.track_id, b.track_id]) AS track_i
 
 @query("SELECT t.event_id, t.track_id, s.track_id IS NOT NULL AS shares, g.track_id IS NOT NULL AS gap, s.track_id IS NOT NULL OR g.track_id IS NOT NULL AS complex FROM (SELECT DISTINCT event_id, track_id FROM truth) t LEFT JOIN later s ON t.event_id = s.event_id AND t.track_id = s.track_id LEFT JOIN gaps g ON t.event_id = g.event_id AND t.track_id = g.track_id", "f_hits f_edges", {"truth": TRUTH, "sym": SYM, "gaps": GAPS, "seen": SEEN, "later": LATER})
 def complex_tracks_parity(v):
-    return score.complex_tracks(v("f_hits"), graph.symmetrise(v("f_edges")), parity=True)
+    return score.complex_tracks(v("f_hits"), graph.symmetrise(v("f_edges")), parity=True, tasks=event_tasks(v("lineitem")))
 
 
 @query("SELECT * FROM ov", "f_hits f_reco", MORE)
