@@ -322,19 +322,17 @@ def propose_from_fit(chosen: DataFrame, members: DataFrame, nodes: DataFrame, le
     return met.filter(C("angle") > least).select("event_id", "track_a", "track_b", "det_id", "angle")
 
 
-def absorb_same_layer(members: DataFrame, active: DataFrame, found: DataFrame, nodes: DataFrame, rounds: int | None = None) -> DataFrame:
+def absorb_same_layer(members: DataFrame, active: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
     """(event_id, det_id, track_id): fired nodes outside all tracks join the track of their first same-layer neighbour in one.
 
-    Nodes that were just absorbed absorb in turn; ``rounds`` limits how often.
+    Nodes that were just absorbed absorb in turn, until none is.
     """
     layer = nodes.select(C("det_id").alias("src"), C("layer").alias("layer"))
     same = stored(found.join(layer, "src").filter(f"dst_layer = layer AND dst_type <> {VIRTUAL}").select("event_id", C("src").alias("det_id"), C("dst").alias("near")), "same")
     owned = members.groupBy("event_id", "det_id").agg(F.min("track_id").alias("track_id"))
     free = active.join(owned, ["event_id", "det_id"], "left_anti")
     absorbed = None
-    n = 0
-    while rounds is None or n < rounds:
-        n += 1
+    while True:
         near = free.join(same, ["event_id", "det_id"]).join(owned.withColumnsRenamed({"det_id": "near", "track_id": "of"}), ["event_id", "near"])
         new = stored(near.groupBy("event_id", "det_id").agg(F.min(F.struct("near", "of")).alias("m")).select("event_id", "det_id", C("m.of").alias("track_id")), "absorbed")
         absorbed = new if absorbed is None else absorbed.unionByName(new)
