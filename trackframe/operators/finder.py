@@ -322,25 +322,32 @@ def propose_from_fit(chosen: DataFrame, members: DataFrame, nodes: DataFrame, le
     return met.filter(C("angle") > least).select("event_id", "track_a", "track_b", "det_id", "angle")
 
 
+def free_nodes(members: DataFrame, active: DataFrame) -> DataFrame:
+    """(event_id, det_id): fired nodes outside all tracks."""
+    return active.join(members.select("event_id", "det_id").distinct(), ["event_id", "det_id"], "left_anti").select("event_id", "det_id")
+
+
 def absorb_same_layer(members: DataFrame, active: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
     """(event_id, det_id, track_id): fired nodes outside all tracks join the track of their first same-layer neighbour in one.
 
-    Nodes that were just absorbed absorb in turn, until none is.
+    Nodes that were just absorbed absorb in turn, until none is.  A node that
+    is still free has no neighbour among those that were there before, so each
+    round looks at what the last one absorbed.  Of ``found`` the edges from
+    free nodes count.
     """
     layer = nodes.select(C("det_id").alias("src"), C("layer").alias("layer"))
-    same = stored(found.join(layer, "src").filter(f"dst_layer = layer AND dst_type <> {VIRTUAL}").select("event_id", C("src").alias("det_id"), C("dst").alias("near")), "same")
     owned = members.groupBy("event_id", "det_id").agg(F.min("track_id").alias("track_id"))
-    free = active.join(owned, ["event_id", "det_id"], "left_anti")
+    free = stored(free_nodes(members, active), "free")
+    same = found.join(layer, "src").filter(f"dst_layer = layer AND dst_type <> {VIRTUAL}").select("event_id", C("src").alias("det_id"), C("dst").alias("near"))
+    same = stored(same.join(free, ["event_id", "det_id"], "left_semi"), "same")
     absorbed = None
     while True:
-        near = free.join(same, ["event_id", "det_id"]).join(owned.withColumnsRenamed({"det_id": "near", "track_id": "of"}), ["event_id", "near"])
+        near = same.join(owned.withColumnsRenamed({"det_id": "near", "track_id": "of"}), ["event_id", "near"]).join(free, ["event_id", "det_id"], "left_semi")
         new = stored(near.groupBy("event_id", "det_id").agg(F.min(F.struct("near", "of")).alias("m")).select("event_id", "det_id", C("m.of").alias("track_id")), "absorbed")
         absorbed = new if absorbed is None else absorbed.unionByName(new)
         if new.isEmpty():
-            break
-        owned = owned.unionByName(new)
-        free = stored(free.join(new, ["event_id", "det_id"], "left_anti"), "free")
-    return absorbed
+            return absorbed
+        owned, free = new, stored(free.join(new, ["event_id", "det_id"], "left_anti"), "free")
 
 
 def leftover_components(members: DataFrame, active: DataFrame, found: DataFrame, more_than: int = 5) -> DataFrame:
@@ -414,6 +421,12 @@ def ends_of(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return two.select(*TRACK, "s.end", "s.e.det_id", "s.other_id", "s.e.sector", "s.e.layer_limit", "s.e.x", "s.e.y", (C("s.e.x") - C("s.next.x")).alias("ux"), (C("s.e.y") - C("s.next.y")).alias("uy"), "closed")
 
 
+def end_nodes(members: DataFrame) -> DataFrame:
+    """(event_id, det_id): first and last nodes of tracks, each once."""
+    ends = members.groupBy(*TRACK).agg(F.min_by("det_id", "pos").alias("tail"), F.max_by("det_id", "pos").alias("head"))
+    return ends.select("event_id", F.explode(F.array("tail", "head")).alias("det_id")).distinct()
+
+
 def remaining_ends(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members and active edges -> (event_id, track_id, end): ends with a fired neighbour, virtual ones too, outside their track."""
     last = members.groupBy(*TRACK).agg(F.min_by("det_id", "pos").alias("tail"), F.max_by("det_id", "pos").alias("head"))

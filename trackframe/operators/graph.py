@@ -183,14 +183,16 @@ def active_k_hop(edges: DataFrame, active: DataFrame, depth: int, tasks: int | N
 MOST_EDGES = 1_000_000
 
 
-def active_edges(edges: DataFrame, active: DataFrame, nodes: DataFrame) -> DataFrame:
+def active_edges(edges: DataFrame, active: DataFrame, nodes: DataFrame, tasks: int | None = None, asked: DataFrame | None = None) -> DataFrame:
     """(event_id, src, dst, dst_type, dst_layer): edges between fired nodes, and to virtual nodes both of whose parents fired.
 
     The edges are those of the detector: up to ``MOST_EDGES`` they are sent to
     the fired nodes, so that only what they lead to is dealt by event and
     node.  Beyond it each fired node gets its list of neighbours, and those
-    that fired are picked where the nodes of an event are side by side, so
-    that edges to nodes that did not fire are never dealt.
+    that fired are picked where the nodes of an event are side by side (over
+    ``tasks`` if they are given), so that edges to nodes that did not fire are
+    never dealt.  With ``asked`` (event_id, det_id), fired nodes, only edges
+    from those are told, and only they get lists.
     """
     kinds = nodes.select(F.col("det_id").alias("dst"), F.col("node_type").alias("dst_type"), F.col("layer").alias("dst_layer"))
     fired = active
@@ -203,13 +205,25 @@ def active_edges(edges: DataFrame, active: DataFrame, nodes: DataFrame) -> DataF
     few = static.count() <= MOST_EDGES
     static = static.join(kinds, "dst")
     if few:
-        out = fired.join(F.broadcast(static), "det_id").withColumnRenamed("det_id", "src")
+        out = (fired if asked is None else asked).join(F.broadcast(static), "det_id").withColumnRenamed("det_id", "src")
         return out.join(fired.withColumnRenamed("det_id", "dst"), ["event_id", "dst"]).select("event_id", "src", "dst", "dst_type", "dst_layer")
-    near = static.groupBy("det_id").agg(F.collect_list(F.struct("dst", "dst_type", "dst_layer")).alias("near"))
-    side_by_side = F.collect_list("det_id").over(Window.partitionBy("event_id"))
-    own = fired.join(near, "det_id", "left").withColumn("lit", F.array_intersect(side_by_side, "near.dst"))
-    met = F.explode(F.filter("near", lambda n: F.array_contains("lit", n.dst)))
-    return own.select("event_id", F.col("det_id").alias("src"), met.alias("n")).select("event_id", "src", "n.*")
+    near = static.groupBy("det_id").agg(F.collect_list(F.struct((F.col("dst") - F.col("det_id")).alias("step"), "dst_type", "dst_layer")).alias("near"))
+    if asked is None:
+        own, lights = fired.join(near, "det_id", "left").select("event_id", "det_id", "near"), F.col("det_id")
+    else:
+        own = fired.select("event_id", "det_id", F.lit(None).cast(near.schema["near"].dataType).alias("near")).unionByName(asked.join(near, "det_id").select("event_id", "det_id", "near"))
+        lights = F.when(F.col("near").isNull(), F.col("det_id"))
+    own = own.repartition(tasks, "event_id") if tasks else own
+    own = own.withColumn("lit", F.collect_list(lights).over(Window.partitionBy("event_id"))).filter("near IS NOT NULL")
+    lit = F.array_intersect("lit", steps_from("near.step", F.col("det_id")))
+    met = F.explode(let(lit, lambda on: F.filter("near", lambda n: F.array_contains(on, n.step + F.col("det_id"))))).alias("n")
+    return own.select("event_id", F.col("det_id").alias("src"), met).select("event_id", "src", (F.col("src") + F.col("n.step")).alias("dst"), "n.dst_type", "n.dst_layer")
+
+
+def same_layer(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges within a layer."""
+    layer = nodes.select("det_id", "layer")
+    return edges.join(layer.toDF("src", "layer"), "src").join(layer.toDF("dst", "dst_layer"), "dst").filter("layer = dst_layer").select("src", "dst")
 
 
 def seed_order(active: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trackframe.functions.shared import stored
 from trackframe.operators import finder, fits, graph, growing, hits, reconstruct, results, score, shape
 from trackframe.plans.fitting import KM, MOMENTS, circle_sql
 from trackframe.plans.graphs import PAIRS, closest_sql
@@ -42,7 +43,7 @@ def sym(v):
 
 
 def active_edges(v):
-    return graph.active_edges(sym(v), active(v), v("f_nodes"))
+    return graph.active_edges(sym(v), active(v), v("f_nodes"), tasks(v))
 
 
 def rounded(df, names, digits=4):
@@ -232,15 +233,22 @@ ABSORBED = """SELECT r.event_id, r.det_id, r.track_id FROM (WITH RECURSIVE r(eve
   ANTI JOIN recurring.r k ON k.event_id = e.event_id AND k.det_id = e.src GROUP BY e.event_id, e.src) SELECT * FROM r) r SEMI JOIN free ON free.event_id = r.event_id AND free.det_id = r.det_id"""
 
 
+def absorbed(v):
+    """Members and fired nodes are laid out once; only free nodes ask for neighbours, and only for those of their layer."""
+    members, fired = stored(tracks(v), "members"), stored(active(v), "fired")
+    found = graph.active_edges(graph.same_layer(sym(v), v("f_nodes")), fired, v("f_nodes"), tasks(v), finder.free_nodes(members, fired))
+    return finder.absorb_same_layer(members, fired, found, v("f_nodes"))
+
+
 @query(ABSORBED, VIEWS, GRAPH | {"mem": MEM, "owned": OWNED, "free": FREE})
 def absorb_same_layer(v):
     """Until no node is absorbed any more, as ``absorb_all``."""
-    return finder.absorb_same_layer(tracks(v), active(v), active_edges(v), v("f_nodes"))
+    return absorbed(v)
 
 
 @query(ABSORBED, VIEWS, GRAPH | {"mem": MEM, "owned": OWNED, "free": FREE})
 def absorb_all(v):
-    return finder.absorb_same_layer(tracks(v), active(v), active_edges(v), v("f_nodes"))
+    return absorbed(v)
 
 
 def _reach(nodes: str, links: str) -> str:

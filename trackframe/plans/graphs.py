@@ -122,7 +122,7 @@ def active_k_hop(v):
 
 @query("SELECT a.event_id, s.src, s.dst, n.node_type AS dst_type, n.layer AS dst_layer FROM act a JOIN sym s ON a.det_id = s.src JOIN act b ON a.event_id = b.event_id AND b.det_id = s.dst JOIN f_nodes n ON n.det_id = s.dst", "f_hits f_edges f_nodes", {"act": ACTIVE, "sym": SYM})
 def active_edges(v):
-    return graph.active_edges(graph.symmetrise(v("f_edges")), _active(v), v("f_nodes"))
+    return graph.active_edges(graph.symmetrise(v("f_edges")), _active(v), v("f_nodes"), event_tasks(v("lineitem")))
 
 
 @query(f"SELECT act.event_id, v.det_id AS virtual FROM act JOIN (SELECT row_number() OVER (ORDER BY a, b) + (SELECT max(det_id) FROM f_nodes) AS det_id, a, b FROM ({PAIRS})) v ON act.det_id = v.a JOIN act o ON o.event_id = act.event_id AND o.det_id = v.b", "f_hits f_edges f_nodes", {"act": ACTIVE})
