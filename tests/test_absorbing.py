@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from tests.test_dealt import dealt, fired_chain
 from trackframe.operators import finder, graph
 from trackframe.plans import finding
+from trackframe.sources.fixtures import view
 
 
 def tables(spark):
@@ -42,3 +43,14 @@ def test_absorbing_looks_at_free_nodes_only(spark):
     dealt(spark, lambda: out.extend(finder.absorb_same_layer(members, active, found, nodes).collect()))
     assert sorted((r.event_id, r.det_id, r.track_id) for r in out) == [(e, 30, 0) for e in range(20)]
     assert sorted((r.event_id, r.det_id) for r in finder.free_nodes(members, active).collect()) == [(e, 30) for e in range(20)]
+
+
+def test_open_ends_lay_members_and_fired_nodes_out_once(spark):
+    read, folder = [], "/root/testdata/sf0.001"
+
+    def v(name):
+        read.append(name)
+        return view(spark, folder, name) if name.startswith("f_") else spark.read.parquet(f"{folder}/{name}.parquet")
+
+    finding.propose_from_open_ends(v)
+    assert read.count("f_reco") == read.count("f_hits") == 1
